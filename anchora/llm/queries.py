@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from anchora.llm.langid import op8_language_id
+from anchora.llm.packing import op3_best_fit_packing
 from anchora.llm.rules import op6_quality_rules
 from anchora.llm.secrets import op2_secret_scans
 
 QUERIES = {
     "op2_secret_scans": op2_secret_scans,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
