@@ -3,32 +3,16 @@ and numpy views of Arrow text columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: ASCII white space that separates words in every operator.
-SPACE = "\t\n\x0b\x0c\r "
-
+from anchora.plans.tables import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="anchora-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+__all__ = ["shared_dir", "written"]
 
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back, so a lost executor costs no rerun."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/anchora-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII white space that separates words in every operator.
+SPACE = "\t\n\x0b\x0c\r "
 
 
 def fold(doc_id: Column, n: int) -> Column:
