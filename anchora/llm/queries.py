@@ -6,11 +6,13 @@ from anchora.llm.decontaminate import op4_decontamination
 from anchora.llm.jaccard import op7_jaccard_join
 from anchora.llm.langid import op8_language_id
 from anchora.llm.packing import op3_best_fit_packing
+from anchora.llm.quality import op1_quality_classifier
 from anchora.llm.rules import op6_quality_rules
 from anchora.llm.secrets import op2_secret_scans
 from anchora.llm.urls import op5_url_filters
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scans": op2_secret_scans,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
