@@ -5,6 +5,7 @@ from __future__ import annotations
 from anchora.llm.decontaminate import op4_decontamination
 from anchora.llm.jaccard import op7_jaccard_join
 from anchora.llm.langid import op8_language_id
+from anchora.llm.lm import op9_lm_scoring
 from anchora.llm.packing import op3_best_fit_packing
 from anchora.llm.quality import op1_quality_classifier
 from anchora.llm.rules import op6_quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
