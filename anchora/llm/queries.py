@@ -10,6 +10,7 @@ from anchora.llm.packing import op3_best_fit_packing
 from anchora.llm.quality import op1_quality_classifier
 from anchora.llm.rules import op6_quality_rules
 from anchora.llm.secrets import op2_secret_scans
+from anchora.llm.suffix import op10_suffix_dedup
 from anchora.llm.urls import op5_url_filters
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
