@@ -1,9 +1,9 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's shingles fall into chunks by hash, and each flips one bit of its chunk. Two sets whose symmetric
-difference has fewer elements than there are chunks agree in a whole chunk, and the Hamming distance of their sketches
-is a lower bound of that difference. So documents of one size band meet on (band, chunk, bits), and only what the
-bound lets through is compared shingle by shingle."""
+A document's shingles fall into chunks by hash, and each flips one bit of its chunk: the Hamming distance of two
+sketches is a lower bound of the sets' symmetric difference. Similar sets differ in fewer elements than there are
+chunks, so they agree in whole chunks; documents of one size band meet on (band, chunk, XOR of the chunk's hashes), and
+only what the bound lets through is compared shingle by shingle."""
 
 from __future__ import annotations
 
@@ -27,11 +27,14 @@ def band_tops(threshold: int, largest: int = 1 << 40) -> list[int]:
     return tops
 
 
-def chunk_count(top: int, threshold: int) -> int:
-    """One chunk more than elements can differ between similar sets of at most ``top``.
+def chunk_count(top: int, threshold: int) -> tuple[int, int]:
+    """(chunks, chunks in which similar sets of at most ``top`` elements agree at least).
 
-    J >= t/100 means that the difference is at most (a + b) * (100 - t) / (100 + t)."""
-    return 2 * top * (100 - threshold) // (100 + threshold) + 1
+    J >= t/100 means that the difference is at most (a + b) * (100 - t) / (100 + t). A few chunks more than that allow
+    to leave out empty chunks, which say nothing, where a set has fewer of them than agreeing chunks."""
+    most = 2 * top * (100 - threshold) // (100 + threshold)
+    more = 1 + (max(1, most // 8) if most else 0)
+    return most + more, more
 
 
 def shingles(offsets: np.ndarray, buf: np.ndarray, width: int) -> list[np.ndarray]:
@@ -59,11 +62,19 @@ def shingles(offsets: np.ndarray, buf: np.ndarray, width: int) -> list[np.ndarra
     return out
 
 
-def parity_sketch(hashes: np.ndarray, chunks: int) -> np.ndarray:
-    """One 64-bit parity word for each chunk."""
-    sketch = np.zeros(chunks, np.uint64)
-    np.bitwise_xor.at(sketch, ((hashes >> np.uint64(20)) % np.uint64(chunks)).astype(np.int64), np.uint64(1) << (hashes & np.uint64(63)))
-    return sketch
+def parity_sketch(hashes: np.ndarray, top: int, threshold: int, band: int) -> tuple[bytes, bytes]:
+    """(sketch of 8 bits for each chunk, join keys of the chunks)."""
+    chunks, agree = chunk_count(top, threshold)
+    chunk = ((hashes >> np.uint64(20)) % np.uint64(chunks)).astype(np.int64)
+    bits, xor = np.zeros(chunks, np.uint8), np.zeros(chunks, np.uint64)
+    np.bitwise_xor.at(bits, chunk, np.uint8(1) << (hashes & np.uint64(7)).astype(np.uint8))
+    np.bitwise_xor.at(xor, chunk, mix(hashes))
+    place = np.arange(chunks, dtype=np.uint64) * np.uint64(4096) + np.uint64(band)
+    keys = mix(xor + place * np.uint64(0x9E3779B97F4A7C15))
+    empty = np.bincount(chunk, minlength=chunks) == 0
+    if empty.sum() < agree:
+        keys = keys[~empty]
+    return bits.tobytes(), keys.tobytes()
 
 
 def _sketch_rows(width: int, threshold: int):
@@ -76,40 +87,35 @@ def _sketch_rows(width: int, threshold: int):
                 sets = shingles(offsets, buf, width)
                 xor = [int(np.bitwise_xor.reduce(s)) if len(s) else 0 for s in sets]
                 added = [int(mix(s).sum(dtype=np.uint64)) for s in sets]
-                bands, own, up = [], [], []
-                for s in sets:
-                    band = int(np.searchsorted(tops, len(s)))
-                    bands.append(band)
-                    own.append(parity_sketch(s, chunk_count(int(tops[band]), threshold)).tobytes() if len(s) else None)
-                    reaches = len(s) and 100 * len(s) >= threshold * (int(tops[band]) + 1)
-                    up.append(parity_sketch(s, chunk_count(int(tops[band + 1]), threshold)).tobytes() if reaches else None)
+                own, up = [], []
+                for x in sets:
+                    band = int(np.searchsorted(tops, len(x)))
+                    own.append(parity_sketch(x, int(tops[band]), threshold, band) if len(x) else (None, None))
+                    reaches = len(x) and 100 * len(x) >= threshold * (int(tops[band]) + 1)
+                    up.append(parity_sketch(x, int(tops[band + 1]), threshold, band + 1) if reaches else (None, None))
                 signed = lambda x: pa.array(np.array(x, np.uint64).astype(np.int64))
+                packed = [pa.array([x[k] for x in part], pa.binary()) for part in (own, up) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), signed(xor), signed(added), pa.array(bands, pa.int32()), pa.array(own, pa.binary()), pa.array(up, pa.binary())],
-                    ["doc_id", "n", "xor", "added", "band", "own", "up"],
+                    [ids.slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), signed(xor), signed(added), *packed], ["doc_id", "n", "xor", "added", "own", "own_keys", "up", "up_keys"]
                 )
 
     return run
 
 
-SKETCHES = "doc_id long, n long, xor long, added long, band int, own binary, up binary"
+SKETCHES = "doc_id long, n long, xor long, added long, own binary, own_keys binary, up binary, up_keys binary"
 
 
 def _key_rows(batches):
-    """(key, id, n, blank) for each chunk of each sketch."""
+    """(key, id) for each chunk."""
     for batch in batches:
-        keys, ids, sizes, blank = [], [], [], []
-        for i, n, band, *sketches in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "band", "own", "up")), strict=True):
-            for step, data in enumerate(sketches):
+        keys, ids = [], []
+        for i, *packed in zip(*(batch.column(c).to_pylist() for c in ("id", "own_keys", "up_keys")), strict=True):
+            for data in packed:
                 if data:
-                    bits = np.frombuffer(data, np.uint64)
-                    place = np.arange(len(bits), dtype=np.uint64) * np.uint64(4096) + np.uint64(band + step)
-                    keys.append(mix(mix(bits) + place * np.uint64(0x9E3779B97F4A7C15)))
-                    ids.append(np.full(len(bits), i))
-                    sizes.append(np.full(len(bits), n))
-                    blank.append(bits == 0)
+                    keys.append(np.frombuffer(data, np.int64))
+                    ids.append(np.full(len(keys[-1]), i, np.int64))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(blank))], ["key", "id", "n", "blank"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
 
 
 def _whole(batches, names):
@@ -127,33 +133,29 @@ def _whole(batches, names):
 
 def _shared_keys(batches):
     """Rows of the keys that two or more ids have."""
-    found = _whole(batches, ("key", "id", "n", "blank"))
+    found = _whole(batches, ("key", "id"))
     if found:
         columns, lo, hi = found
         inside = np.zeros(len(columns[0]) + 1, np.int64)
         np.add.at(inside, lo, 1)
         np.add.at(inside, hi, -1)
         keep = np.cumsum(inside[:-1]) > 0
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "id", "n", "blank"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "id"])
 
 
-def _star_pairs(turn: int, threshold: int):
+def _star_pairs(turn: int):
     """From each key group with several labels: its pivot of this turn with each member of another label."""
 
     def run(batches):
-        found = _whole(batches, ("key", "id", "n", "blank", "label"))
+        found = _whole(batches, ("key", "id", "label"))
         if not found:
             return
-        (_, ids, sizes, blank, labels), los, his = found
+        (_, ids, labels), los, his = found
         order = mix(ids.astype(np.uint64) + np.uint64(turn * 7919)) if turn else ids
         a, b = [], []
         for lo, hi in zip(los.tolist(), his.tolist(), strict=True):
-            if blank[lo]:
-                continue
             pivot = lo + int(np.argmin(order[lo:hi]))
             other = np.flatnonzero(labels[lo:hi] != labels[pivot]) + lo
-            n = sizes[pivot]
-            other = other[(100 * np.minimum(sizes[other], n)) >= threshold * np.maximum(sizes[other], n)]
             a.append(np.minimum(ids[other], ids[pivot]))
             b.append(np.maximum(ids[other], ids[pivot]))
         if a:
@@ -180,7 +182,7 @@ def _bounded_pairs(threshold: int, block: int = 512):
             ids, sizes, labels = (np.array([r[k] for r in group], np.int64) for k in (1, 2, 3))
             if (labels == labels[0]).all():
                 continue
-            bits = np.stack([np.frombuffer(r[4], np.uint64) for r in group])
+            bits = np.stack([np.frombuffer(r[4], np.uint8) for r in group])
             for x in range(len(group)):
                 for y in range(x + 1, len(group), block):
                     z = slice(y, min(y + block, len(group)))
@@ -234,10 +236,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, star_t
     the sketches' distance allows, so no link between different components is lost. Repeated rows stay; an empty table
     gives none; other columns are ignored."""
     sketches = written(docs.select("doc_id", "text").mapInArrow(_sketch_rows(width, threshold), SKETCHES))
-    classes = sketches.where("n > 0").groupBy("n", "xor", "added").agg(F.min(F.struct("doc_id", "band", "own", "up")).alias("r"))
-    reps = written(classes.select(F.col("r.doc_id").alias("id"), "n", "xor", "added", "r.band", "r.own", "r.up"))
-    keys = reps.select("id", "n", "band", "own", "up").mapInArrow(_key_rows, "key long, id long, n long, blank boolean")
-    shared = written(keys.repartition("key").mapInArrow(_shared_keys, "key long, id long, n long, blank boolean"))
+    packed = ["own", "own_keys", "up", "up_keys"]
+    classes = sketches.where("n > 0").groupBy("n", "xor", "added").agg(F.min(F.struct("doc_id", *packed)).alias("r"))
+    reps = written(classes.select(F.col("r.doc_id").alias("id"), "n", "xor", "added", *(f"r.{c}" for c in packed)))
+    keys = reps.select("id", "own_keys", "up_keys").mapInArrow(_key_rows, "key long, id long")
+    shared = written(keys.repartition("key").mapInArrow(_shared_keys, "key long, id long"))
     wanted = shared.select("id").distinct()
     text = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
     hashes = written(text.mapInArrow(_shingle_rows(width), "id long, hashes binary"))
@@ -255,10 +258,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, star_t
     for turn in range(star_turns + 1):
         if turn < star_turns:
             rows = labelled(shared) if turn == 0 else unresolved()
-            pairs = rows.select("key", "id", "n", "blank", "label").repartition("key").mapInArrow(_star_pairs(turn, threshold), "a long, b long")
+            pairs = rows.select("key", "id", "label").repartition("key").mapInArrow(_star_pairs(turn), "a long, b long")
         else:
-            rows = written(unresolved().select("key", "id", "n", "label"))
-            bits = reps.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.array("own", "up")).alias("bits")).where("bits is not null")
+            rows = written(unresolved().select("key", "id", "label"))
+            bits = reps.join(rows.select("id").distinct(), "id", "left_semi").select("id", "n", F.explode(F.array("own", "up")).alias("bits")).where("bits is not null")
             pairs = rows.join(bits, "id").select("key", "id", "n", "label", "bits").repartition("key").mapInArrow(_bounded_pairs(threshold), "a long, b long")
         new = _verified(pairs, hashes, threshold)
         fresh = written(new)
