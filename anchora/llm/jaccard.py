@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchora.llm.base import LOWER, Rolling, mix, text_parts, word_ranges, written
+from anchora.llm.base import LOWER, Rolling, mix, semi_by_id, text_parts, word_ranges, written
 from anchora.plans.components import components
 
 #: Size bands grow by this factor; the similarity asked for is in hundredths.
@@ -276,5 +276,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, star_t
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def keep_one_of_each(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` with the document of the least doc_id of each near-duplicate group; repeated rows count as copies.
+
+    Texts without words form no groups."""
+    found = near_duplicates(docs, width, threshold).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return semi_by_id(docs, found).dropDuplicates(["doc_id", "text"])
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, threshold=90)

@@ -119,6 +119,16 @@ def identify_language(docs: DataFrame, samples: DataFrame) -> DataFrame:
     return found.withColumns({"lang_pred": F.col("_found.lang"), "score": F.col("_found.score")}).drop("_found")
 
 
+def keep_known_languages(docs: DataFrame, samples: DataFrame, min_score: float = 0.2) -> DataFrame:
+    """``docs`` without texts that have no letter, or are far from every language of ``samples``; columns stay.
+
+    Without any samples there is nothing to reject by but the missing letters."""
+    profiles = train_profiles(samples)
+    if not profiles:
+        return docs.where(F.coalesce("text", F.lit("")).rlike(r"\p{L}"))
+    return docs.where(predict_language(F.col("text"), profiles)["score"] >= min_score)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify_language(docs.select("doc_id", "text"), docs.where(fold(F.col("doc_id"), 5) != 0))

@@ -79,29 +79,31 @@ def markov_table(samples: DataFrame) -> list[float]:
     return [math.log(counts[1][p] / sums[1][p // WIDTH]) - math.log(counts[0][p] / sums[0][p // WIDTH]) for p in range(WIDTH * WIDTH)]
 
 
-def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 1.0, min_value: int = 8) -> DataFrame:
+def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 1.0, min_value: int = 8, keep: bool = False) -> DataFrame:
     """All secrets of each text: doc_id, text (null: empty), base (array of spans) and spans (with the Markov ones).
 
     base: assign, access and hex matches. Markov: runs of 16 or more identifier characters with a digit whose mean
     log-likelihood ratio, random over ordinary, is above ``threshold``, outside base spans. Spans are ordered by start,
     then kind. Rows of ``docs`` stay one to one, repeats included; an empty table gives none; a text without matches
-    has empty arrays; other columns are ignored."""
+    has empty arrays; other columns are ignored, or come in a struct ``kept`` where ``keep`` asks for them."""
+    kept = [F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("kept")] if keep else []
+    also = ["kept"] * keep
     table = markov_table(labelled_samples(docs) if samples is None else samples)
-    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *kept)
     text = F.col("text")
     base = F.concat(
         spans_of(text, ASSIGN, "assign", accept=lambda v: F.length(v) >= min_value),
         spans_of(text, ACCESS, "access"),
         spans_of(text, HEX, "hex"),
     )
-    d = d.select("doc_id", "text", F.sort_array(base).alias("base"), spans_of(text, TOKEN, "markov").alias("tokens"))
+    d = d.select("doc_id", "text", F.sort_array(base).alias("base"), spans_of(text, TOKEN, "markov").alias("tokens"), *also)
     free = F.filter("tokens", lambda t: t["value"].rlike("[0-9]") & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    d = d.select("doc_id", "text", "base", free.alias("free"))
+    d = d.select("doc_id", "text", "base", free.alias("free"), *also)
     literal = "cast(split('" + ",".join(f"{x:.5f}" for x in table) + "', ',') as array<double>)"
     judged = F.expr(
         f"filter(free, t -> aggregate({_pairs('t.value')}, cast(0 as double), (a, p) -> a + get({literal}, p)) / greatest(length(t.value) - 1, 1) > {threshold:f})"
     )
-    return d.select("doc_id", "text", "base", F.sort_array(F.concat("base", judged)).alias("spans"))
+    return d.select("doc_id", "text", "base", F.sort_array(F.concat("base", judged)).alias("spans"), *also)
 
 
 def span_text(spans: str) -> Column:
@@ -121,6 +123,18 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
 
 
+def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every secret in their texts masked, and n_chars (where they have it) set anew for changed texts.
+
+    Rows and columns stay; a null text stays null."""
+    found = F.size("spans") > 0
+    scanned = scan_secrets(docs, keep=True).withColumn("masked", F.when(found, redacted(F.col("text"), F.col("spans"), mask)))
+    new = {"text": F.coalesce("masked", "kept.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.coalesce(F.length("masked").cast(docs.schema["n_chars"].dataType), F.col("kept.n_chars"))
+    return scanned.select(*(new.get(n, F.col(f"kept.`{n}`")).alias(n) for n in docs.columns))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
