@@ -73,9 +73,9 @@ def find_claims_batch(claims: DataFrame, queries: DataFrame, limit_per_query: in
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """(batch_id, q_ord, claim_id, score, rank): the ``k`` most similar unit vectors of each query vector.
 
-    Query vectors are taken to the executors in blocks of fixed size; every Arrow batch keeps its own best ``k`` rows, so
+    Queries without a vector find nothing. Query vectors are taken to the executors in blocks of fixed size; every Arrow batch keeps its own best ``k`` rows, so
     what is shuffled is k rows for each query and batch. Ties go by claim_id."""
-    rows = queries.select("batch_id", "q_ord", "vec").orderBy("batch_id", "q_ord")
+    rows = queries.where("vec is not null").select("batch_id", "q_ord", "vec").orderBy("batch_id", "q_ord")
     parts = []
     pending: list = []
 
