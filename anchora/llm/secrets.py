@@ -11,7 +11,7 @@ HEX = r"[0-9a-f]{32,}"
 #: What the Markov models judge: long runs of identifier characters.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 #: What counts as an ordinary identifier: a long run of letters, or a number standing alone.
-ORDINARY = r"[A-Za-z_-]{12,}|(?<![A-Za-z0-9])[0-9-]{6,}(?![A-Za-z0-9])"
+ORDINARY = r"[A-Za-z_-]{8,}|(?<![A-Za-z0-9])[0-9-]{6,}(?![A-Za-z0-9])"
 #: Characters that the models know, at their index; all others share one more index.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1
@@ -79,7 +79,7 @@ def markov_table(samples: DataFrame) -> list[float]:
     return [math.log(counts[1][p] / sums[1][p // WIDTH]) - math.log(counts[0][p] / sums[0][p // WIDTH]) for p in range(WIDTH * WIDTH)]
 
 
-def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 1.0, min_value: int = 8, keep: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 0.5, min_value: int = 8, keep: bool = False) -> DataFrame:
     """All secrets of each text: doc_id, text (null: empty), base (array of spans) and spans (with the Markov ones).
 
     base: assign, access and hex matches. Markov: runs of 16 or more identifier characters with a digit whose mean
