@@ -16,7 +16,7 @@ from anchora.llm.base import LOWER, Rolling, fold, mix, text_parts, word_ranges,
 #: Text bytes in a batch of documents and in a cell of n-grams, about.
 BATCH_BYTES, CELL_BYTES = 16 << 20, 16 << 20
 #: Every HELD_OUT-th batch supplies the held-out counts that the mixture weights are learnt on.
-HELD_OUT, EM_ROUNDS, STEPS = 8, 30, 4
+HELD_OUT, EM_ROUNDS, STEPS, PRIOR = 8, 30, 4, 20.0
 
 CELLS = "cell int, batch int, kind int, grams binary, counts binary"
 ANSWERS = "batch int, cell int, kind int, counts binary, total long, distinct long"
@@ -156,13 +156,20 @@ def learn_weights(rows: list[tuple[int, int]], v: int, rounds: int = EM_ROUNDS,
     value = lambda g: np.where(g > 0, 2.0 ** (-(g - 1) / STEPS), 0.0)
     bucket = keys >> 20
     p = np.stack([value((keys >> 10) & 1023), value(keys & 1023), np.full(len(keys), 1.0 / (v + 1))], axis=1)
-    weights = np.tile([0.4, 0.5, 0.1], (buckets, 1))
+    # all contexts together first; then each bucket, which starts from that and is held to it by PRIOR tokens
+    whole = _maximise(np.zeros(len(keys), np.int64), p, n, np.array([[0.4, 0.5, 0.1]]), rounds, 0.0)
+    weights = _maximise(bucket, p, n, np.tile(whole, (buckets, 1)), rounds, PRIOR)
+    weights[0] = [0.0, *(weights[0, 1:] / weights[0, 1:].sum())]
+    return weights
+
+
+def _maximise(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, weights: np.ndarray, rounds: int, prior: float) -> np.ndarray:
+    start = weights
     for _ in range(rounds):
         share = weights[bucket] * p
         share *= (n / share.sum(axis=1))[:, None]
-        sums = np.stack([np.bincount(bucket, weights=share[:, k], minlength=buckets) for k in range(3)], axis=1) + 1e-3
+        sums = np.stack([np.bincount(bucket, weights=share[:, k], minlength=len(start)) for k in range(3)], axis=1) + prior * start + 1e-3
         weights = sums / sums.sum(axis=1, keepdims=True)
-    weights[0] = [0.0, *(weights[0, 1:] / weights[0, 1:].sum())]
     return weights
 
 
