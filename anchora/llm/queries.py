@@ -8,7 +8,7 @@ from anchora.llm.langid import op8_language_id
 from anchora.llm.lm import op9_lm_scoring
 from anchora.llm.packing import op3_best_fit_packing
 from anchora.llm.quality import op1_quality_classifier
-from anchora.llm.rules import op6_quality_rules
+from anchora.llm.rules import BOILERPLATE, op6_quality_rules
 from anchora.llm.secrets import op2_secret_scans
 from anchora.llm.suffix import op10_suffix_dedup
 from anchora.llm.urls import op5_url_filters
@@ -26,4 +26,32 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_FAULTS = """(sym > 0 AND spaces + 1 >= 4 AND sym / greatest(length(line) - spaces, 1) > 0.15) OR (bars >= 3 AND bars * 5 > spaces + 1)
+  OR (length(line) >= 20 AND upper(line) = line AND lower(line) <> line) OR """ + " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
+
+_RULES_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w) x),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM win) y WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) z GROUP BY doc_id),
+lines AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line),
+judged AS (SELECT *, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS solid, length(line) - length(regexp_replace(line, '[ \t]', '', 'g')) AS spaces,
+  length(line) - length(regexp_replace(line, '[#*$%&|<>~^=_+{{}}\[\]\\]', '', 'g')) AS sym, length(line) - length(regexp_replace(line, '[|»›•·]', '', 'g')) AS bars FROM lines),
+kept_lines AS (SELECT doc_id, sum(n - 1) AS dups, sum(CASE WHEN {_FAULTS} THEN 0 ELSE solid END) AS solid FROM judged GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  CAST(coalesce(dups, 0) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(solid, 0) AS solid FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN kept_lines USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN word_chars = 0 THEN 0.0 ELSE 1 - solid / word_chars END AS lost FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept, lost FROM f"""
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w) x
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) IN (1, 2)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * both_have >= 90 * (a.n + b.n - both_have)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT r.x AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _RULES_SQL, "op7_jaccard_join": _JACCARD_SQL}
