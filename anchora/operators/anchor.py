@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchora.functions.ids import claim_id
-from anchora.functions.text import bracket_repair, normalise_concepts, squeeze
+from anchora.functions.text import bracket_repair, clamp_score, normalise_concepts, squeeze
 
 #: Closed vocabularies of a claim (fixed values).
 PREDICATES = ("is", "causes", "expresses", "requires", "contrasts_with", "makes", "creates", "undoes", "other")
@@ -98,6 +98,20 @@ def parse_verdict_replies(replies: DataFrame) -> DataFrame:
     return rows.select("key", *(F.try_variant_get("c", f"$.{f}", t).alias(f) for f, t in (("left", "string"), ("right", "string"), ("same", "boolean"))))
 
 
+def parse_judge_replies(replies: DataFrame) -> DataFrame:
+    """(key, criterion, score, failure) of judge replies {"scores": {criterion: number}} (key, reply, error).
+
+    A provider's error and an unreadable reply are kept apart; a value that is no number has no score."""
+    v = F.try_parse_json(F.col("reply"))
+    scores = F.try_variant_get(v, "$.scores", "map<string,variant>")
+    failure = F.when(F.col("error").isNotNull(), "provider").when(scores.isNull(), "parse")
+    r = replies.select("key", failure.alias("failure"), scores.alias("scores"))
+    read = r.where("failure is null").select("key", F.explode("scores").alias("criterion", "raw"))
+    read = read.select("key", "criterion", clamp_score(F.col("raw")).alias("score"))
+    read = read.withColumn("failure", F.when(F.col("score").isNull(), "unscored"))
+    return read.unionByName(r.where("failure is not null").select("key", "failure"), allowMissingColumns=True)
+
+
 def reanchor(claims: DataFrame, mapping: DataFrame, sources: DataFrame) -> DataFrame:
     """Claims moved to their new source ids (mapping: source_id, new_id), their stored quotes anchored again."""
     moved = claims.drop("evidence_start", "evidence_end").join(mapping, "source_id", "left").withColumn("source_id", F.coalesce("new_id", "source_id")).drop("new_id")

@@ -134,6 +134,25 @@ def unique_partition(spans: DataFrame, markers: DataFrame) -> DataFrame:
     return answers.select("answer_id").join(n, "answer_id", "left").select("answer_id", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.when(F.col("n_valid") == 1, F.col("taken")).alias("taken"))
 
 
+def grounding_scores(spans: DataFrame, markers: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(answer_id, score, failure): the share of supported assertions (verdicts: answer_id, assertion, supported) where
+    the assertions' spans split the markers in just one way, else incomplete."""
+    ways = unique_partition(spans, markers)
+    share = verdicts.groupBy("answer_id").agg(F.avg(F.col("supported").cast("double")).alias("_share"))
+    whole = F.col("n_valid") == 1
+    return ways.join(share, "answer_id", "left").select("answer_id", F.when(whole, F.col("_share")).alias("score"), F.when(~whole, "incomplete").alias("failure"))
+
+
+def draft_labels(results: DataFrame) -> DataFrame:
+    """Judge results as draft human verdicts."""
+    return results.withColumn("human", F.when(F.col("status") == "not_evaluated", "not_applicable").otherwise(F.col("status")))
+
+
+def layer_coverage(layers: DataFrame) -> DataFrame:
+    """(layer, authored, total)."""
+    return layers.groupBy("layer").agg(F.sum((F.col("status") == "authored").cast("long")).alias("authored"), F.count("*").alias("total"))
+
+
 def first_appearance(rows: DataFrame, group: str, key: str, position: str) -> DataFrame:
     """Ordinals from 1 of the distinct keys of a group by where each is first seen."""
     first = rows.groupBy(group, key).agg(F.min(position).alias("first"))
