@@ -123,7 +123,7 @@ def assign_entries(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     read alike, then most are paired.
 
     Each gold variant is matched by itself with the shared entries. Overlaps that meet no other overlap are settled by
-    the join; only contested components go to a group each. Descriptions come second, as their targets must be paired."""
+    the join; only contested components are solved by themselves. Descriptions come second, as their targets must be paired."""
     variants = gold.select("source_id", "variant_id").where("variant_id is not null").distinct()
     whole = gold.select("source_id").distinct().join(variants, "source_id", "left").withColumn("variant_id", F.coalesce("variant_id", F.lit("only")))
     g = gold.withColumnRenamed("variant_id", "_v").join(whole, "source_id").where("_v is null or _v = variant_id").drop("_v")
@@ -149,16 +149,28 @@ def _settle(edges: DataFrame) -> DataFrame:
     named = named.join(labels.select(F.col("id").alias("u"), "label"), "u").drop("u", "v")
     sized = named.withColumn("_n", F.count("*").over(W.partitionBy("label")))
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pred", "gold"], ignore_index=True)
-        left, right = pd.factorize(pdf["pred"])[0], pd.factorize(pdf["gold"])[0]
-        bonus = min(left.max(), right.max()) + 2
-        pairs = set(best_matching([(int(a), int(b), 1 + int(bonus) * bool(w)) for a, b, w in zip(left, right, pdf["alike"], strict=True)]))
-        return pdf[[(int(a), int(b)) in pairs for a, b in zip(left, right, strict=True)]]
+    def match(rows: list[tuple]) -> list[tuple]:
+        left, right = ({x: k for k, x in enumerate(sorted({r[c] for r in rows}))} for c in (3, 4))
+        bonus = min(len(left), len(right)) + 1
+        pairs = set(best_matching([(left[r[3]], right[r[4]], 1 + bonus * bool(r[5])) for r in rows]))
+        return [r for r in rows if (left[r[3]], right[r[4]]) in pairs]
+
+    def solve(frames):
+        """Components one after the other, as their rows stand together; one may go on in the next batch."""
+        rows: list[tuple] = []
+        for frame in frames:
+            done: list[tuple] = []
+            for r in frame.itertuples(index=False, name=None):
+                if rows and rows[0][6] != r[6]:
+                    done += match(rows)
+                    rows = []
+                rows.append(r)
+            yield pd.DataFrame(done, columns=columns)
+        yield pd.DataFrame(match(rows) if rows else [], columns=columns)
 
     columns = ["source_id", "variant_id", "kind", "pred", "gold", "alike", "label"]
     contested = sized.where("_n > 1").select(*columns)
-    solved = contested.groupBy("label").applyInPandas(match, contested.schema)
+    solved = contested.repartition("label").sortWithinPartitions("label").mapInPandas(solve, contested.schema)
     return sized.where("_n = 1").select(*columns).union(solved).drop("label")
 
 

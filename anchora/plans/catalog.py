@@ -658,3 +658,78 @@ def classify_failures(spark, sf_dir):
     a = audit.citation_audit(answers).withColumn("n", F.substring("case_id", 2, 20).cast("long"))
     rows = lambda d, c: d.select("case_id", F.explode(c).alias("claim_id"))
     return audit.classify_failures(rows(a, "gathered"), rows(a.where("n % 2 = 0"), "gathered"), rows(a, "cited"), rows(a.where("n % 3 = 0"), "gathered"))
+
+
+_ASKS = "asks AS (SELECT p_partkey AS k, p_name, CASE p_partkey % 4 WHEN 0 THEN 'How does the ' || p_name || ' think?' WHEN 1 THEN 'Well. What is the Mind of ' || p_name || '?' WHEN 2 THEN 'What is a ' || p_name || '?' ELSE 'What is the corpus all about?' END AS question FROM {part})"
+
+
+@registered(
+    "WITH " + _ASKS.format(part="part") + " SELECT k, CASE k % 4 WHEN 0 THEN 'the ' || p_name WHEN 1 THEN p_name END AS target, CASE k % 4 WHEN 0 THEN 'how-does: think' WHEN 1 THEN 'aspect-of: mind' END AS reason, "
+    "CASE k % 4 WHEN 2 THEN lower(p_name) || ', color' WHEN 3 THEN 'corpus, color' ELSE 'color' END AS queries FROM asks"
+)
+def question_probes(spark, sf_dir):
+    asks = spark.sql("WITH " + _ASKS + " SELECT k, question FROM asks", part=_table(spark, sf_dir, "part"))
+    probe = text.relational_probe(F.col("question"))
+    seeds = text.seed_queries(F.col("question"), F.array(F.lit("color"), F.lit(" The  Color")), ("the corpus", "this corpus"), "corpus", ("author", "year"))
+    return asks.select("k", probe["target"].alias("target"), probe["reason"].alias("reason"), F.array_join(seeds, ", ").alias("queries"))
+
+
+@registered(
+    bind.ctes("claims") + " SELECT claim_id, substr(sha256(source_id || chr(0) || kind || chr(0) || verb_phrase || chr(0) || 'literal' || chr(0) || 'resolved' || chr(0) || CASE WHEN kind = 'occurrence' THEN chr(3) || subject || chr(0) || coalesce(chr(3) || object, chr(2)) "
+    "ELSE chr(3) || subject || chr(1) || predicate || chr(1) || coalesce(chr(3) || object, chr(2)) || chr(1) || polarity || chr(1) || mode || chr(1) || attribution || chr(0) || chr(3) || mode END), 1, 16) AS annotation_id "
+    "FROM (SELECT *, CASE WHEN ord % 2 = 0 THEN 'occurrence' ELSE 'requirement' END AS kind FROM claims) k"
+)
+def annotation_ids(spark, sf_dir):
+    """Each claim read as an occurrence of its subject, or as a requirement of its own proposition."""
+    none = F.lit(None).cast("string")
+    sig = F.struct("subject", "predicate", "object", "polarity", "mode", "attribution")
+    c = bind.claims(spark, sf_dir).withColumn("kind", F.when(F.col("ord") % 2 == 0, "occurrence").otherwise("requirement"))
+    entry = F.struct(
+        "source_id", "kind", F.col("verb_phrase").alias("evidence"), F.lit("literal").alias("support"), F.lit("resolved").alias("resolution"), none.alias("condition_text"), F.col("object").alias("scope"),
+        F.when(F.lit(False), sig).alias("attaches_to"), none.alias("mention"), none.alias("referent"), F.col("subject").alias("base_concept"), sig.alias("reframed_proposition"), F.col("mode").alias("reframed_mode"),
+        none.alias("description_text"), none.alias("describes"),
+    )
+    return c.select("claim_id", entry.alias("e")).select("claim_id", ids.annotation_id(F.col("e")).alias("annotation_id"))
+
+
+@registered(
+    "SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN 'not_evaluated' WHEN event_type = 'error' THEN 'unavailable' WHEN value >= 6 THEN 'pass' ELSE 'fail' END AS status FROM events"
+)
+def premature_abstention(spark, sf_dir):
+    reality, fits = F.when(F.col("user_id") % 3 == 0, "sufficient").otherwise("partial"), F.when(F.col("event_type") != "error", F.col("value") / 10)
+    e = _table(spark, sf_dir, "events").select("event_id", reality.alias("corpus_reality"), fits.alias("score"))
+    return audit.premature_abstention(e).select("event_id", "status")
+
+
+@registered("SELECT event_type AS name, round(avg(value), 6) AS mean_score FROM events WHERE user_id % 2 = 0 GROUP BY 1")
+def advisory_means(spark, sf_dir):
+    kind = F.when(F.col("user_id") % 2 == 0, "advisory").otherwise("gating")
+    e = _table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), kind.alias("kind"), F.col("value").alias("score"))
+    return audit.advisory_means(e).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@registered(
+    bind.ctes("claims") + " SELECT c.source_id, c.claim_id AS fixture_id, CASE WHEN c.ord % 2 = 0 THEN 'tune' ELSE 'held' END AS split, p.claim_id AS origin, CASE WHEN p.ord % 2 = 0 THEN 'tune' ELSE 'held' END AS origin_split FROM claims c JOIN claims p ON p.ord = c.ord - 1 AND p.source_id = c.source_id"
+)
+def split_leakage(spark, sf_dir):
+    """Every claim derived from the one before it in its order, the splits taking turns."""
+    c = bind.claims(spark, sf_dir)
+    f = c.select(F.col("claim_id").alias("fixture_id"), F.when(F.col("ord") % 2 == 0, "tune").otherwise("held").alias("split"), F.when(F.col("ord") % 1000 > 1, F.concat(F.lit("c"), (F.col("ord") - 1).cast("string"))).alias("derived_from"))
+    return audit.split_leakage(f).join(c.select(F.col("claim_id").alias("fixture_id"), "source_id"), "fixture_id")
+
+
+@registered()
+def derived_fidelity(spark, sf_dir):
+    """Claims read as occurrences of their subjects; predictions drop some and shift others. The assignment has no SQL; tests hold it against all permutations."""
+    from anchora.operators import derived
+
+    c = bind.claims(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    sig = F.when(F.lit(False), F.struct("subject", "predicate", "object", "polarity", "mode", "attribution"))
+    entry = lambda d, mark, variant: d.select(
+        "source_id", variant.alias("variant_id"), F.concat(F.lit(mark), F.col("claim_id")).alias("annotation_id"), F.lit("occurrence").alias("kind"), F.col("verb_phrase").alias("evidence"), F.lit("literal").alias("support"),
+        F.lit("resolved").alias("resolution"), none.alias("condition_text"), none.alias("scope"), sig.alias("attaches_to"), none.alias("mention"), none.alias("referent"), F.col("subject").alias("base_concept"),
+        sig.alias("reframed_proposition"), none.alias("reframed_mode"), none.alias("description_text"), none.alias("describes"), F.col("evidence_start").alias("start"), F.col("evidence_end").alias("end"),
+    )
+    gold = entry(c, "g", F.when(F.col("ord") % 4 == 0, F.lit("b")).when(F.col("ord") % 4 == 1, F.lit("a")))
+    return derived.fidelity(entry(c.where("ord % 5 <> 2"), "p", none), gold)
