@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -15,7 +18,7 @@ from pyspark.sql import types as T
 from anchora.llm.base import written
 
 VOCABULARY, LIMIT, END_ID = "word_bpe_49k.json", 2048, 0
-#: Words whose ids a worker keeps; beyond that it starts anew.
+#: Words in one generation of a worker's cache.
 CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -28,43 +31,107 @@ def vocabulary_path() -> str:
 
 
 def _split(text: str) -> list[str]:
-    """Split at Unicode white space, as the vocabulary's pattern has it; str.split() also takes the four separators."""
+    """Split at Unicode white space, as the vocabulary's pattern has it; str.split() also takes the four separators.
+
+    Latin-1 texts are lower-cased first, as the vocabulary does itself, so that fewer spellings are met."""
+    try:
+        text.encode("latin-1")
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
     if any(c in text for c in "\x1c\x1d\x1e\x1f"):
         return re.findall(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", text)
     return text.split()
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(65)]
+
+
+class _Ids:
+    """Little-endian ids of words. Recently used words are kept in two generations, so memory is bounded.
+
+    A lower-case word of letters and the plain punctuation after it are two pieces to the vocabulary's pattern, so each
+    is looked up once for all words that share it; other words are encoded whole."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        #: The same without what leaves lower-case composed letters as they are.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {"": b""}
+
+    def _encode(self, words: list[str], tokenizer, into: dict[str, bytes]) -> None:
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids = e.ids
+                into[w] = _PACK[len(ids)](*ids) if len(ids) < 65 else struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, docs: list[list[str]]) -> dict[str, bytes]:
+        """A table that has every word of ``docs``."""
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        if len(self.stems) > 2 * CACHE_WORDS:
+            self.stems = {"": b""}
+        young, old, stems = self.young, self.old, self.stems
+        split, whole, letters, tails = [], [], set(), set()
+        for w in set().union(*docs).difference(young):
+            if w in old:
+                young[w] = old[w]
+                continue
+            stem = w.rstrip(".,;:!?")
+            if stem.isalpha() and stem.islower() and (stem.isascii() or max(stem) < "\u0100"):
+                tail = w[len(stem) :]
+                split.append((w, stem, tail))
+                if stem not in stems:
+                    letters.add(stem)
+                if tail not in stems:
+                    tails.add(tail)
+            else:
+                whole.append(w)
+        self._encode(list(letters), self.letters, stems)
+        self._encode(list(tails), self.tokenizer, stems)
+        self._encode(whole, self.tokenizer, young)
+        for w, stem, tail in split:
+            young[w] = stems[stem] + stems[tail]
+        return young
+
+
+_LOADED: dict[str, _Ids] = {}
+
+
 def _pieces_of(path: str, limit: int):
     """mapInArrow function: documents to pieces of at most ``limit`` ids.
 
     Normaliser and pre-tokeniser of the vocabulary look at no character across white space, so each run of other
-    characters is encoded once and its ids are reused."""
+    characters is encoded once and its ids are reused, also by later tasks of the same worker."""
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
+        if path not in _LOADED:
+            _LOADED[path] = _Ids(path)
+        ids_of = _LOADED[path]
+        gc.disable()  # words and their ids form no cycles, and there are too many to walk again and again
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            docs, texts = batch.column("doc_id"), batch.column("text")
             for lo in range(0, batch.num_rows, 256):
-                words = [_split(x or "") for x in texts[lo : lo + 256].to_pylist()]
-                new = list({w for doc in words for w in doc if w not in known})
-                if len(known) + len(new) > CACHE_WORDS:
-                    known.clear()
-                    new = list({w for doc in words for w in doc})
-                for at in range(0, len(new), 20_000):
-                    part = new[at : at + 20_000]
-                    for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                for k, doc in enumerate(words):
-                    data = b"".join([known[w] for w in doc]) + END_ID.to_bytes(4, "little")
+                words = [_split(x or "") for x in texts.slice(lo, 256).to_pylist()]
+                known = ids_of.learn(words)
+                out: list[list] = [[], [], [], [], []]
+                for doc, of_doc in zip(docs.slice(lo, 256).to_pylist(), words, strict=True):
+                    data = b"".join([known[w] for w in of_doc]) + END_ID.to_bytes(4, "little")
                     for piece, at in enumerate(range(0, len(data), 4 * limit)):
                         part = data[at : at + 4 * limit]
-                        for name, value in zip(out, (ids_of[lo + k], piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], list(out))
+                        for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            column.append(value)
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        gc.enable()
 
     return run
 
