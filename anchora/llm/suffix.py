@@ -98,6 +98,8 @@ def _windows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive window starts: (row, first, last)."""
+    if not len(row):
+        return row, start, start
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
     new = np.ones(len(row), bool)
