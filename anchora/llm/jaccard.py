@@ -17,6 +17,8 @@ from anchora.plans.components import components
 
 #: Size bands grow by this factor; the similarity asked for is in hundredths.
 BAND_GROWTH = 1.4
+#: Up to this many documents with shared keys, their ids (8 bytes each) are broadcast to pick their texts.
+BROADCAST_IDS = 200_000
 
 
 def band_tops(threshold: int, largest: int = 1 << 40) -> list[int]:
@@ -62,7 +64,7 @@ def shingles(offsets: np.ndarray, buf: np.ndarray, width: int) -> list[np.ndarra
     return out
 
 
-def parity_sketch(hashes: np.ndarray, top: int, threshold: int, band: int) -> tuple[bytes, bytes]:
+def parity_sketch(hashes: np.ndarray, top: int, threshold: int, band: int) -> tuple[bytes, np.ndarray]:
     """(sketch of 8 bits for each chunk, join keys of the chunks)."""
     chunks, agree = chunk_count(top, threshold)
     chunk = ((hashes >> np.uint64(20)) % np.uint64(chunks)).astype(np.int64)
@@ -74,10 +76,21 @@ def parity_sketch(hashes: np.ndarray, top: int, threshold: int, band: int) -> tu
     empty = np.bincount(chunk, minlength=chunks) == 0
     if empty.sum() < agree:
         keys = keys[~empty]
-    return bits.tobytes(), keys.tobytes()
+    return bits.tobytes(), keys
 
 
-def _sketch_rows(width: int, threshold: int):
+def _bands(hashes: np.ndarray, tops: np.ndarray, threshold: int):
+    """(sketch, keys) in the set's own band, and in the next one where a similar set can lie there."""
+    if not len(hashes):
+        return
+    band = int(np.searchsorted(tops, len(hashes)))
+    yield parity_sketch(hashes, int(tops[band]), threshold, band)
+    if 100 * len(hashes) >= threshold * (int(tops[band]) + 1):
+        yield parity_sketch(hashes, int(tops[band + 1]), threshold, band + 1)
+
+
+def _set_rows(width: int, threshold: int):
+    """What tells equal sets (their size, the XOR and the sum of their hashes), and their sketches."""
     tops = np.array(band_tops(threshold))
 
     def run(batches):
@@ -85,37 +98,34 @@ def _sketch_rows(width: int, threshold: int):
             ids = batch.column("doc_id")
             for first, offsets, buf in text_parts(batch.column("text")):
                 sets = shingles(offsets, buf, width)
-                xor = [int(np.bitwise_xor.reduce(s)) if len(s) else 0 for s in sets]
-                added = [int(mix(s).sum(dtype=np.uint64)) for s in sets]
-                own, up = [], []
-                for x in sets:
-                    band = int(np.searchsorted(tops, len(x)))
-                    own.append(parity_sketch(x, int(tops[band]), threshold, band) if len(x) else (None, None))
-                    reaches = len(x) and 100 * len(x) >= threshold * (int(tops[band]) + 1)
-                    up.append(parity_sketch(x, int(tops[band + 1]), threshold, band + 1) if reaches else (None, None))
-                signed = lambda x: pa.array(np.array(x, np.uint64).astype(np.int64))
-                packed = [pa.array([x[k] for x in part], pa.binary()) for part in (own, up) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), signed(xor), signed(added), *packed], ["doc_id", "n", "xor", "added", "own", "own_keys", "up", "up_keys"]
-                )
+                xor = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64)
+                added = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+                columns = [ids.slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array(xor.astype(np.int64)), pa.array(added.astype(np.int64))]
+                sketches = [[bits for bits, _ in _bands(x, tops, threshold)] for x in sets]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sketches, pa.list_(pa.binary()))], ["doc_id", "n", "xor", "added", "sketches"])
 
     return run
 
 
-SKETCHES = "doc_id long, n long, xor long, added long, own binary, own_keys binary, up binary, up_keys binary"
+def _key_rows(width: int, threshold: int):
+    """(key, id) for each chunk of each text."""
+    tops = np.array(band_tops(threshold))
 
+    def run(batches):
+        for batch in batches:
+            rows = batch.column("doc_id").to_pylist()
+            for first, offsets, buf in text_parts(batch.column("text")):
+                keys, ids = [], []
+                for k, x in enumerate(shingles(offsets, buf, width)):
+                    if rows[first + k] is None:
+                        continue
+                    for _, data in _bands(x, tops, threshold):
+                        keys.append(data)
+                        ids.append(np.full(len(data), rows[first + k], np.int64))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
 
-def _key_rows(batches):
-    """(key, id) for each chunk."""
-    for batch in batches:
-        keys, ids = [], []
-        for i, *packed in zip(*(batch.column(c).to_pylist() for c in ("id", "own_keys", "up_keys")), strict=True):
-            for data in packed:
-                if data:
-                    keys.append(np.frombuffer(data, np.int64))
-                    ids.append(np.full(len(keys[-1]), i, np.int64))
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+    return run
 
 
 def _whole(batches, names):
@@ -202,7 +212,21 @@ def _shingle_rows(width: int):
             ids = batch.column("doc_id")
             for first, offsets, buf in text_parts(batch.column("text")):
                 sets = shingles(offsets, buf, width)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "hashes"])
+
+    return run
+
+
+def _near_sketches(threshold: int):
+    """Pairs whose sketches of equal length are near enough for the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, m, left, right in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "left", "right")), strict=True):
+                far = [int(np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum()) for x in left for y in right if len(x) == len(y)]
+                keep.append(bool(far) and min(far) * (100 + threshold) <= (n + m) * (100 - threshold))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -220,8 +244,17 @@ def _check_pairs(threshold: int):
     return run
 
 
-def _verified(pairs: DataFrame, hashes: DataFrame, threshold: int) -> DataFrame:
-    left = pairs.distinct().join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a")
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """The pairs that are similar: first by their sketches, then, for what is left, shingle by shingle."""
+    slim = lambda i, n, s: sets.select(F.col("doc_id").alias(i), F.col("n").alias(n), F.col("sketches").alias(s))
+    drawn = pairs.distinct().join(slim("a", "n", "left"), "a").join(slim("b", "m", "right"), "b")
+    near = written(drawn.select("a", "b", "n", "m", "left", "right").mapInArrow(_near_sketches(threshold), "a long, b long").distinct())
+    wanted = written(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    text = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    hashes = written(text.mapInArrow(_shingle_rows(width), "id long, hashes binary"))
+    left = near.join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a")
     both = left.join(hashes.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b")
     return both.select("a", "b", "left", "right").mapInArrow(_check_pairs(threshold), "a long, b long")
 
@@ -235,15 +268,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, star_t
     Star turns link each key group to one member; the last turn proposes all pairs of still different components that
     the sketches' distance allows, so no link between different components is lost. Repeated rows stay; an empty table
     gives none; other columns are ignored."""
-    sketches = written(docs.select("doc_id", "text").mapInArrow(_sketch_rows(width, threshold), SKETCHES))
-    packed = ["own", "own_keys", "up", "up_keys"]
-    classes = sketches.where("n > 0").groupBy("n", "xor", "added").agg(F.min(F.struct("doc_id", *packed)).alias("r"))
-    reps = written(classes.select(F.col("r.doc_id").alias("id"), "n", "xor", "added", *(f"r.{c}" for c in packed)))
-    keys = reps.select("id", "own_keys", "up_keys").mapInArrow(_key_rows, "key long, id long")
-    shared = written(keys.repartition("key").mapInArrow(_shared_keys, "key long, id long"))
-    wanted = shared.select("id").distinct()
-    text = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    hashes = written(text.mapInArrow(_shingle_rows(width), "id long, hashes binary"))
+    d = docs.select("doc_id", "text")
+    sets = written(d.mapInArrow(_set_rows(width, threshold), "doc_id long, n long, xor long, added long, sketches array<binary>"))
+    reps = written(sets.where("n > 0").groupBy("n", "xor", "added").agg(F.min("doc_id").alias("id")))
+    keys = d.mapInArrow(_key_rows(width, threshold), "key long, id long").repartition("key")
+    shared = keys.mapInArrow(_shared_keys, "key long, id long").distinct().join(reps.select("id"), "id", "left_semi")
+    shared = written(shared.select("key", "id"))
+    several = shared.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y")
+    shared = written(shared.join(several.select("key"), "key", "left_semi"))
     links = labels = None
 
     def labelled(rows: DataFrame) -> DataFrame:
@@ -261,9 +293,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, star_t
             pairs = rows.select("key", "id", "label").repartition("key").mapInArrow(_star_pairs(turn), "a long, b long")
         else:
             rows = written(unresolved().select("key", "id", "label"))
-            bits = reps.join(rows.select("id").distinct(), "id", "left_semi").select("id", "n", F.explode(F.array("own", "up")).alias("bits")).where("bits is not null")
+            bits = sets.withColumnRenamed("doc_id", "id").join(rows.select("id").distinct(), "id", "left_semi").select("id", "n", F.explode("sketches").alias("bits"))
             pairs = rows.join(bits, "id").select("key", "id", "n", "label", "bits").repartition("key").mapInArrow(_bounded_pairs(threshold), "a long, b long")
-        new = _verified(pairs, hashes, threshold)
+        new = _verified(pairs, sets, d, width, threshold)
         fresh = written(new)
         if turn and fresh.isEmpty():
             if turn < star_turns:
@@ -272,7 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, star_t
         links = fresh if links is None else links.union(fresh)
         labels = written(components(links))
     of_class = reps.select("n", "xor", "added", "id").join(labels, "id", "left").select("n", "xor", "added", F.coalesce("label", "id").alias("component"))
-    out = sketches.select("doc_id", "n", "xor", "added").join(of_class, ["n", "xor", "added"], "left")
+    out = sets.drop("sketches").join(of_class, ["n", "xor", "added"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
