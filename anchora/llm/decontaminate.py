@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchora.llm.base import semi_by_id, written
 
-#: Which tokens of a window a seed reads (1) and which it ignores (0).
-MASKS = ("11101001011", "11010010111")
-SPAN = len(MASKS[0])
+_WIDE = ("111011", "10000001111")
+#: By the number of replaced tokens: the least width, and masks (tokens that a seed reads are 1) of which one at least
+#: fits between the replaced tokens of any window of that width or more, wherever they are.
+FAMILIES = {
+    1: (5, ("1111", "11011", "11101", "10111")),
+    2: (10, ("110111", "11100011", "1100010011")),
+    3: (15, _WIDE),
+    4: (20, _WIDE),
+}
 #: Above this many seeds the benchmark side is shuffled, not broadcast.
 BROADCAST_SEEDS = 2_000_000
 #: Above this many documents with hits their ids are shuffled, not broadcast.
@@ -22,16 +30,27 @@ def tokens(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, " "))
 
 
-def seeds(rows: DataFrame, key: str, masks: list[str]) -> DataFrame:
-    """(key, at, seed) for each mask at each place of the token array ``t`` where the mask's span fits.
+def masks_for(width: int, share: float) -> tuple[str, ...]:
+    """Masks that hit every alignment of ``width`` tokens with a ``share`` of equal ones.
+
+    Beyond FAMILIES it is one run: what is equal falls into one part more than what is replaced, so the longest of
+    these parts has the mean's length at least."""
+    replaced = max(k for k in range(width) if k == 0 or (width - k) / width >= share)
+    least, masks = FAMILIES.get(replaced, (width + 1, ()))
+    return masks if width >= least else ("1" * -(-(width - replaced) // (replaced + 1)),)
+
+
+def seeds(rows: DataFrame, key: str, masks: list[str], use: tuple[str, ...] | None = None) -> DataFrame:
+    """(key, at, seed) for each mask (of those in ``use``) at each place of the token array ``t`` where its span fits.
 
     Token hashes are taken once; the places are a generator, so that seeds are compiled code and no array is copied."""
     hashed = rows.select(key, F.transform("t", lambda w: F.xxhash64(w)).alias("h"))
-    least = min(len(m) for m in masks)
+    use = masks if use is None else use
+    least = min(len(m) for m in use)
     placed = hashed.where(F.size("h") >= least).select(key, "h", F.explode(F.sequence(F.lit(0), F.size("h") - least)).alias("at"))
     seed = lambda k, m: F.xxhash64(F.lit(k), *[F.get("h", F.col("at") + i) for i, bit in enumerate(m) if bit == "1"])
     fits = lambda m: F.col("at") + len(m) <= F.size("h")
-    each = F.array(*[F.when(fits(m), seed(masks.index(m), m)) for m in masks])
+    each = F.array(*[F.when(fits(m), seed(masks.index(m), m)) for m in use])
     return placed.select(key, "at", F.explode(each).alias("seed")).where("seed is not null")
 
 
@@ -47,13 +66,17 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 20, share: fl
 
     Seeds of ``docs`` (doc_id, text) and ``items`` (item_id, text) meet; each hit fixes an alignment, and a passage
     counts where some window of ``window`` tokens (all of a shorter item) has a ``share`` of equal tokens, so replaced
-    words don't hide it. Items too short for the masks are found by all of their tokens. Null and empty texts match
+    words don't hide it. The masks of each width (masks_for) hit every such alignment. Null and empty texts match
     nothing; repeated rows give one row for each pair of ids; empty tables give none; other columns are ignored."""
     bench = written(items.select("item_id", tokens(F.col("text")).alias("t")).where(F.size("t") > 0))
-    short = [r["n"] for r in bench.select(F.size("t").alias("n")).where(F.col("n") < SPAN).distinct().collect()]  # at most SPAN - 1 rows
-    masks = [*MASKS, *("1" * n for n in sorted(short, reverse=True))]
+    width = F.least(F.size("t"), F.lit(window))
+    families = {}
+    for r in bench.select(width.alias("n")).distinct().collect():  # at most ``window`` rows
+        families.setdefault(masks_for(r["n"], share), []).append(r["n"])
+    families = families or {masks_for(window, share): [window]}
+    masks = sorted({m for use in families for m in use})
     d = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    probe = seeds(bench, "item_id", masks)
+    probe = reduce(DataFrame.union, [seeds(bench.where(width.isin(widths)), "item_id", masks, use) for use, widths in families.items()])
     n_seeds = bench.agg(F.sum(F.size("t"))).first()[0] or 0
     probe = probe.withColumnRenamed("at", "item_at")
     if n_seeds * len(masks) <= BROADCAST_SEEDS:

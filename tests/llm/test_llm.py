@@ -1,6 +1,7 @@
 """The dealt operators on small tables, held against plain loops."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -127,6 +128,33 @@ def test_decontamination(spark):
     assert decontaminate.find_overlaps(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_masks_hit_every_pattern():
+    for width in range(1, 21):
+        replaced = max(k for k in range(width) if (width - k) / width >= 0.8)
+        masks = [int(m, 2) << at for m in decontaminate.masks_for(width, 0.8) for at in range(width - len(m) + 1)]
+        for gone in itertools.combinations(range(width), replaced):
+            holes = sum(1 << k for k in gone)
+            assert any(not m & holes for m in masks), (width, gone)
+
+
+def test_decontamination_finds_replaced_words_of_any_width(spark):
+    widths = [5, 9, 10, 14, 15, 16, 19, 20, 30]
+    items = [(w, " ".join(f"w{w}x{k}" for k in range(w))) for w in widths]
+    rnd, rows, want = random.Random(18), [], set()
+    for w, text in items:
+        n = min(w, 20)
+        for t in range(40):
+            some, at = text.split(), rnd.randint(0, w - n)
+            some[:at], some[at + n :] = ["other"] * at, ["other"] * (w - at - n)
+            for k in rnd.sample(range(at, at + n), n // 5 + t % 2):
+                some[k] = "changed"
+            rows.append((1000 * w + t, "before it " + " ".join(some) + " after it"))
+            want |= set() if t % 2 else {(1000 * w + t, w)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_overlaps(table(spark, rows), bench).collect()}
+    assert got == want
+
+
 def test_urls(spark):
     pages = [(1, None, None), (2, "no scheme", ""), (3, "http://Sub.Example.com/en/x?q", ""), (4, "http://www.example.com/en/x", ""), (5, "http://a.net/es/1", ""), (6, "http://a.net/de/1", ""), (7, "http://com", ""), (8, "http://b.org/x", '<a href="http://a.net/de/2">'), (8, "http://b.org/x", "")]
     d = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("rule", F.lit("x")).withColumn("host", F.lit("y"))
