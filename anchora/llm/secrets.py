@@ -10,6 +10,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 #: What the Markov models judge: long runs of identifier characters.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: What they judge in a run that is ordinary as a whole: its long parts between separators.
+PART = r"[A-Za-z0-9+]{16,}"
 #: What counts as an ordinary identifier: a long run of letters, or a number standing alone.
 ORDINARY = r"[A-Za-z_-]{8,}|(?<![A-Za-z0-9])[0-9-]{6,}(?![A-Za-z0-9])"
 #: Characters that the models know, at their index; all others share one more index.
@@ -82,9 +84,9 @@ def markov_table(samples: DataFrame) -> list[float]:
 def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 0.5, min_value: int = 8, keep: bool = False) -> DataFrame:
     """All secrets of each text: doc_id, text (null: empty), base (array of spans) and spans (with the Markov ones).
 
-    base: assign, access and hex matches. Markov: runs of 16 or more identifier characters with a digit whose mean
-    log-likelihood ratio, random over ordinary, is above ``threshold``, outside base spans. Spans are ordered by start,
-    then kind. Rows of ``docs`` stay one to one, repeats included; an empty table gives none; a text without matches
+    base: assign, access and hex matches. Markov: runs of 16 or more identifier characters between base spans whose
+    mean log-likelihood ratio, random over ordinary, is above ``threshold``; in other runs, the parts of that length
+    between / = _ - that are above it. Spans are ordered by start, then kind. Rows of ``docs`` stay one to one, repeats included; an empty table gives none; a text without matches
     has empty arrays; other columns are ignored, or come in a struct ``kept`` where ``keep`` asks for them."""
     kept = [F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("kept")] if keep else []
     also = ["kept"] * keep
@@ -96,14 +98,18 @@ def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: f
         spans_of(text, ACCESS, "access"),
         spans_of(text, HEX, "hex"),
     )
-    d = d.select("doc_id", "text", F.sort_array(base).alias("base"), spans_of(text, TOKEN, "markov").alias("tokens"), *also)
-    free = F.filter("tokens", lambda t: t["value"].rlike("[0-9]") & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    d = d.select("doc_id", "text", "base", free.alias("free"), *also)
+    d = d.select("doc_id", "text", F.sort_array(base).alias("base"), *also)
+    d = d.select("*", _blanked(F.col("text"), F.col("base")).alias("rest"))
+    d = d.select("doc_id", "text", "base", spans_of(F.col("rest"), TOKEN, "markov").alias("tokens"), spans_of(F.col("rest"), PART, "markov").alias("parts"), *also)
     literal = "cast(split('" + ",".join(f"{x:.5f}" for x in table) + "', ',') as array<double>)"
-    judged = F.expr(
-        f"filter(free, t -> aggregate({_pairs('t.value')}, cast(0 as double), (a, p) -> a + get({literal}, p)) / greatest(length(t.value) - 1, 1) > {threshold:f})"
+    judged = lambda runs: F.expr(
+        f"filter({runs}, t -> aggregate({_pairs('t.value')}, cast(0 as double), (a, p) -> a + get({literal}, p)) / greatest(length(t.value) - 1, 1) > {threshold:f})"
     )
-    return d.select("doc_id", "text", "base", F.sort_array(F.concat("base", judged)).alias("spans"), *also)
+    d = d.select("*", judged("tokens").alias("whole"))
+    # a part that is a whole run, or in a run found, is settled
+    inner = F.filter("parts", lambda p: ~F.exists("whole", lambda t: (t["start"] <= p["start"]) & (p["end"] <= t["end"])) & ~F.exists("tokens", lambda t: (t["start"] == p["start"]) & (t["end"] == p["end"])))
+    d = d.select("doc_id", "text", "base", "whole", inner.alias("parts"), *also)
+    return d.select("doc_id", "text", "base", F.sort_array(F.concat("base", "whole", judged("parts"))).alias("spans"), *also)
 
 
 def span_text(spans: str) -> Column:
@@ -123,6 +129,19 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
 
 
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of ``spans`` (ordered by start); all else keeps its place."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, s):
+        before = text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before, blank).alias("out"))
+
+    done = F.aggregate(spans, zero, step)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
+
+
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in their texts masked, and n_chars (where they have it) set anew for changed texts.
 

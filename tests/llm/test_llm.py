@@ -85,6 +85,16 @@ def test_secrets(spark):
     assert masked[1]["text"] is None and masked[12]["text"] == rows[len(ODD) + 2][1]
 
 
+def test_secrets_without_digits_beside_base_spans_and_in_paths(spark):
+    letters, mixed = "qZxKVpmLrTbWYcHdJfGsXwQz", "qZ7xK2pV9mLr4TbW8nYc"
+    rows = [(1, f"see {letters} here"), (2, f"AKIA{'A1' * 8}/{mixed} x"), (3, f"at /organisation/repository/settings/{mixed} x"), (4, "at /organisation/repository/settings/ordinary-words-only x")]
+    samples = secrets.labelled_samples(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    found = secrets.scan_secrets(table(spark, rows), samples).collect()
+    got = {r["doc_id"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "markov"] for r in found}
+    assert len(got[1]) == len(got[2]) == len(got[3]) == 1 and got[4] == []
+    assert letters in got[1][0] and mixed in got[2][0] and mixed in got[3][0]
+
+
 @pytest.mark.parametrize("limit", [16, 2048])
 def test_packing(spark, limit):
     from tokenizers import Tokenizer
