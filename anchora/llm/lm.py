@@ -15,8 +15,8 @@ from anchora.llm.base import LOWER, Rolling, fold, mix, text_parts, word_ranges,
 
 #: Text bytes in a batch of documents and in a cell of n-grams, about.
 BATCH_BYTES, CELL_BYTES = 16 << 20, 16 << 20
-#: Every HELD_OUT-th batch supplies the held-out counts that the mixture weights are learnt on.
-HELD_OUT, EM_ROUNDS, STEPS, PRIOR = 8, 30, 4, 20.0
+#: Rounds of EM, steps of the histogram's grid for each factor of two, and tokens that hold a bucket to all contexts.
+EM_ROUNDS, STEPS, PRIOR = 30, 4, 20.0
 
 CELLS = "cell int, batch int, kind int, grams binary, counts binary"
 ANSWERS = "batch int, cell int, kind int, counts binary, total long, distinct long"
@@ -208,7 +208,7 @@ def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
     whole = answers.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     n, v = whole["n"] or 0, whole["v"] or 0
     slim = answers.select("batch", "cell", "kind", "counts")
-    held = d.where(F.col("batch") % HELD_OUT == 0).groupBy("batch").cogroup(slim.where(F.col("batch") % HELD_OUT == 0).groupBy("batch"))
+    held = d.groupBy("batch").cogroup(slim.groupBy("batch"))
     grid = held.applyInArrow(_held_out(n, v, n_docs), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights([(r["key"], r["n"]) for r in grid], v)
     out = d.groupBy("batch").cogroup(slim.groupBy("batch")).applyInArrow(

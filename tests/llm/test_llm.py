@@ -281,6 +281,15 @@ def test_lm(spark, monkeypatch):
     assert lm.score_documents(d.limit(0)).count() == 0
 
 
+def test_lm_weights_learn_from_every_training_token(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH_BYTES", 500)
+    seen, learn = [], lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda rows, v: seen.append(sum(n for _, n in rows)) or learn(rows, v))
+    rows = list(enumerate(prose(19, 40, 30)))
+    out = lm.score_documents(table(spark, rows).withColumn("train", F.col("doc_id") % 3 != 0)).collect()
+    assert seen == [sum(r["n_tokens"] for r in out if r["train"])]
+
+
 def test_lm_weights_move_to_what_predicts():
     key = lambda b, p2, p1: (b << 20) | ((1 - lm.STEPS * p2) << 10) | (1 - lm.STEPS * p1)
     w = lm.learn_weights([(key(9, -1, -10), 1000), (key(2, -12, -3), 1000)], 10**6)
