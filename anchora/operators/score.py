@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,12 +46,14 @@ def pair_equal(predicted: DataFrame, gold: DataFrame, keys: tuple[str, ...]) ->
     return g.join(p, on).select("gold", "pred")
 
 
-def relaxed_pairs(predicted: DataFrame, gold: DataFrame, max_rounds: int = 100) -> DataFrame:
+def relaxed_pairs(predicted: DataFrame, gold: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(gold, pred): strict pairs first, then each gold claim in order with the first free prediction of its source and
     predicate whose span overlaps and whose phrases contain each other's.
 
     The serial rule is kept in rounds: every open gold claim proposes to its first open prediction, and each prediction
-    holds the earliest gold claim that asked; all predictions rank gold claims alike, so the result is the serial one."""
+    holds the earliest gold claim that asked; all predictions rank gold claims alike, so the result is the serial one.
+    Claims with the same predictions take them in order, so the k-th of them begins with the k-th. Rounds go on until no
+    proposal loses; where ``max_rounds`` is given and does not suffice, it is an error."""
     strict = written(pair_equal(predicted, gold, STRICT))
     g = gold.join(strict.select(F.col("gold").alias("ord")), "ord", "left_anti")
     p = predicted.join(strict.select(F.col("pred").alias("ord")), "ord", "left_anti")
@@ -57,8 +61,14 @@ def relaxed_pairs(predicted: DataFrame, gold: DataFrame, max_rounds: int = 100)
     near = evidence_overlap(F.col("g.evidence_start"), F.col("g.evidence_end"), F.col("p.evidence_start"), F.col("p.evidence_end")) > 0
     alike = phrase_contains(F.col("g.subject"), F.col("p.subject")) & phrase_contains(F.col("g.object"), F.col("p.object"))
     open_ = written(g.join(p, (F.col("g.source_id") == F.col("p.source_id")) & (F.col("g.predicate") == F.col("p.predicate")) & near & alike).select(F.col("g.ord").alias("gold"), F.col("p.ord").alias("pred")))
+    same = open_.groupBy("gold").agg(F.bit_xor(F.xxhash64("pred")).alias("a"), F.bit_xor(F.xxhash64("pred", F.lit(1))).alias("b"), F.count("*").alias("n"))
+    first = same.select("gold", F.row_number().over(W.partitionBy("a", "b", "n").orderBy("gold")).alias("first"))
+    placed = open_.withColumn("at", F.row_number().over(W.partitionBy("gold").orderBy("pred")))
+    open_ = written(placed.join(first, "gold").where("at >= first").select("gold", "pred"))
     held = None
-    for _ in range(max_rounds):
+    for n in itertools.count():
+        if max_rounds is not None and n >= max_rounds:
+            raise RuntimeError(f"relaxed matching is not settled after {max_rounds} rounds")
         # proposals of this round and those held from earlier ones compete together
         asks = open_.groupBy("gold").agg(F.min("pred").alias("pred"))
         if held is not None:
@@ -69,7 +79,7 @@ def relaxed_pairs(predicted: DataFrame, gold: DataFrame, max_rounds: int = 100)
         if lost.isEmpty():
             break
         open_ = written(open_.join(lost, ["gold", "pred"], "left_anti"))
-    return strict if held is None else strict.union(held.select("gold", "pred"))
+    return strict.union(held.select("gold", "pred"))
 
 
 def score_claims(predicted: DataFrame, gold: DataFrame) -> DataFrame:

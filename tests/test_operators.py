@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from anchora.functions import ids, text
@@ -178,6 +179,20 @@ def test_relaxed_equals_serial_loop(spark):
     assert got == want
 
 
+def test_relaxed_pairs_of_a_hot_source_are_whole(spark):
+    some = lambda polarity: claims(spark, [("red", "is", "x", {"source_id": "s", "polarity": polarity, "evidence_start": 0, "evidence_end": 5})] * 120)
+    g, p = some("affirmed"), some("negated")
+    got = {r.gold: r.pred for r in score.relaxed_pairs(score._normal(p), score._normal(g), 3).collect()}
+    assert got == serial_relaxed(g.orderBy("ord").collect(), p.orderBy("ord").collect()) and len(got) == 120
+
+
+def test_relaxed_pairs_are_never_a_part(spark):
+    c = lambda p, starts: claims(spark, [("red", "is", "x", {"source_id": "s", "polarity": p, "evidence_start": a, "evidence_end": b}) for a, b in starts])
+    g, p = c("affirmed", [(0, 9), (0, 5)]), c("negated", [(0, 2), (2, 4), (6, 9)])
+    with pytest.raises(RuntimeError):
+        score.relaxed_pairs(score._normal(p), score._normal(g), 1)
+
+
 def test_gold_against_itself(spark):
     c = claims(spark, [("a", "is", "b"), ("a", "is", "b"), ("c", "causes", None)])
     for r in score.score_claims(c, c).collect():
