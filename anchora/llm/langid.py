@@ -11,30 +11,28 @@ from anchora.llm.base import fold, text_parts
 
 #: N-grams kept in a language's profile, and taken from a document.
 PROFILE, ORDERS = 400, (1, 2, 3)
+#: Text bytes looked at together; one longer text stands alone.
+PART_BYTES = 256 << 10
 
 
 def _grams(offsets: np.ndarray, buf: np.ndarray, row_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (key << 24 | n-gram) values of the texts and their counts. N-grams are of 1 to 3 UTF-8 bytes of
     lower-cased text; each run of bytes below 0x80 that are no letters counts as one blank."""
     letter = (buf >= 128) | ((buf >= 97) & (buf <= 122))
-    text = np.where(letter, buf, 32)
-    row = np.repeat(row_key, np.diff(offsets))
     first = np.zeros(len(buf), bool)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     keep |= first
-    text, row, first = text[keep].astype(np.uint64), row[keep].astype(np.uint64), first[keep]
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(text)), 0)) if len(text) else np.zeros(0, int)
-    into = np.arange(len(text)) - begin
-    found, gram = [], text
+    text = np.where(letter, buf, np.uint8(32))[keep]
+    row, first = np.repeat(row_key.astype(np.uint64) << np.uint64(24), np.diff(offsets))[keep], first[keep]
+    found, gram = [], text.astype(np.uint32)
     for n in ORDERS:
         if n > 1:
-            gram = (gram[:-1] << np.uint64(8)) | text[n - 1 :]
-        inside = into[n - 1 :] >= n - 1
-        if n == 1:
-            inside = inside & (text != 32)
-        found.append((row[n - 1 :][inside] << np.uint64(24)) | gram[inside])
+            gram = (gram[:-1] << np.uint32(8)) | text[n - 1 :]
+        crosses = [first[k : len(first) - n + 1 + k] for k in range(1, n)]  # a text begins inside the n-gram
+        inside = ~np.logical_or.reduce(crosses) if crosses else text != 32
+        found.append(row[n - 1 :][inside] | gram[inside])
     values = np.sort(np.concatenate(found))
     if not len(values):
         return values, np.zeros(0, np.int64)
@@ -45,14 +43,20 @@ def _grams(offsets: np.ndarray, buf: np.ndarray, row_key: np.ndarray) -> tuple[n
 def _count_grams(batches):
     """Per partition: (lang, gram, n)."""
     langs: dict[str, int] = {}
-    keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+
+    def add_up() -> None:
+        keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        held[:] = [(keys, np.bincount(back, weights=np.concatenate([n for _, n in held]), minlength=len(keys)).astype(np.int64))]
+
     for batch in batches:
         codes = np.array([langs.setdefault(x, len(langs)) for x in batch.column("lang").to_pylist()], np.uint64)
-        for first, offsets, buf in text_parts(batch.column("text")):
-            k, n = _grams(offsets, buf, codes[first : first + len(offsets) - 1])
-            k, n = np.concatenate([keys, k]), np.concatenate([sums, n])
-            keys, back = np.unique(k, return_inverse=True)
-            sums = np.bincount(back, weights=n, minlength=len(keys)).astype(np.int64)
+        for first, offsets, buf in text_parts(batch.column("text"), PART_BYTES):
+            held.append(_grams(offsets, buf, codes[first : first + len(offsets) - 1]))
+            if sum(len(k) for k, _ in held[1:]) > len(held[0][0]) + 500_000:
+                add_up()
+    add_up()
+    keys, sums = held[0]
     names = np.array(list(langs), dtype=object)
     yield pa.RecordBatch.from_arrays(
         [pa.array(names[(keys >> np.uint64(24)).astype(np.int64)] if len(keys) else [], pa.string()), pa.array((keys & np.uint64(0xFFFFFF)).astype(np.int64)), pa.array(sums)], ["lang", "gram", "n"]
@@ -76,26 +80,26 @@ def predict_language(text: Column, profiles: dict[str, list[int]], size: int = P
     A text that is null or has no letter gets ``und`` and 0, as does any text when there are no profiles."""
     names = sorted(profiles)
     grams = np.array(sorted({g for p in profiles.values() for g in p}), np.uint64)
-    ranks = np.full((len(names), len(grams) + 1), size, np.int64)
+    ranks = np.full((len(names), len(grams) + 1), size, np.int32)
     for k, name in enumerate(names):
         ranks[k, np.searchsorted(grams, np.array(profiles[name], np.uint64))] = np.arange(len(profiles[name]))
 
     def judge(column: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for _, offsets, buf in text_parts(column):
+        for _, offsets, buf in text_parts(column, PART_BYTES):
             n_rows = len(offsets) - 1
             keys, n = _grams(offsets, buf, np.arange(n_rows))
             row = (keys >> np.uint64(24)).astype(np.int64)
             order = np.lexsort((-n, row))  # stable: equal counts stay in n-gram order
             rank = np.arange(len(row)) - np.searchsorted(row, row)
-            row, gram, n_row = row[order], (keys & np.uint64(0xFFFFFF))[order], rank
-            top = n_row < size
-            row, gram, rank = row[top], gram[top], n_row[top]
+            top = rank < size
+            row, gram, rank = row[order][top], (keys & np.uint64(0xFFFFFF))[order][top], rank[top]
             at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
-            known = grams[at] == gram
-            far = np.where(known, np.abs(ranks[:, at] - rank), size)
-            far = np.where(ranks[:, at] >= size, size, far)
-            total = np.stack([np.bincount(row, weights=x, minlength=n_rows) for x in far])
+            at[grams[at] != gram] = len(grams)  # in no profile
+            total = np.empty((len(names), n_rows))
+            for k in range(len(names)):
+                there = ranks[k, at]
+                total[k] = np.bincount(row, weights=np.where(there < size, np.abs(there - rank), size), minlength=n_rows)
             most = np.maximum(np.bincount(row, minlength=n_rows) * size, 1)
             best = np.argmin(total, axis=0)
             langs.append(best)
