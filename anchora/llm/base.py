@@ -92,8 +92,9 @@ def text_parts(column, max_bytes: int = 2 << 20):
         first = last
 
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Whether a byte is ASCII white space.
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -101,7 +102,7 @@ LOWER[65:91] += 32
 def word_ranges(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each word of the texts in ``buf``; words never cross a text's bounds."""
     inside = np.zeros(len(buf) + 2, bool)
-    inside[1:-1] = ~_IS_SPACE[buf]
+    inside[1:-1] = ~SPACES[buf]
     cut = np.zeros(len(buf) + 1, bool)  # before which byte a text starts
     cut[offsets] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))

@@ -114,14 +114,60 @@ def test_packing(spark, limit):
     assert out["sequence_id"].nunique() <= 1.1 * -(-total // limit) + 1
 
 
-def test_best_fit_holds_every_length():
+def brute_matches(size, is_gap):
+    waiting, pairs = [], []
+    for k in range(len(size)):
+        if not is_gap[k]:
+            waiting.append(k)
+        elif waiting:
+            pairs.append((waiting.pop(), k))
+    return pairs
+
+
+def test_sweep_equals_serial_sweep_in_one_range_and_in_many():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 7, 60, 300):
+        size, is_gap = rng.integers(1, 30, n), rng.random(n) < 0.5
+        order = np.lexsort((is_gap, size))
+        size, is_gap = size[order], is_gap[order]
+        want = brute_matches(size, is_gap)
+        assert sorted(zip(*packing.matched(size, is_gap), strict=True)) == sorted(want)
+        bounds = [0, *sorted(rng.integers(0, n + 1, 4)), n]
+        pairs, open_ = [], {}
+        for part, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            doc, gap = packing.matched(size[a:b], is_gap[a:b])
+            pairs += list(zip((doc + a).tolist(), (gap + a).tolist(), strict=True))
+            rest = sorted(set(range(a, b)) - {*(doc + a).tolist(), *(gap + a).tolist()})
+            open_[part] = [k for k in rest if not is_gap[k]], [k for k in rest if is_gap[k]]
+        for of, high, at, low, count in packing.carried([(p, len(d), len(g)) for p, (d, g) in open_.items()]):
+            pairs += [(open_[of][0][high - i], open_[at][1][low + i]) for i in range(count)]
+        assert sorted(pairs) == sorted(want)
+
+
+def test_packing_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SWEEP_ROWS", 150)
     rnd = random.Random(5)
-    lengths = {k: rnd.randint(0, 30) for k in range(1, 65)}
-    held = Counter()
-    for pattern, n in packing.best_fit(lengths, 64):
-        assert sum(pattern) <= 64
-        held.update({x: n * c for x, c in Counter(pattern).items()})
-    assert held == Counter({k: v for k, v in lengths.items() if v})
+    lengths = [17] * 300 + [rnd.randint(1, 64) for _ in range(500)]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, length long")
+    out = packing.pack(rows, 64).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(out["doc_id"]) == list(range(len(lengths)))
+    assert (out.groupby("sequence_id")["length"].cumsum() - out["length"] == out["offset"]).all()
+    assert out.groupby("sequence_id")["length"].sum().max() <= 64
+    gaps: list[int] = []  # a serial best fit, the longest first
+    for n in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((64 if fit is None else fit) - n)
+    assert out["sequence_id"].nunique() <= 1.03 * len(gaps) + 1
+
+
+def test_word_parts():
+    text = "Don't ÀB,c12; straße×a ſx é"
+    buf = np.frombuffer(text.encode(), np.uint8)
+    solid, bounds, row, letters = packing.word_parts(np.array([0, len(buf)]), buf)
+    assert [bytes(solid[a:b]).decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == ["don't", "àb", ",", "c", "1", "2", ";", "straße×a", "ſx", "é"]
+    assert set(row.tolist()) == {0} and letters.tolist() == [False, True, False, True, False, False, False, False, False, True]
 
 
 def test_decontamination(spark):
