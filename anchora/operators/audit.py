@@ -11,21 +11,41 @@ from anchora.operators.retrieve import find_claims, merge_round_robin
 from anchora.plans.tables import written
 
 
+#: Why a judge gave no verdict (fixed values); any other reason counts as unscored.
+FAILURES = ("provider_failure", "parse_failure", "incomplete_coverage")
+
+
 def citation_audit(answers: DataFrame) -> DataFrame:
-    """Answers (case_id, answer, gathered) with cited, unknown and unused ids, the last two sorted."""
-    cited = F.array_distinct(extract_markers(F.col("answer")))
+    """Answers (case_id, answer, gathered: array of claim ids) with marked, unknown and unused ids, the last two sorted."""
+    marked = F.array_distinct(extract_markers(F.col("answer")))
     return answers.withColumns(
-        {"cited": cited, "unknown": F.array_sort(F.array_except(cited, F.col("gathered"))), "unused": F.array_sort(F.array_except(F.col("gathered"), cited))}
+        {"marked": marked, "unknown": F.array_sort(F.array_except(marked, F.col("gathered"))), "unused": F.array_sort(F.array_except(F.col("gathered"), marked))}
     )
 
 
-def audit_answers(answers: DataFrame, cases: DataFrame) -> DataFrame:
-    """One row per (case, criterion) with status: not_empty, citation_integrity, required_evidence."""
-    a = citation_audit(answers).join(cases.select("case_id", "must_include", "must_include_any"), "case_id")
-    holds = F.size(F.array_except("must_include", "cited")) == 0
-    some = (F.size("must_include_any") == 0) | F.arrays_overlap("must_include_any", "cited")
-    checks = {"not_empty": F.trim("answer") != "", "citation_integrity": F.size("unknown") == 0, "required_evidence": holds & some}
-    rows = [F.struct(F.lit(k).alias("name"), F.when(F.coalesce(c, F.lit(False)), "pass").otherwise("fail").alias("status")) for k, c in checks.items()]
+def audit_answers(answers: DataFrame, cases: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per (case, criterion) with status, all gating: non_empty, citation_integrity, required_evidence_present.
+
+    answers: (case_id, answer, cited: array of (claim_id, source_id)); cases: (case_id and the arrays must_include_claims,
+    must_include_any_claims, must_include_sources, must_include_any_sources); sources: (id). Integrity fails on a marker
+    whose claim is not cited, on a claim cited twice and on a source that the corpus lacks. A case that requires nothing
+    is not evaluated for evidence; a null array requires nothing."""
+    ids = lambda field: F.transform("cited", lambda c: c[field])
+    a = citation_audit(answers.withColumn("gathered", ids("claim_id")))
+    known = sources.select(F.col("id").alias("source_id"), F.lit(True).alias("known")).distinct()
+    lost = answers.select("case_id", F.explode(F.array_distinct(ids("source_id"))).alias("source_id")).join(known, "source_id", "left_anti")
+    a = a.join(lost.select("case_id", F.lit(True).alias("lost")).distinct(), "case_id", "left").join(cases, "case_id")
+    none = F.array().cast("array<string>")
+    need = {n: F.coalesce(F.col(n), none) for n in ("must_include_claims", "must_include_any_claims", "must_include_sources", "must_include_any_sources")}
+    all_of = lambda n, have: F.size(F.array_except(need[n], have)) == 0
+    any_of = lambda n, have: (F.size(need[n]) == 0) | F.arrays_overlap(need[n], have)
+    claims, cited_sources = F.col("gathered"), ids("source_id")
+    whole = (F.size("unknown") == 0) & (F.size(F.array_distinct("gathered")) == F.size("gathered")) & F.col("lost").isNull()
+    present = all_of("must_include_claims", claims) & any_of("must_include_any_claims", claims) & all_of("must_include_sources", cited_sources) & any_of("must_include_any_sources", cited_sources)
+    asked = sum((F.size(c) for c in need.values()), F.lit(0)) > 0
+    status = lambda ok: F.when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail")
+    checks = {"non_empty": status(F.regexp_replace("answer", r"(?U)\s", "") != ""), "citation_integrity": status(whole), "required_evidence_present": F.when(~asked, "not_evaluated").otherwise(status(present))}
+    rows = [F.struct(F.lit(k).alias("name"), c.alias("status")) for k, c in checks.items()]
     return a.select("case_id", F.explode(F.array(*rows)).alias("c")).select("case_id", "c.name", F.lit("gating").alias("kind"), "c.status", F.lit(None).cast("double").alias("score"))
 
 
@@ -54,22 +74,24 @@ def judge_variability(trials: DataFrame) -> DataFrame:
 
 
 def calibration_report(trials: DataFrame) -> DataFrame:
-    """Per criterion, over trials (fixture_id, criterion, human, status, score, failure): judged, agreements, false
-    passes and fails, failures by kind, agreement rate, fixtures whose verdict flips or whose scores differ, and the mean
-    spread within a fixture. Trials with no human verdict don't count."""
-    t = trials.where("human in ('pass', 'fail')")
+    """Per criterion, over trials (fixture_id, criterion, human, status, score, failure) with a human verdict of pass or
+    fail: how many were judged at all, agreements, false passes and fails, and by reason those that were not evaluated;
+    the share of agreements among all; fixtures whose status (not_evaluated included) changes; fixtures with more than
+    one score, and the mean spread within these."""
+    t = trials.where("human is not null and human <> 'not_applicable'")
     n = lambda c: F.sum(c.cast("long"))
-    judged = F.col("status").isin("pass", "fail")
-    per = t.groupBy("criterion", "fixture_id").agg(
-        F.countDistinct(F.when(judged, F.col("status"))).alias("verdicts"), F.countDistinct("score").alias("scores"), F.stddev_pop("score").alias("spread")
-    )
-    flips = per.groupBy("criterion").agg(n(F.col("verdicts") > 1).alias("flips"), n(F.col("scores") > 1).alias("varying"), F.avg("spread").alias("mean_spread"))
+    per = t.groupBy("criterion", "fixture_id").agg(F.countDistinct("status").alias("statuses"), F.count("score").alias("scores"), F.stddev_pop("score").alias("spread"))
+    repeated = F.col("scores") > 1
+    flips = per.groupBy("criterion").agg(n(F.col("statuses") > 1).alias("verdict_flips"), n(repeated).alias("fixtures_with_repeats"), F.avg(F.when(repeated, F.col("spread"))).alias("mean_spread"))
+    missing = F.col("status") == "not_evaluated"
+    agrees = ~missing & (F.col("status") == F.col("human"))
+    false_pass = ~missing & ~agrees & (F.col("status") == "pass") & (F.col("human") == "fail")
+    reason = F.coalesce("failure", F.lit(""))
     base = t.groupBy("criterion").agg(
-        n(judged).alias("judged"), n(judged & (F.col("status") == F.col("human"))).alias("agree"), n((F.col("status") == "pass") & (F.col("human") == "fail")).alias("false_pass"),
-        n((F.col("status") == "fail") & (F.col("human") == "pass")).alias("false_fail"),
-        *(n(~judged & (F.col("failure") == f)).alias(f"n_{f}") for f in ("provider", "parse", "incomplete", "unscored")),
+        F.count("*").alias("judged"), n(agrees).alias("agree"), n(false_pass).alias("false_pass"), n(~missing & ~agrees & ~false_pass).alias("false_fail"),
+        *(n(missing & (reason == f)).alias(f) for f in FAILURES), n(missing & ~reason.isin(*FAILURES)).alias("unscored"),
     )
-    return base.join(flips, "criterion").withColumn("agreement", F.col("agree") / F.nullif("judged", F.lit(0)))
+    return base.join(flips, "criterion").withColumn("agreement_rate", F.col("agree") / F.col("judged"))
 
 
 def split_leakage(fixtures: DataFrame) -> DataFrame:
@@ -91,12 +113,22 @@ def reachability(questions: DataFrame, claims: DataFrame, limit: int = 12) -> Da
     return hits.select(F.col("batch_id").alias("case_id"), "claim_id").union(batch.select("batch_id", "claim_id")).distinct()
 
 
-def classify_failures(required: DataFrame, gathered: DataFrame, cited: DataFrame, reachable: DataFrame) -> DataFrame:
-    """Required (case_id, claim_id) that were not cited: C retrieved, A reachable but missed, B unreachable."""
-    on = ["case_id", "claim_id"]
-    mark = lambda d, n: d.select(*on).distinct().withColumn(n, F.lit(True))
-    missing = required.join(cited.select(*on).distinct(), on, "left_anti").join(mark(gathered, "_g"), on, "left").join(mark(reachable, "_r"), on, "left")
-    return missing.select(*on, F.when(F.col("_g"), "C").when(F.col("_r"), "A").otherwise("B").alias("class"))
+def classify_failures(cases: DataFrame, answers: DataFrame, reachable: DataFrame) -> DataFrame:
+    """(case_id, claim_id, class) of required claims. Not gathered: A where some plausible term reaches the claim, else B;
+    an any-of group counts as one and is listed whole only where none of it was gathered. Gathered but not marked in the
+    answer: C, for claims that are each required.
+
+    cases: (case_id, must_include_claims, must_include_any_claims); answers: (case_id, answer, gathered); reachable:
+    (case_id, claim_id)."""
+    a = citation_audit(answers).join(cases.select("case_id", "must_include_claims", "must_include_any_claims"), "case_id")
+    none = F.array().cast("array<string>")
+    each, some = F.coalesce("must_include_claims", none), F.coalesce("must_include_any_claims", none)
+    group = F.when(F.arrays_overlap(some, F.col("gathered")), none).otherwise(some)
+    missing = a.select("case_id", F.explode(F.array_union(F.array_except(each, F.col("gathered")), group)).alias("claim_id"))
+    found = reachable.select("case_id", "claim_id", F.lit(True).alias("_found")).distinct()
+    missing = missing.join(found, ["case_id", "claim_id"], "left").select("case_id", "claim_id", F.when(F.col("_found"), "A").otherwise("B").alias("class"))
+    unused = a.select("case_id", F.explode(F.array_intersect(each, F.col("unused"))).alias("claim_id"), F.lit("C").alias("class"))
+    return missing.union(unused)
 
 
 def premature_abstention(scores: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,8 +13,8 @@ from anchora.operators.resolve import rates
 from anchora.plans.tables import written
 
 LOOSE = ("source_id", "predicate", "subject_n", "object_n")
-STRICT = (*LOOSE, "polarity")
 QUALIFIERS = ("polarity", "mode", "attribution")
+STRICT = (*LOOSE, *QUALIFIERS)
 FIELDS = ("subject", "predicate", "object", "polarity", "mode", "attribution")
 
 
@@ -46,6 +46,16 @@ def pair_equal(predicted: DataFrame, gold: DataFrame, keys: tuple[str, ...]) ->
     return g.join(p, on).select("gold", "pred")
 
 
+def _without(claims: DataFrame, pairs: DataFrame, end: str) -> DataFrame:
+    return claims.join(pairs.select(F.col(end).alias("ord")), "ord", "left_anti")
+
+
+def loose_pairs(predicted: DataFrame, gold: DataFrame) -> DataFrame:
+    """(gold, pred) of claims that share a loose key: those that agree strictly first, then the rest in order."""
+    strict = written(pair_equal(predicted, gold, STRICT))
+    return strict.union(pair_equal(_without(predicted, strict, "pred"), _without(gold, strict, "gold"), LOOSE))
+
+
 def relaxed_pairs(predicted: DataFrame, gold: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(gold, pred): strict pairs first, then each gold claim in order with the first free prediction of its source and
     predicate whose span overlaps and whose phrases contain each other's.
@@ -55,9 +65,7 @@ def relaxed_pairs(predicted: DataFrame, gold: DataFrame, max_rounds: int | None
     Claims with the same predictions take them in order, so the k-th of them begins with the k-th. Rounds go on until no
     proposal loses; where ``max_rounds`` is given and does not suffice, it is an error."""
     strict = written(pair_equal(predicted, gold, STRICT))
-    g = gold.join(strict.select(F.col("gold").alias("ord")), "ord", "left_anti")
-    p = predicted.join(strict.select(F.col("pred").alias("ord")), "ord", "left_anti")
-    g, p = g.alias("g"), p.alias("p")
+    g, p = _without(gold, strict, "gold").alias("g"), _without(predicted, strict, "pred").alias("p")
     near = evidence_overlap(F.col("g.evidence_start"), F.col("g.evidence_end"), F.col("p.evidence_start"), F.col("p.evidence_end")) > 0
     alike = phrase_contains(F.col("g.subject"), F.col("p.subject")) & phrase_contains(F.col("g.object"), F.col("p.object"))
     open_ = written(g.join(p, (F.col("g.source_id") == F.col("p.source_id")) & (F.col("g.predicate") == F.col("p.predicate")) & near & alike).select(F.col("g.ord").alias("gold"), F.col("p.ord").alias("pred")))
@@ -84,7 +92,8 @@ def relaxed_pairs(predicted: DataFrame, gold: DataFrame, max_rounds: int | None
 
 def score_claims(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """Three rows (tier loose, strict, relaxed) with tp, fp, fn, precision, recall, over sources that gold covers."""
-    g, p = _normal(gold), _normal(in_scope(predicted, gold))
+    g = written(_normal(gold))
+    p = written(_normal(in_scope(predicted, g)))
     loose = multiset_score(p, g, LOOSE).withColumn("tier", F.lit("loose"))
     strict = multiset_score(p, g, STRICT).withColumn("tier", F.lit("strict"))
     paired = relaxed_pairs(p, g).agg(F.count("*").alias("tp"))
@@ -96,30 +105,39 @@ def score_claims(predicted: DataFrame, gold: DataFrame) -> DataFrame:
 
 def mismatches(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """One row: how many loosely paired claims differ in polarity, mode and attribution."""
-    g, p = _normal(gold), _normal(in_scope(predicted, gold))
-    pairs = pair_equal(p, g, LOOSE)
+    g = written(_normal(gold))
+    p = written(_normal(in_scope(predicted, g)))
     named = lambda d, end: d.select(F.col("ord").alias(end), *(F.col(q).alias(f"{end}_{q}") for q in QUALIFIERS))
-    both = pairs.join(named(g, "gold"), "gold").join(named(p, "pred"), "pred")
+    both = loose_pairs(p, g).join(named(g, "gold"), "gold").join(named(p, "pred"), "pred")
     return both.agg(*(F.coalesce(F.sum((F.col(f"gold_{q}") != F.col(f"pred_{q}")).cast("long")), F.lit(0)).alias(q) for q in QUALIFIERS))
 
 
+def _overlap() -> Column:
+    return evidence_overlap(F.col("g.evidence_start"), F.col("g.evidence_end"), F.col("p.evidence_start"), F.col("p.evidence_end"))
+
+
 def near_misses(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """For each gold claim without a loose pair: the prediction whose span overlaps most (first on ties) and the raw
-    fields that differ. Predictions of all sources count."""
-    g, p = _normal(gold), _normal(predicted)
-    missed = g.join(pair_equal(p, g, LOOSE).select(F.col("gold").alias("ord")), "ord", "left_anti").alias("g")
-    over = evidence_overlap(F.col("g.evidence_start"), F.col("g.evidence_end"), F.col("p.evidence_start"), F.col("p.evidence_end"))
-    both = missed.join(p.alias("p"), F.col("g.source_id") == F.col("p.source_id")).withColumn("_over", over).where("_over > 0")
+    """For each gold claim without a relaxed partner: the prediction whose span overlaps most (first on ties) and the raw
+    fields that differ; both null where none overlaps. Predictions of all sources count, paired ones too."""
+    g, p = written(_normal(gold)), written(_normal(predicted))
+    missed = _without(g, relaxed_pairs(p, g), "gold").alias("g")
+    both = missed.join(p.alias("p"), (F.col("g.source_id") == F.col("p.source_id")) & (_overlap() > 0), "left")
     differs = F.array_compact(F.array(*(F.when(~F.col(f"g.{f}").eqNullSafe(F.col(f"p.{f}")), F.lit(f)) for f in FIELDS)))
-    best = both.groupBy(F.col("g.ord").alias("gold")).agg(F.max_by(F.struct(F.col("p.ord").alias("pred"), differs.alias("fields")), F.struct(F.col("_over"), (-F.col("p.ord")).alias("o"))).alias("b"))
+    found = F.when(F.col("p.ord").isNotNull(), F.struct(F.col("p.ord").alias("pred"), differs.alias("fields")))
+    best = both.groupBy(F.col("g.ord").alias("gold")).agg(F.max_by(found, F.struct(_overlap().alias("n"), (-F.col("p.ord")).alias("o"))).alias("b"))
     return best.select("gold", "b.pred", "b.fields")
 
 
+def differing_fields(misses: DataFrame) -> DataFrame:
+    """(field, n): how many near misses differ in each field; a field that none differs in is left out."""
+    return misses.select(F.explode("fields").alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+
+
 def no_overlap(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """Predictions that overlap no gold span of their source."""
-    g, p = gold.alias("g"), predicted.alias("p")
-    near = evidence_overlap(F.col("g.evidence_start"), F.col("g.evidence_end"), F.col("p.evidence_start"), F.col("p.evidence_end")) > 0
-    return p.join(g, (F.col("g.source_id") == F.col("p.source_id")) & near, "left_anti")
+    """Predictions without a relaxed partner that overlap no gold span of their source."""
+    g, p = written(_normal(gold)), written(_normal(predicted))
+    alone = _without(p, relaxed_pairs(p, g), "pred").select(*predicted.columns)
+    return alone.alias("p").join(g.alias("g"), (F.col("g.source_id") == F.col("p.source_id")) & (_overlap() > 0), "left_anti")
 
 
 def score_mapping(predicted: DataFrame, gold: DataFrame) -> DataFrame:

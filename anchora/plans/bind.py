@@ -32,10 +32,11 @@ FROM (
 ) s
 """
 
-#: Queries: each distinct part name, in batches by its first word.
+#: Queries: each distinct part name, in batches by the first three letters and the length of its first word.
 QUERIES = """
-SELECT dense_rank() OVER (ORDER BY word) AS batch_id, row_number() OVER (PARTITION BY word ORDER BY name) AS q_ord, name AS query
-FROM (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS word FROM {part}) t
+SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY name) AS q_ord, name AS query
+FROM (SELECT name, ((ascii(word) * 128 + ascii(substr(word, 2, 1))) * 128 + ascii(substr(word, 3, 1))) * 64 + length(word) AS batch_id
+  FROM (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 1) AS word FROM {part}) n) t
 """
 
 _TABLES = ("lineitem", "part", "orders")

@@ -50,14 +50,14 @@ def _merge(source: str, limit: int, out: str) -> str:
 
 
 _VECTORS = """vectors AS (SELECT vec_id, 'c' || CAST(vec_id AS STRING) AS claim_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings),
-vq AS (SELECT vec_id // 5 AS batch_id, vec_id % 5 AS q_ord, vec FROM vectors WHERE vec_id < 20),
+vq AS (SELECT vec_id // 100 AS batch_id, vec_id // 20 % 5 AS q_ord, vec FROM vectors WHERE vec_id % 20 = 0),
 sims AS (SELECT q.batch_id, q.q_ord, v.claim_id, list_cosine_similarity(q.vec, v.vec) AS score FROM vq q, vectors v),
 semantic AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, q_ord ORDER BY score DESC, claim_id) AS rank FROM sims) x WHERE rank <= 5)"""
 
 
 def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     v = _table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("claim_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    q = v.where("vec_id < 20").select(F.floor(F.col("vec_id") / 5).alias("batch_id"), (F.col("vec_id") % 5).alias("q_ord"), "vec")
+    q = v.where("vec_id % 20 = 0").select(F.expr("vec_id div 100").alias("batch_id"), F.expr("vec_id div 20 % 5").alias("q_ord"), "vec")
     return v.select("claim_id", "vec"), q
 
 
@@ -88,11 +88,9 @@ def find_claims_semantic(spark, sf_dir):
 
 
 _HYBRID = (
-    bind.ctes("claims") + ", queries AS (SELECT * FROM (" + bind.QUERIES.format(part="part") + ") t WHERE batch_id <= 3), " + _HITS
-    + ", cut AS (SELECT * FROM hits WHERE rank <= 5), " + _merge("cut", 24, "lexical") + ", "
-    + _VECTORS.replace("FROM embeddings", "FROM (SELECT e.embedding, k.ord AS vec_id FROM (SELECT *, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings) e JOIN (SELECT ord, row_number() OVER (ORDER BY ord) AS n FROM claims) k ON e.n = k.n)")
-    .replace("vec_id // 5 AS batch_id, vec_id % 5 AS q_ord, vec FROM vectors WHERE vec_id < 20", "vec_id // 5 AS batch_id, vec_id % 5 AS q_ord, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id < 20")
-    + ", " + _merge("semantic", 24, "close")
+    bind.ctes("claims", "queries") + ", " + _HITS + ", cut AS (SELECT * FROM hits WHERE rank <= 5), " + _merge("cut", 24, "lexical") + ", "
+    + _VECTORS.replace("'c' || CAST(vec_id AS STRING) AS claim_id", "'c' || CAST((vec_id + 1) * 1000 + 1 AS STRING) AS claim_id").replace("SELECT q.batch_id, q.q_ord, v.claim_id,", "SELECT q.batch_id, q.q_ord, v.claim_id,")
+    + ", known AS (SELECT * FROM semantic WHERE claim_id IN (SELECT claim_id FROM claims)), " + _merge("known", 24, "close")
     + ", both_channels AS (SELECT batch_id, claim_id, place AS rank, 0 AS q_ord FROM lexical UNION ALL SELECT batch_id, claim_id, place, 1 FROM close), "
     + _merge("both_channels", 12, "merged") + " SELECT batch_id, claim_id, q_ord AS channel, place FROM merged"
 )
@@ -100,19 +98,13 @@ _HYBRID = (
 
 @registered(_HYBRID)
 def find_claims_hybrid(spark, sf_dir):
-    """The k-th vector stands for the k-th claim of the corpus."""
-    from pyspark.sql import Window as W
-
+    """Vector k stands for the first claim of order k + 1; a vector without its claim is stale and drops out."""
     claims = bind.claims(spark, sf_dir)
     e = _table(spark, sf_dir, "embeddings")
-    # as many claims as there are vectors, found by their own order, so the rest of the corpus needs no numbering
-    n = e.count()
-    first = claims.select("ord", "claim_id").orderBy("ord").limit(n).withColumn("n", F.row_number().over(W.orderBy("ord")))
-    nth = e.orderBy("vec_id").limit(n).withColumn("n", F.row_number().over(W.orderBy("vec_id")))
-    v = nth.join(first, "n").select("claim_id", F.col("embedding").cast("array<double>").alias("vec"))
+    first = F.concat(F.lit("c"), ((F.col("vec_id") + 1) * 1000 + 1).cast("string"))
+    v = e.select(first.alias("claim_id"), F.col("embedding").cast("array<double>").alias("vec"))
     _, q = _vectors(spark, sf_dir)
-    queries = bind.queries(spark, sf_dir).where("batch_id <= 3")
-    return retrieve.find_claims_hybrid(claims, v, _joined_queries(queries, q))
+    return retrieve.find_claims_hybrid(claims, v, _joined_queries(bind.queries(spark, sf_dir), q))
 
 
 def _joined_queries(words: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -131,7 +123,7 @@ def _resolution(claims: DataFrame) -> DataFrame:
     return resolve.lexical_entities(resolve.collect_mentions(claims))
 
 
-_ASKED = "asked AS (SELECT mention, row_number() OVER (ORDER BY mention) AS n FROM mentions), picked AS (SELECT mention AS entity FROM asked WHERE mention LIKE '%#7 %')"
+_ASKED = "picked AS (SELECT mention AS entity FROM mentions)"
 _FORMS = "forms AS (SELECT DISTINCT s.entity, m.mention AS form FROM picked s JOIN resolution r ON r.mention = s.entity JOIN resolution m ON m.entity_id = r.entity_id)"
 
 
@@ -143,7 +135,7 @@ _FORMS = "forms AS (SELECT DISTINCT s.entity, m.mention AS form FROM picked s JO
 def find_claims_for_entity(spark, sf_dir):
     claims = bind.claims(spark, sf_dir)
     r = _resolution(claims)
-    out = retrieve.find_claims_for_entity(claims, r.where("mention like '%#7 %'").select("mention"), r)
+    out = retrieve.find_claims_for_entity(claims, r.select("mention"), r)
     return out.select("entity", "claim_id", "position", "rank")
 
 
@@ -158,7 +150,7 @@ _STEM = lambda c: f"coalesce(regexp_matches(lower({c}), '(^|[^a-z])(think|though
 def describe_entity(spark, sf_dir):
     claims = bind.claims(spark, sf_dir)
     r = _resolution(claims)
-    asked = r.where("mention like '%#7 %'").select("mention", F.array(F.lit("thinking"), F.lit("loving")).alias("aspects"))
+    asked = r.select("mention", F.array(F.lit("thinking"), F.lit("loving")).alias("aspects"))
     return retrieve.describe_entity(claims, asked, r).select("entity", "claim_id", "position", "matched_aspect", "rank")
 
 
@@ -330,7 +322,7 @@ def graph_coverage(spark, sf_dir):
     return graph.coverage(claims, ends, graph.nodes(ends))
 
 
-_NEAR = "center_nodes AS (SELECT node_id AS center FROM nodes WHERE label LIKE 'Brand#3 %'), both_ways AS (SELECT center, claim_id, predicate, dst AS far, 'out' AS way FROM g JOIN center_nodes ON src = center WHERE object IS NOT NULL UNION ALL SELECT center, claim_id, predicate, src, 'in' FROM g JOIN center_nodes ON dst = center WHERE src <> center)"
+_NEAR = "center_nodes AS (SELECT node_id AS center FROM nodes), both_ways AS (SELECT center, claim_id, predicate, dst AS far, 'out' AS way FROM g JOIN center_nodes ON src = center WHERE object IS NOT NULL UNION ALL SELECT center, claim_id, predicate, src, 'in' FROM g JOIN center_nodes ON dst = center WHERE src <> center)"
 
 
 @registered(
@@ -338,7 +330,7 @@ _NEAR = "center_nodes AS (SELECT node_id AS center FROM nodes WHERE label LIKE '
 )
 def neighborhood(spark, sf_dir):
     _, ends = _ends(spark, sf_dir)
-    return graph.neighborhood(graph.edges(ends), graph.nodes(ends).where("label like 'Brand#3 %'"))
+    return graph.neighborhood(graph.edges(ends), graph.nodes(ends))
 
 
 @registered(
@@ -352,7 +344,7 @@ def search_nodes(spark, sf_dir):
 
 _CHAINS = """, k AS (SELECT claim_id, predicate, polarity, attribution, s.entity_id AS head, o.entity_id AS tail FROM claims JOIN resolution s ON subject = s.mention LEFT JOIN resolution o ON object = o.mention
   WHERE predicate IN ('causes', 'expresses', 'requires', 'makes', 'creates')),
-seeds AS (SELECT DISTINCT subject AS seed, predicate, r.entity_id AS head FROM claims JOIN resolution r ON subject = r.mention WHERE subject LIKE 'Brand#1 %' AND predicate IN ('causes', 'requires')),
+seeds AS (SELECT DISTINCT subject AS seed, predicate, r.entity_id AS head FROM claims JOIN resolution r ON subject = r.mention WHERE predicate IN ('causes', 'requires')),
 c1 AS (SELECT seed, k.predicate, [claim_id] AS path, [k.head] AS seen, tail FROM k JOIN seeds s ON k.head = s.head AND k.predicate = s.predicate),
 c2 AS (SELECT seed, c1.predicate, list_append(path, k.claim_id) AS path, list_append(seen, k.head) AS seen, k.tail FROM c1 JOIN k ON c1.tail = k.head AND c1.predicate = k.predicate WHERE polarity = 'affirmed' AND attribution = 'course' AND NOT list_contains(seen, c1.tail)),
 c3 AS (SELECT seed, c2.predicate, list_append(path, k.claim_id) AS path, list_append(seen, k.head) AS seen, k.tail FROM c2 JOIN k ON c2.tail = k.head AND c2.predicate = k.predicate WHERE polarity = 'affirmed' AND attribution = 'course' AND NOT list_contains(seen, c2.tail)),
@@ -363,7 +355,7 @@ SELECT seed, predicate, array_to_string(path, ' ') AS path, len(path) AS hops, r
 @registered(bind.ctes("claims") + f", {_RESOLUTION}" + _CHAINS)
 def chain_claims(spark, sf_dir):
     claims = bind.claims(spark, sf_dir)
-    seeds = claims.where("subject like 'Brand#1 %' and predicate in ('causes', 'requires')").select("subject", "predicate")
+    seeds = claims.where("predicate in ('causes', 'requires')").select("subject", "predicate")
     return graph.chain_claims(claims, _resolution(claims), seeds).withColumn("path", F.array_join("path", " "))
 
 
@@ -391,11 +383,14 @@ def _tier(tier: str, keys: str) -> str:
     FROM (SELECT {keys}, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 'g') AS g FROM s GROUP BY {keys}) k"""
 
 
-_SIDES = f"""s AS (SELECT 'g' AS side, source_id, predicate, {_norm('subject')} AS sn, {_norm('object')} AS obn, polarity FROM gold UNION ALL
-  SELECT 'p', source_id, predicate, {_norm('subject')}, {_norm('object')}, polarity FROM pred WHERE source_id IN (SELECT source_id FROM gold))"""
+_SIDES = f"""s AS (SELECT 'g' AS side, source_id, predicate, {_norm('subject')} AS sn, {_norm('object')} AS obn, polarity, mode, attribution FROM gold UNION ALL
+  SELECT 'p', source_id, predicate, {_norm('subject')}, {_norm('object')}, polarity, mode, attribution FROM pred WHERE source_id IN (SELECT source_id FROM gold))"""
+_LOOSE_KEY, _QUALIFIED = "source_id, predicate, sn, obn", "polarity, mode, attribution"
+_BOTH_TIERS = "t AS (" + _tier("loose", _LOOSE_KEY) + " UNION ALL " + _tier("strict", f"{_LOOSE_KEY}, {_QUALIFIED}") + ")"
+_RATES = "tp / (tp + fp) AS precision, tp / (tp + fn) AS recall"
 
 
-@registered(bind.ctes("claims") + f", {_GOLD}, {_PRED}, {_SIDES}, t AS (" + _tier("loose", "source_id, predicate, sn, obn") + " UNION ALL " + _tier("strict", "source_id, predicate, sn, obn, polarity") + ") SELECT *, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM t")
+@registered(bind.ctes("claims") + f", {_GOLD}, {_PRED}, {_SIDES}, {_BOTH_TIERS} SELECT *, {_RATES} FROM t")
 def score_claims_equal(spark, sf_dir):
     g, p = _gold_and_predicted(spark, sf_dir)
     g, p = score._normal(g), score._normal(score.in_scope(p, g))
@@ -403,41 +398,72 @@ def score_claims_equal(spark, sf_dir):
     return loose.unionByName(score.multiset_score(p, g, score.STRICT).withColumn("tier", F.lit("strict")))
 
 
-@registered()
+def _nth(side: str, source: str, keys: str, name: str) -> str:
+    return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ord) AS k_{name} FROM {source})"
+
+
+_SAME = "g.source_id = p.source_id AND g.predicate = p.predicate"
+_SAME_FORMS = f"{_SAME} AND g.sn = p.sn AND g.obn IS NOT DISTINCT FROM p.obn"
+_OVER = "least(g.evidence_end, p.evidence_end) > greatest(g.evidence_start, p.evidence_start)"
+_ALIKE = "(contains(g.sn, p.sn) OR contains(p.sn, g.sn)) AND ((g.obn IS NULL AND p.obn IS NULL) OR coalesce(contains(g.obn, p.obn) OR contains(p.obn, g.obn), false))"
+#: Strict pairs, the k-th gold claim of a key with its k-th prediction, and what is left of both sides.
+_STRICT = ", ".join(
+    [
+        *(f"{x}n AS (SELECT *, {_norm('subject')} AS sn, {_norm('object')} AS obn FROM {side})" for x, side in (("g", "gold"), ("p", "pred"))),
+        *(_nth(x, f"{x}n", f"{_LOOSE_KEY}, {_QUALIFIED}", f"{x}s") for x in "gp"),
+        f"strict AS (SELECT g.ord AS gold, p.ord AS pred FROM gs g JOIN ps p ON {_SAME_FORMS} AND g.polarity = p.polarity AND g.mode = p.mode AND g.attribution = p.attribution AND k_gs = k_ps)",
+        "gl AS (SELECT * FROM gn WHERE ord NOT IN (SELECT gold FROM strict))",
+        "pl AS (SELECT * FROM pn WHERE ord NOT IN (SELECT pred FROM strict))",
+    ]
+)
+_LOOSE = f"{_nth('g', 'gl', _LOOSE_KEY, 'gk')}, {_nth('p', 'pl', _LOOSE_KEY, 'pk')}, paired AS (SELECT * FROM strict UNION ALL SELECT g.ord, p.ord FROM gk g JOIN pk p ON {_SAME_FORMS} AND k_gk = k_pk)"
+#: The serial rule: gold claims of a source and predicate in order, each with its first prediction not yet taken.
+_RELAXED = f"""wishes AS (SELECT g.source_id, g.predicate, g.ord AS gold, list(p.ord ORDER BY p.ord) AS prefs FROM gl g JOIN pl p ON {_SAME} AND {_OVER} AND {_ALIKE} GROUP BY 1, 2, 3),
+turns AS (SELECT *, row_number() OVER (PARTITION BY source_id, predicate ORDER BY gold) AS turn FROM wishes),
+walk AS (SELECT source_id, predicate, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS gold, CAST(NULL AS BIGINT) AS pred, CAST([] AS BIGINT[]) AS taken FROM turns WHERE turn = 1
+  UNION ALL SELECT t.source_id, t.predicate, t.turn, t.gold, list_filter(prefs, lambda x: NOT list_contains(taken, x))[1], list_concat(taken, list_filter(prefs, lambda x: NOT list_contains(taken, x))[1:1])
+  FROM walk w JOIN turns t ON t.source_id = w.source_id AND t.predicate = w.predicate AND t.turn = w.turn + 1),
+relaxed AS (SELECT gold, pred FROM strict UNION ALL SELECT gold, pred FROM walk WHERE pred IS NOT NULL)"""
+_MATCHED = (bind.ctes("claims") + f", {_GOLD}, {_PRED}, {_STRICT}").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@registered(
+    f"{_MATCHED}, {_RELAXED}, {_SIDES}, {_BOTH_TIERS}, r AS (SELECT (SELECT count(*) FROM relaxed) AS tp, count(*) FILTER (side = 'p') AS np, count(*) FILTER (side = 'g') AS ng FROM s) "
+    f"SELECT *, {_RATES} FROM (SELECT * FROM t UNION ALL SELECT 'relaxed', tp, np - tp, ng - tp FROM r) u"
+)
 def score_claims(spark, sf_dir):
-    """All three tiers; the relaxed one is a serial greedy matching, held against a serial loop in the tests."""
     g, p = _gold_and_predicted(spark, sf_dir)
     return score.score_claims(p, g)
 
 
-_NTH = lambda side, name: f"{name} AS (SELECT *, {_norm('subject')} AS sn, {_norm('object')} AS obn, row_number() OVER (PARTITION BY source_id, predicate, {_norm('subject')}, {_norm('object')} ORDER BY ord) AS k FROM {side})"
-_PAIRED = "paired AS (SELECT g.ord AS gold, p.ord AS pred FROM gk g JOIN pk p ON g.source_id = p.source_id AND g.predicate = p.predicate AND g.sn = p.sn AND g.obn IS NOT DISTINCT FROM p.obn AND g.k = p.k)"
-
-
 @registered(
-    bind.ctes("claims") + f", {_GOLD}, {_PRED}, {_NTH('gold', 'gk')}, {_NTH('pred', 'pk')}, {_PAIRED} "
-    "SELECT count(*) FILTER (g.polarity <> p.polarity) AS polarity, count(*) FILTER (g.mode <> p.mode) AS mode, count(*) FILTER (g.attribution <> p.attribution) AS attribution FROM paired JOIN gold g ON g.ord = gold JOIN pred p ON p.ord = pred"
+    f"{_MATCHED}, {_LOOSE} SELECT count(*) FILTER (g.polarity <> p.polarity) AS polarity, count(*) FILTER (g.mode <> p.mode) AS mode, count(*) FILTER (g.attribution <> p.attribution) AS attribution FROM paired JOIN gold g ON g.ord = gold JOIN pred p ON p.ord = pred"
 )
 def field_mismatches(spark, sf_dir):
     g, p = _gold_and_predicted(spark, sf_dir)
     return score.mismatches(p, g)
 
 
-@registered(
-    bind.ctes("claims") + f", {_GOLD}, {_PRED}, {_NTH('gold', 'gk')}, {_NTH('pred', 'pk')}, {_PAIRED}, x AS (SELECT g.ord AS gold, p.ord AS pred, "
-    + ", ".join(f"CASE WHEN g.{f} IS DISTINCT FROM p.{f} THEN '{f} ' ELSE '' END AS d_{f}" for f in score.FIELDS)
-    + ", row_number() OVER (PARTITION BY g.ord ORDER BY least(g.evidence_end, p.evidence_end) - greatest(g.evidence_start, p.evidence_start) DESC, p.ord) AS n FROM gold g JOIN pred p ON g.source_id = p.source_id "
-    "AND least(g.evidence_end, p.evidence_end) > greatest(g.evidence_start, p.evidence_start) WHERE g.ord NOT IN (SELECT gold FROM paired)) SELECT gold, pred, trim("
-    + " || ".join(f"d_{f}" for f in score.FIELDS) + ") AS fields FROM x WHERE n = 1"
+_MISSES = (
+    "x AS (SELECT g.ord AS gold, p.ord AS pred, " + ", ".join(f"CASE WHEN g.{f} IS DISTINCT FROM p.{f} THEN '{f} ' ELSE '' END AS d_{f}" for f in score.FIELDS)
+    + f", row_number() OVER (PARTITION BY g.ord ORDER BY least(g.evidence_end, p.evidence_end) - greatest(g.evidence_start, p.evidence_start) DESC NULLS LAST, p.ord) AS n FROM gold g LEFT JOIN pred p ON g.source_id = p.source_id AND {_OVER} "
+    "WHERE g.ord NOT IN (SELECT gold FROM relaxed)), misses AS (SELECT gold, pred, CASE WHEN pred IS NOT NULL THEN trim(" + " || ".join(f"d_{f}" for f in score.FIELDS) + ") END AS fields FROM x WHERE n = 1)"
 )
+
+
+@registered(f"{_MATCHED}, {_RELAXED}, {_MISSES} SELECT gold, pred, fields FROM misses")
 def near_misses(spark, sf_dir):
     g, p = _gold_and_predicted(spark, sf_dir)
     return score.near_misses(p, g).withColumn("fields", F.array_join("fields", " "))
 
 
-@registered(
-    bind.ctes("claims") + f", {_GOLD}, {_PRED} SELECT p.claim_id FROM pred p WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.source_id = p.source_id AND least(g.evidence_end, p.evidence_end) > greatest(g.evidence_start, p.evidence_start))"
-)
+@registered(f"{_MATCHED}, {_RELAXED}, {_MISSES} SELECT field, count(*) AS n FROM (SELECT unnest(string_split(fields, ' ')) AS field FROM misses) f WHERE field <> '' GROUP BY field")
+def differing_fields(spark, sf_dir):
+    g, p = _gold_and_predicted(spark, sf_dir)
+    return score.differing_fields(score.near_misses(p, g))
+
+
+@registered(f"{_MATCHED}, {_RELAXED} SELECT p.claim_id FROM pred p WHERE p.ord NOT IN (SELECT pred FROM relaxed) AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.source_id = p.source_id AND {_OVER})")
 def predictions_without_gold(spark, sf_dir):
     g, p = _gold_and_predicted(spark, sf_dir)
     return score.no_overlap(p, g).select("claim_id")
@@ -529,34 +555,45 @@ def bounded_history(spark, sf_dir):
 
 
 def _answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """An answer for each order with two claims or more: it cites its first claim and, for some, one of another order."""
-    c = bind.claims(spark, sf_dir).groupBy("source_id").agg(F.array_sort(F.collect_list("claim_id")).alias("gathered")).where("size(gathered) >= 2")
+    """An answer for each order with two claims or more: it marks its first claim and, for some, one that it does not cite;
+    some cite a claim twice, or one of no source. What the cases require goes by the order's number."""
+    c = bind.claims(spark, sf_dir).groupBy("source_id").agg(F.array_sort(F.collect_list("claim_id")).alias("g")).where("size(g) >= 2")
     n = F.substring("source_id", 2, 20).cast("long")
-    answer = F.concat(F.lit("First ["), F.get("gathered", 0), F.lit("], then ["), F.when(n % 4 == 0, F.lit("x9")).otherwise(F.get("gathered", 1)), F.lit("]."))
-    a = c.select(F.col("source_id").alias("case_id"), F.when(n % 9 == 0, "").otherwise(answer).alias("answer"), "gathered")
-    must = F.when(n % 3 == 0, F.array(F.element_at("gathered", -1))).otherwise(F.array().cast("array<string>"))
-    cases = c.select(F.col("source_id").alias("case_id"), must.alias("must_include"), F.slice("gathered", 1, 2).alias("must_include_any"), (n % 5).cast("string").alias("intent"))
+    answer = F.concat(F.lit("First ["), F.get("g", 0), F.lit("], then ["), F.when(n % 4 == 0, F.lit("x9")).otherwise(F.get("g", 1)), F.lit("]."))
+    cite = lambda source: lambda x: F.struct(x.alias("claim_id"), source.alias("source_id"))
+    again = F.when(n % 10 == 1, F.slice("g", 1, 1)).otherwise(F.array().cast("array<string>"))
+    lost = F.when(n % 10 == 2, F.array(F.lit("x8"))).otherwise(F.array().cast("array<string>"))
+    cited = F.concat(F.transform(F.concat("g", again), cite(F.col("source_id"))), F.transform(lost, cite(F.lit("nowhere"))))
+    a = c.select(F.col("source_id").alias("case_id"), F.when(n % 9 == 0, "").otherwise(answer).alias("answer"), cited.alias("cited"))
+    none = F.array().cast("array<string>")
+    cases = c.select(
+        F.col("source_id").alias("case_id"), (n % 5).cast("string").alias("intent"),
+        F.when(n % 6 == 0, F.array(F.element_at("g", -1))).when(n % 6 == 1, F.array(F.lit("absent"))).otherwise(none).alias("must_include_claims"),
+        F.when(n % 2 == 0, F.slice("g", 1, 2)).otherwise(none).alias("must_include_any_claims"),
+        F.when(n % 5 == 0, F.array("source_id")).otherwise(none).alias("must_include_sources"),
+        F.when(n % 7 == 0, F.array(F.lit("elsewhere"), F.lit("absent"))).otherwise(none).alias("must_include_any_sources"),
+    )
     return a, cases
 
 
-_ANSWERS = bind.ctes("claims") + """, a AS (SELECT source_id AS case_id, list_sort(list(claim_id)) AS g, CAST(substr(source_id, 2) AS BIGINT) AS n FROM claims GROUP BY source_id HAVING count(*) >= 2),
-c AS (SELECT case_id, g, n, CASE WHEN n % 9 = 0 THEN [] WHEN n % 4 = 0 THEN [g[1], 'x9'] ELSE [g[1], g[2]] END AS cited, n % 9 <> 0 AS filled FROM a),
-v AS (SELECT case_id, CAST(n % 5 AS STRING) AS intent, filled AS not_empty, n % 9 = 0 OR n % 4 <> 0 AS citation_integrity, (n % 3 <> 0 OR list_contains(cited, g[len(g)])) AND filled AS required_evidence FROM c)"""
+_ANSWERS = bind.ctes("claims") + """, c AS (SELECT source_id AS case_id, CAST(substr(source_id, 2) AS BIGINT) AS n FROM claims GROUP BY source_id HAVING count(*) >= 2),
+v AS (SELECT case_id, CAST(n % 5 AS STRING) AS intent, CASE WHEN n % 9 <> 0 THEN 'pass' ELSE 'fail' END AS non_empty,
+  CASE WHEN (n % 9 <> 0 AND n % 4 = 0) OR n % 10 IN (1, 2) THEN 'fail' ELSE 'pass' END AS citation_integrity,
+  CASE WHEN n % 6 NOT IN (0, 1) AND n % 2 <> 0 AND n % 5 <> 0 AND n % 7 <> 0 THEN 'not_evaluated' WHEN n % 6 = 1 OR n % 7 = 0 THEN 'fail' ELSE 'pass' END AS required_evidence_present FROM c),
+l AS (SELECT case_id, intent, unnest(['non_empty', 'citation_integrity', 'required_evidence_present']) AS name, unnest([non_empty, citation_integrity, required_evidence_present]) AS status FROM v)"""
 
 
-@registered(
-    _ANSWERS + ", l AS (SELECT case_id, 'not_empty' AS name, not_empty AS ok FROM v UNION ALL SELECT case_id, 'citation_integrity', citation_integrity FROM v UNION ALL SELECT case_id, 'required_evidence', required_evidence FROM v) SELECT case_id, name, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status FROM l"
-)
+@registered(_ANSWERS + " SELECT case_id, name, status FROM l")
 def audit_answers(spark, sf_dir):
-    return audit.audit_answers(*_answers(spark, sf_dir)).select("case_id", "name", "status")
+    return audit.audit_answers(*_answers(spark, sf_dir), bind.sources(spark, sf_dir)).select("case_id", "name", "status")
 
 
 @registered(
-    _ANSWERS + " SELECT intent, CAST(count(*) FILTER (not_empty AND citation_integrity AND required_evidence) AS BIGINT) AS passed, count(*) AS total, count(*) FILTER (not_empty AND citation_integrity AND required_evidence) / count(*) AS rate FROM v GROUP BY ROLLUP (intent)"
+    _ANSWERS + ", k AS (SELECT case_id, intent, bool_and(status <> 'fail') AS passed FROM l GROUP BY case_id, intent) SELECT intent, count(*) FILTER (passed) AS passed, count(*) AS total, count(*) FILTER (passed) / count(*) AS rate FROM k GROUP BY ROLLUP (intent)"
 )
 def case_report(spark, sf_dir):
     answers, cases = _answers(spark, sf_dir)
-    return audit.case_report(audit.audit_answers(answers, cases), cases)
+    return audit.case_report(audit.audit_answers(answers, cases, bind.sources(spark, sf_dir)), cases)
 
 
 @registered(
@@ -567,20 +604,21 @@ def judge_variability(spark, sf_dir):
     return audit.judge_variability(t).withColumns({"mean": F.round("mean", 6), "spread": F.round("spread", 6)})
 
 
+_TRIAL = """SELECT user_id % 50 AS fixture_id, event_type AS criterion, CASE WHEN user_id % 7 = 0 THEN 'not_applicable' WHEN user_id % 2 = 0 THEN 'pass' ELSE 'fail' END AS human,
+  CASE WHEN value > 20 THEN 'pass' WHEN value > 4 THEN 'fail' ELSE 'not_evaluated' END AS status, CASE WHEN value > 4 THEN value END AS score,
+  CASE event_id % 4 WHEN 0 THEN 'provider_failure' WHEN 1 THEN 'parse_failure' WHEN 2 THEN 'incomplete_coverage' END AS failure FROM {events}"""
+
+
 @registered(
-    "WITH t AS (SELECT user_id % 50 AS fixture_id, event_type AS criterion, CASE WHEN user_id % 2 = 0 THEN 'pass' ELSE 'fail' END AS human, CASE WHEN value > 20 THEN 'pass' WHEN value > 4 THEN 'fail' ELSE 'unavailable' END AS status, value AS score, CASE event_id % 4 WHEN 0 THEN 'provider' WHEN 1 THEN 'parse' WHEN 2 THEN 'incomplete' ELSE 'unscored' END AS failure FROM events WHERE user_id % 7 <> 0), "
-    "f AS (SELECT criterion, fixture_id, count(DISTINCT CASE WHEN status <> 'unavailable' THEN status END) AS v, count(DISTINCT score) AS s, stddev_pop(score) AS d FROM t GROUP BY 1, 2), g AS (SELECT criterion, count(*) FILTER (v > 1) AS flips, count(*) FILTER (s > 1) AS varying, round(avg(d), 6) AS mean_spread FROM f GROUP BY 1) "
-    "SELECT t.criterion, count(*) FILTER (status <> 'unavailable') AS judged, count(*) FILTER (status = human) AS agree, count(*) FILTER (status = 'pass' AND human = 'fail') AS false_pass, count(*) FILTER (status = 'fail' AND human = 'pass') AS false_fail, "
-    + ", ".join(f"count(*) FILTER (status = 'unavailable' AND failure = '{x}') AS n_{x}" for x in ("provider", "parse", "incomplete", "unscored"))
-    + ", flips, varying, mean_spread, count(*) FILTER (status = human) / count(*) FILTER (status <> 'unavailable') AS agreement FROM t JOIN g USING (criterion) GROUP BY t.criterion, flips, varying, mean_spread"
+    "WITH t AS (SELECT * FROM (" + _TRIAL.format(events="events") + ") x WHERE human <> 'not_applicable'), "
+    "f AS (SELECT criterion, fixture_id, count(DISTINCT status) AS v, count(score) AS s, stddev_pop(score) AS d FROM t GROUP BY 1, 2), "
+    "g AS (SELECT criterion, count(*) FILTER (v > 1) AS verdict_flips, count(*) FILTER (s > 1) AS fixtures_with_repeats, round(avg(d) FILTER (s > 1), 6) AS mean_spread FROM f GROUP BY 1) "
+    "SELECT t.criterion, count(*) AS judged, count(*) FILTER (status = human) AS agree, count(*) FILTER (status = 'pass' AND human = 'fail') AS false_pass, count(*) FILTER (status = 'fail' AND human = 'pass') AS false_fail, "
+    + ", ".join(f"count(*) FILTER (status = 'not_evaluated' AND failure = '{x}') AS {x}" for x in audit.FAILURES)
+    + ", count(*) FILTER (status = 'not_evaluated' AND failure IS NULL) AS unscored, verdict_flips, fixtures_with_repeats, mean_spread, count(*) FILTER (status = human) / count(*) AS agreement_rate FROM t JOIN g USING (criterion) GROUP BY t.criterion, verdict_flips, fixtures_with_repeats, mean_spread"
 )
 def calibration_report(spark, sf_dir):
-    e = _table(spark, sf_dir, "events").where("user_id % 7 <> 0")
-    t = e.select(
-        (F.col("user_id") % 50).alias("fixture_id"), F.col("event_type").alias("criterion"), F.expr("case when user_id % 2 = 0 then 'pass' else 'fail' end").alias("human"),
-        F.expr("case when value > 20 then 'pass' when value > 4 then 'fail' else 'unavailable' end").alias("status"), F.col("value").alias("score"),
-        F.expr("element_at(array('provider', 'parse', 'incomplete', 'unscored'), cast(event_id % 4 as int) + 1)").alias("failure"),
-    )
+    t = spark.sql(_TRIAL, events=_table(spark, sf_dir, "events"))
     return audit.calibration_report(t).withColumn("mean_spread", F.round("mean_spread", 6))
 
 
@@ -643,21 +681,54 @@ def anchor_guard(spark, sf_dir):
     return anchor.anchor_guard(c, bind.sources(spark, sf_dir)).select("claim_id", "problem")
 
 
-@registered()
+@registered(
+    bind.ctes("claims") + f", {_RESOLUTION}, {_GRAPH}, h AS (SELECT sha256(claim_id || chr(0) || src || chr(0) || dst || chr(0) || predicate) AS h FROM g WHERE object IS NOT NULL) SELECT sha256(CAST(count(*) AS STRING) || ':' || "
+    + " || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 13 * k}, 13)) AS BIGINT)) AS STRING)" for k in range(4)) + ") AS content_hash FROM h"
+)
 def graph_content_hash(spark, sf_dir):
-    """One hash over all edges, whatever their order; tests hold it against shuffled copies."""
+    """One hash over all edges, whatever their order."""
     return profile.content_hash(graph.edges(_ends(spark, sf_dir)[1]).select("claim_id", "src", "dst", "predicate"), ["claim_id", "src", "dst", "predicate"])
 
 
+def _question_cases(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A case for each part name: its first claim of each predicate is required, one of the last ones will do; the answer
+    gathers some of the first ones and marks one. Also the claims."""
+    claims = bind.claims(spark, sf_dir)
+    names = bind.queries(spark, sf_dir).select(F.col("query").alias("case_id"))
+    about = claims.join(F.broadcast(names), F.contains(F.lower("subject"), F.lower("case_id"))).groupBy("case_id", "predicate").agg(F.min_by("claim_id", "ord").alias("first"), F.max_by("claim_id", "ord").alias("last"))
+    of = lambda column, when="true": F.array_sort(F.collect_list(F.when(F.expr(when), F.col(column))))
+    cases = about.groupBy("case_id").agg(
+        of("first").alias("must_include_claims"), of("last").alias("must_include_any_claims"), of("first", "predicate in ('is', 'causes', 'makes')").alias("gathered"),
+        F.max(F.when(F.col("predicate") == "is", F.col("first"))).alias("marked"),
+    )
+    answers = cases.select("case_id", F.concat(F.lit("See ["), F.coalesce("marked", F.lit("x9")), F.lit("].")).alias("answer"), "gathered")
+    questions = cases.select("case_id", F.concat(F.lit("What is the "), "case_id", F.lit("?")).alias("question"), "must_include_claims", "must_include_any_claims")
+    return questions, answers, claims
+
+
+_CASES = bind.ctes("claims", "queries").replace("queries AS", "names AS") + """, about AS (SELECT name AS case_id, predicate, arg_min(claim_id, ord) AS first, arg_max(claim_id, ord) AS last FROM claims JOIN (SELECT query AS name FROM names) m ON contains(lower(subject), lower(name)) GROUP BY 1, 2),
+words AS (SELECT DISTINCT case_id, split_part(lower(case_id), ' ', 1) AS a, split_part(lower(case_id), ' ', 2) AS b FROM about),
+terms AS (SELECT case_id, unnest([a, b, a || ' ' || b, 'the ' || a, 'the ' || b, 'the ' || a || ' ' || b]) AS query, generate_subscripts([1, 2, 3, 4, 5, 6], 1) - 1 AS q_ord FROM words),
+queries AS (SELECT case_id AS batch_id, q_ord, query FROM terms), """ + _HITS + ", few AS (SELECT * FROM hits WHERE rank <= 5), " + _merge("few", 12, "batched") + """,
+reached AS (SELECT DISTINCT batch_id AS case_id, claim_id FROM hits WHERE rank <= 12 UNION SELECT batch_id, claim_id FROM batched)"""
+
+
+@registered(_CASES + " SELECT case_id, claim_id FROM reached")
+def lexical_reachability(spark, sf_dir):
+    """What some plausible term of each case's question retrieves, alone or with the others."""
+    questions, _, claims = _question_cases(spark, sf_dir)
+    return audit.reachability(questions, claims)
+
+
 @registered(
-    _ANSWERS + ", r AS (SELECT case_id, unnest(g) AS claim_id, cited, n FROM c) SELECT case_id, claim_id, CASE WHEN n % 2 = 0 THEN 'C' WHEN n % 3 = 0 THEN 'A' ELSE 'B' END AS class FROM r WHERE NOT list_contains(cited, claim_id)"
+    _CASES + ", gathered AS (SELECT case_id, first AS claim_id FROM about WHERE predicate IN ('is', 'causes', 'makes')), groups AS (SELECT DISTINCT case_id FROM about JOIN gathered USING (case_id) WHERE last = gathered.claim_id), "
+    "missing AS (SELECT case_id, first AS claim_id FROM about WHERE predicate NOT IN ('is', 'causes', 'makes') UNION SELECT case_id, last FROM about WHERE case_id NOT IN (SELECT case_id FROM groups)) "
+    "SELECT case_id, claim_id, CASE WHEN EXISTS (SELECT 1 FROM reached r WHERE r.case_id = m.case_id AND r.claim_id = m.claim_id) THEN 'A' ELSE 'B' END AS class FROM missing m WHERE NOT EXISTS (SELECT 1 FROM gathered g WHERE g.case_id = m.case_id AND g.claim_id = m.claim_id) "
+    "UNION ALL SELECT case_id, first, 'C' FROM about WHERE predicate IN ('causes', 'makes')"
 )
 def classify_failures(spark, sf_dir):
-    """Every claim of an order is required; even orders gathered theirs, and those of orders divisible by three are reachable."""
-    answers, _ = _answers(spark, sf_dir)
-    a = audit.citation_audit(answers).withColumn("n", F.substring("case_id", 2, 20).cast("long"))
-    rows = lambda d, c: d.select("case_id", F.explode(c).alias("claim_id"))
-    return audit.classify_failures(rows(a, "gathered"), rows(a.where("n % 2 = 0"), "gathered"), rows(a, "cited"), rows(a.where("n % 3 = 0"), "gathered"))
+    questions, answers, claims = _question_cases(spark, sf_dir)
+    return audit.classify_failures(questions, answers, audit.reachability(questions, claims))
 
 
 _ASKS = "asks AS (SELECT p_partkey AS k, p_name, CASE p_partkey % 4 WHEN 0 THEN 'How does the ' || p_name || ' think?' WHEN 1 THEN 'Well. What is the Mind of ' || p_name || '?' WHEN 2 THEN 'What is a ' || p_name || '?' ELSE 'What is the corpus all about?' END AS question FROM {part})"

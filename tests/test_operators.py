@@ -231,9 +231,72 @@ def test_history(spark):
 
 
 def test_calibration(spark):
-    rows = [("f1", "c", "fail", "fail", 0.1, None)] * 3 + [("f2", "c", "pass", "pass", 0.9, None)] * 3 + [("f3", "c", "pass", "unavailable", None, "parse")]
-    r = audit.calibration_report(spark.createDataFrame(rows, "fixture_id string, criterion string, human string, status string, score double, failure string")).first()
-    assert (r["agree"], r["flips"], r["mean_spread"], r["n_parse"], r["agreement"]) == (6, 0, 0.0, 1, 1.0)
+    trial = "fixture_id string, criterion string, human string, status string, score double, failure string"
+    rows = [("f1", "c", "fail", "fail", 0.1, None)] * 3 + [("f2", "c", "pass", "pass", 0.9, None)] * 3 + [("f3", "c", "pass", "not_evaluated", None, "parse_failure")]
+    rows += [("f4", "c", "pass", "not_evaluated", None, "other"), ("f4", "c", "pass", "fail", 0.2, None), ("f5", "c", "not_applicable", "pass", 1.0, None), ("f6", "c", None, "pass", 1.0, None), ("f7", "c", "fail", "pass", 0.7, None)]
+    r = audit.calibration_report(spark.createDataFrame(rows, trial)).first().asDict()
+    assert r == {
+        "criterion": "c", "judged": 10, "agree": 6, "false_pass": 1, "false_fail": 1, "provider_failure": 0, "parse_failure": 1, "incomplete_coverage": 0, "unscored": 1,
+        "verdict_flips": 1, "fixtures_with_repeats": 2, "mean_spread": 0.0, "agreement_rate": 0.6,
+    }
+
+
+def test_strict_key_has_all_qualifiers_and_strict_pairs_come_first(spark):
+    gold = claims(spark, [("a", "is", "b", {"mode": "question"}), ("a", "is", "b")])
+    pred = claims(spark, [("a", "is", "b"), ("A.", "is", "the b", {"mode": "question", "attribution": "ego"})])
+    tiers = {r["tier"]: r["tp"] for r in score.score_claims(pred, gold).collect()}
+    assert tiers == {"loose": 2, "strict": 1, "relaxed": 2}
+    # the second gold claim has the first prediction as its strict partner, so only attribution differs
+    assert score.mismatches(pred, gold).first().asDict() == {"polarity": 0, "mode": 0, "attribution": 1}
+
+
+def test_near_misses_start_from_relaxed_pairs(spark):
+    gold = claims(spark, [("the light of the world", "is", "b"), ("c", "is", "d"), ("e", "is", "f", {"evidence_start": 500, "evidence_end": 510}), ("g", "is", "h", {"source_id": "s9"})])
+    pred = claims(spark, [("light", "is", "b"), ("c", "causes", "d"), ("x", "is", "y", {"evidence_start": 900, "evidence_end": 910})])
+    got = {r["gold"]: (r["pred"], r["fields"]) for r in score.near_misses(pred, gold).collect()}
+    assert got[1][0] in (0, 1) and got[2] == (None, None) and got[3] == (None, None) and 0 not in got
+    assert [r["ord"] for r in score.no_overlap(pred, gold).collect()] == [2]
+    assert {r["field"]: r["n"] for r in score.differing_fields(score.near_misses(pred, gold)).collect()}
+
+
+def test_audit_criteria(spark):
+    cite = "array<struct<claim_id:string,source_id:string>>"
+    answers = spark.createDataFrame(
+        [("ok", "See [c1].", [("c1", "s1")]), ("blank", " \t", []), ("unknown", "[zz]", [("c1", "s1")]), ("twice", "[c1]", [("c1", "s1"), ("c1", "s1")]), ("lost", "[c1]", [("c1", "s9")]), ("need", "x", [("c1", "s1")]), ("source", "x", [("c1", "s1")])],
+        f"case_id string, answer string, cited {cite}",
+    )
+    cases = spark.createDataFrame(
+        [(c, None, [], [], []) for c in ("ok", "blank", "unknown", "twice", "lost")] + [("need", ["c1"], ["c2"], [], []), ("source", [], ["c1", "c2"], ["s1"], ["s1", "s2"])],
+        "case_id string, must_include_claims array<string>, must_include_any_claims array<string>, must_include_sources array<string>, must_include_any_sources array<string>",
+    )
+    sources = spark.createDataFrame([("s1",), ("s2",)], "id string")
+    got = {(r["case_id"], r["name"]): r["status"] for r in audit.audit_answers(answers, cases, sources).collect()}
+    assert {c: got[c, "citation_integrity"] for c in ("ok", "unknown", "twice", "lost")} == {"ok": "pass", "unknown": "fail", "twice": "fail", "lost": "fail"}
+    assert got["blank", "non_empty"] == "fail" and got["ok", "non_empty"] == "pass"
+    assert [got[c, "required_evidence_present"] for c in ("ok", "need", "source")] == ["not_evaluated", "fail", "pass"]
+
+
+def test_failure_classes(spark):
+    cases = spark.createDataFrame([("a", ["c1", "c2", "c3"], ["c4", "c5"]), ("b", [], ["c4", "c5"])], "case_id string, must_include_claims array<string>, must_include_any_claims array<string>")
+    answers = spark.createDataFrame([("a", "[c3]", ["c3", "c2", "c4"]), ("b", "none", [])], "case_id string, answer string, gathered array<string>")
+    reachable = spark.createDataFrame([("a", "c1"), ("b", "c5")], "case_id string, claim_id string")
+    got = {tuple(r) for r in audit.classify_failures(cases, answers, reachable).collect()}
+    assert got == {("a", "c1", "A"), ("a", "c2", "C"), ("b", "c4", "B"), ("b", "c5", "A")}
+
+
+def test_vector_top_k_over_several_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    held, asked = rng.normal(size=(90, 5)), rng.normal(size=(7, 5))
+    held[40:50] = held[30]  # ties go by id
+    v = spark.createDataFrame([(f"c{i:03}", x.tolist()) for i, x in enumerate(held)] + [("none", None)], "claim_id string, vec array<double>")
+    q = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(asked)] + [(1, 0, None)], "batch_id long, q_ord long, vec array<double>")
+    out = retrieve.vector_top_k(v.repartition(3), q, 12, block=2).collect()
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = unit(asked) @ unit(held).T
+    want = {(0, i, r + 1): f"c{j:03}" for i in range(7) for r, j in enumerate(sorted(range(90), key=lambda j: (-round(scores[i, j], 9), j))[:12])}
+    assert {(r["batch_id"], r["q_ord"], r["rank"]): r["claim_id"] for r in out} == want
 
 
 def test_unique_partition(spark):
