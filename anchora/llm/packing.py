@@ -334,14 +334,16 @@ def fits(waiting: DataFrame, gaps: DataFrame, limit: int = LIMIT) -> DataFrame:
         opens = None
         if not segments and not any(k == 2 for _, k in of):
             opens = longest([(p, count(p, 0)) for p in open_parts], -(-sum(r["all"] for (_, k), r in of.items() if k == 0) // limit))
-        keyed = swept.mapInArrow(_keyed(segments, opens, limit), KEYED) if segments or opens else swept.withColumn("key", F.lit(None).cast("long"))
-        pairs = keyed.where("kind = 2").select("id", "size", "gap", "gap_size")
-        if segments:
-            docs, free = (keyed.where(f"kind = {k} and key is not null") for k in (0, 1))
-            pairs = pairs.union(docs.select("key", "id", "size").join(free.select("key", F.col("id").alias("gap"), F.col("size").alias("gap_size")), "key").select("id", "size", "gap", "gap_size"))
-        pairs = written(pairs) if segments or opens else pairs
+        left = swept.where("kind < 2").mapInArrow(_keyed(segments, opens, limit), KEYED)
+        pairs = swept.where("kind = 2").select("id", "size", "gap", "gap_size")
+        if segments or opens:
+            left = written(left)
+            docs, free = (left.where(f"kind = {k} and key is not null") for k in (0, 1))
+            crossing = docs.select("key", "id", "size").join(free.select("key", F.col("id").alias("gap"), F.col("size").alias("gap_size")), "key")
+            pairs = pairs.union(crossing.select("id", "size", "gap", "gap_size")).union(left.where("kind = 2").select("id", "size", "gap", "gap_size"))
+            pairs = written(pairs)
         placed.append(pairs.select("id", F.col("gap").alias("sequence_id"), (limit - F.col("gap_size")).alias("offset")))
-        rest = keyed.where("kind < 2 and key is null").select("kind", "id", "size")
+        rest = left.where("kind < 2 and key is null").select("kind", "id", "size")
         state = rest.union(pairs.where("gap_size > size").select(F.lit(1), "gap", F.col("gap_size") - F.col("size")))
         crossed = sum(s[4] for s in segments)
         opened = sum(count(p, 0) for p in open_parts if p > opens[0]) + (count(opens[0], 0) - opens[1] if opens[0] >= 0 else 0) if opens else 0
