@@ -1,6 +1,7 @@
 """The dealt operators on small tables, held against plain loops."""
 
 import hashlib
+import os
 import itertools
 import random
 import re
@@ -342,27 +343,62 @@ def test_lm_weights_move_to_what_predicts():
     assert w[9, 0] > 0.9 and w[2, 1] > 0.9 and np.allclose(w.sum(axis=1), 1)
 
 
-@pytest.mark.parametrize("bucket_rows", [4000, 3])
-def test_suffix(spark, monkeypatch, bucket_rows):
-    monkeypatch.setattr(suffix, "BUCKET_ROWS", bucket_rows)
-    rnd = random.Random(14)
-    base = ["".join(rnd.choice("abé ") for _ in range(rnd.randint(20, 120))) for _ in range(12)]
-    rows = [r for r in ODD if r[0]] + [(100 + i, "".join(rnd.choice(base)[rnd.randint(0, 30) : rnd.randint(30, 120)] for _ in range(rnd.randint(0, 7)))) for i in range(150)]
-    length = 40
+def removed(rows, length):
     seen = Counter(x[k : k + length] for x in ((t or "").encode() for _, t in rows) for k in range(len(x) - length + 1))
-    want = Counter()
     for i, t in rows:
         x = (t or "").encode()
         gone = bytearray(len(x))
         for k in range(len(x) - length + 1):
             if seen[x[k : k + length]] > 1:
                 gone[k : k + length] = b"\1" * length
+        yield i, x, gone
+
+
+@pytest.mark.parametrize("bucket_rows, pairs", [(3, 4), (1000, 8), (1000, 2)])
+def test_suffix(spark, monkeypatch, bucket_rows, pairs):
+    monkeypatch.setattr(suffix, "BUCKET_ROWS", bucket_rows)
+    monkeypatch.setattr(suffix, "PAIRS", pairs)
+    rnd = random.Random(14)
+    base = ["".join(rnd.choice("abé ") for _ in range(rnd.randint(20, 120))) for _ in range(12)]
+    rows = [r for r in ODD if r[0]] + [(100 + i, "".join(rnd.choice(base)[rnd.randint(0, 30) : rnd.randint(30, 120)] for _ in range(rnd.randint(0, 7)))) for i in range(150)]
+    rows += [(300, "x" * 95), (301, "y" + "x" * 41), (302, "x" * 40), (303, base[0] + "ab" * 50 + base[1]), (304, "ab" * 21), (305, "abc" * 60 + base[2]), (306, "\0" * 44 + base[3]), (307, "bcabc" + base[2])]
+    length, short = 40, 24
+    want = Counter()
+    for (i, x, gone), (_, _, shared) in zip(removed(rows, length), removed(rows, short), strict=True):
         kept = bytes(c for c, g in zip(x, gone, strict=True) if not g)
         spans = sum(1 for k in range(len(x)) if gone[k] and (k == 0 or not gone[k - 1]))
-        want[i, len(x), sum(gone), spans, hashlib.sha256(kept).hexdigest()] += 1
-    got = Counter(tuple(r) for r in suffix.remove_repeats(table(spark, rows), length, 10).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+        want[i, len(x), sum(gone), spans, hashlib.sha256(kept).hexdigest(), sum(shared)] += 1
+    got = Counter(tuple(r) for r in suffix.remove_repeats(table(spark, rows), length, short, 10).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared").collect())
     assert got == want
-    assert suffix.remove_repeats(table(spark, rows).limit(0), length, 10).count() == 0
+    assert suffix.remove_repeats(table(spark, rows).limit(0), length, short, 10).count() == 0
+
+
+def test_multikey_sort_equals_sorting_bytes():
+    rng = random.Random(6)
+    for trial in range(30):
+        parts = [bytes(rng.choice(b"\0ab\xff") for _ in range(rng.randint(0, 12))) for _ in range(4)]
+        strings = [b"".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(60)] + [bytes(7 * [255]), bytes(8 * [255]), b"\0", b""]
+        group = np.array([rng.randint(0, 3) for _ in strings])
+        size = np.array([len(x) for x in strings])
+        start = np.cumsum(size) - size
+        order, common = suffix.Strings(np.frombuffer(b"".join(strings), np.uint8)).multikey_sorted(start, size, group)
+        assert [(group[k], strings[k]) for k in order] == sorted((g, x) for g, x in zip(group, strings, strict=True))
+        for n in range(len(order)):
+            a, b = order[n - 1], order[n]
+            want = -1 if n == 0 or group[a] != group[b] else len(os.path.commonprefix([strings[a], strings[b]]))
+            assert common[n] == want, (trial, n)
+
+
+def test_periodic_texts_need_few_suffixes():
+    for unit in (b"a", b"ab", b"abcde"):
+        text = np.frombuffer(b"start of it " + unit * 40_000 + b" and its end", np.uint8)
+        kind, _, _, low, high = suffix.sampled_suffixes(text, 400, 256, 80)
+        assert (kind == 2).sum() < 700
+        covered = np.zeros(len(text), bool)
+        for k, a, b in zip(kind, low, high, strict=True):
+            if k == 2 or k == 0:
+                covered[a : b + 1] = True
+        assert covered[: len(text) - 255].all()
 
 
 def test_quality(spark):
