@@ -1,8 +1,12 @@
 """Language-model scores: a bigram model by deleted interpolation over corpus-wide counts.
 
+Training documents are an estimation part and a held-out part, by a hash of their text, so copies stay together. Mixture
+weights come from the held-out tokens under the counts of the estimation part; scores use the counts of both.
+
 Documents form batches by hash. A batch asks for the counts of its distinct n-grams with one packed row for each hash
 cell; the cell adds up what all batches counted and answers each in the same order. So a corpus-wide vocabulary is
-never gathered anywhere, and no n-gram is dropped."""
+never gathered anywhere, and no n-gram is dropped. Batches and cells grow with the square root of the input up to a
+bound, so that the packed rows grow with the input and not with its square."""
 
 from __future__ import annotations
 
@@ -13,17 +17,21 @@ from pyspark.sql import functions as F
 
 from anchora.llm.base import LOWER, Rolling, fold, mix, text_parts, word_ranges, written
 
-#: Text bytes in a batch of documents and in a cell of n-grams, about.
-BATCH_BYTES, CELL_BYTES = 16 << 20, 16 << 20
+#: Text bytes in a batch of documents and in a cell of n-grams, about, for inputs of up to SCALE_BYTES; and at most.
+BATCH_BYTES, SCALE_BYTES, MOST_BYTES = 16 << 20, 4 << 30, 128 << 20
+#: One training text in so many is held out.
+HELD_OUT = 8
 #: Rounds of EM, steps of the histogram's grid for each factor of two, and tokens that hold a bucket to all contexts.
-EM_ROUNDS, STEPS, PRIOR = 30, 4, 20.0
+EM_ROUNDS, STEPS, PRIOR = 30, 8, 20.0
+#: Whose counts: of the estimation part, of the held-out part; what a document is else.
+ESTIMATE, HELD, NEITHER = 0, 1, 2
 
-CELLS = "cell int, batch int, kind int, grams binary, counts binary"
-ANSWERS = "batch int, cell int, kind int, counts binary, total long, distinct long"
+CELLS = "cell int, batch int, kind int, grams binary, counts binary, held binary"
+ANSWERS = "batch int, cell int, kind int, counts binary, held binary, total long, held_total long, distinct long, first_distinct long"
 
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one batch's documents: unigram and bigram of each token in order, its document, and which documents train."""
+    """Of one batch's documents: unigram and bigram of each token in order, its document, and each document's part."""
     unigrams, bigrams, rows, base = [], [], [], 0
     for chunk in table.column("text").chunks:
         for _, offsets, buf in text_parts(chunk):
@@ -45,7 +53,7 @@ def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             rows.append(doc + base)
             base += n
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(unigrams, np.uint64), join(bigrams, np.uint64), join(rows, np.int64), table.column("train").to_numpy()
+    return join(unigrams, np.uint64), join(bigrams, np.uint64), join(rows, np.int64), table.column("part").to_numpy()
 
 
 def _cell_of(grams: np.ndarray, cells: int) -> np.ndarray:
@@ -55,94 +63,98 @@ def _cell_of(grams: np.ndarray, cells: int) -> np.ndarray:
 
 def _ask(cells: int):
     def run(key, table):
-        unigrams, bigrams, rows, train = _columns(table)
-        used = train[rows]
-        out = {"cell": [], "kind": [], "grams": [], "counts": []}
+        unigrams, bigrams, rows, part = _columns(table)
+        used = part[rows]
+        out = {"cell": [], "kind": [], "grams": [], "counts": [], "held": []}
         for kind, grams in enumerate((mix(unigrams), bigrams)):
             distinct, back = np.unique(grams, return_inverse=True)
-            counts = np.bincount(back, weights=used, minlength=len(distinct)).astype(np.uint32)
+            counts = [np.bincount(back, weights=used == k, minlength=len(distinct)).astype(np.uint32) for k in (ESTIMATE, HELD)]
             bounds = np.searchsorted(_cell_of(distinct, cells), np.arange(cells + 1, dtype=np.uint64))
             for cell in np.flatnonzero(np.diff(bounds)):
-                part = slice(bounds[cell], bounds[cell + 1])
+                of = slice(bounds[cell], bounds[cell + 1])
                 out["cell"].append(cell)
                 out["kind"].append(kind)
-                out["grams"].append(distinct[part].tobytes() if kind == 0 else _five_bytes(distinct[part]))
-                out["counts"].append(counts[part].tobytes())
+                out["grams"].append(_bytes_of(distinct[of], kind))
+                for name, c in zip(("counts", "held"), counts, strict=True):
+                    out[name].append(c[of].tobytes())
         n = len(out["cell"])
-        return pa.table(
-            [pa.array(out["cell"], pa.int32()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array(out["kind"], pa.int32()), pa.array(out["grams"], pa.binary()), pa.array(out["counts"], pa.binary())],
-            ["cell", "batch", "kind", "grams", "counts"],
-        )
+        blobs = [pa.array(out[c], pa.binary()) for c in ("grams", "counts", "held")]
+        return pa.table([pa.array(out["cell"], pa.int32()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array(out["kind"], pa.int32()), *blobs], ["cell", "batch", "kind", "grams", "counts", "held"])
 
     return run
 
 
-def _five_bytes(grams: np.ndarray) -> bytes:
-    """The low 40 bits; with the cell they tell bigrams apart well beyond what a score can show."""
-    return np.ascontiguousarray(grams[:, None].view(np.uint8)[:, :5]).tobytes()
+def _bytes_of(grams: np.ndarray, kind: int) -> bytes:
+    """Words whole; of bigrams the low 48 bits, which a cell's bigrams share less than once in a thousand cells."""
+    return grams.tobytes() if kind == 0 else np.ascontiguousarray(grams[:, None].view(np.uint8)[:, :6]).tobytes()
+
+
+def _grams_of(data: bytes, kind: int) -> np.ndarray:
+    if kind == 0:
+        return np.frombuffer(data, np.uint64)
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64)[:, 0]
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """One cell and kind: add the batches' counts and give each batch the totals of what it asked for."""
     kind = table.column("kind")[0].as_py()
-    grams = []
-    for data in table.column("grams").to_pylist():
-        if kind == 0:
-            grams.append(np.frombuffer(data, np.uint64))
-        else:
-            wide = np.zeros((len(data) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-            grams.append(wide.view(np.uint64)[:, 0])
-    counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
-    distinct, back = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(back, weights=np.concatenate(counts), minlength=len(distinct))
+    grams = [_grams_of(x, kind) for x in table.column("grams").to_pylist()]
     at = np.cumsum([0, *map(len, grams)])
-    answers = [totals[back[a:b]].astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-    n = len(answers)
-    first = lambda x: pa.array([int(x)] + [0] * (n - 1), pa.int64())
+    distinct, back = np.unique(np.concatenate(grams), return_inverse=True)
+    del grams
+    totals, answers = [], []
+    for name in ("counts", "held"):
+        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(name).to_pylist()])
+        totals.append(np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.uint32))
+        answers.append([totals[-1][back[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
+    n = len(at) - 1
+    once = lambda x: pa.array([int(x) if kind == 0 else 0] + [0] * (n - 1), pa.int64())
+    sums = [once(totals[0].sum(dtype=np.int64)), once(totals[1].sum(dtype=np.int64)), once(((totals[0] > 0) | (totals[1] > 0)).sum()), once((totals[0] > 0).sum())]
     return pa.table(
-        [table.column("batch"), table.column("cell"), table.column("kind"), pa.array(answers, pa.binary()), first(totals.sum() if kind == 0 else 0), first((totals > 0).sum() if kind == 0 else 0)],
-        ["batch", "cell", "kind", "counts", "total", "distinct"],
+        [table.column("batch"), table.column("cell"), table.column("kind"), *(pa.array(x, pa.binary()) for x in answers), *sums],
+        ["batch", "cell", "kind", "counts", "held", "total", "held_total", "distinct", "first_distinct"],
     )
 
 
-def _counted(table: pa.Table, answers: pa.Table) -> tuple[np.ndarray, ...]:
-    """Per token: its corpus count, its bigram's, its context's place (-1 at a start), its document; and who trains."""
-    unigrams, bigrams, rows, train = _columns(table)
+def _counted(table: pa.Table, answers: pa.Table, whole: bool) -> tuple[np.ndarray, ...]:
+    """Per token: its word's count, its bigram's (of the estimation part, or of the ``whole`` training text), whether it
+    starts a document, its document; and each document's part."""
+    unigrams, bigrams, rows, part = _columns(table)
     kinds, cells = answers.column("kind").to_numpy(), answers.column("cell").to_numpy()
-    data = answers.column("counts")
+    names = ("counts", "held") if whole else ("counts",)
     found = []
     for kind, grams in enumerate((mix(unigrams), bigrams)):
         mine = np.flatnonzero(kinds == kind)
         mine = mine[np.argsort(cells[mine])]
-        totals = np.concatenate([np.frombuffer(data[int(i)].as_py(), np.uint32) for i in mine]) if len(mine) else np.zeros(0, np.uint32)
+        of = [np.concatenate([np.frombuffer(answers.column(c)[int(i)].as_py(), np.uint32) for i in mine]) if len(mine) else np.zeros(0, np.uint32) for c in names]
+        totals = sum(x.astype(np.int64) for x in of)
         back = np.unique(grams, return_inverse=True)[1]
-        found.append(totals[back].astype(np.int64) if len(back) else np.zeros(0, np.int64))
+        found.append(totals[back] if len(back) else np.zeros(0, np.int64))
     starts = np.ones(len(rows), bool)
     starts[1:] = rows[1:] != rows[:-1]
-    return found[0], found[1], starts, rows, train
+    return found[0], found[1], starts, rows, part
 
 
-def _parts(c1: np.ndarray, c2: np.ndarray, starts: np.ndarray, n: int, v: int, n_docs: int, less: np.ndarray):
-    """Context bucket and the three estimates of each token; ``less`` is 1 where its own occurrence is taken away."""
+def _parts(c1: np.ndarray, c2: np.ndarray, starts: np.ndarray, n: int, v: int, n_docs: int):
+    """Context bucket and the three estimates of each token."""
     before = np.empty_like(c1)
     before[1:] = c1[:-1]
     before[starts] = n_docs
-    inside = np.maximum(before - less, 0)
-    p2 = np.where(inside > 0, np.maximum(c2 - less, 0) / np.maximum(inside, 1), 0.0)
-    p1 = np.maximum(c1 - less, 0) / max(n - 1, 1) if less.any() else c1 / max(n, 1)
-    bucket = np.where(inside > 0, 1 + np.log2(np.maximum(inside, 1)).astype(np.int64), 0)
-    return bucket, p2, p1, 1.0 / (v + 1)
+    p2 = np.where(before > 0, c2 / np.maximum(before, 1), 0.0)
+    bucket = np.where(before > 0, 1 + np.log2(np.maximum(before, 1)).astype(np.int64), 0)
+    return bucket, p2, c1 / max(n, 1), 1.0 / (v + 1)
 
 
 def _held_out(n: int, v: int, n_docs: int):
-    """Histogram of (bucket, log p2, log p1) over training tokens, each with its own occurrence deleted."""
+    """Histogram of (bucket, log p2, log p1) over held-out tokens, by the counts of the estimation part."""
 
     def run(table, answers):
-        c1, c2, starts, rows, train = _counted(table, answers)
-        bucket, p2, p1, _ = _parts(c1, c2, starts, n, v, n_docs, np.ones(len(c1), np.int64))
+        c1, c2, starts, rows, part = _counted(table, answers, whole=False)
+        bucket, p2, p1, _ = _parts(c1, c2, starts, n, v, n_docs)
         grid = lambda p: np.where(p > 0, 1 + np.round(-STEPS * np.log2(np.maximum(p, 1e-30))).astype(np.int64), 0)
-        key = (bucket << 20 | grid(p2) << 10 | grid(p1))[train[rows]]
+        key = (bucket << 20 | grid(p2) << 10 | grid(p1))[part[rows] == HELD]
         keys, counts = np.unique(key, return_counts=True)
         return pa.table([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
 
@@ -175,43 +187,49 @@ def _maximise(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, weights: np.ndar
 
 def _scored(weights: np.ndarray, n: int, v: int, n_docs: int):
     def run(table, answers):
-        c1, c2, starts, rows, _ = _counted(table, answers)
-        bucket, p2, p1, p0 = _parts(c1, c2, starts, n, v, n_docs, np.zeros(len(c1), np.int64))
+        c1, c2, starts, rows, part = _counted(table, answers, whole=True)
+        bucket, p2, p1, p0 = _parts(c1, c2, starts, n, v, n_docs)
         w = weights[bucket]
         size = table.num_rows
         total = lambda x: np.bincount(rows, weights=x, minlength=size)
         base = total(np.log10((c1 + 1) / (n + 1 * (v + 1))))
         score = total(np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0))
         return pa.table(
-            [table.column("doc_id"), table.column("train"), pa.array(total(np.ones(len(rows))).astype(np.int64)), pa.array(total(c1 > 0).astype(np.int64)), pa.array(base), pa.array(score)],
+            [table.column("doc_id"), pa.array(part != NEITHER), pa.array(total(np.ones(len(rows))).astype(np.int64)), pa.array(total(c1 > 0).astype(np.int64)), pa.array(base), pa.array(score)],
             ["doc_id", "train", "n_tokens", "n_known", "base_score", "score"],
         )
 
     return run
 
 
+def part_bytes(all_bytes: int) -> int:
+    """Text bytes of a batch and of a cell for an input of ``all_bytes``."""
+    return max(BATCH_BYTES, min(MOST_BYTES, int(BATCH_BYTES * (all_bytes / SCALE_BYTES) ** 0.5)))
+
+
 def score_documents(docs: DataFrame, train: str = "train") -> DataFrame:
     """Per row of ``docs`` (doc_id, text and a boolean ``train``): n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words (ASCII lower case) and one end. base_score: add-one unigram; score: log10 probability under
-    interpolated bigram, unigram and uniform estimates. Counts come from all rows with ``train``. A null or empty text
-    has the end token alone; without training rows all counts are 0; repeated rows stay; an empty table gives none."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col(train), F.lit(False)).alias("train"))
-    size = d.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(F.col("train").cast("long")).alias("docs")).first()
-    n_docs = size["docs"] or 0
-    batches = 1 + (size["bytes"] or 0) // BATCH_BYTES
-    cells = 1 + (size["bytes"] or 0) // CELL_BYTES
-    batch = F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(batches)).cast("int")
-    d = d.withColumn("batch", batch)
-    asked = d.groupBy("batch").applyInArrow(_ask(cells), CELLS)
+    interpolated bigram, unigram and uniform estimates. Counts come from all rows with ``train``; mixture weights from
+    those of them that are held out, and where there are none from the starting weights. A null or empty text has the end
+    token alone; without training rows all counts are 0; repeated rows and null ids stay; an empty table gives none; a
+    very long text is one batch of its own, whose memory follows that text."""
+    part = F.when(~F.coalesce(F.col(train), F.lit(False)), NEITHER).when(F.pmod(F.xxhash64("text", F.lit("held out")), F.lit(HELD_OUT)) == 0, HELD).otherwise(ESTIMATE)
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), train).select("doc_id", "text", part.alias("part"))
+    size = d.agg(F.sum(F.octet_length("text")).alias("bytes"), *(F.sum((F.col("part") == k).cast("long")).alias(n) for k, n in ((ESTIMATE, "first"), (HELD, "held")))).first()
+    first_docs, n_docs = size["first"] or 0, (size["first"] or 0) + (size["held"] or 0)
+    batches = 1 + (size["bytes"] or 0) // part_bytes(size["bytes"] or 0)
+    d = d.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int"))
+    asked = d.groupBy("batch").applyInArrow(_ask(batches), CELLS)
     answers = written(asked.groupBy("cell", "kind").applyInArrow(_answer, ANSWERS))
-    whole = answers.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
-    n, v = whole["n"] or 0, whole["v"] or 0
-    slim = answers.select("batch", "cell", "kind", "counts")
-    held = d.groupBy("batch").cogroup(slim.groupBy("batch"))
-    grid = held.applyInArrow(_held_out(n, v, n_docs), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    weights = learn_weights([(r["key"], r["n"]) for r in grid], v)
-    out = d.groupBy("batch").cogroup(slim.groupBy("batch")).applyInArrow(
+    sums = answers.agg(*(F.sum(c).alias(c) for c in ("total", "held_total", "distinct", "first_distinct"))).first()
+    first_n, n, first_v, v = sums["total"] or 0, (sums["total"] or 0) + (sums["held_total"] or 0), sums["first_distinct"] or 0, sums["distinct"] or 0
+    slim = lambda *more: answers.select("batch", "cell", "kind", "counts", *more)
+    held_out = d.groupBy("batch").cogroup(slim().groupBy("batch")).applyInArrow(_held_out(first_n, first_v, first_docs), "key long, n long")
+    grid = held_out.groupBy("key").agg(F.sum("n").alias("n")).collect()
+    weights = learn_weights([(r["key"], r["n"]) for r in grid], first_v)
+    out = d.groupBy("batch").cogroup(slim("held").groupBy("batch")).applyInArrow(
         _scored(weights, n, v, n_docs), "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return out.withColumn("train_tokens", F.lit(n).cast("long"))

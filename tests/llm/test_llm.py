@@ -311,7 +311,6 @@ def test_language_distance_by_hand():
 
 def test_lm(spark, monkeypatch):
     monkeypatch.setattr(lm, "BATCH_BYTES", 3000)
-    monkeypatch.setattr(lm, "CELL_BYTES", 2000)
     rnd = random.Random(13)
     phrases = [" ".join(p.split()[:4]) for p in prose(13, 25, 20)]
     rows = ODD + [(100 + k, " ".join(rnd.choice(phrases) for _ in range(15))) for k in range(60)]
@@ -328,13 +327,46 @@ def test_lm(spark, monkeypatch):
     assert lm.score_documents(d.limit(0)).count() == 0
 
 
-def test_lm_weights_learn_from_every_training_token(spark, monkeypatch):
+def test_lm_scores_equal_brute_force(spark, monkeypatch):
+    """Weights from all held-out tokens under the estimation part's counts; scores from the counts of both."""
     monkeypatch.setattr(lm, "BATCH_BYTES", 500)
+    monkeypatch.setattr(lm, "HELD_OUT", 3)
     seen, learn = [], lm.learn_weights
-    monkeypatch.setattr(lm, "learn_weights", lambda rows, v: seen.append(sum(n for _, n in rows)) or learn(rows, v))
-    rows = list(enumerate(prose(19, 40, 30)))
-    out = lm.score_documents(table(spark, rows).withColumn("train", F.col("doc_id") % 3 != 0)).collect()
-    assert seen == [sum(r["n_tokens"] for r in out if r["train"])]
+    monkeypatch.setattr(lm, "learn_weights", lambda rows, v: seen.append((dict(rows), v, learn(rows, v))) or seen[-1][2])
+    rnd = random.Random(19)
+    words = [p.split()[0].lower() for p in prose(19, 12, 3)]
+    rows = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30)))) for k in range(60)]
+    d = table(spark, rows).withColumn("train", F.col("doc_id") % 4 != 0)
+    held = {r[0] for r in d.where(F.pmod(F.xxhash64("text", F.lit("held out")), F.lit(3)) == 0).select("doc_id").collect()}
+    out = {r["doc_id"]: r["score"] for r in lm.score_documents(d).collect()}
+    tokens = {i: [*t.split(), None] for i, t in rows}
+
+    def model(ids):
+        c1 = Counter(x for i in ids for x in tokens[i])
+        c2 = Counter(p for i in ids for p in zip(["start", *tokens[i]], tokens[i], strict=False))
+        n, v, docs = sum(c1.values()), len(c1), len(ids)
+
+        def parts(i):
+            for k, x in enumerate(tokens[i]):
+                before = tokens[i][k - 1] if k else "start"
+                c = docs if before == "start" else c1[before]
+                yield (1 + int(np.log2(c)) if c else 0), (c2[before, x] / c if c else 0.0), c1[x] / n, 1 / (v + 1)
+
+        return parts
+
+    train = [i for i, _ in rows if i % 4]
+    first = model([i for i in train if i not in held])
+    grid = lambda p: 1 + round(-lm.STEPS * float(np.log2(p))) if p else 0
+    want = Counter((b << 20) | (grid(p2) << 10) | grid(p1) for i in train if i in held for b, p2, p1, _ in first(i))
+    assert seen[0][0] == dict(want) and sum(want.values()) == sum(len(tokens[i]) for i in train if i in held)
+    w, both = seen[0][2], model(train)
+    for i, _ in rows:
+        assert abs(out[i] - sum(np.log10(w[b] @ [p2, p1, p0]) for b, p2, p1, p0 in both(i))) < 1e-6
+
+
+def test_lm_packed_rows_follow_the_input():
+    rows = [(b // lm.part_bytes(b)) ** 2 / b for b in (8 << 30, 64 << 30, 240 << 30)]
+    assert max(rows) < 1.2 * min(rows) and lm.part_bytes(1 << 30) == lm.BATCH_BYTES and lm.part_bytes(1 << 50) == lm.MOST_BYTES
 
 
 def test_lm_weights_move_to_what_predicts():
