@@ -174,7 +174,7 @@ class Strings:
             differ = x != 0
             at = going[differ]
             x = x[differ]
-            out[at] = np.minimum(depth + (np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3), most[at])
+            out[at] = np.minimum(depth + np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) // 8, most[at])
             depth += 8
             going = going[~differ]
             going = going[most[going] > depth]
