@@ -220,24 +220,36 @@ def test_urls(spark):
     assert got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("sub.example.com", "/en/x", "example.com/en/", "block") and got[4][2:] == ("www.example.com/en/", "allow")
     assert got[5][2:] == ("net/es/", "block") and got[6] == ("a.net", "/de/1", None, "block") and got[7] == ("com", "", None, "allow")
-    assert got[8][3] == "block"  # it links to a blocked host
+    assert got[8][3] == "block"  # it links to a host with blocked pages
     assert urls.judge_urls(d.limit(0), r).count() == 0
 
 
+def test_host_edges(spark):
+    html = """<a href="/x">1</a> <a HREF='y.html'> <a href=//b.org/z> <a href="https://C.org:80/?q"> <a href="mailto:me@d.org"> <a href="#top"> <link href="http://a.net">"""
+    pages = spark.createDataFrame([("http://A.net/p", html), ("http://a.net/q", None), (None, html)], "url string, html string")
+    got = {(r["src"], r["dst"]): r["weight"] for r in urls.host_edges(pages).collect()}
+    assert got == {("a.net", "a.net"): 3.0, ("a.net", "b.org"): 1.0, ("a.net", "c.org:80"): 1.0}
+
+
 def test_propagation_equals_matrix(spark):
     rnd = random.Random(4)
-    names = "abcdef"
-    e = [(x, y, float(rnd.randint(1, 3))) for x in names for y in names if x != y and rnd.random() < 0.4]
-    got = {r["host"]: r["trust"] for r in urls.propagate(spark.createDataFrame(e, "src string, dst string, weight double"), spark.createDataFrame([("a", 2.0, 0.0), ("b", 1.0, 1.0)], "host string, trust double, distrust double"), rounds=5).collect()}
-    m = np.zeros((6, 6))
+    names = "abcdefg"  # g has no edge out and none in
+    e = [(x, y, float(rnd.randint(1, 3))) for x in names[:-1] for y in names[:-1] if x != "f" and rnd.random() < 0.4]
+    seeds = [("a", 2.0, 0.0), ("b", 1.0, 1.0), ("g", 1.0, 0.0)]
+    out = urls.propagate(spark.createDataFrame(e, "src string, dst string, weight double"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), tolerance=1e-9).collect()
+    m = np.zeros((7, 7))
     for x, y, w in e:
         m[names.index(x), names.index(y)] = w
-    m = np.divide(m, m.sum(axis=1, keepdims=True), out=np.zeros_like(m), where=m.sum(axis=1, keepdims=True) > 0)
-    start = np.array([2 / 3, 1 / 3, 0, 0, 0, 0])
-    now = start
-    for _ in range(5):
-        now = 0.85 * now @ m + 0.15 * start
-    assert all(abs(got.get(x, 0) - now[k]) < 1e-12 for k, x in enumerate(names))
+    for kind, links, start in (("trust", m, [0.5, 0.25, 0, 0, 0, 0, 0.25]), ("distrust", m.T, [0, 1.0, 0, 0, 0, 0, 0])):
+        start = np.array(start)
+        sums = links.sum(axis=1, keepdims=True)
+        p = np.where(sums > 0, links / np.where(sums > 0, sums, 1), start)  # a walk without a way on returns to the seeds
+        p = 0.85 * p + 0.15 * start
+        want = np.linalg.solve(np.vstack([(p.T - np.eye(7))[:-1], np.ones(7)]), np.array([0, 0, 0, 0, 0, 0, 1.0]))
+        got = {r["host"]: r[kind] for r in out}
+        assert all(abs(got.get(x, 0) - want[k]) < 1e-7 for k, x in enumerate(names)) and abs(sum(got.values()) - 1) < 1e-9
+    with pytest.raises(RuntimeError):
+        urls.propagate(spark.createDataFrame(e, "src string, dst string, weight double"), spark.createDataFrame(seeds, "host string, trust double, distrust double"), tolerance=1e-9, most_rounds=2)
 
 
 def shingle_sets(rows, width):
@@ -409,7 +421,7 @@ def test_multikey_sort_equals_sorting_bytes():
     rng = random.Random(6)
     for trial in range(30):
         parts = [bytes(rng.choice(b"\0ab\xff") for _ in range(rng.randint(0, 12))) for _ in range(4)]
-        strings = [b"".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(60)] + [bytes(7 * [255]), bytes(8 * [255]), b"\0", b""]
+        strings = [b"".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(60)] + [bytes(7 * [255]), bytes(8 * [255]), b"\0", b"", b"long" * 100 + b"a", b"long" * 100 + b"b"]
         group = np.array([rng.randint(0, 3) for _ in strings])
         size = np.array([len(x) for x in strings])
         start = np.cumsum(size) - size
