@@ -12,21 +12,53 @@ HEX = r"[0-9a-f]{32,}"
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 #: What they judge in a run that is ordinary as a whole: its long parts between separators.
 PART = r"[A-Za-z0-9+]{16,}"
-#: What counts as an ordinary identifier: a long run of letters, or a number standing alone.
-ORDINARY = r"[A-Za-z_-]{8,}|(?<![A-Za-z0-9])[0-9-]{6,}(?![A-Za-z0-9])"
 #: Characters that the models know, at their index; all others share one more index.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1
 KINDS = ("assign", "access", "hex", "markov")
+#: Matches that are laid out together.
+BLOCK = 64
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a column that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _blocks(rows: Column) -> Column:
+    """An array cut into arrays of at most BLOCK."""
+    last = F.greatest(F.ceil(F.size(rows) / BLOCK).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(rows, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _flat(parts: Column, kind: str, shifted, advance) -> Column:
+    """The ``out`` arrays of ``parts`` (at, out) as one array: ``shifted(item, at)`` lays an item out after all parts before
+    it, which reach to ``at``; ``advance(at, part's at)`` tells how far they reach with one more."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    step = lambda acc, x: F.struct(advance(acc["at"], x["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(x["out"], lambda item: shifted(item, acc["at"])))).alias("out"))
+    return F.flatten(F.aggregate(parts, zero, step)["out"])
+
+
+def _moved(span: Column, by: Column) -> Column:
+    return F.struct((span["start"] + by).alias("start"), span["rank"].alias("rank"), span["kind"].alias("kind"), (span["end"] + by).alias("end"), span["value"].alias("value"))
+
+
+def _after(piece: Column, at: Column) -> Column:
+    return F.struct(F.greatest(piece["start"], at).alias("start"), F.greatest(piece["end"], at).alias("end"), (piece["joined"] | (piece["start"] < at)).alias("joined"))
+
+
+_SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
+_PIECE = "struct<start:int,end:int,joined:boolean>"
 
 
 def spans_of(text: Column, pattern: str, kind: str, accept=None) -> Column:
-    """Array of (start, rank, kind, end) for the leftmost non-overlapping matches, in code points.
+    """Array of (start, rank, kind, end, value) for the leftmost non-overlapping matches, in code points.
 
-    The pieces between matches and the matches themselves give the places by running sums of lengths."""
+    The pieces between matches and the matches themselves give the places by running sums of lengths: within blocks of
+    matches first, then over the blocks, so that work grows with the matches and not with their square."""
     pieces, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = found if accept is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["piece"])
@@ -35,25 +67,96 @@ def spans_of(text: Column, pattern: str, kind: str, accept=None) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     rows = F.transform(F.arrays_zip(pieces.alias("piece"), found.alias("m"), value.alias("v")), lambda x: F.struct(x["piece"].alias("piece"), F.coalesce(x["m"], F.lit("")).alias("m"), x["v"].alias("v")))
-    spans = F.aggregate(rows, zero, step)["out"]
-    spans = F.filter(spans, lambda s: s["value"].isNotNull())
+    parts = _let(rows, lambda r: F.transform(_blocks(r), lambda b: F.aggregate(b, zero, step)))
+    spans = F.filter(_flat(parts, _SPAN, _moved, lambda at, more: at + more), lambda s: s["value"].isNotNull())
     if accept is not None:
         spans = F.filter(spans, lambda s: accept(s["value"]))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def disjoint(spans: Column) -> Column:
+    """Array of (start, end, joined) that covers what ``spans`` (ordered by start) cover, none over another; ``joined``:
+    it goes on where an earlier span that overlaps it ends."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PIECE}>").alias("out"))
+
+    def step(acc, s):
+        piece = _after(F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(False).alias("joined")), acc["at"])
+        return F.struct(piece["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    parts = F.transform(_blocks(spans), lambda b: F.aggregate(b, zero, step))
+    return F.filter(_flat(parts, _PIECE, _after, F.greatest), lambda p: p["start"] < p["end"])
+
+
+def replaced(text: Column, spans: Column, mask) -> Column:
+    """``text`` with ``mask(piece)`` in place of each disjoint piece of ``spans`` (ordered by start).
+
+    The text is cut into stretches of BLOCK pieces first, so no piece is looked for from the text's start."""
+
+    def stretch(pieces, b):
+        block = F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK))
+        begin = F.when(b == 0, F.lit(0)).otherwise(F.get(pieces, b * BLOCK - 1)["end"])
+        here = F.struct(block.alias("block"), begin.alias("begin"), F.element_at(block, -1)["end"].alias("end"))
+
+        def cut(x):
+            inside = text.substr(x["begin"] + 1, x["end"] - x["begin"])
+
+            def joined(y):
+                before = lambda p, i: F.when(i == 0, x["begin"]).otherwise(F.get(x["block"], i - 1)["end"])
+                return F.array_join(F.transform(x["block"], lambda p, i: F.concat(y.substr(before(p, i) - x["begin"] + 1, p["start"] - before(p, i)), mask(p))), "")
+
+            return _let(inside, joined)
+
+        return _let(here, cut)
+
+    def whole(pieces):
+        n = F.ceil(F.size(pieces) / BLOCK).cast("int")
+        tail = text.substr(F.element_at(pieces, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda b: stretch(pieces, b)), ""), tail)
+
+    return F.when(F.size(spans) == 0, text).otherwise(_let(disjoint(spans), whole))
+
+
+def ordinary_words(docs: DataFrame) -> DataFrame:
+    """(token) the distinct runs of 8 letters or more of all texts that are spelt like words: one case, or a capital first.
+    Random strings hardly ever are, so no label is needed."""
+    texts = F.coalesce("text", F.lit(""))
+    words = F.regexp_extract_all(texts, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Z]?[a-z]{7,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    return docs.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count("*").alias("n")).select("token")
 
 
 def labelled_samples(docs: DataFrame, n_random: int = 4000) -> DataFrame:
-    """(token, label): ordinary = the distinct words of letters and the numbers (ORDINARY) of all documents;
-    random = ``n_random`` renderings of SHA-512 digests in base 64, hexadecimal and capitals with digits."""
+    """(token, label, held_out). Ordinary (0): the words of all documents, alone and as identifiers are made of them, with
+    numbers, dates and UUIDs. Random (1): keys of ``n_random`` SHA-512 digests in the alphabets that keys come in. One
+    token in five, by its hash, is held out of training."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(ORDINARY), F.lit(0)))).alias("token"))
-    ordinary = words.groupBy("token").agg(F.count("*").alias("n")).select("token", F.lit(0).alias("label"))
-    digest = F.sha2(F.col("id").cast("string"), 512)
+    word, low = F.col("token"), F.lower("token")
+    number = F.pmod(F.xxhash64("token"), F.lit(10_000))
+    other = F.substring(F.reverse(low), 1, 6)
+    names = F.array(
+        word, F.concat(F.lit("get_"), low, F.lit("_v"), (number % 9 + 1).cast("string")), F.concat(low, F.initcap(low), number.cast("string")),
+        F.concat(F.lit("/"), low, F.lit("/"), low, F.lit("-"), number.cast("string")), F.concat(low, F.lit("-"), low, F.lit("_"), F.lit("2024-01-"), (number % 28 + 1).cast("string")), F.concat(F.upper("token"), F.lit("_"), F.upper(other)),
+    )
+    ordinary = ordinary_words(docs).select(F.explode(names).alias("token"))
+    digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 512)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
-    forms = F.array(F.substring(base64, 1, 40), F.substring(digest, 1, 40), F.substring(F.regexp_replace(F.upper(F.base64(F.unhex(digest))), "[^A-Z0-9]", ""), 1, 24))
-    random = spark.range(n_random).select(F.explode(forms).alias("token"), F.lit(1).alias("label"))
-    return ordinary.unionByName(random)
+    plain = F.regexp_replace(base64, "[+/]", "")
+    keys = F.array(
+        F.substring(base64, 1, 40), F.substring(plain, 1, 32), F.substring(digest, 1, 40), F.substring(F.regexp_replace(F.upper(base64), "[^A-Z0-9]", ""), 1, 24),
+        F.substring(F.regexp_replace(F.lower(base64), "[^a-z0-9]", ""), 1, 32), F.substring(F.regexp_replace(base64, "[^A-Za-z]", ""), 1, 32),
+    )
+    digits = F.substring(F.translate(digest, "abcdef", "012345"), 1, 18)
+    uuid = F.concat_ws("-", *(F.substring(digest, a, n) for a, n in ((65, 8), (73, 4), (77, 4), (81, 4), (85, 12))))
+    ids = spark.range(n_random)
+    plain_ids = ids.where(F.col("id") % 8 == 0).select(F.explode(F.array(digits, uuid)).alias("token"))
+    labelled = ordinary.unionByName(plain_ids).withColumn("label", F.lit(0)).unionByName(ids.select(F.explode(keys).alias("token"), F.lit(1).alias("label")))
+    return labelled.withColumn("held_out", F.pmod(F.xxhash64("token", F.lit("held out")), F.lit(5)) == 0)
+
+
+def rates(samples: DataFrame, table: list[float], threshold: float) -> DataFrame:
+    """One row: tp, fp, fn, tn of the ratio at ``threshold`` over ``samples`` (token, label) of 16 characters or more."""
+    judged = samples.where(F.length("token") >= 16).select("label", F.expr(f"{_ratio('token', _literal(table))} > {threshold:f}").alias("found"))
+    n = lambda label, found: F.count_if((F.col("label") == label) & (F.col("found") == found))
+    return judged.agg(n(1, True).alias("tp"), n(0, True).alias("fp"), n(1, False).alias("fn"), n(0, False).alias("tn"))
 
 
 def _pairs(token: str) -> str:
@@ -66,6 +169,15 @@ def _pair_index(token: str) -> str:
     return f"{place(f'substring({token}, i, 1)')} * {WIDTH} + {place(f'substring({token}, i + 1, 1)')}"
 
 
+def _literal(table: list[float]) -> str:
+    return "cast(split('" + ",".join(f"{x:.5f}" for x in table) + "', ',') as array<double>)"
+
+
+def _ratio(token: str, table: str) -> str:
+    """SQL for the mean log-likelihood ratio of a token's character pairs."""
+    return f"aggregate({_pairs(token)}, cast(0 as double), (a, p) -> a + get({table}, p)) / greatest(length({token}) - 1, 1)"
+
+
 def markov_table(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each character transition, random over ordinary, with one added to each count.
 
@@ -90,7 +202,7 @@ def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: f
     has empty arrays; other columns are ignored, or come in a struct ``kept`` where ``keep`` asks for them."""
     kept = [F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("kept")] if keep else []
     also = ["kept"] * keep
-    table = markov_table(labelled_samples(docs) if samples is None else samples)
+    table = markov_table(labelled_samples(docs).where("not held_out") if samples is None else samples)
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *kept)
     text = F.col("text")
     base = F.concat(
@@ -101,10 +213,7 @@ def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: f
     d = d.select("doc_id", "text", F.sort_array(base).alias("base"), *also)
     d = d.select("*", _blanked(F.col("text"), F.col("base")).alias("rest"))
     d = d.select("doc_id", "text", "base", spans_of(F.col("rest"), TOKEN, "markov").alias("tokens"), spans_of(F.col("rest"), PART, "markov").alias("parts"), *also)
-    literal = "cast(split('" + ",".join(f"{x:.5f}" for x in table) + "', ',') as array<double>)"
-    judged = lambda runs: F.expr(
-        f"filter({runs}, t -> aggregate({_pairs('t.value')}, cast(0 as double), (a, p) -> a + get({literal}, p)) / greatest(length(t.value) - 1, 1) > {threshold:f})"
-    )
+    judged = lambda runs: F.expr(f"filter({runs}, t -> {_ratio('t.value', _literal(table))} > {threshold:f})")
     d = d.select("*", judged("tokens").alias("whole"))
     # a part that is a whole run, or in a run found, is settled
     inner = F.filter("parts", lambda p: ~F.exists("whole", lambda t: (t["start"] <= p["start"]) & (p["end"] <= t["end"])) & ~F.exists("tokens", lambda t: (t["start"] == p["start"]) & (t["end"] == p["end"])))
@@ -119,27 +228,12 @@ def span_text(spans: str) -> Column:
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """``text`` with each of ``spans`` (ordered by start) replaced by ``mask``; overlapping spans share a mask."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        before = F.when(s["start"] >= acc["at"], F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before).alias("out"))
-
-    done = F.aggregate(spans, zero, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
+    return replaced(text, spans, lambda p: F.when(p["joined"], F.lit("")).otherwise(F.lit(mask)))
 
 
 def _blanked(text: Column, spans: Column) -> Column:
     """``text`` with spaces in place of ``spans`` (ordered by start); all else keeps its place."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        before = text.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before, blank).alias("out"))
-
-    done = F.aggregate(spans, zero, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], text.substr(done["at"] + 1, F.length(text))))
+    return replaced(text, spans, lambda p: F.repeat(F.lit(" "), p["end"] - p["start"]))
 
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:

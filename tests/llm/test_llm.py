@@ -96,6 +96,53 @@ def test_secrets_without_digits_beside_base_spans_and_in_paths(spark):
     assert letters in got[1][0] and mixed in got[2][0] and mixed in got[3][0]
 
 
+def test_secrets_on_held_out_samples(spark):
+    samples = secrets.labelled_samples(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).cache()
+    assert samples.groupBy("held_out").agg(F.countDistinct("label").alias("n")).where("n = 2").count() == 2
+    table_ = secrets.markov_table(samples.where("not held_out"))
+    r = secrets.rates(samples.where("held_out"), table_, 0.5).first()
+    assert r["tp"] / (r["tp"] + r["fp"]) > 0.97 and r["tp"] / (r["tp"] + r["fn"]) > 0.97, r
+    pairs = Counter(p for s in samples.where("not held_out").collect() for p in ((s["label"], a, b) for a, b in zip(s["token"], s["token"][1:], strict=False)))
+    place = {c: k for k, c in enumerate(secrets.ALPHABET)}
+    rows = [Counter(), Counter()]
+    for (label, a, b), n in pairs.items():
+        rows[label][place.get(a, secrets.WIDTH - 1), place.get(b, secrets.WIDTH - 1)] += n
+    for a, b in (("q", "Z"), ("t", "h"), ("9", "a"), ("_", "v"), ("A", "K")):
+        odds = [(rows[k][place[a], place[b]] + 1) / (sum(n for (x, _), n in rows[k].items() if x == place[a]) + secrets.WIDTH) for k in (0, 1)]
+        assert abs(table_[place[a] * secrets.WIDTH + place[b]] - np.log(odds[1] / odds[0])) < 1e-9
+
+
+@pytest.mark.parametrize("block", [2, 64])
+def test_secrets_replace_and_lay_out_many_matches(spark, monkeypatch, block):
+    monkeypatch.setattr(secrets, "BLOCK", block)
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("aé😀 xyz") for _ in range(400))
+    spans = sorted((a, rnd.randint(0, 3), a + rnd.randint(1, 25)) for a in (rnd.randint(0, 370) for _ in range(23)))
+    gone, want, until = bytearray(len(text)), [], 0
+    for a, _, b in spans:
+        want += [text[until : max(a, until)]] + (["[SECRET]"] if a >= until and b > until else [])
+        until = max(until, b)
+        gone[a:b] = b"\1" * (b - a)
+    rows = spark.createDataFrame([(text, [(a, r, "hex", b, "v") for a, r, b in spans])], "text string, spans array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
+    got = rows.select(secrets.redacted(F.col("text"), F.col("spans")), secrets._blanked(F.col("text"), F.col("spans"))).first()
+    assert got[0] == "".join(want) + text[until:] and got[1] == "".join(" " if g else c for c, g in zip(text, gone, strict=True))
+    many = " ".join(f"{'é' * rnd.randint(0, 3)}{rnd.getrandbits(160):040x}" for _ in range(9))
+    spans = spark.range(1).select(secrets.spans_of(F.lit(many), secrets.HEX, "hex").alias("s")).first()["s"]
+    assert [(x["start"], x["end"], x["value"]) for x in spans] == [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9a-f]{32,}", many)]
+
+
+def test_secrets_take_time_in_proportion_to_matches(spark):
+    import time
+
+    texts = [" ".join(f"{k:x} {hashlib.sha1(str(k).encode()).hexdigest()}" for k in range(n)) for n in (200, 20_000)]
+    samples = secrets.labelled_samples(table(spark, [(1, texts[0])]))
+    scan = lambda t: len(secrets.scan_secrets(table(spark, [(1, t)]), samples).select("base", secrets.redacted(F.col("text"), F.col("spans")).alias("r")).first()["base"])
+    assert scan(texts[0]) == 200
+    begun = time.time()
+    assert scan(texts[1]) == 20_000
+    assert time.time() - begun < 40
+
+
 @pytest.mark.parametrize("limit", [16, 2048])
 def test_packing(spark, limit):
     from tokenizers import Tokenizer
