@@ -84,15 +84,16 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 20, share: fl
     hits = seeds(d, "doc_id", masks).join(probe, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
     hits = written(hits.distinct())
     sized = hits.join(bench.select("item_id", F.size("t").alias("n")), "item_id")
-    by_doc = sized.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_list(F.struct("item_id", "shift", "n")).alias("hits"))
     n_docs = hits.select("doc_id").distinct().count()
     ids = hits.select("doc_id").distinct()
     if n_docs <= BROADCAST_DOCS:
         ids = F.broadcast(ids)
     ids = ids.withColumnRenamed("doc_id", "_wanted")
     some = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
-    aligned = some.join(by_doc, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", tokens(F.col("text")).alias("doc"), F.explode("hits").alias("hit"))
-    aligned = aligned.select("doc_id", "hit.item_id", "hit.shift", F.slice("doc", F.greatest(F.col("hit.shift") + 1, F.lit(1)), F.col("hit.n")).alias("doc"), F.least(F.col("hit.shift"), F.lit(0)).alias("from"))
+    # a row for each hit, so that no document's hits are gathered; each keeps the item's length of the document only
+    some = some.select(F.col("doc_id").alias("hit_id"), tokens(F.col("text")).alias("doc"))
+    aligned = some.join(sized, F.col("doc_id").eqNullSafe(F.col("hit_id")))
+    aligned = aligned.select("doc_id", "item_id", F.slice("doc", F.greatest(F.col("shift") + 1, F.lit(1)), F.col("n")).alias("doc"), F.least("shift", F.lit(0)).alias("from"))
     joined = aligned.join(bench, "item_id").withColumn("matched", _best_window("t", "doc", "`from`", window))
     scored = joined.select("doc_id", "item_id", "matched", F.least(F.size("t"), F.lit(window)).alias("width"))
     best = scored.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("width").alias("width"))

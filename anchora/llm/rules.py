@@ -22,12 +22,13 @@ BOILERPLATE = (
 )
 
 
-_POSITION = (1 << 24) - 1
+#: Every place in an array that Spark can hold; equal hash bits are only candidates, whose words are compared.
+_POSITION = (1 << 31) - 1
 _HASH = (1 << 62) - 1 - _POSITION
 
 
 def window_keys(words: Column) -> Column:
-    """A sorted long for each three-word window: 38 hash bits above, the position below. ``words``: a plain column."""
+    """A sorted long for each three-word window: 31 hash bits above, the position below. ``words``: a plain column."""
     windows = F.transform(
         F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))),
         lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(_HASH)).bitwiseOR(i.cast("long")),
@@ -66,7 +67,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, ma
     Per row of ``docs`` (doc_id, text): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     lost (share of word characters in removed lines and repeats of earlier lines), cleaned text and kept.
     Words are runs of characters other than ASCII white space. A null or empty text has zero counts, is
-    base_failed and not kept. Repeated rows stay repeated; an empty table gives none; other columns are ignored."""
+    base_failed and not kept. A very long text is one row's work, in proportion to its words. Repeated rows stay repeated; an empty table gives none; other columns are ignored."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", text.alias("text"))
     d = d.select("doc_id", "text", words_of(F.col("text")).alias("w"), F.split("text", "\n").alias("lines"))

@@ -259,6 +259,32 @@ def test_decontamination_finds_replaced_words_of_any_width(spark):
     assert got == want
 
 
+def test_decontamination_equals_all_pairs(spark):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 30)))) for k in range(12)] + [(50, "same same same same same same"), (51, None), (52, "...")]
+    docs = [(None, items[0][1]), (1, None), (2, ""), (3, "same " * 40)]
+    for k in range(60):
+        part = (items[rnd.randint(0, 11)][1]).split()
+        part = [rnd.choice(words) if rnd.random() < 0.15 else w for w in part][rnd.randint(0, 4) :]
+        docs.append((100 + k, " ".join([*(rnd.choice(words) for _ in range(rnd.randint(0, 15))), *part, *(rnd.choice(words) for _ in range(rnd.randint(0, 5)))])))
+    docs += [docs[-1], docs[5]]
+    want = {}
+    for d, text in docs:
+        doc = (text or "").lower().split()
+        for i, item in items:
+            it = re.findall(r"\w+", item or "")
+            width = min(len(it), 20)
+            best = 0
+            for shift in range(-len(it), len(doc)) if it else ():
+                equal = [0 <= k + shift < len(doc) and doc[k + shift] == w for k, w in enumerate(it)]
+                best = max(best, max(sum(equal[s : s + width]) for s in range(len(it) - width + 1)))
+            if it and best / width >= 0.8:
+                want[d, i] = max(want.get((d, i), 0), best)
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontaminate.find_overlaps(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_urls(spark):
     pages = [(1, None, None), (2, "no scheme", ""), (3, "http://Sub.Example.com/en/x?q", ""), (4, "http://www.example.com/en/x", ""), (5, "http://a.net/es/1", ""), (6, "http://a.net/de/1", ""), (7, "http://com", ""), (8, "http://b.org/x", '<a href="http://a.net/de/2">'), (8, "http://b.org/x", "")]
     d = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("rule", F.lit("x")).withColumn("host", F.lit("y"))
