@@ -2,14 +2,16 @@
 
 A document's shingles fall into chunks by hash, and each flips one bit of its chunk: the Hamming distance of two
 sketches is a lower bound of the sets' symmetric difference. Similar sets differ in fewer elements than there are
-chunks, so they agree in whole chunks; documents of one size band meet on (band, chunk, XOR of the chunk's hashes), and
-only what the bound lets through is compared shingle by shingle."""
+chunks, so they agree in several whole chunks; documents of one size band meet on (band, chunk, XOR of the chunk's
+hashes). A document that must agree in ``a`` chunks leaves out its a - 1 most common keys, as one of the rarer ones is
+shared as well. Only what the bound lets through is compared shingle by shingle."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchora.llm.base import LOWER, Rolling, mix, semi_by_id, text_parts, word_ranges, written
@@ -17,6 +19,8 @@ from anchora.plans.components import components
 
 #: Size bands grow by this factor; the similarity asked for is in hundredths.
 BAND_GROWTH = 1.4
+#: Rows of a key that one task compares with each other, or with as many others.
+TILE = 1024
 #: Up to this many documents with shared keys, their ids (8 bytes each) are broadcast to pick their texts.
 BROADCAST_IDS = 200_000
 
@@ -64,29 +68,33 @@ def shingles(offsets: np.ndarray, buf: np.ndarray, width: int) -> list[np.ndarra
     return out
 
 
-def parity_sketch(hashes: np.ndarray, top: int, threshold: int, band: int) -> tuple[bytes, np.ndarray]:
-    """(sketch of 8 bits for each chunk, join keys of the chunks)."""
+def parity_sketch(hashes: np.ndarray, top: int, threshold: int, band: int) -> tuple[bytes, np.ndarray, int]:
+    """(sketch of 8 bits for each chunk, join keys of the chunks with the band in the low byte, how many of the keys a
+    similar set of the band shares at least).
+
+    A set with enough empty chunks lists them too; what it shares with one that does not is one key for sure."""
     chunks, agree = chunk_count(top, threshold)
     chunk = ((hashes >> np.uint64(20)) % np.uint64(chunks)).astype(np.int64)
     bits, xor = np.zeros(chunks, np.uint8), np.zeros(chunks, np.uint64)
     np.bitwise_xor.at(bits, chunk, np.uint8(1) << (hashes & np.uint64(7)).astype(np.uint8))
     np.bitwise_xor.at(xor, chunk, mix(hashes))
     place = np.arange(chunks, dtype=np.uint64) * np.uint64(4096) + np.uint64(band)
-    keys = mix(xor + place * np.uint64(0x9E3779B97F4A7C15))
+    keys = mix(xor + place * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(255) | np.uint64(band)
     empty = np.bincount(chunk, minlength=chunks) == 0
     if empty.sum() < agree:
-        keys = keys[~empty]
-    return bits.tobytes(), keys
+        return bits.tobytes(), keys[~empty], agree - int(empty.sum())
+    return bits.tobytes(), keys, 1
 
 
 def _bands(hashes: np.ndarray, tops: np.ndarray, threshold: int):
-    """(sketch, keys) in the set's own band, and in the next one where a similar set can lie there."""
+    """(band, sketch, keys, keys shared at least) in the set's own band, and in the next one where a similar set can lie
+    there."""
     if not len(hashes):
         return
     band = int(np.searchsorted(tops, len(hashes)))
-    yield parity_sketch(hashes, int(tops[band]), threshold, band)
+    yield band, *parity_sketch(hashes, int(tops[band]), threshold, band)
     if 100 * len(hashes) >= threshold * (int(tops[band]) + 1):
-        yield parity_sketch(hashes, int(tops[band + 1]), threshold, band + 1)
+        yield band + 1, *parity_sketch(hashes, int(tops[band + 1]), threshold, band + 1)
 
 
 def _set_rows(width: int, threshold: int):
@@ -101,8 +109,12 @@ def _set_rows(width: int, threshold: int):
                 xor = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64)
                 added = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 columns = [ids.slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array(xor.astype(np.int64)), pa.array(added.astype(np.int64))]
-                sketches = [[bits for bits, _ in _bands(x, tops, threshold)] for x in sets]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(sketches, pa.list_(pa.binary()))], ["doc_id", "n", "xor", "added", "sketches"])
+                sketches, shared = [], []
+                for x in sets:
+                    found = list(_bands(x, tops, threshold))
+                    sketches.append([bits for _, bits, _, _ in found])
+                    shared.append([(band, least) for band, _, _, least in found])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sketches, pa.list_(pa.binary())), pa.array(shared, pa.map_(pa.int32(), pa.int32()))], ["doc_id", "n", "xor", "added", "sketches", "shared"])
 
     return run
 
@@ -119,7 +131,7 @@ def _key_rows(width: int, threshold: int):
                 for k, x in enumerate(shingles(offsets, buf, width)):
                     if rows[first + k] is None:
                         continue
-                    for _, data in _bands(x, tops, threshold):
+                    for _, _, data, _ in _bands(x, tops, threshold):
                         keys.append(data)
                         ids.append(np.full(len(data), rows[first + k], np.int64))
                 if keys:
@@ -128,84 +140,92 @@ def _key_rows(width: int, threshold: int):
     return run
 
 
-def _whole(batches, names):
-    """All rows of a partition as numpy columns, and the bounds of its key groups of two rows or more."""
-    parts = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches]
-    if not parts:
-        return None
-    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    order = np.argsort(columns[0], kind="stable")
-    columns = [c[order] for c in columns]
-    at = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1], [True]]))
-    wide = np.diff(at) > 1
-    return columns, at[:-1][wide], at[1:][wide]
-
-
 def _shared_keys(batches):
-    """Rows of the keys that two or more ids have."""
-    found = _whole(batches, ("key", "id"))
-    if found:
-        columns, lo, hi = found
-        inside = np.zeros(len(columns[0]) + 1, np.int64)
-        np.add.at(inside, lo, 1)
-        np.add.at(inside, hi, -1)
-        keep = np.cumsum(inside[:-1]) > 0
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["key", "id"])
-
-
-def _star_pairs(turn: int):
-    """From each key group with several labels: its pivot of this turn with each member of another label."""
-
-    def run(batches):
-        found = _whole(batches, ("key", "id", "label"))
-        if not found:
-            return
-        (_, ids, labels), los, his = found
-        order = mix(ids.astype(np.uint64) + np.uint64(turn * 7919)) if turn else ids
+    """Of rows sorted by (key, id): the distinct ones whose key two or more ids have. One batch is held at a time."""
+    key, id_, wide = None, None, False  # the last row, and whether its key has had another id
+
+    for batch in batches:
+        keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+        if not len(keys):
+            continue
+        if key is not None:
+            keys, ids = np.concatenate([[key], keys]), np.concatenate([[id_], ids])
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        keys, ids = keys[fresh], ids[fresh]
+        twin = np.zeros(len(keys) + 1, bool)
+        twin[1:-1] = keys[1:] == keys[:-1]
+        keep = twin[:-1] | twin[1:]
+        if key is not None:
+            keep[0] &= not wide  # sent before
+        keep[-1] &= bool(twin[-2])
+        if len(keys) > 1 or key is None:
+            wide = bool(twin[-2])
+        key, id_ = keys[-1], ids[-1]
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep])], ["key", "id"])
+
+
+def _tile_pairs(threshold: int):
+    """Of rows sorted by (key, width, tile): all pairs of different labels in each tile whose sketches' distance allows the
+    similarity; in a tile of two parts, pairs of one row from each."""
+
+    def pairs(group: pa.Table):
+        ids, sizes, labels, part = (group.column(c).to_numpy() for c in ("id", "n", "label", "part"))
+        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
+        two = part.min() != part.max()
         a, b = [], []
-        for lo, hi in zip(los.tolist(), his.tolist(), strict=True):
-            pivot = lo + int(np.argmin(order[lo:hi]))
-            other = np.flatnonzero(labels[lo:hi] != labels[pivot]) + lo
-            a.append(np.minimum(ids[other], ids[pivot]))
-            b.append(np.maximum(ids[other], ids[pivot]))
+        for x in range(len(ids)):
+            z = np.flatnonzero(part > part[x]) if two else np.arange(x + 1, len(ids))
+            z = z[(labels[z] != labels[x]) & (np.minimum(sizes[z], sizes[x]) * 100 >= np.maximum(sizes[z], sizes[x]) * threshold)]
+            if len(z):
+                far = np.bitwise_count(bits[z] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                z = z[far * (100 + threshold) <= (sizes[z] + sizes[x]) * (100 - threshold)]
+                a.append(np.minimum(ids[z], ids[x]))
+                b.append(np.maximum(ids[z], ids[x]))
         if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    return run
-
-
-def _bounded_pairs(threshold: int, block: int = 512):
-    """From each key group: all pairs of different labels whose sketches' distance allows the similarity."""
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
+        return None
 
     def run(batches):
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("key", "id", "n", "label", "bits")), strict=True)]
-        rows.sort(key=lambda r: (r[0], len(r[4]), r[1]))
-        lo = 0
-        out = set()
-        while lo < len(rows):
-            hi = lo
-            while hi < len(rows) and rows[hi][0] == rows[lo][0] and len(rows[hi][4]) == len(rows[lo][4]):
-                hi += 1
-            group = rows[lo:hi]
-            lo = hi
-            ids, sizes, labels = (np.array([r[k] for r in group], np.int64) for k in (1, 2, 3))
-            if (labels == labels[0]).all():
+        held: list[pa.Table] = []
+        now = None
+        for batch in batches:
+            names = ("key", "width", "tile")
+            columns = [batch.column(c).to_numpy() for c in names]
+            if not batch.num_rows:
                 continue
-            bits = np.stack([np.frombuffer(r[4], np.uint8) for r in group])
-            for x in range(len(group)):
-                for y in range(x + 1, len(group), block):
-                    z = slice(y, min(y + block, len(group)))
-                    far = np.bitwise_count(bits[z] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                    near = (labels[z] != labels[x]) & (far * (100 + threshold) <= (sizes[z] + sizes[x]) * (100 - threshold))
-                    out.update((min(int(ids[x]), int(i)), max(int(ids[x]), int(i))) for i in ids[z][near])
-        if out:
-            a, b = zip(*sorted(out), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+            at = np.flatnonzero(new)
+            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), batch.num_rows], strict=True):
+                this = tuple(c[lo] for c in columns)
+                if this != now and held:
+                    out = pairs(pa.concat_tables(held))
+                    if out is not None:
+                        yield out
+                    held = []
+                now = this
+                held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
+        if held:
+            out = pairs(pa.concat_tables(held))
+            if out is not None:
+                yield out
 
     return run
 
 
+def _in_tiles(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, n, label, bits) with the tile of each meeting: a key's rows of one sketch width fall into parts of
+    about TILE by their id, and every two parts meet in a tile, each part also alone."""
+    rows = rows.withColumn("width", F.length("bits"))
+    parts = written(rows.groupBy("key", "width").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")).where("parts > 1"))
+    split = rows.join(parts, ["key", "width"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    split = split.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    tile = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least("part", other) * F.col("parts") + F.greatest("part", other))
+    return split.withColumn("tile", F.explode(tile)).select("key", "width", "tile", "part", "id", "n", "label", "bits")
+
+
 def _shingle_rows(width: int):
     def run(batches):
         for batch in batches:
@@ -269,13 +289,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, star_t
     the sketches' distance allows, so no link between different components is lost. Repeated rows stay; an empty table
     gives none; other columns are ignored."""
     d = docs.select("doc_id", "text")
-    sets = written(d.mapInArrow(_set_rows(width, threshold), "doc_id long, n long, xor long, added long, sketches array<binary>"))
+    sets = written(d.mapInArrow(_set_rows(width, threshold), "doc_id long, n long, xor long, added long, sketches array<binary>, shared map<int,int>"))
     reps = written(sets.where("n > 0").groupBy("n", "xor", "added").agg(F.min("doc_id").alias("id")))
-    keys = d.mapInArrow(_key_rows(width, threshold), "key long, id long").repartition("key")
-    shared = keys.mapInArrow(_shared_keys, "key long, id long").distinct().join(reps.select("id"), "id", "left_semi")
-    shared = written(shared.select("key", "id"))
-    several = shared.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y")
-    shared = written(shared.join(several.select("key"), "key", "left_semi"))
+    keys = d.mapInArrow(_key_rows(width, threshold), "key long, id long").repartition("key").sortWithinPartitions("key", "id")
+    shared = written(keys.mapInArrow(_shared_keys, "key long, id long").join(reps.select("id"), "id", "left_semi").select("key", "id"))
+    several = written(shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    least = sets.select(F.col("doc_id").alias("id"), "shared").where("n > 0").dropDuplicates(["id"])
+    band = F.col("key").bitwiseAND(F.lit(255)).cast("int")
+    ranked = shared.join(several, "key").withColumn("band", band).join(least, "id")
+    common = W.partitionBy("id", "band").orderBy(F.desc("n"), "key")
+    shared = written(ranked.withColumn("place", F.row_number().over(common)).where(F.col("place") >= F.coalesce(F.col("shared")[F.col("band")], F.lit(1))).select("key", "id"))
     links = labels = None
 
     def labelled(rows: DataFrame) -> DataFrame:
@@ -290,11 +313,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, star_t
     for turn in range(star_turns + 1):
         if turn < star_turns:
             rows = labelled(shared) if turn == 0 else unresolved()
-            pairs = rows.select("key", "id", "label").repartition("key").mapInArrow(_star_pairs(turn), "a long, b long")
+            pivot = F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn)) if turn else F.col("id"))
+            pivots = written(rows.groupBy("key").agg(pivot.alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot.id", "pivot.label").toDF("key", "first", "first_label"))
+            star = rows.join(pivots, "key").where("label <> first_label")
+            pairs = star.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
         else:
             rows = written(unresolved().select("key", "id", "label"))
             bits = sets.withColumnRenamed("doc_id", "id").join(rows.select("id").distinct(), "id", "left_semi").select("id", "n", F.explode("sketches").alias("bits"))
-            pairs = rows.join(bits, "id").select("key", "id", "n", "label", "bits").repartition("key").mapInArrow(_bounded_pairs(threshold), "a long, b long")
+            tiles = _in_tiles(rows.join(bits, "id").select("key", "id", "n", "label", "bits")).repartition("key", "width", "tile")
+            pairs = tiles.sortWithinPartitions("key", "width", "tile").mapInArrow(_tile_pairs(threshold), "a long, b long")
         new = _verified(pairs, sets, d, width, threshold)
         fresh = written(new)
         if turn and fresh.isEmpty():
@@ -304,7 +331,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, star_t
         links = fresh if links is None else links.union(fresh)
         labels = written(components(links))
     of_class = reps.select("n", "xor", "added", "id").join(labels, "id", "left").select("n", "xor", "added", F.coalesce("label", "id").alias("component"))
-    out = sets.drop("sketches").join(of_class, ["n", "xor", "added"], "left")
+    out = sets.drop("sketches", "shared").join(of_class, ["n", "xor", "added"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,15 +365,67 @@ def test_jaccard(spark, width, threshold):
     assert sorted(r[0] for r in kept) == sorted({root(i) for i, _ in rows})
 
 
-def test_jaccard_bounded_round_alone_is_whole(spark):
-    rows = [(k, t) for k, t in enumerate(prose(12, 6, 100))]
+@pytest.mark.parametrize("tile", [2, 1024])
+def test_jaccard_tiles_alone_are_whole(spark, monkeypatch, tile):
+    """Without star turns every link comes from the tiles; common boilerplate makes hot keys between unlike documents."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    stock = " ".join(prose(77, 1, 60))
+    rows = [(k, stock + " " + t) for k, t in enumerate(prose(12, 9, 70))]
     rows += [(100 + k, t.replace(" ", "  ", 3) + (" more" if k % 2 else "")) for k, (_, t) in enumerate(rows)]
-    stars = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(table(spark, rows), 3, 80).collect()}
+    rows += [(200 + k, f"{t} then more of it {k}") for k, (_, t) in enumerate(rows[:9])]
+    sets = shingle_sets(rows, 3)
     alone = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(table(spark, rows), 3, 80, star_turns=0).collect()}
-    assert stars == alone and len(set(stars.values())) == 6
+    parent = {i: i for i, _ in rows}
+    for _ in range(4):
+        for i, x in sets:
+            for j, y in sets:
+                if 100 * len(x & y) >= 80 * len(x | y):
+                    parent[i] = parent[j] = min(parent[i], parent[j])
+    assert alone == parent and len(set(alone.values())) == 9
     assert jaccard.near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
+def test_shared_keys_over_batches():
+    rng = random.Random(2)
+    rows = sorted((rng.randint(0, 12), rng.randint(0, 5)) for _ in range(60))
+    by = {}
+    for k, i in rows:
+        by.setdefault(k, set()).add(i)
+    want = sorted((k, i) for k, ids in by.items() if len(ids) > 1 for i in ids)
+    for size in (1, 2, 3, 7, 100):
+        batches = [pa.record_batch([pa.array([r[c] for r in rows[a : a + size]], pa.int64()) for c in (0, 1)], ["key", "id"]) for a in range(0, len(rows), size)]
+        got = [r for b in jaccard._shared_keys(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert sorted(got) == want
+
+
+def test_jaccard_similar_sets_share_the_keys_promised():
+    """Similar sets share a key among those left when each leaves out its most common ones, whatever is common."""
+    rng = np.random.default_rng(9)
+    tops = np.array(jaccard.band_tops(80))
+    for trial in range(300):
+        n = int(rng.integers(2, 200))
+        x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        y = x.copy()
+        while True:
+            z = np.unique(np.concatenate([y[rng.random(len(y)) > 0.04], rng.integers(0, 1 << 62, int(rng.integers(0, 3))).astype(np.uint64)]))
+            both = len(np.intersect1d(x, z))
+            if 100 * both < 80 * (len(x) + len(z) - both):
+                break
+            y = z
+            if rng.random() < 0.3:
+                break
+        common = {}
+        ok = False
+        for band, _, keys, least in jaccard._bands(x, tops, 80):
+            for other, _, keys2, least2 in jaccard._bands(y, tops, 80):
+                if band == other:
+                    for k in (*keys.tolist(), *keys2.tolist()):
+                        common.setdefault(k, rng.random())
+                    left = [set(sorted(ks.tolist(), key=lambda k: common[k])[few - 1 :]) for ks, few in ((keys, least), (keys2, least2))]
+                    ok = ok or bool(left[0] & left[1])
+        assert ok, trial
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     train, test = docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0 and n_chars > 100")
