@@ -13,7 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchora.functions.text import evidence_overlap, normalize_surface, squeeze
+from anchora.operators.anchor import anchor_evidence
+from anchora.operators.score import score_claims
 from anchora.plans.components import components
+from anchora.plans.tables import written
 
 #: Fields that a kind may have, those it must have marked by a star (fixed values).
 FIELDS = {
@@ -23,6 +26,11 @@ FIELDS = {
     "requirement": ("reframed_proposition*", "reframed_mode"),
     "description": ("description_text*", "describes*"),
 }
+SIGNATURE = ("predicate", "polarity", "mode", "attribution")
+#: What a pair of entries is compared on beside reading alike as a whole.
+MARKS = ("content", "scope", "attachment", "mention", "gold_unresolved", "pred_unresolved", "referent")
+#: Kinds whose presence is counted apart from how they read.
+PRESENT = ("condition", "resolved_reference")
 TEXTS = ("condition_text", "scope", "mention", "referent", "base_concept", "reframed_mode", "description_text", "describes")
 CONTENT = (*TEXTS, "attaches_to", "reframed_proposition")
 
@@ -66,24 +74,90 @@ def link_violations(entries: DataFrame) -> DataFrame:
 
 
 def apply_decisions(draft: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Draft entries that were accepted; what has no decision is skipped."""
-    return draft.join(decisions.where("decision = 'accept'").select("annotation_id"), "annotation_id", "left_semi")
+    """Draft entries that were accepted; what has no decision is skipped, and a variant without accepted entries is gone."""
+    return draft.join(decisions.where("decision = 'accept'").select("annotation_id").distinct(), "annotation_id", "left_semi")
+
+
+def adjudicated(golds: DataFrame, accepted: DataFrame, accepted_claims: DataFrame) -> DataFrame:
+    """``golds`` (source_id and more) with each layer's status anew, authored only where it gained rows, and
+    nothing_accepted, which tells a draft without any acceptance from an empty gold."""
+    has = lambda d, n: d.select("source_id", F.lit(True).alias(n)).distinct()
+    both = golds.drop("literal_status", "derived_status").join(has(accepted_claims, "_l"), "source_id", "left").join(has(accepted, "_d"), "source_id", "left")
+    status = lambda c: F.when(F.col(c), "authored").otherwise("unauthored")
+    return both.withColumns({"literal_status": status("_l"), "derived_status": status("_d"), "nothing_accepted": F.col("_l").isNull() & F.col("_d").isNull()}).drop("_l", "_d")
+
+
+def gold_violations(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, annotation_id, violation) of everything that forbids to publish gold ``entries``: quotes that their
+    ``sources`` (id, text) do not hold just once, and broken rules of entries, bundles and links."""
+    anchored = anchor_evidence(entries.drop("start", "end"), sources).where("reason is not null")
+    none = F.lit(None).cast("string").alias("annotation_id")
+    rows = [
+        anchored.select("source_id", "annotation_id", F.concat(F.lit("evidence "), "reason").alias("violation")),
+        entries.select("source_id", "annotation_id").join(entry_violations(entries), "annotation_id"),
+        bundle_violations(entries, sources.select("id")).select("source_id", none, "violation"),
+        link_violations(entries),
+    ]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more.select("source_id", "annotation_id", "violation"))
+    return out.distinct()
+
+
+def publish_gold(entries: DataFrame, sources: DataFrame, path: str) -> None:
+    """Write gold entries with their spans, by passage; nothing is written where a check fails."""
+    bad = gold_violations(entries, sources).orderBy("source_id", "annotation_id", "violation").limit(5).collect()
+    if bad:
+        raise ValueError(f"gold is not valid: {[tuple(r) for r in bad]}")
+    anchored = anchor_evidence(entries.drop("start", "end"), sources).withColumnsRenamed({"evidence_start": "start", "evidence_end": "end"}).drop("reason")
+    anchored.write.parquet(path)
 
 
 def _same(a: str, b: str, field: str) -> Column:
     left, right = F.col(f"{a}.{field}"), F.col(f"{b}.{field}")
     if field in ("attaches_to", "reframed_proposition"):
-        return left.eqNullSafe(right)
+        equal = normalize_surface(left["subject"]).eqNullSafe(normalize_surface(right["subject"])) & normalize_surface(left["object"]).eqNullSafe(normalize_surface(right["object"]))
+        for name in SIGNATURE:
+            equal = equal & left[name].eqNullSafe(right[name])
+        return F.when(left.isNull() | right.isNull(), left.isNull() & right.isNull()).otherwise(equal)
     return normalize_surface(left).eqNullSafe(normalize_surface(right))
 
 
+def _with_mention(entries: DataFrame) -> DataFrame:
+    """Entries with the place of their mention in the source; null where the quote does not hold it just once."""
+    first, again = F.expr("locate(mention, evidence)"), F.expr("locate(mention, evidence, locate(mention, evidence) + 1)")
+    alone = F.coalesce((squeeze(F.col("mention")) != "") & (first > 0) & (again == 0), F.lit(False))
+    return entries.withColumns({"mention_start": F.when(alone, F.col("start") + first - 1), "mention_end": F.when(alone, F.col("start") + first - 1 + F.length("mention"))})
+
+
+def _same_mention() -> Column:
+    p, g = F.col("p.mention"), F.col("g.mention")
+    placed = F.coalesce((F.col("p.mention_start") == F.col("g.mention_start")) & (F.col("p.mention_end") == F.col("g.mention_end")), F.lit(False))
+    return F.when(p.isNull() | g.isNull(), p.isNull() & g.isNull()).otherwise(placed)
+
+
 def reads_alike(kind: str) -> Column:
-    """Whether prediction p and gold g of a kind say the same; links of descriptions apart."""
-    fields = [f.rstrip("*") for f in FIELDS[kind] if f != "describes*"]
-    out = F.lit(True)
-    for f in fields:
-        out = out & _same("p", "g", f)
-    return out & F.col("p.support").eqNullSafe(F.col("g.support")) & F.col("p.resolution").eqNullSafe(F.col("g.resolution"))
+    """Whether prediction p and gold g of a kind say the same; links of descriptions apart. References must be of the same
+    mention, at the same place, and an unresolved one has no referent to agree on."""
+    out = F.col("p.support").eqNullSafe(F.col("g.support")) & F.col("p.resolution").eqNullSafe(F.col("g.resolution"))
+    if kind == "resolved_reference":
+        return out & _same_mention() & ((F.col("g.resolution") == "unresolved") | _same("p", "g", "referent"))
+    for f in FIELDS[kind]:
+        out = out & _same("p", "g", f.rstrip("*")) if f != "describes*" else out
+    return out
+
+
+def _marks() -> Column:
+    """What an overlapping pair agrees on, a bit for each of MARKS."""
+    tests = {
+        "content": _same("p", "g", "condition_text"), "scope": _same("p", "g", "scope"), "attachment": _same("p", "g", "attaches_to"), "mention": _same_mention(),
+        "gold_unresolved": F.col("g.resolution") == "unresolved", "pred_unresolved": F.col("p.resolution") == "unresolved", "referent": _same("p", "g", "referent"),
+    }
+    return sum((F.coalesce(tests[m], F.lit(False)).cast("int") * (1 << k) for k, m in enumerate(MARKS)), F.lit(0))
+
+
+def _marked(name: str) -> Column:
+    return F.col("marks").bitwiseAND(F.lit(1 << MARKS.index(name))) > 0
 
 
 def best_matching(edges: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -119,35 +193,37 @@ def best_matching(edges: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
 
 
 def assign_entries(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """(source_id, variant_id, kind, pred, gold, alike): one-to-one pairs of entries whose spans overlap, so that most
+    """(source_id, variant_id, kind, pred, gold, alike, marks): one-to-one pairs of entries whose spans overlap, so that most
     read alike, then most are paired.
 
     Each gold variant is matched by itself with the shared entries. Overlaps that meet no other overlap are settled by
     the join; only contested components are solved by themselves. Descriptions come second, as their targets must be paired."""
     variants = gold.select("source_id", "variant_id").where("variant_id is not null").distinct()
     whole = gold.select("source_id").distinct().join(variants, "source_id", "left").withColumn("variant_id", F.coalesce("variant_id", F.lit("only")))
-    g = gold.withColumnRenamed("variant_id", "_v").join(whole, "source_id").where("_v is null or _v = variant_id").drop("_v")
-    p = predicted.drop("variant_id").join(whole, "source_id")
+    g = _with_mention(gold.withColumnRenamed("variant_id", "_v").join(whole, "source_id").where("_v is null or _v = variant_id").drop("_v"))
+    p = _with_mention(predicted.drop("variant_id").join(whole, "source_id"))
     over = evidence_overlap(F.col("p.start"), F.col("p.end"), F.col("g.start"), F.col("g.end")) > 0
     on = (F.col("p.source_id") == F.col("g.source_id")) & (F.col("p.variant_id") == F.col("g.variant_id")) & (F.col("p.kind") == F.col("g.kind")) & over
     alike = F.lit(False)
     for kind in FIELDS:
         alike = F.when(F.col("p.kind") == kind, reads_alike(kind)).otherwise(alike)
     edges = p.alias("p").join(g.alias("g"), on).select(
-        "p.source_id", "p.variant_id", "p.kind", F.col("p.annotation_id").alias("pred"), F.col("g.annotation_id").alias("gold"), F.col("p.describes").alias("pt"), F.col("g.describes").alias("gt"), alike.alias("alike")
+        "p.source_id", "p.variant_id", "p.kind", F.col("p.annotation_id").alias("pred"), F.col("g.annotation_id").alias("gold"), F.col("p.describes").alias("pt"), F.col("g.describes").alias("gt"), alike.alias("alike"), _marks().alias("marks")
     )
     first = _settle(edges.where("kind <> 'description'").drop("pt", "gt"))
     targets = first.select("source_id", "variant_id", F.col("pred").alias("pt"), F.col("gold").alias("gt"), F.lit(True).alias("_linked"))
-    second = edges.where("kind = 'description'").join(targets, ["source_id", "variant_id", "pt", "gt"], "left").withColumn("alike", F.col("alike") & F.coalesce("_linked", F.lit(False)))
+    second = edges.where("kind = 'description'").join(targets, ["source_id", "variant_id", "pt", "gt"], "left").withColumn("alike", F.col("alike") & (F.coalesce("_linked", F.lit(False)) | (F.col("pt").isNull() & F.col("gt").isNull())))
     return first.unionByName(_settle(second.drop("pt", "gt", "_linked")))
 
 
 def _settle(edges: DataFrame) -> DataFrame:
     key = lambda side: F.concat_ws("\x00", F.lit(side), "source_id", "variant_id", "kind", side)
     named = edges.withColumns({"u": key("pred"), "v": key("gold")})
-    labels = components(named.select("u", "v"))
-    named = named.join(labels.select(F.col("id").alias("u"), "label"), "u").drop("u", "v")
-    sized = named.withColumn("_n", F.count("*").over(W.partitionBy("label")))
+    met = lambda end: F.count("*").over(W.partitionBy(end)) > 1
+    named = written(named.withColumn("_several", met("u") | met("v")))
+    several = named.where("_several")
+    labels = components(several.select("u", "v"))
+    sized = several.join(labels.select(F.col("id").alias("u"), "label"), "u")
 
     def match(rows: list[tuple]) -> list[tuple]:
         left, right = ({x: k for k, x in enumerate(sorted({r[c] for r in rows}))} for c in (3, 4))
@@ -168,25 +244,84 @@ def _settle(edges: DataFrame) -> DataFrame:
             yield pd.DataFrame(done, columns=columns)
         yield pd.DataFrame(match(rows) if rows else [], columns=columns)
 
-    columns = ["source_id", "variant_id", "kind", "pred", "gold", "alike", "label"]
-    contested = sized.where("_n > 1").select(*columns)
+    columns = ["source_id", "variant_id", "kind", "pred", "gold", "alike", "label", "marks"]
+    contested = sized.select(*columns)
     solved = contested.repartition("label").sortWithinPartitions("label").mapInPandas(solve, contested.schema)
-    return sized.where("_n = 1").select(*columns).union(solved).drop("label")
+    return named.where("not _several").withColumn("label", F.lit(None).cast("string")).select(*columns).union(solved).drop("label")
+
 
+def _by_variant(gold: DataFrame) -> DataFrame:
+    """(source_id, variant_id) of all readings of the gold passages; ``only`` where a passage has no variants."""
+    own = gold.where("variant_id is not null").select("source_id", "variant_id").distinct()
+    return gold.select("source_id").distinct().join(own, "source_id", "left").withColumn("variant_id", F.coalesce("variant_id", F.lit("only")))
 
-def fidelity(predicted: DataFrame, gold: DataFrame) -> DataFrame:
-    """Per source, for its best variant (most pairs alike, then fewest other predictions, then least id) and kind: tp
-    (pairs alike), fp, fn, precision and recall; the latter are null where nothing could be counted."""
+
+def fidelity(predicted: DataFrame, gold: DataFrame, exhaustive: DataFrame | None = None) -> DataFrame:
+    """Per source, for its best variant (most pairs alike, then fewest other predictions, then least id) and kind: tp, fp,
+    fn, precision and recall, null where nothing could be counted, and what the pairs agree on.
+
+    Conditions and references count as found where a pair is aligned; other kinds where it reads alike (fully_correct).
+    unsupported: predictions beyond those that read alike, for sources in ``exhaustive`` (source_id) only."""
     pairs = assign_entries(predicted, gold)
-    variants = gold.select("source_id").distinct().join(gold.where("variant_id is not null").select("source_id", "variant_id").distinct(), "source_id", "left").withColumn("variant_id", F.coalesce("variant_id", F.lit("only")))
+    variants = _by_variant(gold)
     n_gold = gold.withColumnRenamed("variant_id", "_v").join(variants, "source_id").where("_v is null or _v = variant_id").groupBy("source_id", "variant_id", "kind").agg(F.count("*").alias("n_gold"))
     n_pred = predicted.drop("variant_id").join(variants, "source_id").groupBy("source_id", "variant_id", "kind").agg(F.count("*").alias("n_pred"))
-    tp = pairs.groupBy("source_id", "variant_id", "kind").agg(F.sum(F.col("alike").cast("long")).alias("tp"))
+    n = lambda c: F.sum(c.cast("long"))
+    condition, reference = F.col("kind") == "condition", (F.col("kind") == "resolved_reference") & _marked("mention")
+    found = pairs.groupBy("source_id", "variant_id", "kind").agg(
+        F.count("*").alias("aligned"), n(F.col("alike")).alias("fully_correct"),
+        *(n(condition & _marked(m)).alias(f"{m}_matches") for m in ("content", "scope", "attachment")),
+        n(reference & ~_marked("gold_unresolved") & ~_marked("pred_unresolved") & _marked("referent")).alias("referent_matches"),
+        n(reference & _marked("gold_unresolved") & _marked("pred_unresolved")).alias("abstention"),
+        n(reference & _marked("gold_unresolved") & ~_marked("pred_unresolved")).alias("unsupported_resolution"),
+    )
     on = ["source_id", "variant_id", "kind"]
-    counts = n_gold.join(n_pred, on, "full_outer").join(tp, on, "left").na.fill(0)
-    counts = counts.select(*on, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gold") - F.col("tp")).alias("fn"))
-    total = variants.join(counts, ["source_id", "variant_id"], "left").groupBy("source_id", "variant_id").agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("c"), F.coalesce(F.sum("fp"), F.lit(0)).alias("f"))
+    counts = n_gold.join(n_pred, on, "full_outer").join(found, on, "left").na.fill(0)
+    whole = exhaustive.select("source_id", F.lit(True).alias("_all")).distinct() if exhaustive is not None else gold.select("source_id", F.lit(False).alias("_all")).distinct()
+    counts = counts.join(whole, "source_id", "left")
+    tp = F.when(F.col("kind").isin(*PRESENT), F.col("aligned")).otherwise(F.col("fully_correct"))
+    extra = F.when(F.coalesce("_all", F.lit(False)), F.col("n_pred") - F.col("fully_correct")).otherwise(0)
+    counts = counts.withColumns({"tp": tp, "fp": F.col("n_pred") - tp, "fn": F.col("n_gold") - tp, "unsupported": extra}).drop("n_gold", "n_pred", "_all")
+    total = variants.join(counts, ["source_id", "variant_id"], "left").groupBy("source_id", "variant_id").agg(F.coalesce(F.sum("fully_correct"), F.lit(0)).alias("c"), F.coalesce(F.sum("fp"), F.lit(0)).alias("f"))
     best = total.groupBy("source_id").agg(F.min_by("variant_id", F.struct((-F.col("c")).alias("c"), "f", "variant_id")).alias("variant_id"))
     kept = counts.join(best, ["source_id", "variant_id"])
     share = lambda d: F.when(F.col("tp") + F.col(d) > 0, F.col("tp") / (F.col("tp") + F.col(d)))
     return kept.withColumns({"precision": share("fp"), "recall": share("fn")})
+
+
+def layer_states(golds: DataFrame, literal_runs: DataFrame, derived_runs: DataFrame) -> DataFrame:
+    """(source_id, layer, state) of ``golds`` (source_id, literal_status, derived_status): unauthored, not_run where an
+    authored layer has no prediction (``literal_runs`` and ``derived_runs``: source_id), else scored."""
+    ran = lambda d, n: d.select("source_id", F.lit(True).alias(n)).distinct()
+    both = golds.join(ran(literal_runs, "_l"), "source_id", "left").join(ran(derived_runs, "_d"), "source_id", "left")
+    state = lambda status, has: F.when(F.col(status) != "authored", "unauthored").when(F.col(has), "scored").otherwise("not_run")
+    layers = F.array(*(F.struct(F.lit(n).alias("layer"), state(f"{n}_status", h).alias("state")) for n, h in (("literal", "_l"), ("derived", "_d"))))
+    return both.select("source_id", F.explode(layers).alias("x")).select("source_id", "x.layer", "x.state")
+
+
+def fidelity_report(scores: DataFrame) -> DataFrame:
+    """(dimension, sources, tp, fp, fn, precision, recall, unsupported) over all passages of ``fidelity``, the kinds by
+    their dimension's name; rates are null where nothing could be counted."""
+    names = {"occurrence": "qualification", "requirement": "requirement", "description": "description", "condition": "condition", "resolved_reference": "reference"}
+    dimension = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("kind")].alias("dimension")
+    sums = scores.groupBy(dimension).agg(F.countDistinct("source_id").alias("sources"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "unsupported")))
+    share = lambda d: F.when(F.col("tp") + F.col(d) > 0, F.col("tp") / (F.col("tp") + F.col(d)))
+    return sums.withColumns({"precision": share("fp"), "recall": share("fn")})
+
+
+def oracle_check(gold: DataFrame, claims: DataFrame) -> DataFrame:
+    """(dimension, items, wrong): gold fed back as its own prediction. items counts the entries of each kind, and the
+    gold claims of each tier, from the gold alone; wrong is 0 everywhere unless matching or scoring lost something."""
+    first = gold.where("variant_id is not null").groupBy("source_id").agg(F.min("variant_id").alias("_first"))
+    fed = gold.join(first, "source_id", "left").where("variant_id is null or variant_id = _first").drop("_first")
+    got = fidelity(fed, gold, gold.select("source_id"))
+    n = lambda c: F.sum(c.cast("long"))
+    unresolved = F.col("resolution") == "unresolved"
+    want = fed.groupBy("source_id", "kind").agg(F.count("*").alias("items"), n(~unresolved).alias("resolved"), n(unresolved).alias("open"))
+    both = want.join(got, ["source_id", "kind"], "full_outer").na.fill(0)
+    whole = (F.col("tp") == F.col("items")) & (F.col("fully_correct") == F.col("items")) & (F.col("fp") == 0) & (F.col("fn") == 0) & (F.col("unsupported") == 0)
+    fields = (F.col("kind") != "condition") | ((F.col("content_matches") == F.col("items")) & (F.col("scope_matches") == F.col("items")) & (F.col("attachment_matches") == F.col("items")))
+    references = (F.col("kind") != "resolved_reference") | ((F.col("referent_matches") == F.col("resolved")) & (F.col("abstention") == F.col("open")) & (F.col("unsupported_resolution") == 0))
+    layers = both.groupBy(F.col("kind").alias("dimension")).agg(F.sum("items").alias("items"), n(~(whole & fields & references)).alias("wrong"))
+    tiers = score_claims(claims, claims).select(F.concat(F.lit("literal "), "tier").alias("dimension"), (F.col("tp") + F.col("fn")).alias("items"), (F.col("fp") + F.col("fn")).alias("wrong"))
+    return layers.union(tiers)

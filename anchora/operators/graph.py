@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchora.functions.text import squeeze
-from anchora.plans.tables import written
+from anchora.operators.profile import content_hash
+from anchora.operators.retrieve import containing, with_evidence
+from anchora.plans.tables import must, written
 
 #: Predicates that a chain may follow (fixed values).
 WALKABLE = ("causes", "expresses", "requires", "makes", "creates")
@@ -27,10 +29,16 @@ def endpoints(claims: DataFrame, resolution: DataFrame) -> DataFrame:
     return ends.withColumn("reason", reason)
 
 
-def nodes(ends: DataFrame) -> DataFrame:
-    """(node_id, label, n_expressions, expressions) of all drawable endpoints, also those of claims that are not drawn."""
+def nodes(ends: DataFrame, resolution: DataFrame | None = None) -> DataFrame:
+    """(node_id, label, n_expressions, expressions) of all drawable endpoints, also those of claims that are not drawn.
+
+    With ``resolution`` (mention, entity_id) a catalogued node has all mentions of its entity, whether or not a claim uses
+    them; the label is the shortest of them, then the first by order."""
     both = ends.select(F.col("src").alias("node_id"), F.col("subject").alias("form")).union(ends.select("dst", "object"))
     both = both.where(F.col("form").isNotNull() & (squeeze(F.col("form")) != "")).distinct()
+    if resolution is not None:
+        known = resolution.select(F.concat(F.lit("e:"), "entity_id").alias("node_id"), F.col("mention").alias("form"))
+        both = both.union(known.join(both.select("node_id").distinct(), "node_id", "left_semi")).distinct()
     label = F.min(F.struct(F.length("form").alias("n"), F.col("form").alias("form")))["form"]
     return both.groupBy("node_id").agg(label.alias("label"), F.count("*").alias("n_expressions"), F.array_sort(F.collect_set("form")).alias("expressions"))
 
@@ -48,24 +56,68 @@ def coverage(claims: DataFrame, ends: DataFrame, node_table: DataFrame) -> DataF
     return whole.where(F.assert_true(F.col("edges") + F.col("missing_object") + F.col("not_drawable") == F.col("claims")).isNull())
 
 
+def passages(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_id, evidence_start, evidence_end, book, chapter, before, evidence, after): each span that a claim refers to,
+    once. An unknown source, or a span outside its text, fails the job."""
+    spans = claims.select("source_id", "evidence_start", "evidence_end").distinct()
+    cut = with_evidence(spans, sources)
+    inside = F.col("evidence").isNotNull() & (F.col("evidence_start") >= 0) & (F.col("evidence_start") < F.col("evidence_end")) & (F.length("evidence") == F.col("evidence_end") - F.col("evidence_start"))
+    return must(cut, inside, "no such evidence")
+
+
+#: Version of the written graph's tables (a fixed value of this format).
+GRAPH_VERSION = 1
+
+
+def artifact(claims: DataFrame, resolution: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+    """The graph's tables: nodes, edges, non_projectable, passages, counts and metadata with a hash over the others."""
+    ends = endpoints(claims, resolution)
+    table = nodes(ends, resolution)
+    drawn, rest = edges(ends), ends.where("reason is not null")
+    seen = passages(claims, sources)
+    counts = coverage(claims, ends, table)
+    hashes = [
+        content_hash(table, ["node_id", "label", "expressions"]), content_hash(drawn, ["claim_id", "src", "dst", "predicate"]),
+        content_hash(rest, ["claim_id", "reason"]), content_hash(seen, ["source_id", "evidence_start", "evidence_end", "evidence"]),
+    ]
+    whole = hashes[0].toDF("h0")
+    for k, h in enumerate(hashes[1:], 1):
+        whole = whole.crossJoin(h.toDF(f"h{k}"))
+    sizes = claims.agg(F.count("*").alias("claim_count")).crossJoin(resolution.agg(F.countDistinct("entity_id").alias("resolution_entity_count"))).crossJoin(sources.agg(F.count("*").alias("source_count")))
+    metadata = whole.select(F.lit(GRAPH_VERSION).alias("version"), F.sha2(F.concat_ws(":", *whole.columns), 256).alias("content_hash")).crossJoin(sizes)
+    return {"nodes": table, "edges": drawn, "non_projectable": rest, "passages": seen, "counts": counts, "metadata": metadata}
+
+
+def undrawn_claims(node_table: DataFrame, non_projectable: DataFrame) -> DataFrame:
+    """(center, claim_id, reason): claims that are not drawn although one of the node's expressions is their subject or
+    object. Two equality joins stand in for the OR."""
+    forms = node_table.select(F.col("node_id").alias("center"), F.explode("expressions").alias("form"))
+    hit = lambda c: non_projectable.join(forms, F.col(c) == F.col("form")).select("center", "claim_id", "reason")
+    return hit("subject").union(hit("object")).distinct()
+
+
 def neighborhood(edge_table: DataFrame, centers: DataFrame, cap: int = 30, direction: str = "both", predicates: tuple[str, ...] = ()) -> DataFrame:
-    """Edges at each centre by (predicate, far node, claim), at most ``cap`` of them, with the number hidden by it."""
+    """Edges at each centre by (predicate, far node, claim), at most ``cap`` of them, with the number hidden by it.
+
+    All edges of a centre are counted apart, so that only its first ``cap`` of each task are shuffled and ranked."""
     e = edge_table.where(F.col("predicate").isin(*predicates)) if predicates else edge_table
     c = centers.select(F.col("node_id").alias("center")).distinct()
     out = e.join(c, F.col("src") == F.col("center")).select("center", "claim_id", "predicate", F.col("dst").alias("far"), F.lit("out").alias("way"))
     into = e.join(c, F.col("dst") == F.col("center")).select("center", "claim_id", "predicate", F.col("src").alias("far"), F.lit("in").alias("way"))
     both = {"both": out.union(into.where("far <> center")), "out": out, "in": into}[direction]
-    whole = W.partitionBy("center")
-    ranked = both.withColumn("place", F.row_number().over(whole.orderBy("predicate", "far", "claim_id"))).withColumn("hidden", F.greatest(F.count("*").over(whole) - cap, F.lit(0)))
-    return ranked.where(F.col("place") <= cap)
+    first = W.partitionBy("center").orderBy("predicate", "far", "claim_id")
+    ranked = both.withColumn("place", F.row_number().over(first)).where(F.col("place") <= cap)
+    sizes = both.groupBy("center").agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("hidden"))
+    return ranked.join(sizes, "center")
 
 
 def search_nodes(node_table: DataFrame, queries: DataFrame, limit: int = 25) -> DataFrame:
     """Nodes whose label or an expression holds the query: exact label first, then shorter, then by label and id."""
     q = queries.select("batch_id", "q_ord", F.lower(squeeze(F.col("query"))).alias("needle")).where("needle <> ''")
-    hit = F.contains(F.lower("label"), F.col("needle")) | F.exists("expressions", lambda x: F.contains(F.lower(x), F.col("needle")))
+    # every label is an expression; a needle holds no line feed, so none is found across two of them
+    hits = containing(node_table.withColumn("_text", F.lower(F.array_join("expressions", "\n"))), q, "_text")
     best = W.partitionBy("batch_id", "q_ord").orderBy(F.desc((F.lower("label") == F.col("needle")).cast("int")), F.length("label"), "label", "node_id")
-    return node_table.join(F.broadcast(q) if queries.count() <= 5_000 else q, hit).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("_text")
 
 
 def chain_claims(claims: DataFrame, resolution: DataFrame, seeds: DataFrame, max_hops: int = 3, limit: int = 10) -> DataFrame:

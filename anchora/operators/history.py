@@ -36,3 +36,8 @@ def bounded_history(messages: DataFrame, asked: DataFrame, max_turns: int = 6, m
 def list_conversations(headers: DataFrame, limit: int = 50) -> DataFrame:
     """Headers, the latest update first."""
     return headers.orderBy(F.desc("last_sequence"), "conv_id").limit(limit)
+
+
+def get_conversation(messages: DataFrame, conv_id) -> DataFrame:
+    """The messages of one conversation by their sequence; an unknown one has none."""
+    return messages.where(F.col("conv_id") == F.lit(conv_id)).orderBy("sequence")

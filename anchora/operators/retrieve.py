@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchora.functions.text import aspect_stems, has_stem
+from anchora.plans.tables import must
 
 #: Rank weight of each predicate's role (fixed values).
 ROLE_SCORE = {"is": 5, "creates": 4, "makes": 4, "expresses": 3, "requires": 3, "undoes": 3, "causes": 3, "contrasts_with": 1, "other": 0}
@@ -31,20 +32,36 @@ def query_position(needle: Column) -> Column:
     return F.when(has("subject"), 100).when(has("object"), 50).when(has("verb_phrase"), 10).otherwise(0)
 
 
-def match_claims(claims: DataFrame, queries: DataFrame) -> DataFrame:
-    """Claims that hold a query's trimmed lower-case text in subject, object or verb phrase; blank queries hold nothing.
+def _grams(text: Column, n: int) -> Column:
+    last = F.greatest(F.length(text) - n + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(text, i, F.lit(n))))
 
-    A small query table is broadcast. A larger one meets the claims on its first three characters, shorter needles apart."""
-    q = queries.withColumn("needle", F.lower(F.trim(F.regexp_replace("query", r"(?U)^\s+|\s+$", "")))).where("needle <> ''")
-    found = lambda d: d.withColumn("position", query_position(F.col("needle"))).where("position > 0")
+
+def containing(rows: DataFrame, queries: DataFrame, text: str) -> DataFrame:
+    """Every row with each query (column ``needle``, not empty) that its lower-case column ``text`` holds.
+
+    A small query table is broadcast. A larger one meets the rows on one trigram of the needle, the one that fewest rows
+    have, so that common beginnings make no hot key; needles of one or two characters meet them on themselves."""
     if queries.count() <= BROADCAST_QUERIES:
-        return found(claims.join(F.broadcast(q), query_position(F.col("needle")) > 0))
+        return rows.join(F.broadcast(queries), F.contains(F.col(text), F.col("needle")))
+    gram = lambda n: F.explode(_grams(F.col(text), n)).alias("gram")
+    often = rows.select(gram(3)).groupBy("gram").agg(F.count("*").alias("n"))
+    long, short = queries.where("length(needle) >= 3"), queries.where("length(needle) < 3")
+    asked = long.select("needle").distinct().select("needle", F.explode(_grams(F.col("needle"), 3)).alias("gram"))
+    rarest = asked.join(often, "gram").groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    met = rows.select("*", gram(3)).join(long.join(rarest, "needle"), "gram").where(F.contains(F.col(text), F.col("needle"))).drop("gram")
+    for n in (1, 2):
+        part = short.where(F.length("needle") == n).withColumn("gram", F.col("needle"))
+        met = met.unionByName(rows.select("*", gram(n)).join(part, "gram").drop("gram"))
+    return met
+
+
+def match_claims(claims: DataFrame, queries: DataFrame) -> DataFrame:
+    """Claims that hold a query's trimmed lower-case text in subject, object or verb phrase; blank queries hold nothing."""
+    q = queries.withColumn("needle", F.lower(F.trim(F.regexp_replace("query", r"(?U)^\s+|\s+$", "")))).where("needle <> ''")
     text = F.lower(F.concat_ws("\n", "subject", "object", "verb_phrase"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substr(text, i, F.lit(3))))
-    long = claims.withColumn("gram", F.explode(grams)).join(q.where("length(needle) >= 3").withColumn("gram", F.substring("needle", 1, 3)), "gram").drop("gram")
-    single = F.array_distinct(F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda n: F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, n)))))
-    short = claims.withColumn("gram", F.explode(single)).join(q.where("length(needle) < 3").withColumn("gram", F.col("needle")), "gram").drop("gram")
-    return found(long).unionByName(found(short))
+    hits = containing(claims.withColumn("_text", text), q, "_text").drop("_text")
+    return hits.withColumn("position", query_position(F.col("needle"))).where("position > 0")
 
 
 def find_claims(claims: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
@@ -181,12 +198,10 @@ def find_sources(sources: DataFrame, queries: DataFrame, limit: int = 5) -> Data
     """The first ``limit`` sources, in corpus order, whose text or concepts hold the query."""
     needle = F.lower(F.regexp_replace("query", r"(?U)^\s+|\s+$", ""))
     q = queries.select("batch_id", "q_ord", needle.alias("needle")).where("needle <> ''")
-    hit = F.contains(F.lower("text"), F.col("needle"))
-    if "concepts" in sources.columns:
-        hit = hit | F.coalesce(F.exists("concepts", lambda c: F.contains(F.lower(c), F.col("needle"))), F.lit(False))
-    q = F.broadcast(q) if queries.count() <= BROADCAST_QUERIES else q
+    apart = [F.col("text"), *([F.array_join("concepts", "\n")] if "concepts" in sources.columns else [])]
+    hits = containing(sources.withColumn("_text", F.lower(F.concat_ws("\n", *apart))), q, "_text").drop("_text")
     first = W.partitionBy("batch_id", "q_ord").orderBy("src_ord")
-    return sources.join(q, hit).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit).drop("needle")
+    return hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit).drop("needle")
 
 
 def get_sources(sources: DataFrame, asked: DataFrame) -> DataFrame:
@@ -196,11 +211,12 @@ def get_sources(sources: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def with_evidence(claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """Claims with their source's text around the quote: before, evidence, after; null where the source is unknown."""
+    """Claims with their source's book, chapter and text around the quote: before, evidence, after; null where the source is
+    unknown. Columns of these names are replaced."""
     s = sources.select(F.col("id").alias("source_id"), "book", "chapter", F.col("text").alias("_text"))
     text = F.col("_text")
-    return claims.join(s, "source_id", "left").select(
-        *claims.columns, "book", "chapter",
+    return claims.drop("book", "chapter").join(s, "source_id", "left").select(
+        *(c for c in claims.columns if c not in ("book", "chapter", "before", "evidence", "after")), "book", "chapter",
         F.expr("substring(_text, 1, evidence_start)").alias("before"), F.expr("substring(_text, evidence_start + 1, evidence_end - evidence_start)").alias("evidence"), text.substr(F.col("evidence_end") + 1, F.length(text)).alias("after"),
     )
 
@@ -208,3 +224,20 @@ def with_evidence(claims: DataFrame, sources: DataFrame) -> DataFrame:
 def embedding_text(claims: DataFrame) -> Column:
     """What a claim is embedded by: its triple and its quote."""
     return F.trim(F.concat(F.col("subject"), F.lit(" "), F.col("verb_phrase"), F.lit(" "), F.coalesce("object", F.lit("")), F.lit(" :: "), F.col("evidence")))
+
+
+def rehydrate_citations(cited: DataFrame, sources: DataFrame) -> DataFrame:
+    """``cited`` (source_id, evidence, evidence_start, evidence_end and more) with the text around each quote. A known
+    source whose text no longer has the quote at its place fails the job; an unknown one leaves the context empty."""
+    plain = cited.withColumnRenamed("evidence", "quote")
+    around = with_evidence(plain, sources)
+    kept = must(around, F.col("evidence").isNull() | F.col("evidence").eqNullSafe(F.col("quote")), "the quote has moved")
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    return kept.withColumns({"before": empty("before"), "after": empty("after")}).drop("evidence").withColumnRenamed("quote", "evidence")
+
+
+def evidence_text(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """``claims`` with evidence, the text of their span; an unknown source or a span outside its text fails the job."""
+    cut = with_evidence(claims, sources)
+    inside = (F.col("evidence_start") >= 0) & (F.col("evidence_start") < F.col("evidence_end")) & (F.length("evidence") == F.col("evidence_end") - F.col("evidence_start"))
+    return must(cut, F.col("evidence").isNotNull() & inside, "no such evidence")

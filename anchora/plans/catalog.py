@@ -229,7 +229,7 @@ _ENDS = "ends AS (SELECT 'out' AS way, c.*, entity_id FROM claims c JOIN resolut
 
 @registered(
     bind.ctes("claims") + f", {_RESOLUTION}, {_ENDS} SELECT entity_id, count(*) FILTER (way = 'out') AS n_out, count(*) FILTER (way = 'in') AS n_in, count(*) FILTER (polarity = 'negated') AS n_negated, "
-    + ", ".join(f"count(*) FILTER (predicate = '{p}') AS n_{p}" for p in anchor.PREDICATES) + " FROM ends GROUP BY entity_id"
+    + ", ".join(f"count(*) FILTER ({c} = '{v}') AS n_{v}" for c, values in (("predicate", anchor.PREDICATES), ("mode", anchor.MODES), ("attribution", anchor.ATTRIBUTIONS)) for v in values) + " FROM ends GROUP BY entity_id"
 )
 def participation(spark, sf_dir):
     claims = bind.claims(spark, sf_dir)
@@ -322,6 +322,63 @@ def graph_coverage(spark, sf_dir):
     return graph.coverage(claims, ends, graph.nodes(ends))
 
 
+@registered(
+    bind.ctes("claims", "sources") + " SELECT DISTINCT source_id, evidence_start, evidence_end, book, chapter, substr(text, 1, evidence_start) AS before, substr(text, evidence_start + 1, evidence_end - evidence_start) AS evidence, "
+    "substr(text, evidence_end + 1) AS after FROM claims c JOIN sources s ON c.source_id = s.id WHERE evidence_end <= length(text)"
+)
+def graph_passages(spark, sf_dir):
+    """The spans that claims of known sources refer to; the few that end behind their text are left out beforehand."""
+    claims, sources = bind.claims(spark, sf_dir), bind.sources(spark, sf_dir)
+    good = claims.join(sources.select(F.col("id").alias("source_id"), F.length("text").alias("_n")), "source_id").where("evidence_end <= _n")
+    return graph.passages(good, sources)
+
+
+@registered(bind.ctes("claims") + f", {_RESOLUTION}, {_GRAPH} SELECT claim_id, 'missing_object' AS reason FROM g WHERE object IS NULL")
+def non_projectable_claims(spark, sf_dir):
+    return _ends(spark, sf_dir)[1].where("reason is not null").select("claim_id", "reason")
+
+
+@registered(
+    bind.ctes("claims") + f", {_RESOLUTION}, {_GRAPH}, members AS (SELECT DISTINCT 'e:' || entity_id AS center, mention AS form FROM resolution WHERE 'e:' || entity_id IN (SELECT src FROM g UNION SELECT dst FROM g)) "
+    "SELECT DISTINCT center, claim_id, 'missing_object' AS reason FROM g JOIN members ON form = subject WHERE object IS NULL"
+)
+def undrawn_claims(spark, sf_dir):
+    claims = bind.claims(spark, sf_dir)
+    resolution = _resolution(claims)
+    ends = graph.endpoints(claims, resolution)
+    return graph.undrawn_claims(graph.nodes(ends, resolution), ends.where("reason is not null"))
+
+
+@registered(
+    bind.ctes("claims", "sources") + ", c AS (SELECT c.*, substr(text, evidence_start + 1, evidence_end - evidence_start) AS quote, text FROM claims c JOIN sources s ON c.source_id = s.id) "
+    "SELECT claim_id, quote AS evidence, CASE WHEN ord % 10 = 3 THEN '' ELSE substr(text, 1, evidence_start) END AS before, CASE WHEN ord % 10 = 3 THEN '' ELSE substr(text, evidence_end + 1) END AS after FROM c"
+)
+def rehydrate_citations(spark, sf_dir):
+    """Every claim of a known source cited with its quote; one in ten by a source id that is no longer there."""
+    sources = bind.sources(spark, sf_dir)
+    c = retrieve.with_evidence(bind.claims(spark, sf_dir), sources).where("evidence is not null").drop("book", "chapter", "before", "after")
+    c = c.withColumn("source_id", F.when(F.col("ord") % 10 == 3, F.concat(F.lit("gone-"), F.col("source_id"))).otherwise(F.col("source_id")))
+    return retrieve.rehydrate_citations(c, sources).select("claim_id", "evidence", "before", "after")
+
+
+@registered(bind.ctes("claims") + " SELECT claim_id, attribution, subject || ' | ' || predicate || ' | ' || coalesce(object, '-') || CASE WHEN polarity = 'negated' THEN ' [negated]' ELSE '' END AS triple FROM claims WHERE attribution <> 'course'")
+def other_voices(spark, sf_dir):
+    return profile.other_voices(bind.claims(spark, sf_dir))
+
+
+_SUMS = " || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 13 * k}, 13)) AS BIGINT)) AS STRING)" for k in range(4))
+
+
+@registered(f"SELECT sha256(CAST(count(*) AS STRING) || ':' || {_SUMS}) AS content_hash FROM (SELECT sha256(CAST(doc_id AS STRING) || chr(0) || coalesce(text, chr(0) || 'NULL' || chr(0))) AS h FROM documents) d")
+def passages_hash(spark, sf_dir):
+    return profile.passages_hash(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"))
+
+
+@registered("SELECT event_type AS bucket, count(*) AS n, count(DISTINCT user_id) AS n_answers FROM events GROUP BY 1")
+def scope_buckets(spark, sf_dir):
+    return profile.scope_buckets(_table(spark, sf_dir, "events").select(F.col("user_id").alias("answer_id"), F.col("event_id").alias("assertion"), F.col("event_type").alias("bucket")))
+
+
 _NEAR = "center_nodes AS (SELECT node_id AS center FROM nodes), both_ways AS (SELECT center, claim_id, predicate, dst AS far, 'out' AS way FROM g JOIN center_nodes ON src = center WHERE object IS NOT NULL UNION ALL SELECT center, claim_id, predicate, src, 'in' FROM g JOIN center_nodes ON dst = center WHERE src <> center)"
 
 
@@ -789,6 +846,84 @@ def split_leakage(spark, sf_dir):
     return audit.split_leakage(f).join(c.select(F.col("claim_id").alias("fixture_id"), "source_id"), "fixture_id")
 
 
+_KINDS = "CASE ord % 5 WHEN 0 THEN 'occurrence' WHEN 1 THEN 'requirement' WHEN 2 THEN 'condition' WHEN 3 THEN 'resolved_reference' ELSE 'description' END"
+
+
+def _entries(claims: DataFrame, mark: str, variant, wide: int) -> DataFrame:
+    """Claims read as entries of five kinds by their number; each span is ``wide`` times as far from the next as claims'
+    numbers are. A description tells of the entry before it, and every other reference is left open."""
+    none = F.lit(None).cast("string")
+    is_ = lambda kind: F.expr(_KINDS) == kind
+    only = lambda kind, value: F.when(is_(kind), value)
+    sig = F.struct("subject", "predicate", "object", "polarity", "mode", "attribution")
+    open_ = F.col("ord") % 2 == 0
+    line = (F.col("ord") % 1000).cast("int") * wide
+    return claims.select(
+        "source_id", variant.alias("variant_id"), F.concat(F.lit(mark), F.col("claim_id")).alias("annotation_id"), F.expr(_KINDS).alias("kind"), F.concat(F.lit("Of it: "), "verb_phrase").alias("evidence"), F.lit("literal").alias("support"),
+        F.when(is_("resolved_reference") & open_, "unresolved").otherwise("resolved").alias("resolution"), only("condition", F.col("verb_phrase")).alias("condition_text"), only("condition", F.col("object")).alias("scope"),
+        only("condition", sig).alias("attaches_to"), only("resolved_reference", F.lit("Of it")).alias("mention"), F.when(is_("resolved_reference") & ~open_, F.col("subject")).alias("referent"), only("occurrence", F.col("subject")).alias("base_concept"),
+        only("requirement", sig).alias("reframed_proposition"), none.alias("reframed_mode"), only("description", F.col("verb_phrase")).alias("description_text"),
+        only("description", F.concat(F.lit(mark + "c"), (F.col("ord") - 1).cast("string"))).alias("describes"), (line + F.col("evidence_start") % max(wide // 4, 1)).alias("start"), (line + F.col("evidence_start") % max(wide // 4, 1) + 9).alias("end"),
+    )
+
+
+_FED = bind.ctes("claims") + f""", e AS (SELECT source_id, ord, {_KINDS} AS kind, ord % 4 = 0 AS changed, ord % 7 = 0 AS dropped FROM claims),
+n AS (SELECT source_id, kind, count(*) AS n_gold, count(*) FILTER (NOT dropped) AS n_pred, count(*) FILTER (NOT dropped AND NOT changed AND (kind <> 'description' OR ((ord - 1) % 1000 <> 0 AND (ord - 1) % 7 <> 0))) AS correct,
+  count(*) FILTER (NOT dropped) AS aligned FROM e GROUP BY 1, 2),
+t AS (SELECT CASE kind WHEN 'occurrence' THEN 'qualification' WHEN 'resolved_reference' THEN 'reference' ELSE kind END AS dimension, count(DISTINCT source_id) AS sources,
+  CAST(sum(CASE WHEN kind IN ('condition', 'resolved_reference') THEN aligned ELSE correct END) AS BIGINT) AS tp, CAST(sum(n_pred) AS BIGINT) AS p, CAST(sum(n_gold) AS BIGINT) AS g, CAST(sum(n_pred - correct) AS BIGINT) AS unsupported FROM n GROUP BY kind)"""
+
+
+@registered(_FED + " SELECT dimension, sources, tp, p - tp AS fp, g - tp AS fn, unsupported, CASE WHEN p > 0 THEN tp / p END AS precision, CASE WHEN g > 0 THEN tp / g END AS recall FROM t")
+def fidelity_report(spark, sf_dir):
+    """Gold of one reading; predictions drop every seventh entry and read every fourth one as interpreted."""
+    from anchora.operators import derived
+
+    c = bind.claims(spark, sf_dir)
+    gold = _entries(c, "g", F.lit(None).cast("string"), 100)
+    pred = _entries(c, "p", F.lit(None).cast("string"), 100).withColumn("_n", F.substring("annotation_id", 3, 20).cast("long")).where("_n % 7 <> 0")
+    pred = pred.withColumn("support", F.when(F.col("_n") % 4 == 0, "interpreted").otherwise(F.col("support"))).drop("_n")
+    return derived.fidelity_report(derived.fidelity(pred, gold, c.select("source_id")))
+
+
+@registered(
+    bind.ctes("claims") + f", e AS (SELECT source_id, {_KINDS} AS dimension FROM claims) SELECT dimension, count(*) AS items, CAST(0 AS BIGINT) AS wrong FROM e GROUP BY 1 "
+    "UNION ALL SELECT 'literal ' || tier, (SELECT count(*) FROM claims), CAST(0 AS BIGINT) FROM (SELECT unnest(['loose', 'strict', 'relaxed']) AS tier) t"
+)
+def oracle_check(spark, sf_dir):
+    """Gold fed back as its own prediction; a description whose entry is of another source is left out beforehand."""
+    from anchora.operators import derived
+
+    c = bind.claims(spark, sf_dir)
+    gold = _entries(c, "g", F.lit(None).cast("string"), 100)
+    first = F.substring("annotation_id", 3, 20).cast("long") % 1000 == 1
+    gold = gold.withColumn("describes", F.when((F.col("kind") == "description") & first, F.lit(None).cast("string")).otherwise(F.col("describes")))
+    return derived.oracle_check(gold, c)
+
+
+@registered(
+    bind.ctes("sources") + ", g AS (SELECT id, src_ord % 3 = 0 AS l, src_ord % 4 = 0 AS d, src_ord % 2 = 0 AS rl, src_ord % 5 = 0 AS rd FROM sources) "
+    "SELECT id AS source_id, 'literal' AS layer, CASE WHEN NOT l THEN 'unauthored' WHEN rl THEN 'scored' ELSE 'not_run' END AS state FROM g UNION ALL SELECT id, 'derived', CASE WHEN NOT d THEN 'unauthored' WHEN rd THEN 'scored' ELSE 'not_run' END FROM g"
+)
+def layer_states(spark, sf_dir):
+    from anchora.operators import derived
+
+    s = bind.sources(spark, sf_dir)
+    status = lambda n: F.when(F.col("src_ord") % n == 0, "authored").otherwise("unauthored")
+    golds = s.select(F.col("id").alias("source_id"), status(3).alias("literal_status"), status(4).alias("derived_status"))
+    runs = lambda n: s.where(F.col("src_ord") % n == 0).select(F.col("id").alias("source_id"))
+    return derived.layer_states(golds, runs(2), runs(5))
+
+
+@registered(
+    bind.ctes("sources") + " SELECT layer, count(*) FILTER (authored) AS authored, count(*) AS total FROM (SELECT 'literal' AS layer, src_ord % 3 = 0 AS authored FROM sources UNION ALL SELECT 'derived', src_ord % 4 = 0 FROM sources) l GROUP BY layer"
+)
+def layer_coverage(spark, sf_dir):
+    s = bind.sources(spark, sf_dir)
+    of = lambda name, n: s.select(F.lit(name).alias("layer"), F.when(F.col("src_ord") % n == 0, "authored").otherwise("unauthored").alias("status"))
+    return audit.layer_coverage(of("literal", 3).union(of("derived", 4)))
+
+
 @registered()
 def derived_fidelity(spark, sf_dir):
     """Claims read as occurrences of their subjects; predictions drop some and shift others. The assignment has no SQL; tests hold it against all permutations."""

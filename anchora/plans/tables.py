@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one is set only where it is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, as in tests, a folder of this machine is taken, but only
+    with a local master: executors elsewhere would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="anchora-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _local()
+
+
+@functools.cache
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="anchora-")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -23,3 +32,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/anchora-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def must(df: DataFrame, holds: Column, message: str) -> DataFrame:
+    """Fail the job on the first row for which ``holds`` is not true."""
+    return df.where(F.when(F.coalesce(holds, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.to_json(F.struct(*df.columns)))).isNull()))

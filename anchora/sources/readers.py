@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from anchora.functions.ids import claim_id, entity_id
+from anchora.functions.ids import annotation_id, claim_id, entity_id
 from anchora.functions.text import clean_paragraph, is_blockquote, squeeze
 from anchora.operators.anchor import ATTRIBUTIONS, MODES, POLARITIES, PREDICATES, anchor_evidence
+from anchora.operators.profile import passages_hash
+from anchora.plans.tables import must
 
 CLAIM_LINE = (
     "type string, claim_id string, source_id string, subject string, predicate string, object string, verb_phrase string, polarity string, mode string, "
@@ -20,11 +22,21 @@ CASE = (
     "id string, question string, intent string, corpus_reality string, expected_behavior array<string>, prohibited_behavior array<string>, must_include_source_ids array<string>, "
     "must_include_any_source_ids array<string>, may_include_source_ids array<string>, must_include_claim_ids array<string>, must_include_any_claim_ids array<string>, may_include_claim_ids array<string>"
 )
-
-
-def must(df: DataFrame, holds: Column, message: str) -> DataFrame:
-    """Fail the job on the first row for which ``holds`` is not true."""
-    return df.where(F.when(F.coalesce(holds, F.lit(False)), True).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.to_json(F.struct(*df.columns)))).isNull()))
+SIGNATURE = "struct<subject:string,predicate:string,object:string,polarity:string,mode:string,attribution:string>"
+ENTRY = (
+    f"struct<kind:string,evidence:string,support:string,resolution:string,condition_text:string,scope:string,attaches_to:{SIGNATURE},mention:string,referent:string,base_concept:string,"
+    f"reframed_proposition:{SIGNATURE},reframed_mode:string,description_text:string,describes:string>"
+)
+DERIVED_GOLD = (
+    f"schema_version int, source_id string, literal_status string, derived_status string, shared array<{ENTRY}>, variants array<struct<variant_id:string,entries:array<{ENTRY}>>>, "
+    "exhaustive boolean, adjudication_history array<array<string>>"
+)
+#: Version of derived gold files (a fixed value of their format).
+DERIVED_VERSION = 2
+ANSWER = (
+    "case_id string, answer string, concepts array<string>, cited_claims array<struct<claim_id:string,source_id:string>>, "
+    "inferred_chains array<struct<claim_ids:array<string>>>, citation_diagnostics struct<unknown_ids:array<string>,unused_claim_ids:array<string>>"
+)
 
 
 def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -116,10 +128,50 @@ def read_fixtures(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return must(f.withColumn("_n", F.count("*").over(W.partitionBy("fixture_id"))), F.col("_n") == 1, "fixture id repeats").drop("_n")
 
 
+def read_tagged_sources(spark: SparkSession, path: str) -> DataFrame:
+    """Sources with concept tags, of JSON lines; ids are there once and texts are not blank."""
+    s = _lines(spark, path, "id string, book string, chapter int, verse int, section int, paragraph int, edition string, text string, concepts array<string>").where("id is not null")
+    s = must(s, squeeze(F.col("text")) != "", "source without text")
+    return must(s.withColumn("_n", F.count("*").over(W.partitionBy("id"))), F.col("_n") == 1, "source id repeats").drop("_n").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
+
+
+def read_derived_gold(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``golds`` (source_id, literal_status, derived_status, exhaustive, adjudication_history) and their ``entries`` with
+    ids computed anew; shared ones have a null variant_id. Files with entries must be of DERIVED_VERSION."""
+    g = spark.read.schema(DERIVED_GOLD).option("mode", "FAILFAST").json(path, multiLine=True)
+    none = F.array().cast(f"array<{ENTRY}>")
+    g = g.withColumns({"shared": F.coalesce("shared", none), "variants": F.coalesce("variants", F.array().cast(f"array<struct<variant_id:string,entries:array<{ENTRY}>>>"))})
+    empty = (F.size("shared") == 0) & (F.size("variants") == 0)
+    g = must(g, F.col("source_id").isNotNull() & (empty | (F.col("schema_version") == DERIVED_VERSION)), "derived gold of another version")
+    shared = g.select("source_id", F.lit(None).cast("string").alias("variant_id"), F.explode("shared").alias("e"))
+    own = g.select("source_id", F.explode("variants").alias("v")).select("source_id", "v.variant_id", F.explode("v.entries").alias("e"))
+    entries = shared.union(own).select("source_id", "variant_id", "e.*")
+    whole = F.struct("source_id", *(F.col(f) for f in entries.columns if f not in ("source_id", "variant_id")))
+    return {"golds": g.select("source_id", "literal_status", "derived_status", F.coalesce("exhaustive", F.lit(False)).alias("exhaustive"), "adjudication_history"), "entries": entries.withColumn("annotation_id", annotation_id(whole))}
+
+
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Answer records of JSON lines, with the claims that each cites; a record without answer or claims' ids fails."""
+    a = _lines(spark, path, ANSWER).where("case_id is not null")
+    named = F.forall(F.coalesce("cited_claims", F.array().cast("array<struct<claim_id:string,source_id:string>>")), lambda c: c["claim_id"].isNotNull() & c["source_id"].isNotNull())
+    return must(a, F.col("answer").isNotNull() & named, "bad answer record").withColumnRenamed("cited_claims", "cited")
+
+
+#: Tables of a written graph and the columns that each must have.
+GRAPH_COLUMNS = {
+    "nodes": ("node_id", "label", "expressions"), "edges": ("claim_id", "src", "dst", "predicate", "source_id"), "non_projectable": ("claim_id", "reason", "source_id"),
+    "passages": ("source_id", "evidence_start", "evidence_end", "evidence"), "counts": ("claims", "edges", "nodes"), "metadata": ("version", "content_hash"),
+}
+
+
 def read_graph(spark: SparkSession, path: str, version: int) -> dict[str, DataFrame]:
-    """Tables of a written graph of the given schema version."""
-    meta = must(spark.read.parquet(f"{path}/metadata"), F.col("version") == version, "graph version")
-    return {"metadata": meta} | {t: spark.read.parquet(f"{path}/{t}") for t in ("nodes", "edges", "non_projectable")}
+    """Tables of a written graph of the given schema version; one without the columns it must have is an error."""
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in GRAPH_COLUMNS}
+    for t, columns in GRAPH_COLUMNS.items():
+        lacking = set(columns) - set(tables[t].columns)
+        if lacking:
+            raise ValueError(f"{t} of the graph lacks {sorted(lacking)}")
+    return tables | {"metadata": must(tables["metadata"], F.col("version") == version, "graph version")}
 
 
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
@@ -129,20 +181,52 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 def write_run(rows: DataFrame, header: DataFrame, path: str, run_id: str) -> None:
     """Outcome rows partitioned by run, and one header row beside them, written last so that it marks a whole run."""
     rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/rows")
-    header.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/headers")
+    header.withColumns({"run_id": F.lit(run_id), "created_at": F.current_timestamp()}).write.mode("append").partitionBy("run_id").parquet(f"{path}/headers")
+
+
+def _scores(scores: DataFrame) -> DataFrame:
+    """Score rows as one array, for a header."""
+    return scores.agg(F.collect_list(F.struct(*scores.columns)).alias("scores"))
+
+
+def write_extraction_run(outcomes: DataFrame, scores: DataFrame, sources: DataFrame, path: str, run_id: str) -> None:
+    """Claims, rejected candidates and failed sources of an extraction, and a header with their numbers, the scores by
+    tier and the hash of the passages."""
+    n = lambda status: F.count_if(F.col("status") == status).alias(f"n_{status}")
+    header = outcomes.agg(n("claim"), n("rejected"), n("failed")).crossJoin(_scores(scores)).crossJoin(passages_hash(sources).withColumnRenamed("content_hash", "passages_hash"))
+    write_run(outcomes, header, path, run_id)
+
+
+def write_resolution_run(resolution: DataFrame, rejected: DataFrame, failed_pairs: int, scores: DataFrame, path: str, run_id: str) -> None:
+    """An entity a row with its mentions, and a header with the numbers of mentions, entities, verdicts rejected and pairs
+    without a verdict, and the scores."""
+    entities = resolution.groupBy("entity_id").agg(F.array_sort(F.collect_set("mention")).alias("mentions"))
+    header = resolution.agg(F.countDistinct("mention").alias("n_mentions"), F.countDistinct("entity_id").alias("n_entities")).crossJoin(rejected.agg(F.count("*").alias("n_rejected"))).withColumn("n_failed", F.lit(failed_pairs)).crossJoin(_scores(scores))
+    write_run(entities, header, path, run_id)
+
+
+def write_mapping_run(situations: DataFrame, scores: DataFrame, path: str, run_id: str) -> None:
+    """A situation a row (situation, concepts), and a header with their number and the scores."""
+    write_run(situations, situations.agg(F.count("*").alias("n_situations")).crossJoin(_scores(scores)), path, run_id)
+
+
+def write_case_run(criteria: DataFrame, report: DataFrame, path: str, run_id: str) -> None:
+    """A case a row with its criteria, and a header with the report by intent."""
+    cases = criteria.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("name", "kind", "status", "score"))).alias("criteria"))
+    write_run(cases, cases.agg(F.count("*").alias("n_cases")).crossJoin(_scores(report)), path, run_id)
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, non_projectable: DataFrame, metadata: DataFrame, path: str) -> None:
-    """A graph's tables, range-sorted by their keys; metadata last."""
-    nodes.orderBy("node_id").write.parquet(f"{path}/nodes")
-    edges.orderBy("claim_id").write.parquet(f"{path}/edges")
-    non_projectable.orderBy("claim_id").write.parquet(f"{path}/non_projectable")
-    metadata.write.parquet(f"{path}/metadata")
+def write_graph(tables: dict[str, DataFrame], path: str) -> None:
+    """A graph's tables (``graph.artifact``), range-sorted by their keys; metadata last, so that it marks a whole graph."""
+    keys = {"nodes": ["node_id"], "edges": ["claim_id"], "non_projectable": ["claim_id"], "passages": ["source_id", "evidence_start", "evidence_end"]}
+    for t in ("nodes", "edges", "non_projectable", "passages", "counts", "metadata"):
+        (tables[t].orderBy(*keys[t]) if t in keys else tables[t]).write.parquet(f"{path}/{t}")
 
 
 def store_vectors(spark: SparkSession, path: str, claims: DataFrame, embed, model_id: str, run_id: str) -> DataFrame:
     """Vectors (claim_id, vec) of the claims from the store, embedding (``embed``: claims to claim_id, vec) only those
-    that it lacks for this model and run."""
+    that it lacks for this model and run. A model whose vectors change their length needs a new ``model_id``; a store with
+    vectors of several lengths fails the job."""
     part = f"{path}/model_id={model_id}/run_id={run_id}"
     try:
         have = spark.read.parquet(part)
@@ -153,4 +237,8 @@ def store_vectors(spark: SparkSession, path: str, claims: DataFrame, embed, mode
         known = None
     missing = claims if known is None else claims.join(known, "claim_id", "left_anti")
     embed(missing).select("claim_id", "vec").write.mode("append").parquet(part)
-    return spark.read.parquet(part).join(claims.select("claim_id"), "claim_id", "left_semi")
+    stored = spark.read.parquet(part).join(claims.select("claim_id"), "claim_id", "left_semi")
+    widths = stored.agg(F.min(F.size("vec")).alias("a"), F.max(F.size("vec")).alias("b")).first()
+    if widths["a"] != widths["b"]:
+        raise ValueError(f"stored vectors have from {widths['a']} to {widths['b']} places")
+    return stored

@@ -71,3 +71,49 @@ def test_fidelity(spark):
     assert got == {"occurrence": ("a", 1, 1, 0), "description": ("a", 1, 0, 0)}
     perfect = derived.fidelity(entries(spark, gold[:1] + gold[2:]), entries(spark, gold)).collect()
     assert all(r["precision"] == r["recall"] == 1.0 for r in perfect)
+
+
+def test_references_conditions_and_unsupported(spark):
+    sig = ("The Ego", "is", "fear.", "affirmed", "assertion", "course")
+    gold = [
+        {"annotation_id": "g1", "kind": "condition", "condition_text": "If so,", "scope": "x", "attaches_to": sig},
+        {"annotation_id": "g2", "kind": "resolved_reference", "evidence": "take this gesture", "mention": "this", "referent": "love", "start": 100, "end": 117},
+        {"annotation_id": "g3", "kind": "resolved_reference", "evidence": "and it is", "mention": "it", "resolution": "unresolved", "start": 200, "end": 209},
+        {"annotation_id": "g4", "kind": "resolved_reference", "evidence": "and he is", "mention": "he", "resolution": "unresolved", "start": 300, "end": 309},
+        {"annotation_id": "g5", "kind": "resolved_reference", "evidence": "so they say", "mention": "they", "referent": "all", "start": 400, "end": 411},
+    ]
+    pred = [
+        {"annotation_id": "p1", "kind": "condition", "condition_text": "if so", "scope": "y", "attaches_to": ("ego", "is", "fear", "affirmed", "assertion", "course")},
+        {"annotation_id": "p2", "kind": "resolved_reference", "evidence": "take this gesture", "mention": "this gesture", "referent": "love", "start": 100, "end": 117},
+        {"annotation_id": "p3", "kind": "resolved_reference", "evidence": "it is", "mention": "it", "resolution": "unresolved", "start": 204, "end": 209},
+        {"annotation_id": "p4", "kind": "resolved_reference", "evidence": "and he is", "mention": "he", "referent": "x", "start": 300, "end": 309},
+        {"annotation_id": "p5", "kind": "resolved_reference", "evidence": "so they say", "mention": "they", "referent": "All.", "start": 400, "end": 411},
+        {"annotation_id": "p6", "kind": "occurrence", "base_concept": "z", "start": 900, "end": 910},
+    ]
+    rows = derived.fidelity(entries(spark, pred), entries(spark, gold), spark.createDataFrame([("s",)], "source_id string")).collect()
+    got = {r["kind"]: r.asDict() for r in rows}
+    c, r, o = got["condition"], got["resolved_reference"], got["occurrence"]
+    assert (c["tp"], c["fp"], c["fn"], c["fully_correct"], c["content_matches"], c["scope_matches"], c["attachment_matches"], c["unsupported"]) == (1, 0, 0, 0, 1, 0, 1, 1)
+    assert (r["tp"], r["aligned"], r["fully_correct"], r["referent_matches"], r["abstention"], r["unsupported_resolution"], r["unsupported"]) == (4, 4, 2, 1, 1, 1, 2)
+    assert (o["tp"], o["fp"], o["fn"], o["recall"], o["unsupported"]) == (0, 1, 0, None, 1)
+    report = {x["dimension"]: (x["tp"], x["fp"], x["fn"]) for x in derived.fidelity_report(derived.fidelity(entries(spark, pred), entries(spark, gold))).collect()}
+    assert report == {"condition": (1, 0, 0), "reference": (4, 0, 0), "qualification": (0, 1, 0)}
+
+
+def test_gold_is_checked_as_a_whole_and_published(spark, tmp_path):
+    import pytest
+
+    good = entries(spark, [{"annotation_id": "a", "kind": "occurrence", "base_concept": "x", "evidence": "love"}])
+    sources = spark.createDataFrame([("s", "all love is here"), ("t", "aa")], "id string, text string")
+    assert derived.gold_violations(good, sources).count() == 0
+    derived.publish_gold(good, sources, str(tmp_path / "gold"))
+    assert [(r["start"], r["end"]) for r in spark.read.parquet(str(tmp_path / "gold")).collect()] == [(4, 8)]
+    bad = entries(spark, [{"annotation_id": "b", "kind": "occurrence", "evidence": "is"}, {"annotation_id": "c", "kind": "description", "description_text": "t", "describes": "none", "evidence": "l"}])
+    found = {(r["annotation_id"], r["violation"]) for r in derived.gold_violations(bad, sources).collect()}
+    assert found == {("b", "missing base_concept"), ("c", "evidence ambiguous"), ("c", "no target")}
+    with pytest.raises(ValueError):
+        derived.publish_gold(bad, sources, str(tmp_path / "never"))
+    assert not (tmp_path / "never").exists()
+    golds = spark.createDataFrame([("s", True), ("t", False)], "source_id string, exhaustive boolean")
+    kept = derived.adjudicated(golds, good, spark.createDataFrame([], "source_id string")).orderBy("source_id").collect()
+    assert [(r["literal_status"], r["derived_status"], r["nothing_accepted"]) for r in kept] == [("unauthored", "authored", False), ("unauthored", "unauthored", True)]

@@ -321,3 +321,35 @@ def test_grounding(spark):
     marks = spark.createDataFrame([("a", 3, 6), ("a", 12, 15), ("b", 7, 9)], "answer_id string, at long, until long")
     said = spark.createDataFrame([("a", 0, True), ("a", 1, False), ("b", 0, True)], "answer_id string, assertion int, supported boolean")
     assert {r["answer_id"]: (r["score"], r["failure"]) for r in audit.grounding_scores(spans, marks, said).collect()} == {"a": (0.5, None), "b": (None, "incomplete")}
+
+
+def test_rehydration_fails_on_moved_quotes(spark):
+    sources = spark.createDataFrame([("s", "T", 1, "all love here")], "id string, book string, chapter int, text string")
+    cited = "source_id string, evidence string, evidence_start int, evidence_end int"
+    good = retrieve.rehydrate_citations(spark.createDataFrame([("s", "love", 4, 8), ("gone", "x", 0, 1)], cited), sources).collect()
+    assert {(r["evidence"], r["before"], r["after"]) for r in good} == {("love", "all ", " here"), ("x", "", "")}
+    with pytest.raises(Exception, match="moved"):
+        retrieve.rehydrate_citations(spark.createDataFrame([("s", "love", 3, 7)], cited), sources).collect()
+    with pytest.raises(Exception, match="no such evidence"):
+        retrieve.evidence_text(spark.createDataFrame([("s", "love", 4, 80)], cited), sources).collect()
+
+
+def test_containing_by_trigrams_equals_broadcast(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = spark.createDataFrame([(k, "".join(rnd.choice("ab é") for _ in range(rnd.randint(0, 12)))) for k in range(80)], "id long, text string")
+    needles = spark.createDataFrame([("a",), ("é",), ("ab",), ("  ",), ("aba",), ("b é",), ("baab",), ("zzz",)], "needle string")
+    want = {(r["id"], r["needle"]) for r in retrieve.containing(rows, needles, "text").collect()}
+    monkeypatch.setattr(retrieve, "BROADCAST_QUERIES", 0)
+    got = [(r["id"], r["needle"]) for r in retrieve.containing(rows, needles, "text").collect()]
+    assert set(got) == want and len(got) == len(want) > 50
+
+
+def test_question_frames(spark):
+    meta = lambda c: text.meta_query_terms(c, ("the corpus", "this corpus"), "corpus", ("author", "year"))
+    for asked, found in {
+        "What is the corpus?": True, "So, what's this corpus all about??": True, "What is the aim of the corpus": True, "What does the corpus teach about love?": False, "Tell me about the corpus.": True,
+        "What is the corpus position on fear?": False, "Who is the author; what is the corpus about?": False, "How can the corpus help me?": False, "": False,
+    }.items():
+        assert one(spark, meta, s=asked) == (["corpus"] if found else []), asked
+    for asked, found in {"What is the Holy Spirit?": ["holy spirit"], "define an Idol": ["idol"], "What are miracles related to?": [], "Describe the ego's view on love": [], "how is it?": [], "What's it?": ["it"]}.items():
+        assert one(spark, text.concept_query_terms, s=asked) == found, asked

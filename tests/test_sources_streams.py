@@ -48,11 +48,70 @@ def test_runs_and_graph(spark, tmp_path):
     rows, header = spark.createDataFrame([(1, "claim")], "n int, status string"), spark.createDataFrame([(1,)], "claims int")
     readers.write_run(rows, header, f"{tmp_path}/run", "r1")
     assert spark.read.parquet(f"{tmp_path}/run/rows").first()["run_id"] == "r1"
-    nodes, edges = spark.createDataFrame([("n",)], "node_id string"), spark.createDataFrame([("c",)], "claim_id string")
-    readers.write_graph(nodes, edges, edges, spark.createDataFrame([(2,)], "version int"), f"{tmp_path}/graph")
-    assert readers.read_graph(spark, f"{tmp_path}/graph", 2)["nodes"].count() == 1
+
+
+GRAPH_CLAIM = "ord long, claim_id string, source_id string, subject string, predicate string, object string, verb_phrase string, polarity string, mode string, attribution string, evidence_start int, evidence_end int"
+
+
+def test_graph_artifact(spark, tmp_path):
+    from anchora.operators import graph
+
+    row = lambda k, s, o, a=0, b=3: (k, f"c{k}", "s", s, "is", o, "is", "affirmed", "assertion", "course", a, b)
+    claims = spark.createDataFrame([row(1, "God", "love"), row(2, "god", None), row(3, "fear", " ", 4, 8), row(4, "fear", "God", 4, 8)], GRAPH_CLAIM)
+    resolution = spark.createDataFrame([("God", "g"), ("god", "g"), ("Gd", "g")], "mention string, entity_id string")
+    sources = spark.createDataFrame([("s", "T", 1, "all love here")], "id string, book string, chapter int, text string")
+    tables = graph.artifact(claims, resolution, sources)
+    assert {r["node_id"]: (r["label"], r["expressions"]) for r in tables["nodes"].collect()} == {"e:g": ("Gd", ["Gd", "God", "god"]), "m:love": ("love", ["love"]), "m:fear": ("fear", ["fear"])}
+    assert [(r["evidence"], r["before"], r["after"]) for r in tables["passages"].orderBy("evidence_start").collect()] == [("all", "", " love here"), ("love", "all ", " here")]
+    counts = tables["counts"].first()
+    assert (counts["edges"], counts["missing_object"], counts["not_drawable"], counts["merged"]) == (2, 1, 1, 1)
+    assert {tuple(r) for r in graph.undrawn_claims(tables["nodes"], tables["non_projectable"]).collect()} == {("e:g", "c2", "missing_object"), ("m:fear", "c3", "object_not_drawable")}
+    readers.write_graph(tables, f"{tmp_path}/graph")
+    assert readers.read_graph(spark, f"{tmp_path}/graph", graph.GRAPH_VERSION)["edges"].count() == 2
     with pytest.raises(Exception, match="graph version"):
-        readers.read_graph(spark, f"{tmp_path}/graph", 3)["metadata"].collect()
+        readers.read_graph(spark, f"{tmp_path}/graph", 99)["metadata"].collect()
+    shuffled = graph.artifact(claims.repartition(3), resolution, sources)
+    assert shuffled["metadata"].first() == tables["metadata"].first()
+    with pytest.raises(Exception, match="no such evidence"):
+        graph.passages(claims.union(spark.createDataFrame([row(5, "a", "b", 10, 99)], GRAPH_CLAIM)), sources).collect()
+
+
+def test_run_writers(spark, tmp_path):
+    sources = spark.createDataFrame([("s", "all love here")], "id string, text string")
+    outcomes = spark.createDataFrame([("s", "claim"), ("s", "rejected"), ("t", "failed")], "source_id string, status string")
+    scores = spark.createDataFrame([("loose", 3), ("strict", 2)], "tier string, tp long")
+    readers.write_extraction_run(outcomes, scores, sources, f"{tmp_path}/x", "r1")
+    header = spark.read.parquet(f"{tmp_path}/x/headers").first()
+    assert (header["run_id"], header["n_claim"], header["n_rejected"], header["n_failed"], len(header["scores"]), len(header["passages_hash"])) == ("r1", 1, 1, 1, 2, 64)
+    resolution = spark.createDataFrame([("a", "e"), ("b", "e"), ("c", "f")], "mention string, entity_id string")
+    readers.write_resolution_run(resolution, outcomes.where("status = 'rejected'"), 4, scores, f"{tmp_path}/y", "r1")
+    header = spark.read.parquet(f"{tmp_path}/y/headers").first()
+    assert (header["n_mentions"], header["n_entities"], header["n_rejected"], header["n_failed"]) == (3, 2, 1, 4)
+    assert {tuple(r["mentions"]) for r in spark.read.parquet(f"{tmp_path}/y/rows").collect()} == {("a", "b"), ("c",)}
+    criteria = spark.createDataFrame([("q", "non_empty", "gating", "pass", None)], "case_id string, name string, kind string, status string, score double")
+    readers.write_case_run(criteria, scores, f"{tmp_path}/z", "r2")
+    assert spark.read.parquet(f"{tmp_path}/z/headers").first()["n_cases"] == 1
+
+
+def test_tagged_sources_answers_and_derived_gold(spark, tmp_path):
+    tagged = lines(tmp_path / "s.jsonl", [{"id": "a", "book": "B", "chapter": 1, "text": "x", "concepts": ["love"]}, {"id": "b", "text": "y"}])
+    assert {r["id"]: r["concepts"] for r in readers.read_tagged_sources(spark, tagged).collect()} == {"a": ["love"], "b": []}
+    with pytest.raises(Exception, match="repeats"):
+        readers.read_tagged_sources(spark, lines(tmp_path / "s2.jsonl", [{"id": "a", "text": "x"}] * 2)).collect()
+    answer = {"case_id": "q", "answer": "See [c].", "cited_claims": [{"claim_id": "c", "source_id": "s"}]}
+    assert readers.read_answers(spark, lines(tmp_path / "a.jsonl", [answer])).first()["cited"][0]["claim_id"] == "c"
+    with pytest.raises(Exception, match="bad answer"):
+        readers.read_answers(spark, lines(tmp_path / "b.jsonl", [answer | {"cited_claims": [{"claim_id": "c"}]}])).collect()
+    entry = {"kind": "occurrence", "evidence": "e", "support": "literal", "resolution": "resolved", "base_concept": "x"}
+    gold = {"schema_version": 2, "source_id": "s", "literal_status": "authored", "derived_status": "authored", "shared": [entry], "variants": [{"variant_id": "v", "entries": [entry | {"base_concept": "y"}]}], "exhaustive": True}
+    (tmp_path / "g.json").write_text(json.dumps(gold, indent=1))
+    got = readers.read_derived_gold(spark, str(tmp_path / "g.json"))
+    assert {(r["variant_id"], r["base_concept"], len(r["annotation_id"])) for r in got["entries"].collect()} == {(None, "x", 16), ("v", "y", 16)} and got["golds"].first()["exhaustive"]
+    (tmp_path / "old.json").write_text(json.dumps(gold | {"schema_version": 1}))
+    with pytest.raises(Exception, match="another version"):
+        readers.read_derived_gold(spark, str(tmp_path / "old.json"))["entries"].collect()
+    (tmp_path / "blank.json").write_text(json.dumps({"schema_version": 1, "source_id": "t", "literal_status": "unauthored", "derived_status": "unauthored"}))
+    assert readers.read_derived_gold(spark, str(tmp_path / "blank.json"))["entries"].count() == 0
 
 
 def test_vector_store_embeds_what_is_missing(spark, tmp_path):
