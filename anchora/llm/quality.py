@@ -11,8 +11,9 @@ from anchora.llm.base import LOWER, Rolling, fold, text_parts
 
 #: Words share this many vectors by hash, so the table's size does not grow with the vocabulary.
 BUCKETS, WIDTH, NONZERO, WINDOW = 1 << 14, 48, 4, 2
-#: Labelled rows that the network is fitted on at most, and how many vector blocks are summed apart.
-MAX_LABELLED, BLOCKS = 20_000, 16
+#: Labelled rows that the network is fitted on at most, how many vector blocks are summed apart, and by how many tasks
+#: each block before one task adds these up.
+MAX_LABELLED, BLOCKS, SLOTS = 20_000, 16, 64
 
 _CLASS = np.full(256, 3, np.uint8)  # 0 white space, 1 letters, 2 digits, 3 others
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -58,17 +59,24 @@ def _context_sums(batches):
     yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in np.split(table, BLOCKS)], pa.binary())], ["block", "data"])
 
 
-def _add_blocks(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.float64) for x in table.column("data").to_pylist())
-    return pa.table({"block": table.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
+def _add_blocks(batches):
+    """One row for each block of a partition; rows are added as they come, so memory is that of the sums."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+            part = np.frombuffer(data.as_buffer(), np.float64)
+            sums[block] = sums[block] + part if block in sums else part.copy()
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "data"])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The unit context vector of each bucket with its frequency weight in the last column, from all texts.
 
-    Partitions add up locally; the driver gets one table of fixed size."""
-    parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_context_sums, "block int, data binary")
-    rows = parts.groupBy("block").applyInArrow(_add_blocks, "block int, data binary").collect()
+    Partitions add up locally, then SLOTS tasks for each block, then one; the driver gets one table of fixed size."""
+    schema = "block int, data binary"
+    parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_context_sums, schema)
+    some = parts.withColumn("slot", F.spark_partition_id() % SLOTS).repartition("block", "slot").mapInArrow(_add_blocks, schema)
+    rows = some.repartition("block").mapInArrow(_add_blocks, schema).collect()
     table = np.zeros((BUCKETS, WIDTH + 1))
     for r in rows:
         n = BUCKETS // BLOCKS
@@ -180,7 +188,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
     """``docs`` with score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.5); columns of these names go.
 
     Word vectors come from all texts, the network from the rows that ``labels`` (doc_id, quality) names. A null text
-    counts as empty and is scored like any other. With fewer than 20 labelled rows, or one label only, all scores are
+    counts as empty and is scored like any other, a very long one by one task. Equal scores of 0.5 are predicted 1. With fewer than 20 labelled rows, or one label only, all scores are
     the labels' smoothed share. Repeated rows stay; an empty table gives none."""
     vectors = word_vectors(docs)
     network = fit_quality(docs, labels, vectors, max_labelled)

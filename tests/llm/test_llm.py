@@ -1,8 +1,8 @@
 """The dealt operators on small tables, held against plain loops."""
 
 import hashlib
-import os
 import itertools
+import os
 import random
 import re
 import zlib
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from anchora.llm import decontaminate, jaccard, langid, lm, packing, quality, rules, secrets, suffix, urls
-from anchora.llm.base import word_ranges
+from anchora.llm.base import Rolling, word_ranges
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -583,6 +583,82 @@ def test_quality(spark):
     assert {r["score"] for r in none} == {0.5} and quality.score_quality(table(spark, rows).limit(0), labels).count() == 0
 
 
+def test_word_vectors_and_pooling_equal_brute_force(spark):
+    rows = list(enumerate(prose(23, 9, 12))) + [(50, None), (51, "a  A. 1"), (52, "x")]
+    got = quality.word_vectors(table(spark, rows).repartition(3))
+    places, signs = quality._index_vectors()
+    index = np.zeros((quality.BUCKETS, quality.WIDTH))
+    for b in range(quality.BUCKETS):
+        for k in range(quality.NONZERO):
+            index[b, places[b, k]] += signs[b, k]
+
+    def buckets(text):
+        out = []
+        for m in re.finditer(r"[A-Za-z\u0080-\U0010ffff]+|[0-9]+|[^A-Za-z0-9\u0080-\U0010ffff\s]+", text or ""):
+            word = m.group().translate(LOWER).encode()
+            out.append((int(Rolling(np.frombuffer(word, np.uint8)).of(np.array([0]), np.array([len(word)]))[0] % np.uint64(quality.BUCKETS)), m.group()))
+        return out
+
+    sums, seen = np.zeros((quality.BUCKETS, quality.WIDTH)), np.zeros(quality.BUCKETS)
+    for _, text in rows:
+        b = [x for x, _ in buckets(text)]
+        for k, x in enumerate(b):
+            seen[x] += 1
+            for step in range(1, quality.WINDOW + 1):
+                for other in (k - step, k + step):
+                    if 0 <= other < len(b):
+                        sums[x] += index[b[other]]
+    want = sums / np.maximum(seen[:, None], 1)
+    want -= (want * seen[:, None]).sum(axis=0) / seen.sum()
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    weight = 1e-3 / (1e-3 + seen / seen.sum())
+    known = seen > 0
+    assert np.allclose(got[known, :-1], want[known], atol=1e-5) and np.allclose(got[:, -1], weight, atol=1e-6)
+    text = rows[0][1]
+    buf = np.frombuffer(text.encode(), np.uint8)
+    pooled = quality._features(got, np.array([0, len(buf)]), buf)[0]
+    each = np.array([want[x] * weight[x] for x, _ in buckets(text)])
+    assert np.allclose(pooled[: quality.WIDTH], each.mean(axis=0), atol=1e-4)
+    assert np.allclose(pooled[quality.WIDTH : 2 * quality.WIDTH], each.std(axis=0), atol=1e-4)
+
+
+def test_language_choice_equals_brute_force(spark):
+    """Profiles, distances and choice by plain loops over UTF-8 n-grams."""
+    rnd = random.Random(31)
+    alphabets = {"aa": "abcdeé", "bb": "defghü", "cc": "aehiou"}
+    docs = [(k, " ".join("".join(rnd.choice(alphabets[lang]) for _ in range(rnd.randint(1, 6))) for _ in range(rnd.randint(3, 20))), lang) for k, lang in enumerate(list(alphabets) * 8)]
+    size = 40
+
+    def top(texts):
+        n = Counter()
+        for t in texts:
+            raw = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in t.lower().encode())
+            raw = re.sub(rb" +", b" ", raw)
+            for m in (1, 2, 3):
+                n.update(raw[k : k + m] for k in range(len(raw) - m + 1) if raw[k : k + m] != b" ")
+        return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], int.from_bytes(x[0], "big")))][:size]
+
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    profiles = langid.train_profiles(d, size)
+    want = {lang: top([t for _, t, x in docs if x == lang]) for lang in alphabets}
+    assert profiles == {lang: [int.from_bytes(g, "big") for g in grams] for lang, grams in want.items()}
+    got = {r["doc_id"]: r["p"] for r in d.select("doc_id", langid.predict_language(F.col("text"), profiles, size).alias("p")).collect()}
+    for k, t, _ in docs:
+        mine = top([t])
+        far = {lang: sum(abs(want[lang].index(g) - r) if g in want[lang] else size for r, g in enumerate(mine)) for lang in want}
+        best = min(sorted(far), key=lambda x: far[x])
+        assert got[k]["lang"] == best and abs(got[k]["score"] - (1 - far[best] / (len(mine) * size))) < 1e-9
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_on_empty_and_odd_tables(spark, name):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({"row": F.lit("r"), "label": F.lit(1), "n": F.lit(2), "key": F.lit("k"), "band": F.lit("b"), "part": F.lit("p"), "id": F.lit("i")})
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+    some = stage(spark, docs.limit(40).union(docs.limit(2)), "/root/testdata/sf0.001")
+    assert some.count() > 0 and (name == "best-fit packing" or some.columns == docs.columns)
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang", "source", "n_chars")
