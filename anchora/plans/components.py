@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from anchora.plans.tables import written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: From this many edges on, least neighbours are written before they are joined. Both sides of the join then come from
+#: files, so that Spark can split the edges of a centre that many share.
+LARGE = 1_000_000
+
+
+def _large_star(edges: DataFrame, hold) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = hold(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hold) -> DataFrame:
     """Edges point from the larger end u to the smaller end v."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    down = hold(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    least = hold(down.groupBy("u").agg(F.min("v").alias("m")))
     return down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -35,7 +40,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen or state["n"] == 0:
             break
         seen = state
-        now = written(_small_star(_large_star(now)))
+        hold = written if state["n"] >= LARGE else lambda d: d
+        now = written(_small_star(_large_star(now, hold), hold))
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     labels = now.select(F.col("u").alias("id"), F.col("v").alias("label"))
