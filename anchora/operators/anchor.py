@@ -46,24 +46,26 @@ def parse_claim_replies(replies: DataFrame) -> DataFrame:
 
     One wrong type, missing field or unknown value fails the whole key, which then has one row with status ``failed``.
     JSON types are those of the text: a number is no string."""
-    value = F.try_parse_json(bracket_repair(F.col("reply")))
-    r = replies.select("key", value.alias("v"))
-    r = r.withColumn("items", F.try_variant_get("v", "$.claims", "array<variant>"))
-    kind = lambda c, f: F.schema_of_variant(F.try_variant_get(c, f"$.{f}", "variant"))
+    fields = ("subject", "verb_phrase", "object", "predicate", "polarity", "mode", "attribution", "evidence")
+    read = lambda c, f: F.try_variant_get(c, f"$.{f}", "variant")
+    # every field of every item is taken out of the reply once, with its JSON type
+    typed = lambda c: F.struct(*(F.struct(F.coalesce(F.schema_of_variant(read(c, f)), F.lit("VOID")).alias("type"), F.try_variant_get(c, f"$.{f}", "string").alias("value")).alias(f) for f in fields))
+    items = F.try_variant_get(F.try_parse_json(bracket_repair(F.col("reply"))), "$.claims", "array<variant>")
+    r = replies.select("key", F.transform(items, typed).alias("items"))
 
     def valid(c):
-        good = F.coalesce(kind(c, "object"), F.lit("VOID")).isin("STRING", "VOID")
+        good = c["object"]["type"].isin("STRING", "VOID")
         for field, allowed in _REQUIRED.items():
-            good = good & F.coalesce(kind(c, field) == "STRING", F.lit(False))
+            good = good & (c[field]["type"] == "STRING")
             if allowed:
-                good = good & F.coalesce(F.try_variant_get(c, f"$.{field}", "string").isin(*allowed), F.lit(False))
+                good = good & F.coalesce(c[field]["value"].isin(*allowed), F.lit(False))
         return good
 
-    r = r.withColumn("ok", F.col("items").isNotNull() & F.coalesce(F.forall("items", valid), F.lit(False)))
-    rows = r.where("ok").select("key", F.posexplode("items").alias("cand_ord", "c"))
-    fields = [F.try_variant_get("c", f"$.{f}", "string").alias(f) for f in ("subject", "verb_phrase", "object", "predicate", "polarity", "mode", "attribution", "evidence")]
-    good = rows.select("key", F.lit("candidate").alias("status"), "cand_ord", *fields)
-    return good.unionByName(r.where("not ok").select("key", F.lit("failed").alias("status")), allowMissingColumns=True)
+    candidate = lambda c, i: F.struct(F.lit("candidate").alias("status"), i.cast("int").alias("cand_ord"), *(c[f]["value"].alias(f) for f in fields))
+    none = F.lit(None).cast("string")
+    failed = F.array(F.struct(F.lit("failed").alias("status"), F.lit(None).cast("int").alias("cand_ord"), *(none.alias(f) for f in fields)))
+    ok = F.col("items").isNotNull() & F.coalesce(F.forall("items", valid), F.lit(False))
+    return r.select("key", F.explode(F.when(ok, F.transform("items", candidate)).otherwise(failed)).alias("c")).select("key", "c.*")
 
 
 def extract_claims(replies: DataFrame, sources: DataFrame) -> DataFrame:
