@@ -166,51 +166,68 @@ def _shared_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep])], ["key", "id"])
 
 
-def _tile_pairs(threshold: int):
+def _near_in_tiles(table: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (lesser id, greater id) of whole tiles that stand one after the other in ``table``.
+
+    Rows of one sketch width are compared at once: each with the next row of its tile, then with the one after it."""
+    key, width, tile, part, ids, sizes, labels = (table.column(c).to_numpy() for c in ("key", "width", "tile", "part", "id", "n", "label"))
+    bits = table.column("bits").combine_chunks()
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (width[1:] != width[:-1]) | (tile[1:] != tile[:-1])
+    at = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    two = np.minimum.reduceat(part, at) != np.maximum.reduceat(part, at)
+    found = []
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        mine = bits.take(pa.array(rows))
+        sketch = np.frombuffer(mine.buffers()[2], np.uint8, len(rows) * int(w)).reshape(len(rows), int(w))
+        g, p, n, label = group[rows], part[rows], sizes[rows], labels[rows]
+        for step in range(1, len(rows)):
+            a = np.flatnonzero(g[:-step] == g[step:])
+            if not len(a):
+                break
+            b = a + step
+            keep = (label[a] != label[b]) & (~two[g[a]] | (p[a] != p[b])) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * threshold)
+            a, b = a[keep], b[keep]
+            far = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+            near = far * (100 + threshold) <= (n[a] + n[b]) * (100 - threshold)
+            found.append((ids[rows[a[near]]], ids[rows[b[near]]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _tile_pairs(threshold: int, max_bytes: int = 4 << 20):
     """Of rows sorted by (key, width, tile): all pairs of different labels in each tile whose sketches' distance allows the
-    similarity; in a tile of two parts, pairs of one row from each."""
-
-    def pairs(group: pa.Table):
-        ids, sizes, labels, part = (group.column(c).to_numpy() for c in ("id", "n", "label", "part"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
-        two = part.min() != part.max()
-        a, b = [], []
-        for x in range(len(ids)):
-            z = np.flatnonzero(part > part[x]) if two else np.arange(x + 1, len(ids))
-            z = z[(labels[z] != labels[x]) & (np.minimum(sizes[z], sizes[x]) * 100 >= np.maximum(sizes[z], sizes[x]) * threshold)]
-            if len(z):
-                far = np.bitwise_count(bits[z] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                z = z[far * (100 + threshold) <= (sizes[z] + sizes[x]) * (100 - threshold)]
-                a.append(np.minimum(ids[z], ids[x]))
-                b.append(np.maximum(ids[z], ids[x]))
-        if a:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], ["a", "b"])
-        return None
+    similarity; in a tile of two parts, pairs of one row from each. Some megabytes of whole tiles are held at a time."""
+    names = ("key", "width", "tile")
+
+    def emit(table: pa.Table):
+        a, b = _near_in_tiles(table, threshold)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
         held: list[pa.Table] = []
-        now = None
         for batch in batches:
-            names = ("key", "width", "tile")
-            columns = [batch.column(c).to_numpy() for c in names]
             if not batch.num_rows:
                 continue
-            new = np.ones(batch.num_rows, bool)
-            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-            at = np.flatnonzero(new)
-            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), batch.num_rows], strict=True):
-                this = tuple(c[lo] for c in columns)
-                if this != now and held:
-                    out = pairs(pa.concat_tables(held))
-                    if out is not None:
-                        yield out
-                    held = []
-                now = this
-                held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.nbytes for t in held) < max_bytes:
+                continue
+            table = pa.concat_tables(held)
+            last = np.ones(table.num_rows, bool)  # rows of the last tile, which may go on
+            for c in names:
+                column = table.column(c).to_numpy()
+                last &= column == column[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if cut:
+                yield from emit(table.slice(0, cut))
+            held = [table.slice(cut)]
         if held:
-            out = pairs(pa.concat_tables(held))
-            if out is not None:
-                yield out
+            yield from emit(pa.concat_tables(held))
 
     return run
 

@@ -125,18 +125,18 @@ def ordinary_words(docs: DataFrame) -> DataFrame:
 
 
 def labelled_samples(docs: DataFrame, n_random: int = 4000) -> DataFrame:
-    """(token, label, held_out). Ordinary (0): the words of all documents, alone and as identifiers are made of them, with
-    numbers, dates and UUIDs. Random (1): keys of ``n_random`` SHA-512 digests in the alphabets that keys come in. One
+    """(token, label, held_out). Ordinary (0): the words of all documents, each alone and as one of the forms that
+    identifiers made of words have (chosen by the word's hash), and numbers and UUIDs. Random (1): keys of ``n_random`` SHA-512 digests in the alphabets that keys come in. One
     token in five, by its hash, is held out of training."""
     spark = docs.sparkSession
     word, low = F.col("token"), F.lower("token")
     number = F.pmod(F.xxhash64("token"), F.lit(10_000))
     other = F.substring(F.reverse(low), 1, 6)
-    names = F.array(
-        word, F.concat(F.lit("get_"), low, F.lit("_v"), (number % 9 + 1).cast("string")), F.concat(low, F.initcap(low), number.cast("string")),
+    forms = F.array(
+        F.concat(F.lit("get_"), low, F.lit("_v"), (number % 9 + 1).cast("string")), F.concat(low, F.initcap(low), number.cast("string")),
         F.concat(F.lit("/"), low, F.lit("/"), low, F.lit("-"), number.cast("string")), F.concat(low, F.lit("-"), low, F.lit("_"), F.lit("2024-01-"), (number % 28 + 1).cast("string")), F.concat(F.upper("token"), F.lit("_"), F.upper(other)),
     )
-    ordinary = ordinary_words(docs).select(F.explode(names).alias("token"))
+    ordinary = ordinary_words(docs).select(F.explode(F.array(word, F.get(forms, (number % 5).cast("int")))).alias("token"))
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 512)
     base64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
     plain = F.regexp_replace(base64, "[+/]", "")
@@ -147,7 +147,7 @@ def labelled_samples(docs: DataFrame, n_random: int = 4000) -> DataFrame:
     digits = F.substring(F.translate(digest, "abcdef", "012345"), 1, 18)
     uuid = F.concat_ws("-", *(F.substring(digest, a, n) for a, n in ((65, 8), (73, 4), (77, 4), (81, 4), (85, 12))))
     ids = spark.range(n_random)
-    plain_ids = ids.where(F.col("id") % 8 == 0).select(F.explode(F.array(digits, uuid)).alias("token"))
+    plain_ids = ids.where(F.col("id") % 24 == 0).select(F.explode(F.array(digits, uuid)).alias("token"))
     labelled = ordinary.unionByName(plain_ids).withColumn("label", F.lit(0)).unionByName(ids.select(F.explode(keys).alias("token"), F.lit(1).alias("label")))
     return labelled.withColumn("held_out", F.pmod(F.xxhash64("token", F.lit("held out")), F.lit(5)) == 0)
 
