@@ -28,7 +28,7 @@ def one(spark, column, **values):
 
 
 def test_normalize(spark):
-    assert one(spark, text.normalize_surface, s="The  this Miracles.") == "miracles"
+    assert one(spark, text.normalize_surface, s="The  this Wonders.") == "wonders"
     assert one(spark, text.normalize_surface, s="natural, always?") == "natural always"
     assert one(spark, text.normalize_surface, s="“God’s” will") == "god's will"
     assert one(spark, text.normalize_surface, s="the") == ""
@@ -351,5 +351,5 @@ def test_question_frames(spark):
         "What is the corpus position on fear?": False, "Who is the author; what is the corpus about?": False, "How can the corpus help me?": False, "": False,
     }.items():
         assert one(spark, meta, s=asked) == (["corpus"] if found else []), asked
-    for asked, found in {"What is the Holy Spirit?": ["holy spirit"], "define an Idol": ["idol"], "What are miracles related to?": [], "Describe the ego's view on love": [], "how is it?": [], "What's it?": ["it"]}.items():
+    for asked, found in {"What is the Morning Star?": ["morning star"], "define an Idol": ["idol"], "What are wonders related to?": [], "Describe the ego's view on love": [], "how is it?": [], "What's it?": ["it"]}.items():
         assert one(spark, text.concept_query_terms, s=asked) == found, asked
