@@ -76,7 +76,7 @@ def _ask(cells: int):
                 out["kind"].append(kind)
                 out["grams"].append(_bytes_of(distinct[of], kind))
                 for name, c in zip(("counts", "held"), counts, strict=True):
-                    out[name].append(c[of].tobytes())
+                    out[name].append(_packed(c[of]))
         n = len(out["cell"])
         blobs = [pa.array(out[c], pa.binary()) for c in ("grams", "counts", "held")]
         return pa.table([pa.array(out["cell"], pa.int32()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array(out["kind"], pa.int32()), *blobs], ["cell", "batch", "kind", "grams", "counts", "held"])
@@ -97,6 +97,20 @@ def _grams_of(data: bytes, kind: int) -> np.ndarray:
     return wide.view(np.uint64)[:, 0]
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 and more stand behind them, by place, and their number comes first."""
+    large = np.flatnonzero(counts >= 255).astype(np.uint32)
+    return b"".join((np.uint32(len(large)).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), large.tobytes(), counts[large].astype(np.uint32).tobytes()))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    large = int(np.frombuffer(data, np.uint32, 1)[0])
+    n = len(data) - 4 - 8 * large
+    counts = np.frombuffer(data, np.uint8, n, 4).astype(np.uint32)
+    counts[np.frombuffer(data[4 + n : 4 + n + 4 * large], np.uint32)] = np.frombuffer(data[4 + n + 4 * large :], np.uint32)
+    return counts
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """One cell and kind: add the batches' counts and give each batch the totals of what it asked for."""
     kind = table.column("kind")[0].as_py()
@@ -106,9 +120,9 @@ def _answer(table: pa.Table) -> pa.Table:
     del grams
     totals, answers = [], []
     for name in ("counts", "held"):
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column(name).to_pylist()])
+        counts = np.concatenate([_unpacked(x) for x in table.column(name).to_pylist()])
         totals.append(np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.uint32))
-        answers.append([totals[-1][back[a:b]].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])
+        answers.append([_packed(totals[-1][back[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)])
     n = len(at) - 1
     once = lambda x: pa.array([int(x) if kind == 0 else 0] + [0] * (n - 1), pa.int64())
     sums = [once(totals[0].sum(dtype=np.int64)), once(totals[1].sum(dtype=np.int64)), once(((totals[0] > 0) | (totals[1] > 0)).sum()), once((totals[0] > 0).sum())]
@@ -128,7 +142,7 @@ def _counted(table: pa.Table, answers: pa.Table, whole: bool) -> tuple[np.ndarra
     for kind, grams in enumerate((mix(unigrams), bigrams)):
         mine = np.flatnonzero(kinds == kind)
         mine = mine[np.argsort(cells[mine])]
-        of = [np.concatenate([np.frombuffer(answers.column(c)[int(i)].as_py(), np.uint32) for i in mine]) if len(mine) else np.zeros(0, np.uint32) for c in names]
+        of = [np.concatenate([_unpacked(answers.column(c)[int(i)].as_py()) for i in mine]) if len(mine) else np.zeros(0, np.uint32) for c in names]
         totals = sum(x.astype(np.int64) for x in of)
         back = np.unique(grams, return_inverse=True)[1]
         found.append(totals[back] if len(back) else np.zeros(0, np.int64))

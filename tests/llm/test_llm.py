@@ -502,6 +502,11 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch):
         assert abs(out[i] - sum(np.log10(w[b] @ [p2, p1, p0]) for b, p2, p1, p0 in both(i))) < 1e-6
 
 
+def test_lm_counts_round_trip():
+    for counts in ([], [0, 1, 254, 255, 256, 1 << 31, 3], [300] * 5):
+        assert lm._unpacked(lm._packed(np.array(counts, np.uint32))).tolist() == counts
+
+
 def test_lm_packed_rows_follow_the_input():
     rows = [(b // lm.part_bytes(b)) ** 2 / b for b in (8 << 30, 64 << 30, 240 << 30)]
     assert max(rows) < 1.2 * min(rows) and lm.part_bytes(1 << 30) == lm.BATCH_BYTES and lm.part_bytes(1 << 50) == lm.MOST_BYTES
