@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from anchora.llm.decontaminate import op4_decontamination
+from anchora.llm.grace import op12_exact_dedup
 from anchora.llm.jaccard import op7_jaccard_join
 from anchora.llm.langid import op8_language_id
 from anchora.llm.lm import op9_lm_scoring
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_exact_dedup": op12_exact_dedup,
 }
 
 _FAULTS = """(sym > 0 AND spaces + 1 >= 4 AND sym / greatest(length(line) - spaces, 1) > 0.15) OR (bars >= 3 AND bars * 5 > spaces + 1)
@@ -54,4 +56,9 @@ e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT r.x AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.x GROUP BY r.x"""
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _RULES_SQL, "op7_jaccard_join": _JACCARD_SQL}
+_EXACT_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+  sha256(t) AS text_sha256 FROM d"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _RULES_SQL, "op7_jaccard_join": _JACCARD_SQL, "op12_exact_dedup": _EXACT_SQL}
