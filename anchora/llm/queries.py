@@ -8,6 +8,7 @@ from anchora.llm.jaccard import op7_jaccard_join
 from anchora.llm.langid import op8_language_id
 from anchora.llm.lm import op9_lm_scoring
 from anchora.llm.packing import op3_best_fit_packing
+from anchora.llm.phrases import op11_phrase_mining
 from anchora.llm.quality import op1_quality_classifier
 from anchora.llm.rules import BOILERPLATE, op6_quality_rules
 from anchora.llm.secrets import op2_secret_scans
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_exact_dedup": op12_exact_dedup,
 }
 
@@ -61,4 +63,19 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
   sha256(t) AS text_sha256 FROM d"""
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _RULES_SQL, "op7_jaccard_join": _JACCARD_SQL, "op12_exact_dedup": _EXACT_SQL}
+_PHRASE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d) x),
+grams AS (SELECT lang, ws[i : i + m - 1] AS g FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m) y) z),
+f AS (SELECT lang, g, count(*) AS a FROM grams GROUP BY lang, g),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE len(g) > 1 AND a >= 30),
+cuts AS (SELECT c.lang, c.g, c.a, k, l.a AS l, r.a AS r, CAST(2000000 AS HUGEINT) * c.a // (l.a + r.a) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1 : k] JOIN f r ON r.lang = c.lang AND r.g = c.g[k + 1 : len(c.g)]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, g[i : i + m - 1] AS g, max(a) AS longest FROM (SELECT *, unnest(range(1, len(g) - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) y WHERE m < len(g)) z GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ USING (lang, g) WHERE longest IS NULL OR 100 * longest < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _RULES_SQL, "op7_jaccard_join": _JACCARD_SQL, "op11_phrase_mining": _PHRASE_SQL, "op12_exact_dedup": _EXACT_SQL}
