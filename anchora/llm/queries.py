@@ -13,6 +13,7 @@ from anchora.llm.quality import op1_quality_classifier
 from anchora.llm.rules import BOILERPLATE, op6_quality_rules
 from anchora.llm.secrets import op2_secret_scans
 from anchora.llm.suffix import op10_suffix_dedup
+from anchora.llm.trie import op13_prefix_trie
 from anchora.llm.urls import op5_url_filters
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_phrase_mining": op11_phrase_mining,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _FAULTS = """(sym > 0 AND spaces + 1 >= 4 AND sym / greatest(length(line) - spaces, 1) > 0.15) OR (bars >= 3 AND bars * 5 > spaces + 1)
@@ -78,4 +80,22 @@ kept AS (SELECT b.* FROM best b LEFT JOIN inner_ USING (lang, g) WHERE longest I
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _RULES_SQL, "op7_jaccard_join": _JACCARD_SQL, "op11_phrase_mining": _PHRASE_SQL, "op12_exact_dedup": _EXACT_SQL}
+_TRIE_SQL = r"""
+WITH t AS (SELECT c, g, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, g) AS k FROM (SELECT conv_id AS c, turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w,
+  left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS g FROM conversations WHERE conv_id IS NOT NULL) x),
+codes AS (SELECT DISTINCT c, list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS UBIGINT))) AS bytes FROM t),
+crc AS (SELECT c, xor(list_reduce(bytes, lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295) AS v FROM codes),
+h AS (SELECT crc.c, CAST(v % 4 AS BIGINT) AS h, crc.c - crc.c % 20 AS base FROM crc),
+sizes AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+r AS (SELECT h.c, t.k AS d, t.g, t.w FROM h JOIN t ON t.c = h.base AND t.k <= h.h
+  UNION ALL SELECT h.c, least(h.h, coalesce(sizes.n, 0)) + t.k - h.h, t.g, t.w FROM h JOIN t ON t.c = h.c AND t.k > h.h LEFT JOIN sizes ON sizes.c = h.base),
+cn AS (SELECT c, d, w, md5(string_agg(g, '') OVER (PARTITION BY c ORDER BY d)) AS p FROM r UNION ALL SELECT c, 0, 0, '' FROM h),
+node AS (SELECT d, p, min(c) AS conv_id, count(*) AS n, any_value(w) AS w FROM cn GROUP BY d, p),
+up AS (SELECT node.*, a.p AS pp FROM node LEFT JOIN cn a ON a.c = node.conv_id AND a.d = node.d - 1),
+kids AS (SELECT d - 1 AS d, pp AS p, count(*) AS n_children FROM up WHERE d > 0 GROUP BY 1, 2),
+below AS (SELECT a.d, a.p, sum((y.n - 1) * y.w) AS saved, count(*) FILTER (WHERE kids.p IS NULL) AS leaves FROM node y LEFT JOIN kids USING (d, p) JOIN cn a ON a.c = y.conv_id AND a.d <= y.d GROUP BY 1, 2),
+ends AS (SELECT d, p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, max(d) AS d FROM cn GROUP BY c) x JOIN cn USING (c, d) GROUP BY d, p)
+SELECT up.conv_id, up.d AS depth, above.conv_id AS parent_conv_id, up.n AS n_convs, coalesce(n_children, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM up JOIN below USING (d, p) LEFT JOIN kids USING (d, p) LEFT JOIN ends USING (d, p) LEFT JOIN node above ON above.d = up.d - 1 AND above.p = up.pp"""
+
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": _RULES_SQL, "op7_jaccard_join": _JACCARD_SQL, "op11_phrase_mining": _PHRASE_SQL, "op12_exact_dedup": _EXACT_SQL, "op13_prefix_trie": _TRIE_SQL}
