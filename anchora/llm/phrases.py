@@ -9,6 +9,7 @@ Ids of words come from the exact words, and phrases are told apart by their ids,
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,17 +21,18 @@ from pyspark.sql import functions as F
 
 from anchora.llm.base import LOWER, mix, written
 
-#: Words that a task holds before it hands its shards on, text bytes it splits at once, and pairs of words in a cell, about.
-SHARD_WORDS, PART_BYTES, CELL_PAIRS = 4 << 20, 1 << 20, 1 << 20
+#: Words of a shard and of a task's open shards, text bytes split at once, and pairs of words, or words, in a cell; about.
+SHARD_WORDS, TASK_WORDS, PART_BYTES, CELL_PAIRS, CELL_WORDS = 1 << 20, 2 << 20, 1 << 20, 1 << 20, 1 << 18
 #: The longest phrase.
 MAX_WORDS = 4
 
-SHARDS = "shard long, lang string, local int, word string, n long, words binary"
+SHARDS = "shard long, lang string, n long, size long, words binary, dictionary binary, counts binary"
+WORD_CELLS = "cell int, shard long, lang string, places binary, dictionary binary, counts binary"
+WORDS = "shard long, lang string, word string, n long, id long, places binary, ids binary"
 CELLS = "cell int, shard long, keys binary, counts binary"
 _SPLIT = bytearray(LOWER.tobytes())
 for _c in b".,;:!?\n\x0b\x0c\r":
     _SPLIT[_c] = ord(".")
-_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _cuts(data: bytes) -> Iterator[bytes]:
@@ -42,6 +44,14 @@ def _cuts(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
+def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """``rows`` as a batch of the columns of ``schema``."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*(f.split() for f in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], list(names))
+
+
 class _Shard:
     """The words of one language's texts in a task, numbered as they come; 0 ends a piece."""
 
@@ -64,36 +74,74 @@ class _Shard:
             self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
             self.size += len(words)
 
-    def rows(self, shard: int, lang: str) -> pa.RecordBatch:
-        """A row with the shard's word numbers, and one for each distinct word."""
+    def row(self, shard: int, lang: str) -> tuple:
+        """The shard's word numbers, and its distinct words (none holds a blank) with their counts."""
         self.split()
         words = np.concatenate(self.parts)
-        counts, distinct = np.bincount(words, minlength=len(self.ids))[1:], list(self.ids)[1:]
-        n = len(distinct)
-        columns = [
-            pa.array([shard] * (n + 1), pa.int64()), pa.array([lang] * (n + 1), pa.string()), pa.array([None, *range(1, n + 1)], pa.int32()),
-            pa.array([None, *distinct], pa.binary()).cast(pa.string()), pa.array([int(counts.sum()), *counts.tolist()], pa.int64()), pa.array([words.tobytes(), *[None] * n], pa.binary()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SHARDS.split(", ")])
+        counts = np.bincount(words, minlength=len(self.ids))[1:].astype(np.int64)
+        return shard, lang, int(counts.sum()), len(counts), words.tobytes(), b" ".join(list(self.ids)[1:]), counts.tobytes()
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shards of the texts of (lang, text); handed on together, so that a task's memory does not follow its languages."""
+    """Shards of the texts of (lang, text). The largest is handed on when it, or all open ones together, are full."""
     number, open_ = TaskContext.get().partitionId() << 32, defaultdict(_Shard)
-
-    def close() -> Iterator[pa.RecordBatch]:
-        nonlocal number
-        for lang, shard in sorted(open_.items()):
-            yield shard.rows(number, lang)
-            number += 1
-        open_.clear()
-
+    total = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            open_[lang].add(text)
-            if sum(s.size for s in open_.values()) >= SHARD_WORDS:
-                yield from close()
-    yield from close()
+            shard = open_[lang]
+            total -= shard.size
+            shard.add(text)
+            total += shard.size
+            if shard.size >= SHARD_WORDS or total >= TASK_WORDS:
+                full = max(open_, key=lambda x: open_[x].size)
+                total -= open_[full].size
+                yield _table(SHARDS, [open_.pop(full).row(number, full)])
+                number += 1
+    for lang, shard in sorted(open_.items()):
+        yield _table(SHARDS, [shard.row(number, lang)])
+        number += 1
+
+
+def _word_cells(cells: int):
+    """Each shard's distinct words in packed rows by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, counts = r["dictionary"].split(b" ") if r["dictionary"] else [], np.frombuffer(r["counts"], np.int64)
+                cell = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % cells
+                by, rows = np.argsort(cell, kind="stable"), []
+                bounds = np.searchsorted(cell[by], np.arange(cells + 1))
+                for c in np.flatnonzero(np.diff(bounds)).tolist():
+                    mine = by[bounds[c] : bounds[c + 1]]
+                    rows.append((c, r["shard"], r["lang"], (mine + 1).astype(np.int32).tobytes(), b" ".join([words[k] for k in mine.tolist()]), counts[mine].tobytes()))
+                yield _table(WORD_CELLS, rows)
+
+    return run
+
+
+def _frequent_words(min_count: int, cells: int):
+    """One cell: words that are frequent in their language, with an id each; and the ids of each shard's own words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = [(r["shard"], r["lang"], np.frombuffer(r["places"], np.int32), r["dictionary"].split(b" "), np.frombuffer(r["counts"], np.int64)) for r in table.to_pylist()]
+        total: dict[tuple[str, bytes], int] = defaultdict(int)
+        for _, lang, _, words, counts in rows:
+            for word, n in zip(words, counts.tolist(), strict=True):
+                total[lang, word] += n
+        cell = table.column("cell")[0].as_py()
+        good = [w for w, n in total.items() if n >= min_count]
+        ids = {w: 1 + cell + k * cells for k, w in enumerate(good)}  # cells take turns, so that ids stay small
+        if good and ids[good[-1]] >= 1 << 32:
+            raise ValueError("more than 2**32 frequent words")
+        out = [(None, lang, word.decode(), total[lang, word], ids[lang, word], None, None) for lang, word in good]
+        for shard, lang, places, words, _ in rows:
+            mine = np.array([ids.get((lang, w), 0) for w in words], np.int64)
+            if mine.any():
+                out.append((shard, None, None, None, None, places[mine > 0].tobytes(), mine[mine > 0].tobytes()))
+        return pa.Table.from_batches([_table(WORDS, out)])
+
+    return run
 
 
 class _Bwt:
@@ -152,21 +200,23 @@ class BidirectionalIndex:
             yield self.ids[words], size
 
 
-def _text_of(shard: pa.Table, words: pa.Table) -> np.ndarray:
+def _text_of(shard: pa.Table, known: pa.Table) -> np.ndarray:
     """A shard's text in corpus-wide word ids; 0 for rare words and ends of pieces."""
     local = np.frombuffer(shard.column("words")[0].as_py(), np.int32)
     ids = np.zeros(int(local.max(initial=0)) + 1, np.int64)
-    ids[words.column("local").to_numpy()] = words.column("id").to_numpy()
+    for places, own in zip(known.column("places").to_pylist(), known.column("ids").to_pylist(), strict=True):
+        if places is not None:
+            ids[np.frombuffer(places, np.int32)] = np.frombuffer(own, np.int64)
     return ids[local]
 
 
 def _pairs(cells: int):
     """A shard's pairs of words with their counts, in packed rows by cell."""
 
-    def run(shard: pa.Table, words: pa.Table) -> pa.Table:
+    def run(shard: pa.Table, known: pa.Table) -> pa.Table:
         out = [[], [], [], []]
         if shard.num_rows:
-            (pair, counts), *_ = BidirectionalIndex(_text_of(shard, words), 2).phrases()
+            (pair, counts), *_ = BidirectionalIndex(_text_of(shard, known), 2).phrases()
             keys = pair[:, 0].astype(np.uint64) << np.uint64(32) | pair[:, 1].astype(np.uint64)
             cell = ((mix(keys) >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
             by = np.argsort(cell, kind="stable")
@@ -225,7 +275,7 @@ def _longer(shard: pa.Table, more: pa.Table) -> pa.Table:
     packed = more.column("keys").drop_null().to_pylist()
     if shard.num_rows and packed:
         frequent = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in packed]))
-        text = _text_of(shard, more.filter(more.column("local").is_valid()))
+        text = _text_of(shard, more)
         for words, counts in BidirectionalIndex(_only_frequent(text, frequent), MAX_WORDS).phrases():
             if words.shape[1] > 2:
                 w = np.zeros((len(words), 4), np.uint64)
@@ -236,16 +286,6 @@ def _longer(shard: pa.Table, more: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.concatenate(x)) for x in (p, q, a)], ["p", "q", "a"])
 
 
-def _numbered(words: DataFrame) -> DataFrame:
-    """``words`` with ids that count up from 1 without gaps, to be packed in 32 bits."""
-    raw = written(words.withColumn("place", F.monotonically_increasing_id()))
-    sizes = raw.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("size"))  # a row for each written part
-    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    ids = raw.join(before, F.shiftright("place", 33) == F.col("part")).withColumn("id", F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    fits = F.when(F.col("id") < 1 << 32, F.col("id")).otherwise(F.raise_error(F.lit("more than 2**32 frequent words")).cast("long"))
-    return written(ids.withColumn("id", fits).drop("place", "part", "before"))
-
-
 def _packed(words: Column) -> list[Column]:
     """(p, q) of up to four word ids."""
     at = lambda k: F.coalesce(F.get(words, F.lit(k)), F.lit(0).cast("long"))
@@ -288,14 +328,17 @@ def mine_phrases(docs: DataFrame, min_count: int = 30, absorbed_percent: int = 8
     bytes; an empty table gives no rows; other columns are not read. A very long text is split where it stands, in parts."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     shards = written(texts.mapInArrow(_shards, SHARDS))
-    coded, words = shards.where("words IS NOT NULL").select("shard", "words"), shards.where("word IS NOT NULL")
-    totals = shards.where("words IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = _numbered(words.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count))
-    known = written(words.select("lang", "word", "shard", "local").join(frequent.select("lang", "word", "id"), ["lang", "word"]).select("shard", "local", "id"))
-    cells = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // CELL_PAIRS
+    coded = shards.select("shard", "words")
+    totals = shards.groupBy("lang").agg(F.sum("n").alias("n"))
+    size = shards.agg(F.sum("n").alias("n"), F.sum("size").alias("distinct")).first()
+    word_cells, cells = 1 + (size["distinct"] or 0) // CELL_WORDS, 1 + (size["n"] or 0) // CELL_PAIRS
+    dictionaries = shards.select("shard", "lang", "dictionary", "counts").mapInArrow(_word_cells(word_cells), WORD_CELLS)
+    words = written(dictionaries.groupBy("cell").applyInArrow(_frequent_words(min_count, word_cells), WORDS))
+    known, frequent = words.where("shard IS NOT NULL").select("shard", "places", "ids"), words.where("shard IS NULL").select("lang", "word", "n", "id")
     pairs = coded.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_pairs(cells), CELLS)
     answers = written(pairs.groupBy("cell").applyInArrow(_frequent(min_count), CELLS))
-    both = known.select("shard", "local", "id", F.lit(None).cast("binary").alias("keys")).union(answers.where("shard IS NOT NULL").select("shard", F.lit(None).cast("int"), F.lit(None).cast("long"), "keys"))
+    none = F.lit(None).cast("binary")
+    both = known.withColumn("keys", none).union(answers.where("shard IS NOT NULL").select("shard", none, none, "keys"))
     longer = coded.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(_longer, "p long, q long, a long").groupBy("p", "q").agg(F.sum("a").alias("a")).where(F.col("a") >= min_count)
     candidates = written(answers.where("shard IS NULL").mapInArrow(_unpack, "p long, q long, a long").union(longer))
     counts = candidates.union(frequent.select(F.shiftleft("id", 32).alias("p"), F.lit(0).cast("long").alias("q"), F.col("n").alias("a")))

@@ -95,9 +95,8 @@ def mined(rows, min_count, percent=80, top=None):
 
 
 def test_phrases(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "SHARD_WORDS", 150)
-    monkeypatch.setattr(phrases, "PART_BYTES", 40)
-    monkeypatch.setattr(phrases, "CELL_PAIRS", 100)
+    for name, value in (("SHARD_WORDS", 150), ("TASK_WORDS", 200), ("PART_BYTES", 40), ("CELL_PAIRS", 100), ("CELL_WORDS", 7)):
+        monkeypatch.setattr(phrases, name, value)
     rng = random.Random(5)
     vocabulary = ["the", "of", "Ä", "new", "york", "a", "x\x00y", "-", "straße", "city"]
     texts = ["".join(rng.choice(vocabulary) + rng.choice([" ", " ", " ", "\t", "  ", ". ", ",", "\x0b"]) for _ in range(rng.randrange(60))) for _ in range(60)]
