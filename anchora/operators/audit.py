@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchora.functions.text import extract_markers, plausible_query_terms
+from anchora.operators.grounding import INCOMPLETE, PARSE, PROVIDER
 from anchora.operators.retrieve import find_claims, merge_round_robin
-from anchora.plans.tables import written
 
 
-#: Why a judge gave no verdict (fixed values); any other reason counts as unscored.
-FAILURES = ("provider_failure", "parse_failure", "incomplete_coverage")
+#: Why a judge gave no verdict; any other reason counts as unscored.
+FAILURES = (PROVIDER, PARSE, INCOMPLETE)
 
 
 def citation_audit(answers: DataFrame) -> DataFrame:
@@ -131,50 +131,6 @@ def classify_failures(cases: DataFrame, answers: DataFrame, reachable: DataFrame
     return missing.union(unused)
 
 
-def premature_abstention(scores: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Status of the abstention criterion: only cases that the corpus suffices for are judged."""
-    status = F.when(F.col("corpus_reality") != "sufficient", "not_evaluated").when(F.col("score").isNull(), "unavailable").when(F.col("score") >= threshold, "pass").otherwise("fail")
-    return scores.withColumn("status", status)
-
-
-def unique_partition(spans: DataFrame, markers: DataFrame) -> DataFrame:
-    """(answer_id, n_valid, ordinals): ways to take one span (answer_id, assertion, start, end) for each assertion so that
-    none overlap and every marker (answer_id, at, until) lies whole in exactly one; complete where there is just one.
-
-    A frontier joins the next assertion's spans each round; overlaps and clipped markers are pruned in the join."""
-    s = spans.select("answer_id", "assertion", F.col("start").alias("a"), F.col("end").alias("b"))
-    m = markers.groupBy("answer_id").agg(F.collect_list(F.struct("at", "until")).alias("markers"))
-    s = s.join(m, "answer_id", "left").withColumn("markers", F.coalesce("markers", F.array().cast("array<struct<at:bigint,until:bigint>>")))
-    clipped = F.exists("markers", lambda x: (x["at"] < F.col("b")) & (F.col("a") < x["until"]) & ~((F.col("a") <= x["at"]) & (x["until"] <= F.col("b"))))
-    held = F.size(F.filter("markers", lambda x: (F.col("a") <= x["at"]) & (x["until"] <= F.col("b"))))
-    s = written(s.where(~clipped).withColumn("held", held))
-    last = s.agg(F.max("assertion")).first()[0]
-    answers = spans.groupBy("answer_id").agg(F.max("assertion").alias("last"), F.countDistinct("assertion").alias("_n"))
-    frontier = s.where("assertion = 0").select("answer_id", F.array(F.struct("a", "b")).alias("taken"), F.col("held").cast("long").alias("held"))
-    done = None
-    for step in range(0, (last or 0) + 1):
-        ends = frontier.join(answers.where(F.col("last") == step), "answer_id", "left_semi")
-        done = ends if done is None else done.union(ends)
-        if step == last or last is None:
-            break
-        nxt = s.where(F.col("assertion") == step + 1).select("answer_id", "a", "b", F.col("held").alias("more"))
-        grown = frontier.join(nxt, "answer_id").where(~F.exists("taken", lambda t: (t["a"] < F.col("b")) & (F.col("a") < t["b"])))
-        frontier = written(grown.select("answer_id", F.concat("taken", F.array(F.struct("a", "b"))).alias("taken"), (F.col("held") + F.col("more")).alias("held")))
-    n_markers = markers.groupBy("answer_id").agg(F.count("*").alias("n_markers"))
-    whole = done.join(n_markers, "answer_id", "left").where(F.col("held") == F.coalesce("n_markers", F.lit(0)))
-    n = whole.groupBy("answer_id").agg(F.count("*").alias("n_valid"), F.min("taken").alias("taken"))
-    return answers.select("answer_id").join(n, "answer_id", "left").select("answer_id", F.coalesce("n_valid", F.lit(0)).alias("n_valid"), F.when(F.col("n_valid") == 1, F.col("taken")).alias("taken"))
-
-
-def grounding_scores(spans: DataFrame, markers: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """(answer_id, score, failure): the share of supported assertions (verdicts: answer_id, assertion, supported) where
-    the assertions' spans split the markers in just one way, else incomplete."""
-    ways = unique_partition(spans, markers)
-    share = verdicts.groupBy("answer_id").agg(F.avg(F.col("supported").cast("double")).alias("_share"))
-    whole = F.col("n_valid") == 1
-    return ways.join(share, "answer_id", "left").select("answer_id", F.when(whole, F.col("_share")).alias("score"), F.when(~whole, "incomplete").alias("failure"))
-
-
 def draft_labels(results: DataFrame) -> DataFrame:
     """Judge results as draft human verdicts."""
     return results.withColumn("human", F.when(F.col("status") == "not_evaluated", "not_applicable").otherwise(F.col("status")))

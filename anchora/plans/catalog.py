@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchora.functions import ids, text
-from anchora.operators import anchor, audit, graph, history, profile, resolve, retrieve, score
+from anchora.operators import anchor, audit, graph, grounding, history, profile, resolve, retrieve, score
 from anchora.plans import bind
 
 QUERIES: dict = {}
@@ -821,12 +821,12 @@ def annotation_ids(spark, sf_dir):
 
 
 @registered(
-    "SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN 'not_evaluated' WHEN event_type = 'error' THEN 'unavailable' WHEN value >= 6 THEN 'pass' ELSE 'fail' END AS status FROM events"
+    "SELECT event_id, CASE WHEN user_id % 3 <> 0 OR event_type = 'error' THEN 'not_evaluated' WHEN value >= 6 THEN 'fail' ELSE 'pass' END AS status, CASE WHEN user_id % 3 = 0 AND event_type = 'error' THEN 'parse_failure' END AS failure FROM events"
 )
 def premature_abstention(spark, sf_dir):
-    reality, fits = F.when(F.col("user_id") % 3 == 0, "sufficient").otherwise("partial"), F.when(F.col("event_type") != "error", F.col("value") / 10)
-    e = _table(spark, sf_dir, "events").select("event_id", reality.alias("corpus_reality"), fits.alias("score"))
-    return audit.premature_abstention(e).select("event_id", "status")
+    reality, abstained = F.when(F.col("user_id") % 3 == 0, "sufficient").otherwise("partial"), F.when(F.col("event_type") != "error", F.col("value") / 10)
+    e = _table(spark, sf_dir, "events").select("event_id", reality.alias("corpus_reality"), abstained.alias("abstained"), F.lit(None).cast("string").alias("failure"))
+    return grounding.abstention_results(e).select("event_id", "status", "failure")
 
 
 @registered("SELECT event_type AS name, round(avg(value), 6) AS mean_score FROM events WHERE user_id % 2 = 0 GROUP BY 1")
@@ -939,3 +939,6 @@ def derived_fidelity(spark, sf_dir):
     )
     gold = entry(c, "g", F.when(F.col("ord") % 4 == 0, F.lit("b")).when(F.col("ord") % 4 == 1, F.lit("a")))
     return derived.fidelity(entry(c.where("ord % 5 <> 2"), "p", none), gold)
+
+
+from anchora.plans import judged  # noqa: E402, F401  registers its queries

@@ -299,30 +299,11 @@ def test_vector_top_k_over_several_blocks(spark):
     assert {(r["batch_id"], r["q_ord"], r["rank"]): r["claim_id"] for r in out} == want
 
 
-def test_unique_partition(spark):
-    spans = spark.createDataFrame([("a", 0, 0, 10), ("a", 0, 0, 20), ("a", 1, 10, 20), ("b", 0, 0, 5)], "answer_id string, assertion int, start long, end long")
-    marks = spark.createDataFrame([("a", 3, 6), ("a", 12, 15), ("b", 7, 9)], "answer_id string, at long, until long")
-    assert {r.answer_id: r.n_valid for r in audit.unique_partition(spans, marks).collect()} == {"a": 1, "b": 0}
-
-
 def test_content_hash_ignores_order(spark):
     d = spark.range(500).withColumn("x", F.col("id") * 3)
     assert profile.content_hash(d, ["id", "x"]).first() == profile.content_hash(d.repartition(7), ["id", "x"]).first()
 
 
-def test_judge_replies(spark):
-    rows = [("a", '{"scores":{"x":1.5,"y":true,"z":"0.5"}}', None), ("b", "{", None), ("c", None, "timeout")]
-    out = {(r["key"], r["criterion"]): (r["score"], r["failure"]) for r in anchor.parse_judge_replies(spark.createDataFrame(rows, "key string, reply string, error string")).collect()}
-    assert out == {("a", "x"): (1.0, None), ("a", "y"): (None, "unscored"), ("a", "z"): (None, "unscored"), ("b", None): (None, "parse"), ("c", None): (None, "provider")}
-
-
-def test_grounding(spark):
-    spans = spark.createDataFrame([("a", 0, 0, 10), ("a", 1, 10, 20), ("b", 0, 0, 5)], "answer_id string, assertion int, start long, end long")
-    marks = spark.createDataFrame([("a", 3, 6), ("a", 12, 15), ("b", 7, 9)], "answer_id string, at long, until long")
-    said = spark.createDataFrame([("a", 0, True), ("a", 1, False), ("b", 0, True)], "answer_id string, assertion int, supported boolean")
-    assert {r["answer_id"]: (r["score"], r["failure"]) for r in audit.grounding_scores(spans, marks, said).collect()} == {"a": (0.5, None), "b": (None, "incomplete")}
-
-
 def test_rehydration_fails_on_moved_quotes(spark):
     sources = spark.createDataFrame([("s", "T", 1, "all love here")], "id string, book string, chapter int, text string")
     cited = "source_id string, evidence string, evidence_start int, evidence_end int"
