@@ -23,8 +23,8 @@ from anchora.llm.base import LOWER, mix, written
 
 #: Words of a shard and of a task's open shards, text bytes split at once, and pairs of words, or words, in a cell; about.
 SHARD_WORDS, TASK_WORDS, PART_BYTES, CELL_PAIRS, CELL_WORDS = 1 << 20, 2 << 20, 1 << 20, 1 << 20, 1 << 18
-#: The longest phrase.
-MAX_WORDS = 4
+#: The longest phrase, and shares of a language that are ranked for themselves first.
+MAX_WORDS, SHARES = 4, 64
 
 SHARDS = "shard long, lang string, n long, size long, words binary, dictionary binary, counts binary"
 WORD_CELLS = "cell int, shard long, lang string, places binary, dictionary binary, counts binary"
@@ -348,7 +348,11 @@ def mine_phrases(docs: DataFrame, min_count: int = 30, absorbed_percent: int = 8
     spelt = scored.select("*", F.posexplode(_words_of("p", "q")).alias("place", "id")).join(frequent.select("id", "lang", "word"), "id")
     spelt = spelt.groupBy("p", "q").agg(*(F.first(c).alias(c) for c in ("lang", "a", "l", "r", "score", "left_extension", "right_extension")), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("ws"))
     spelt = spelt.withColumn("phrase", F.array_join("ws.word", " ")).join(totals, "lang")
-    ranked = spelt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long"))
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    if top:  # the first of each share, so that a language's last sort is bounded
+        shares = Window.partitionBy("lang", F.pmod(F.xxhash64("p", "q"), F.lit(SHARES)))
+        spelt = spelt.withColumn("place", F.row_number().over(shares.orderBy(*order))).where(F.col("place") <= top)
+    ranked = spelt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     ranked = ranked.where(F.col("rank") <= top) if top else ranked
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score", "left_extension", "right_extension")
 

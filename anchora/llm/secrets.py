@@ -15,6 +15,12 @@ PART = r"[A-Za-z0-9+]{16,}"
 #: Characters that the models know, at their index; all others share one more index.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WIDTH = len(ALPHABET) + 1
+#: Strings are compared with strings of like characters, by a pair of models for each of: both cases, upper case, lower case,
+#: and neither but for a to f.
+CLASSES = "case when {0} rlike '[A-Z]' then case when {0} rlike '[a-z]' then 0 else 1 end when {0} rlike '[g-z]' then 2 else 3 end"
+N_CLASSES = 4
+#: Added to each count of a transition, so that one never seen is unlikely but possible.
+ADDED = 0.1
 KINDS = ("assign", "access", "hex", "markov")
 #: Matches that are laid out together.
 BLOCK = 64
@@ -116,25 +122,42 @@ def replaced(text: Column, spans: Column, mask) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(_let(disjoint(spans), whole))
 
 
+#: Words of ordinary identifiers, in several languages, so that a table of few words is judged like any other.
+SAMPLE_WORDS = """
+account address archive article backup balance browser builder calendar category channel client cluster column command comment config connection content context control counter country customer
+database default delivery description device directory document download element encoder engine entity environment error event example export factory feature field filter folder format function
+gateway generator graph group handler header history holiday identifier image import index information instance interface invoice iterator journal kernel language latitude layout library license
+listener location manager matrix memory message method metric model module monitor network notification number object operation option order package page parameter parser partition payment pipeline
+platform player plugin pointer policy position process product profile project property protocol provider queue record reference region register release report request resource response result
+abfrage adresse anzeige aufgabe ausgabe benutzer bestellung datei drucker eingabe ergebnis fehler freigabe geschwindigkeit kennwort kunde lieferung nachricht rechnung schalter speicher sprache verbindung
+adresse bibliotheque bouton chemin commande compte connexion courriel dossier echange fichier journee langue message monnaie navigateur numero paiement requete reseau resultat serveur utilisateur
+archivo ayuda busqueda cuenta direccion entrega envio factura fecha idioma lectura mensaje nombre pagina pedido producto prueba respuesta servidor tarjeta trabajo usuario ventana
+""".split()
+
+
 def ordinary_words(docs: DataFrame) -> DataFrame:
-    """(token) the distinct runs of 8 letters or more of all texts that are spelt like words: one case, or a capital first.
-    Random strings hardly ever are, so no label is needed."""
+    """(token, other) of SAMPLE_WORDS, each with several of the others, and of the distinct runs of 8 letters or more of all
+    texts that are spelt like words: one case, or a capital first. Random strings hardly ever are, so no label is needed."""
+    n = len(SAMPLE_WORDS)
+    word = lambda k: F.get(F.array(*map(F.lit, SAMPLE_WORDS)), k.cast("int"))
+    shipped = docs.sparkSession.range(12 * n).select(word(F.col("id") % n).alias("token"), word((F.col("id") * 7 + F.expr(f"id div {n}") * 31) % n).alias("other"))
     texts = F.coalesce("text", F.lit(""))
     words = F.regexp_extract_all(texts, F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Z]?[a-z]{7,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
-    return docs.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count("*").alias("n")).select("token")
+    own = docs.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return own.select("token", F.lower("token").alias("other")).union(shipped)
 
 
 def labelled_samples(docs: DataFrame, n_random: int = 4000) -> DataFrame:
-    """(token, label, held_out). Ordinary (0): the words of all documents, each alone and as one of the forms that
-    identifiers made of words have (chosen by the word's hash), and numbers and UUIDs. Random (1): keys of ``n_random`` SHA-512 digests in the alphabets that keys come in. One
+    """(token, label, held_out). Ordinary (0): SAMPLE_WORDS and the words of all documents, each alone and as one of the
+    forms that identifiers made of words have (chosen by a hash), and numbers and UUIDs. Random (1): keys of ``n_random`` SHA-512 digests in the alphabets that keys come in. One
     token in five, by its hash, is held out of training."""
     spark = docs.sparkSession
-    word, low = F.col("token"), F.lower("token")
-    number = F.pmod(F.xxhash64("token"), F.lit(10_000))
-    other = F.substring(F.reverse(low), 1, 6)
+    word, low, second = F.col("token"), F.lower("token"), F.col("other")
+    number = F.pmod(F.xxhash64("token", "other"), F.lit(10_000))
+    other = F.substring(F.reverse(second), 1, 6)
     forms = F.array(
-        F.concat(F.lit("get_"), low, F.lit("_v"), (number % 9 + 1).cast("string")), F.concat(low, F.initcap(low), number.cast("string")),
-        F.concat(F.lit("/"), low, F.lit("/"), low, F.lit("-"), number.cast("string")), F.concat(low, F.lit("-"), low, F.lit("_"), F.lit("2024-01-"), (number % 28 + 1).cast("string")), F.concat(F.upper("token"), F.lit("_"), F.upper(other)),
+        F.concat(F.lit("get_"), low, F.lit("_v"), (number % 9 + 1).cast("string")), F.concat(low, F.initcap(second), number.cast("string")),
+        F.concat(F.lit("/"), low, F.lit("/"), second, F.lit("-"), number.cast("string")), F.concat(low, F.lit("-"), second, F.lit("_"), F.lit("2024-01-"), (number % 28 + 1).cast("string")), F.concat(F.upper("token"), F.lit("_"), F.upper(other)),
     )
     ordinary = ordinary_words(docs).select(F.explode(F.array(word, F.get(forms, (number % 5).cast("int")))).alias("token"))
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 512)
@@ -147,7 +170,7 @@ def labelled_samples(docs: DataFrame, n_random: int = 4000) -> DataFrame:
     digits = F.substring(F.translate(digest, "abcdef", "012345"), 1, 18)
     uuid = F.concat_ws("-", *(F.substring(digest, a, n) for a, n in ((65, 8), (73, 4), (77, 4), (81, 4), (85, 12))))
     ids = spark.range(n_random)
-    plain_ids = ids.where(F.col("id") % 24 == 0).select(F.explode(F.array(digits, uuid)).alias("token"))
+    plain_ids = ids.where(F.col("id") % 3 == 0).select(digits.alias("token")).union(ids.where(F.col("id") % 150 == 0).select(uuid.alias("token")))
     labelled = ordinary.unionByName(plain_ids).withColumn("label", F.lit(0)).unionByName(ids.select(F.explode(keys).alias("token"), F.lit(1).alias("label")))
     return labelled.withColumn("held_out", F.pmod(F.xxhash64("token", F.lit("held out")), F.lit(5)) == 0)
 
@@ -174,23 +197,26 @@ def _literal(table: list[float]) -> str:
 
 
 def _ratio(token: str, table: str) -> str:
-    """SQL for the mean log-likelihood ratio of a token's character pairs."""
-    return f"aggregate({_pairs(token)}, cast(0 as double), (a, p) -> a + get({table}, p)) / greatest(length({token}) - 1, 1)"
+    """SQL for the mean log-likelihood ratio of a token's character pairs, by the models of its class."""
+    own = f"slice({table}, ({CLASSES.format(token)}) * {WIDTH * WIDTH} + 1, {WIDTH * WIDTH})"
+    return f"get(transform(array({own}), own -> aggregate({_pairs(token)}, cast(0 as double), (a, p) -> a + get(own, p))), 0) / greatest(length({token}) - 1, 1)"
 
 
 def markov_table(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each character transition, random over ordinary, with one added to each count.
-
-    The table has WIDTH * WIDTH entries whatever the samples' size; only the counts of transitions come to the driver."""
-    pairs = samples.where(F.length("token") >= 2).select("label", F.explode(F.expr(_pairs("token"))).alias("pair"))
-    rows = pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()
-    counts = [[1.0] * (WIDTH * WIDTH) for _ in range(2)]
+    """Log-likelihood ratio of each character transition, random over ordinary, with ADDED to each count, for each class
+    of strings in turn.
+
+    The table has N_CLASSES * WIDTH * WIDTH entries whatever the samples' size; only the counts of transitions come to the
+    driver."""
+    pairs = samples.where(F.length("token") >= 2).select("label", F.expr(CLASSES.format("token")).alias("like"), F.explode(F.expr(_pairs("token"))).alias("pair"))
+    rows = pairs.groupBy("label", "like", "pair").agg(F.count("*").alias("n")).collect()
+    counts = [[ADDED] * (N_CLASSES * WIDTH * WIDTH) for _ in range(2)]
     for r in rows:
-        counts[r["label"]][r["pair"]] += r["n"]
+        counts[r["label"]][r["like"] * WIDTH * WIDTH + r["pair"]] += r["n"]
     import math
 
-    sums = [[sum(c[k * WIDTH : (k + 1) * WIDTH]) for k in range(WIDTH)] for c in counts]
-    return [math.log(counts[1][p] / sums[1][p // WIDTH]) - math.log(counts[0][p] / sums[0][p // WIDTH]) for p in range(WIDTH * WIDTH)]
+    sums = [[sum(c[k * WIDTH : (k + 1) * WIDTH]) for k in range(N_CLASSES * WIDTH)] for c in counts]
+    return [math.log(counts[1][p] / sums[1][p // WIDTH]) - math.log(counts[0][p] / sums[0][p // WIDTH]) for p in range(N_CLASSES * WIDTH * WIDTH)]
 
 
 def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 0.5, min_value: int = 8, keep: bool = False) -> DataFrame:
@@ -212,13 +238,13 @@ def scan_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: f
     )
     d = d.select("doc_id", "text", F.sort_array(base).alias("base"), *also)
     d = d.select("*", _blanked(F.col("text"), F.col("base")).alias("rest"))
-    d = d.select("doc_id", "text", "base", spans_of(F.col("rest"), TOKEN, "markov").alias("tokens"), spans_of(F.col("rest"), PART, "markov").alias("parts"), *also)
-    judged = lambda runs: F.expr(f"filter({runs}, t -> {_ratio('t.value', _literal(table))} > {threshold:f})")
-    d = d.select("*", judged("tokens").alias("whole"))
-    # a part that is a whole run, or in a run found, is settled
-    inner = F.filter("parts", lambda p: ~F.exists("whole", lambda t: (t["start"] <= p["start"]) & (p["end"] <= t["end"])) & ~F.exists("tokens", lambda t: (t["start"] == p["start"]) & (t["end"] == p["end"])))
-    d = d.select("doc_id", "text", "base", "whole", inner.alias("parts"), *also)
-    return d.select("doc_id", "text", "base", F.sort_array(F.concat("base", "whole", judged("parts"))).alias("spans"), *also)
+    # each run with the parts inside it, so that a part is held against its own run only
+    within = lambda t: F.filter(F.transform(spans_of(t["value"], PART, "markov"), lambda p: _moved(p, t["start"])), lambda p: p["end"] - p["start"] < t["end"] - t["start"])
+    runs = F.transform(spans_of(F.col("rest"), TOKEN, "markov"), lambda t: F.struct(t.alias("run"), within(t).alias("parts")))
+    d = d.select("doc_id", "text", "base", runs.alias("runs"), *also)
+    random = lambda value: f"{_ratio(value, _literal(table))} > {threshold:f}"
+    found = F.expr(f"flatten(transform(runs, x -> if({random('x.run.value')}, array(x.run), filter(x.parts, p -> {random('p.value')}))))")
+    return d.select("doc_id", "text", "base", F.sort_array(F.concat("base", found)).alias("spans"), *also)
 
 
 def span_text(spans: str) -> Column:

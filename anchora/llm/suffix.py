@@ -1,6 +1,6 @@
 """Exact substring deduplication by a sampled suffix array.
 
-Suffixes are sampled: of each window of ``short`` bytes, the one at its least k-gram by hash, which depends on the window
+Suffixes are sampled: of each window of ``length`` bytes, the one at its least k-gram by hash, which depends on the window
 alone. Equal windows therefore hold equal sampled suffixes at equal places, and only suffixes whose leading bytes occur
 twice are looked at. These are range-partitioned by their leading bytes with splitters that Spark samples; in each bucket
 they are sorted by multikey quicksort, forwards from the sampled place and backwards from it, and the common prefixes of
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from anchora.llm.base import BYTE_VALUES, MULT, MULT_INV, mix, powers, text_parts, written
 
-#: Bytes of repeated strings: those removed, and the shorter ones that are only counted.
-LENGTH, SHORT = 400, 256
+#: Bytes of repeated strings.
+LENGTH = 400
 #: Leading bytes that sampled suffixes are matched on.
 LEAD = 80
 #: Suffixes with equal leading bytes that one bucket takes, about, and groups up to which all pairs are compared.
@@ -28,7 +28,7 @@ BUCKET_ROWS, PAIRS = 4000, 8
 
 SUFFIXES = "kind int, lead long, row long, at int, low int, high int"
 WINDOWS = "head binary, lead long, salt int, salts int, row long, at int, low int, high int, bytes binary"
-FOUND = "kind int, row long, first long, last long, key long, key2 long, twice boolean"
+FOUND = "row long, first long, last long, key long, key2 long, twice boolean"
 
 
 def _gram_hashes(buf: np.ndarray, k: int, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
@@ -68,19 +68,19 @@ def periodic(text: np.ndarray, at: np.ndarray, same: np.ndarray, least: int) ->
     return out
 
 
-def sampled_suffixes(text: np.ndarray, length: int, short: int, lead: int) -> tuple[np.ndarray, ...]:
-    """(kind, lead hash, place, first window, last window) of each sampled suffix of one text (kind 2), and of windows of
-    ``length`` (kind 0) and ``short`` bytes (kind 1) that a periodic stretch of the text repeats by itself.
+def sampled_suffixes(text: np.ndarray, length: int, lead: int) -> tuple[np.ndarray, ...]:
+    """(kind, lead hash, place, first window, last window) of each sampled suffix of one text (kind 1), and of windows of
+    ``length`` bytes (kind 0) that a periodic stretch of the text repeats by itself.
 
     Every window start lies in the range of exactly one suffix, but for those inside a periodic stretch after its first
     period; among equal k-grams the leftmost counts."""
-    if len(text) < short:
+    if len(text) < length:
         empty = np.zeros(0, np.int64)
         return empty, empty.astype(np.uint64), empty, empty, empty
     grams = _gram_hashes(text, lead)
     bits = np.uint64(max(len(grams) - 1, 1).bit_length())
     tagged = ((grams >> bits) << bits) | np.arange(len(grams), dtype=np.uint64)
-    best = (_least(tagged, short - lead + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    best = (_least(tagged, length - lead + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
     last = np.append(first[1:], len(best)) - 1
     at = best[first]
@@ -89,7 +89,7 @@ def sampled_suffixes(text: np.ndarray, length: int, short: int, lead: int) -> tu
     close = (leads[1:] == leads[:-1]) & (np.diff(at) < lead)
     if close.any():
         for x, y, q in periodic(text, at, close, length):
-            settled += [(0, x, y - length), (1, x, y - short)]
+            settled.append((0, x, y - length))
             # what lies between two of the settled windows of ``length`` needs no suffix of its own
             inside = (first <= y - length) & (last >= x + q)
             head, tail = inside & (first < x + q), inside & (last > y - length)
@@ -102,19 +102,19 @@ def sampled_suffixes(text: np.ndarray, length: int, short: int, lead: int) -> tu
             first = np.where(tail, y - length + 1, first)
             at, leads, first, last = at[~drop], leads[~drop], first[~drop], last[~drop]
     own = np.array(settled, np.int64).reshape(-1, 3).T
-    kind = np.concatenate([np.full(len(at), 2), own[0]])
+    kind = np.concatenate([np.full(len(at), 1), own[0]])
     none = np.zeros(len(settled), np.int64)
     return kind, np.concatenate([leads, none.astype(np.uint64)]), np.concatenate([at, none]), np.concatenate([first, own[1]]), np.concatenate([last, own[2]])
 
 
-def _suffix_rows(length: int, short: int, lead: int):
+def _suffix_rows(length: int, lead: int):
     def run(batches):
         for batch in batches:
             rows = batch.column("row").to_numpy()
             for first, offsets, buf in text_parts(batch.column("text")):
                 out = [[], [], [], [], [], []]
                 for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                    kind, grams, at, low, high = sampled_suffixes(buf[a:b], length, short, lead)
+                    kind, grams, at, low, high = sampled_suffixes(buf[a:b], length, lead)
                     for o, x in zip(out, (kind, grams.view(np.int64), np.full(len(at), rows[first + k]), at, low, high), strict=True):
                         o.append(x)
                 types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
@@ -244,11 +244,11 @@ def _pairs_of(strings: Strings, back: Strings, anchor: np.ndarray, left: np.ndar
         yield a, b, back.common(back.size - anchor[a], back.size - anchor[b], np.minimum(left[a], left[b])), after[hit]
 
 
-def compare(lead: np.ndarray, row: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, spread: np.ndarray, data: list[bytes], lengths: tuple[int, ...]):
-    """Windows of ``lengths`` bytes that occur twice among suffixes with equal leading bytes.
+def compare(lead: np.ndarray, row: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, spread: np.ndarray, data: list[bytes], length: int):
+    """Windows of ``length`` bytes that occur twice among suffixes with equal leading bytes.
 
-    Returns runs (kind, row, first, last), and for groups that are spread over buckets each distinct window once (kind,
-    row, place, key, key2, whether it occurs twice here), to compare further."""
+    Returns runs (row, first, last), and for groups that are spread over buckets each distinct window once (row, place, key,
+    key2, whether it occurs twice here), to compare further."""
     size = np.array([len(x) for x in data], np.int64)
     begin = np.cumsum(size) - size
     buf = np.frombuffer(b"".join(data), np.uint8)
@@ -260,12 +260,11 @@ def compare(lead: np.ndarray, row: np.ndarray, at: np.ndarray, low: np.ndarray,
     small = (np.bincount(group)[group] <= PAIRS) & ~spread
     runs = []
     for a, b, before, after in _pairs_of(strings, back, anchor, left, order, common, small):
-        for kind, length in enumerate(lengths):
-            for s in (a, b):
-                least, most = np.maximum(length - after, at[s] - high[s]), np.minimum(before, left[s])
-                hit = least <= most
-                s, least, most = s[hit], least[hit], most[hit]
-                runs.append((np.full(len(s), kind), row[s], at[s] - most, at[s] - least))
+        for s in (a, b):
+            least, most = np.maximum(length - after, at[s] - high[s]), np.minimum(before, left[s])
+            hit = least <= most
+            s, least, most = s[hit], least[hit], most[hit]
+            runs.append((row[s], at[s] - most, at[s] - least))
     sent = []
     large = np.flatnonzero(~small)
     if len(large):
@@ -274,62 +273,61 @@ def compare(lead: np.ndarray, row: np.ndarray, at: np.ndarray, low: np.ndarray,
         rank_right[order] = np.arange(len(order))
         rank_left = np.empty(len(large), np.int64)
         rank_left[ends] = np.arange(len(ends))
-        for kind, length in enumerate(lengths):
-            hashes = [_gram_hashes(buf, length, v) for v in (BYTE_VALUES, BYTE_VALUES[::-1] ^ np.uint64(0x5DEECE66D))] if spread.any() and len(buf) >= length else None
-            for before in range(int((at - high)[large].min()), int(left[large].max()) + 1):
-                owns = np.flatnonzero((at[large] - high[large] <= before) & (before <= left[large]) & (right[large] >= length - before))
-                if not len(owns):
-                    continue
-                s = large[owns]
-                # equal bytes after the anchor, and equal ones before it, number the classes in either order
-                key = np.cumsum(common < length - before)[rank_right[s]] * (len(large) + 1) + np.cumsum(shared < before)[rank_left[owns]]
-                by = np.argsort(key, kind="stable")
-                key = key[by]
-                same = np.zeros(len(key) + 1, bool)
-                same[1:-1] = key[1:] == key[:-1]
-                twice = np.zeros(len(key), bool)
-                twice[by] = same[:-1] | same[1:]
-                place = at[s] - before
-                runs.append((np.full(twice.sum(), kind), row[s[twice]], place[twice], place[twice]))
-                once = np.zeros(len(key), bool)
-                once[by] = ~same[:-1]
-                once &= spread[s]
-                if once.any():
-                    where = begin[s[once]] + place[once] - low[s[once]]
-                    sent.append((np.full(once.sum(), kind), row[s[once]], place[once], hashes[0][where].view(np.int64), hashes[1][where].view(np.int64), twice[once]))
-    found = [np.concatenate(x) for x in zip(*runs, strict=True)] if runs else [np.zeros(0, np.int64)] * 4
+        hashes = [_gram_hashes(buf, length, v) for v in (BYTE_VALUES, BYTE_VALUES[::-1] ^ np.uint64(0x5DEECE66D))] if spread.any() and len(buf) >= length else None
+        for before in range(int((at - high)[large].min()), int(left[large].max()) + 1):
+            owns = np.flatnonzero((at[large] - high[large] <= before) & (before <= left[large]) & (right[large] >= length - before))
+            if not len(owns):
+                continue
+            s = large[owns]
+            # equal bytes after the anchor, and equal ones before it, number the classes in either order
+            key = np.cumsum(common < length - before)[rank_right[s]] * (len(large) + 1) + np.cumsum(shared < before)[rank_left[owns]]
+            by = np.argsort(key, kind="stable")
+            key = key[by]
+            same = np.zeros(len(key) + 1, bool)
+            same[1:-1] = key[1:] == key[:-1]
+            twice = np.zeros(len(key), bool)
+            twice[by] = same[:-1] | same[1:]
+            place = at[s] - before
+            runs.append((row[s[twice]], place[twice], place[twice]))
+            once = np.zeros(len(key), bool)
+            once[by] = ~same[:-1]
+            once &= spread[s]
+            if once.any():
+                where = begin[s[once]] + place[once] - low[s[once]]
+                sent.append((row[s[once]], place[once], hashes[0][where].view(np.int64), hashes[1][where].view(np.int64), twice[once]))
+    found = [np.concatenate(x) for x in zip(*runs, strict=True)] if runs else [np.zeros(0, np.int64)] * 3
     return _merged(*found), [np.concatenate(x) for x in zip(*sent, strict=True)] if sent else None
 
 
-def _merged(kind: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Overlapping or adjacent runs of one kind and row become one."""
+def _merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Overlapping or adjacent runs of one row become one."""
     if not len(row):
-        return kind, row, first, last
-    by = np.lexsort((first, row, kind))
-    kind, row, first, last = kind[by], row[by], first[by], last[by]
+        return row, first, last
+    by = np.lexsort((first, row))
+    row, first, last = row[by], first[by], last[by]
     text = np.ones(len(row), bool)
-    text[1:] = (row[1:] != row[:-1]) | (kind[1:] != kind[:-1])
+    text[1:] = row[1:] != row[:-1]
     base = (np.cumsum(text) - 1) * (int(last.max()) + 2)  # so that no run reaches into the next text
     until = np.maximum.accumulate(last + base)
     new = np.ones(len(row), bool)
     new[1:] = text[1:] | ((first + base)[1:] > until[:-1] + 1)
     at = np.flatnonzero(new)
-    return kind[at], row[at], first[at], (until - base)[np.append(at[1:], len(row)) - 1]
+    return row[at], first[at], (until - base)[np.append(at[1:], len(row)) - 1]
 
 
-def _buckets(lengths: tuple[int, ...], max_bytes: int = 8 << 20):
+def _buckets(length: int, max_bytes: int = 8 << 20):
     """Sorted suffixes of a range partition: groups of equal (lead, salt), compared in runs of about ``max_bytes``."""
 
     def emit(held: list[pa.Table]):
         table = pa.concat_tables(held).combine_chunks()
         number = lambda c: table.column(c).to_numpy().astype(np.int64)
-        (kind, row, first, last), sent = compare(*(number(c) for c in ("lead", "row", "at", "low", "high")), number("salts") > 1, table.column("bytes").to_pylist(), lengths)
+        (row, first, last), sent = compare(*(number(c) for c in ("lead", "row", "at", "low", "high")), number("salts") > 1, table.column("bytes").to_pylist(), length)
         none, yes = pa.nulls(len(row), pa.int64()), pa.array(np.ones(len(row), bool))
-        names = ["kind", "row", "first", "last", "key", "key2", "twice"]
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(row), pa.array(first), pa.array(last), none, none, yes], names)
+        names = ["row", "first", "last", "key", "key2", "twice"]
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(first), pa.array(last), none, none, yes], names)
         if sent:
-            kind, row, place, key, key2, twice = sent
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(row), pa.array(place), pa.array(place), pa.array(key), pa.array(key2), pa.array(twice)], names)
+            row, place, key, key2, twice = sent
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(place), pa.array(key), pa.array(key2), pa.array(twice)], names)
 
     def run(batches):
         held, size = [], 0
@@ -350,14 +348,13 @@ def _buckets(lengths: tuple[int, ...], max_bytes: int = 8 << 20):
     return run
 
 
-def _cut(length: int, short: int):
-    """Text without the union of its repeated windows: bytes, removed bytes, spans, the hash of what stays, and the bytes
-    in shorter repeats."""
+def _cut(length: int):
+    """Text without the union of its repeated windows: bytes, removed bytes, spans, and the hash of what stays."""
     import hashlib
 
-    def union(spans: list[dict], kind: int, width: int) -> list[list[int]]:
+    def union(spans: list[dict]) -> list[list[int]]:
         runs: list[list[int]] = []
-        for a, b in sorted((s["first"], s["last"] + width) for s in spans or () if s["kind"] == kind):
+        for a, b in sorted((s["first"], s["last"] + length) for s in spans or ()):
             if runs and a <= runs[-1][1]:
                 runs[-1][1] = max(runs[-1][1], b)
             else:
@@ -366,41 +363,38 @@ def _cut(length: int, short: int):
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], []]
             for doc, text, spans, copied in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), batch.column("copied").to_pylist(), strict=True):
                 data = text.as_py().encode()
-                whole = lambda least: [[0, len(data)]] if copied and len(data) >= least else None  # noqa: B023, E731
-                runs = whole(length) or union(spans, 0, length)
-                shared = whole(short) or union(spans, 1, short)
+                runs = [[0, len(data)]] if copied and len(data) >= length else union(spans)
                 kept, at = [], 0
                 for a, b in runs:
                     kept.append(data[at:a])
                     at = b
                 kept.append(data[at:])
                 left = b"".join(kept)
-                for o, x in zip(out, (doc, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest(), sum(b - a for a, b in shared)), strict=True):
+                for o, x in zip(out, (doc, len(data), len(data) - len(left), len(runs), hashlib.sha256(left).hexdigest()), strict=True):
                     o.append(x)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, lead: int = LEAD) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_bytes, n_removed, n_spans and kept_sha256 after removing every byte that a
-    string of ``length`` bytes covers which also starts elsewhere, in this text or another; and n_shared, the bytes that
-    strings of ``short`` bytes cover which also start elsewhere. Strings are judged on the input, and never cross texts.
+    string of ``length`` bytes covers which also starts elsewhere, in this text or another. Strings are judged on the input, and never cross texts.
 
     Equal texts (by SHA-256) are one class and go whole if they have ``length`` bytes; one of them stands for all in the
     comparison. A null is an empty text, with no bytes and no spans; null ids stay. Repeated rows are equal texts; an
     empty table gives none; other columns are ignored. A very long text is sampled and cut by one task, whose memory
     follows that text; a stretch of few bytes over and over is settled by itself."""
-    if not lead <= short <= length:
-        raise ValueError("lead, short and length must not fall")
+    if lead > length:
+        raise ValueError("lead is longer than length")
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     copied = d.groupBy("row", F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("copies")).where("copies > 1").groupBy("row").agg(F.collect_set("sha").alias("copied"))
-    sampled = written(d.select("row", "text").mapInArrow(_suffix_rows(length, short, lead), SUFFIXES))
-    suffixes = sampled.where("kind = 2").drop("kind")
+    sampled = written(d.select("row", "text").mapInArrow(_suffix_rows(length, lead), SUFFIXES))
+    suffixes = sampled.where("kind = 1").drop("kind")
     place = F.xxhash64("row", "at")
     counts = suffixes.groupBy("lead").agg(F.count("*").alias("n"), F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
     counts = written(counts.select("lead", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("salts")))
@@ -409,16 +403,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, le
     texts = d.select("row", "text").dropDuplicates(["row"]).join(wanted, "row")
     windows = texts.mapInArrow(_window_rows(length), WINDOWS)
     keys = ("head", "lead", "salt")
-    found = written(windows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_buckets((length, short)), FOUND))
+    found = written(windows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_buckets(length), FOUND))
     keyed = found.where("key is not null")
-    across = keyed.groupBy("kind", "key", "key2").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice")
-    late = keyed.join(across.select("kind", "key", "key2"), ["kind", "key", "key2"]).select("kind", "row", "first", "last")
-    settled = sampled.where("kind < 2").select("kind", "row", F.col("low").cast("long"), F.col("high").cast("long"))
-    spans = found.where("key is null").select("kind", "row", "first", "last").union(late).union(settled)
-    spans = spans.groupBy("row").agg(F.collect_set(F.struct("kind", "first", "last")).alias("spans"))
+    across = keyed.groupBy("key", "key2").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice")
+    late = keyed.join(across.select("key", "key2"), ["key", "key2"]).select("row", "first", "last")
+    settled = sampled.where("kind = 0").select("row", F.col("low").cast("long"), F.col("high").cast("long"))
+    spans = found.where("key is null").select("row", "first", "last").union(late).union(settled)
+    spans = spans.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     out = d.join(written(spans.join(copied, "row", "full_outer")), "row", "left")
     equal = F.when(F.col("copied").isNotNull(), F.array_contains("copied", F.sha2("text", 256))).otherwise(False)
-    return out.select("doc_id", "text", "spans", equal.alias("copied")).mapInArrow(_cut(length, short), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
+    return out.select("doc_id", "text", "spans", equal.alias("copied")).mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
