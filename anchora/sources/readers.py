@@ -12,7 +12,8 @@ from anchora.functions.ids import annotation_id, claim_id, entity_id
 from anchora.functions.text import clean_paragraph, is_blockquote, squeeze
 from anchora.operators.anchor import ATTRIBUTIONS, MODES, POLARITIES, PREDICATES, anchor_evidence
 from anchora.operators.profile import passages_hash
-from anchora.plans.tables import must
+from anchora.plans.tables import must, written
+from anchora.sources.runs import commit, read_committed, stage, write_run
 
 CLAIM_LINE = (
     "type string, claim_id string, source_id string, subject string, predicate string, object string, verb_phrase string, polarity string, mode string, "
@@ -44,10 +45,25 @@ def _lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def line_order(rows: DataFrame) -> DataFrame:
+    """``rows`` of text files with ord: each row's place from 0 in all files by name, and in its file.
+
+    Spark deals a file in blocks and orders these by size. A block's rows stand together in one partition, so a row's place
+    is its number within the block and the rows of all blocks before it; there is one row a block in that sum. The rows
+    are written once, numbered, so that both uses see the same numbers."""
+    block = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    numbered = written(rows.select("*", *block, F.monotonically_increasing_id().alias("_n")))
+    blocks = numbered.groupBy("_file", "_block").agg(F.min("_n").alias("_first"), F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(W.orderBy("_file", "_block")) - F.col("_rows")
+    starts = blocks.select("_file", "_block", (before - F.col("_first")).alias("_shift"))
+    return numbered.join(starts, ["_file", "_block"]).withColumn("ord", F.col("_n") + F.col("_shift")).drop("_file", "_block", "_n", "_shift")
+
+
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
-    """Claims of a JSON-lines file; ids are computed anew and ord follows the lines."""
-    c = _lines(spark, path, CLAIM_LINE).where("type = 'claim'").withColumn("ord", F.monotonically_increasing_id())
+    """Claims of JSON-lines files; ids are computed anew and ord follows the files by name and their lines."""
     good = F.col("predicate").isin(*PREDICATES) & F.col("polarity").isin(*POLARITIES) & F.col("mode").isin(*MODES) & F.col("attribution").isin(*ATTRIBUTIONS)
+    lines = _lines(spark, path, CLAIM_LINE)
+    c = line_order(lines.where("type = 'claim'"))
     c = must(c, good & F.col("source_id").isNotNull() & F.col("subject").isNotNull() & F.col("evidence").isNotNull(), "bad claim line")
     return c.withColumn("claim_id", claim_id(*(F.col(x) for x in ("source_id", "evidence", "subject", "predicate", "object", "polarity", "mode", "attribution")))).drop("type")
 
@@ -164,11 +180,11 @@ GRAPH_COLUMNS = {
 }
 
 
-def read_graph(spark: SparkSession, path: str, version: int) -> dict[str, DataFrame]:
-    """Tables of a written graph of the given schema version; one without the columns it must have is an error."""
-    tables = {t: spark.read.parquet(f"{path}/{t}") for t in GRAPH_COLUMNS}
+def read_graph(spark: SparkSession, path: str, version: int, name: str = "graph") -> dict[str, DataFrame]:
+    """Tables of a committed graph of the given schema version; one without the columns it must have is an error."""
+    tables = read_committed(spark, path, name)
     for t, columns in GRAPH_COLUMNS.items():
-        lacking = set(columns) - set(tables[t].columns)
+        lacking = set(columns) - set(tables[t].columns if t in tables else ())
         if lacking:
             raise ValueError(f"{t} of the graph lacks {sorted(lacking)}")
     return tables | {"metadata": must(tables["metadata"], F.col("version") == version, "graph version")}
@@ -178,12 +194,6 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_run(rows: DataFrame, header: DataFrame, path: str, run_id: str) -> None:
-    """Outcome rows partitioned by run, and one header row beside them, written last so that it marks a whole run."""
-    rows.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(f"{path}/rows")
-    header.withColumns({"run_id": F.lit(run_id), "created_at": F.current_timestamp()}).write.mode("append").partitionBy("run_id").parquet(f"{path}/headers")
-
-
 def _scores(scores: DataFrame) -> DataFrame:
     """Score rows as one array, for a header."""
     return scores.agg(F.collect_list(F.struct(*scores.columns)).alias("scores"))
@@ -216,29 +226,8 @@ def write_case_run(criteria: DataFrame, report: DataFrame, path: str, run_id: st
     write_run(cases, cases.agg(F.count("*").alias("n_cases")).crossJoin(_scores(report)), path, run_id)
 
 
-def write_graph(tables: dict[str, DataFrame], path: str) -> None:
-    """A graph's tables (``graph.artifact``), range-sorted by their keys; metadata last, so that it marks a whole graph."""
+def write_graph(tables: dict[str, DataFrame], path: str, name: str = "graph") -> None:
+    """A graph's tables (``graph.artifact``), range-sorted by their keys and committed together."""
     keys = {"nodes": ["node_id"], "edges": ["claim_id"], "non_projectable": ["claim_id"], "passages": ["source_id", "evidence_start", "evidence_end"]}
-    for t in ("nodes", "edges", "non_projectable", "passages", "counts", "metadata"):
-        (tables[t].orderBy(*keys[t]) if t in keys else tables[t]).write.parquet(f"{path}/{t}")
-
-
-def store_vectors(spark: SparkSession, path: str, claims: DataFrame, embed, model_id: str, run_id: str) -> DataFrame:
-    """Vectors (claim_id, vec) of the claims from the store, embedding (``embed``: claims to claim_id, vec) only those
-    that it lacks for this model and run. A model whose vectors change their length needs a new ``model_id``; a store with
-    vectors of several lengths fails the job."""
-    part = f"{path}/model_id={model_id}/run_id={run_id}"
-    try:
-        have = spark.read.parquet(part)
-        known = have.select("claim_id")
-    except Exception as e:  # the store is new
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = None
-    missing = claims if known is None else claims.join(known, "claim_id", "left_anti")
-    embed(missing).select("claim_id", "vec").write.mode("append").parquet(part)
-    stored = spark.read.parquet(part).join(claims.select("claim_id"), "claim_id", "left_semi")
-    widths = stored.agg(F.min(F.size("vec")).alias("a"), F.max(F.size("vec")).alias("b")).first()
-    if widths["a"] != widths["b"]:
-        raise ValueError(f"stored vectors have from {widths['a']} to {widths['b']} places")
-    return stored
+    ordered = {t: tables[t].orderBy(*keys[t]) if t in keys else tables[t] for t in GRAPH_COLUMNS}
+    commit(tables["nodes"].sparkSession, path, name, stage(ordered, path), list(ordered))

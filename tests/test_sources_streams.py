@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from anchora.sources import readers
+from anchora.sources import readers, runs
 from anchora.streaming import streams
 
 
@@ -44,10 +45,39 @@ def test_passages(spark, tmp_path):
     assert got == [("t3-2-1", "First para. quoted more"), ("t3-2-3", "Last one.")]
 
 
-def test_runs_and_graph(spark, tmp_path):
+def test_only_committed_runs_are_read(spark, tmp_path):
     rows, header = spark.createDataFrame([(1, "claim")], "n int, status string"), spark.createDataFrame([(1,)], "claims int")
-    readers.write_run(rows, header, f"{tmp_path}/run", "r1")
-    assert spark.read.parquet(f"{tmp_path}/run/rows").first()["run_id"] == "r1"
+    path = f"{tmp_path}/run"
+    runs.stage({"rows": rows.union(rows), "header": header}, path)  # a driver that was lost before its commit
+    with pytest.raises(ValueError, match="never committed"):
+        runs.read_run(spark, path, "r1")
+    runs.write_run(rows, header, path, "r1")
+    half = runs.stage({"rows": rows.union(rows), "header": header}, path)
+    assert runs.read_run(spark, path, "r1")["rows"].count() == 1
+    runs.commit(spark, path, "r1", half, ["rows", "header"])  # the same run once more: the first commit stays
+    got = runs.read_run(spark, path, "r1")
+    assert got["rows"].first()["run_id"] == "r1" and got["rows"].count() == 1 and got["header"].count() == 1
+    runs.write_run(rows.limit(0), header, path, "r2")
+    assert runs.read_run(spark, path, "r2")["rows"].count() == 0 and runs.committed(spark, path).count() == 2
+    attempt = runs.committed(spark, path).where("name = 'r1'").first()["attempt"]
+    rows.withColumn("run_id", F.lit("x")).write.mode("append").parquet(f"{path}/attempts/{attempt}/rows")
+    with pytest.raises(ValueError, match="has 2 rows and not 1"):
+        runs.read_run(spark, path, "r1")
+
+
+def test_line_order_over_files(spark, tmp_path):
+    """Spark orders files by size; ord follows their names, also where a file is dealt in several blocks."""
+    want = []
+    for name, n in (("a", 3), ("b", 2000), ("c", 40), ("d", 1)):
+        own = [CLAIM | {"subject": f"{name}{k}"} for k in range(n)]
+        lines(tmp_path / f"{name}.jsonl", [{"type": "header"}, *own])
+        want += [c["subject"] for c in own]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = readers.read_claims(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["subject"] for r in sorted(got, key=lambda r: r["ord"])] == want and sorted(r["ord"] for r in got) == list(range(len(want)))
 
 
 GRAPH_CLAIM = "ord long, claim_id string, source_id string, subject string, predicate string, object string, verb_phrase string, polarity string, mode string, attribution string, evidence_start int, evidence_end int"
@@ -81,16 +111,16 @@ def test_run_writers(spark, tmp_path):
     outcomes = spark.createDataFrame([("s", "claim"), ("s", "rejected"), ("t", "failed")], "source_id string, status string")
     scores = spark.createDataFrame([("loose", 3), ("strict", 2)], "tier string, tp long")
     readers.write_extraction_run(outcomes, scores, sources, f"{tmp_path}/x", "r1")
-    header = spark.read.parquet(f"{tmp_path}/x/headers").first()
+    header = runs.read_run(spark, f"{tmp_path}/x", "r1")["header"].first()
     assert (header["run_id"], header["n_claim"], header["n_rejected"], header["n_failed"], len(header["scores"]), len(header["passages_hash"])) == ("r1", 1, 1, 1, 2, 64)
     resolution = spark.createDataFrame([("a", "e"), ("b", "e"), ("c", "f")], "mention string, entity_id string")
     readers.write_resolution_run(resolution, outcomes.where("status = 'rejected'"), 4, scores, f"{tmp_path}/y", "r1")
-    header = spark.read.parquet(f"{tmp_path}/y/headers").first()
+    header = runs.read_run(spark, f"{tmp_path}/y", "r1")["header"].first()
     assert (header["n_mentions"], header["n_entities"], header["n_rejected"], header["n_failed"]) == (3, 2, 1, 4)
-    assert {tuple(r["mentions"]) for r in spark.read.parquet(f"{tmp_path}/y/rows").collect()} == {("a", "b"), ("c",)}
+    assert {tuple(r["mentions"]) for r in runs.read_run(spark, f"{tmp_path}/y", "r1")["rows"].collect()} == {("a", "b"), ("c",)}
     criteria = spark.createDataFrame([("q", "non_empty", "gating", "pass", None)], "case_id string, name string, kind string, status string, score double")
     readers.write_case_run(criteria, scores, f"{tmp_path}/z", "r2")
-    assert spark.read.parquet(f"{tmp_path}/z/headers").first()["n_cases"] == 1
+    assert runs.read_run(spark, f"{tmp_path}/z", "r2")["header"].first()["n_cases"] == 1
 
 
 def test_tagged_sources_answers_and_derived_gold(spark, tmp_path):
@@ -115,16 +145,24 @@ def test_tagged_sources_answers_and_derived_gold(spark, tmp_path):
 
 
 def test_vector_store_embeds_what_is_missing(spark, tmp_path):
-    seen = []
+    seen, width = [], [2]
 
     def embed(claims):
         seen.append(claims.count())
-        return claims.selectExpr("claim_id", "array(1.0f) as vec")
+        return claims.select("claim_id", F.array_repeat(F.length("text").cast("float"), width[0]).alias("vec"))
+
+    def store(**texts):
+        claims = spark.createDataFrame(list(texts.items()), "claim_id string, text string")
+        return {r["claim_id"]: r["vec"] for r in runs.store_vectors(spark, f"{tmp_path}/v", claims, embed, "m").collect()}
 
-    two, three = (spark.createDataFrame([(c,) for c in x], "claim_id string") for x in ("ab", "abc"))
-    assert readers.store_vectors(spark, f"{tmp_path}/v", two, embed, "m", "r").count() == 2
-    assert readers.store_vectors(spark, f"{tmp_path}/v", three, embed, "m", "r").count() == 3
-    assert seen == [2, 1]
+    assert store(a="x", b="yy") == {"a": [1, 1], "b": [2, 2]}
+    assert store(a="x", b="yyy", c="z") == {"a": [1, 1], "b": [3, 3], "c": [1, 1]}
+    assert store(a="x") == {"a": [1, 1]}  # nothing new, b and c are stale
+    width[0] = 3
+    assert store(a="x", d="zzzz") == {"a": [1] * 3, "d": [4] * 3}  # another width: all are embedded again
+    versions = {r["version"]: (r["width"], r["embedded"], r["total"], len(r["segments"])) for r in runs.store_versions(spark, f"{tmp_path}/v", "m").collect()}
+    assert versions == {1: (2, 2, 2, 1), 2: (2, 2, 3, 2), 3: (2, 0, 1, 2), 4: (3, 2, 2, 1)}
+    assert seen == [2, 2, 0, 1, 2]
 
 
 def test_stream_extract(spark, tmp_path):
@@ -138,21 +176,24 @@ def test_stream_extract(spark, tmp_path):
     assert {tuple(r) for r in spark.table("outcomes").collect()} == {("s", "claim"), ("t", "failed")}
 
 
-def test_stream_sequences(spark, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def test_stream_sequences_go_on_after_a_stop(spark, tmp_path):
+    """Messages of three files: the stream stops after the first batch and starts again from its checkpoint."""
     schema = "conv_id long, arrival long, role string, text string"
-    spark.createDataFrame([(1, 2, "user", "b"), (1, 1, "user", "a"), (2, 1, "user", "x")], schema).write.parquet(f"{tmp_path}/in/p=1")
-    spark.createDataFrame([(1, 3, "user", "c")], schema).write.parquet(f"{tmp_path}/in/p=2")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    try:
-        q = streams.stream_append_messages(stream).writeStream.format("memory").queryName("numbered").outputMode("append").start()
-        q.processAllAvailable()
-    except Exception as e:
-        if "google" in str(e) or "protobuf" in str(e):
-            pytest.skip("stateful processors need protobuf here")
-        raise
-    q.stop()
+    put = lambda rows, p: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/p={p}")
+    put([(1, 2, "user", "b"), (1, 1, "user", "a"), (2, 1, "user", "x")], 1)
+
+    def run(batches):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        q = streams.stream_append_messages(stream).writeStream.option("checkpointLocation", f"{tmp_path}/state").format("parquet").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination()
+        assert q.exception() is None and len([p for p in q.recentProgress if p["numInputRows"]]) == batches
+
+    run(1)
+    put([(1, 4, "user", "d"), (1, 3, "user", "c")], 2)
+    put([(2, 2, "user", "y"), (3, 1, "user", "z")], 3)
+    run(2)
+    run(0)
     got = {}
-    for r in spark.table("numbered").collect():
-        got.setdefault(r["conv_id"], []).append(r["sequence"])
-    assert {k: sorted(v) for k, v in got.items()} == {1: [1, 2, 3], 2: [1]}
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        got.setdefault(r["conv_id"], []).append((r["sequence"], r["text"]))
+    assert {k: sorted(v) for k, v in got.items()} == {1: [(1, "a"), (2, "b"), (3, "c"), (4, "d")], 2: [(1, "x"), (2, "y")], 3: [(1, "z")]}
