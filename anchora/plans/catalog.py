@@ -941,4 +941,4 @@ def derived_fidelity(spark, sf_dir):
     return derived.fidelity(entry(c.where("ord % 5 <> 2"), "p", none), gold)
 
 
-from anchora.plans import judged  # noqa: E402, F401  registers its queries
+from anchora.plans import judged, stored  # noqa: E402, F401  register their queries

@@ -44,10 +44,12 @@ a AS (SELECT *, array_to_string(CASE WHEN n % 5 <= 1 THEN list_append(said, said
   CASE n % 5 WHEN 0 THEN list_append(said, said[1]) WHEN 1 THEN list_append(CASE WHEN len(said) > 1 THEN list_concat([said[1] || '. ' || said[2]], said[3:]) ELSE said END, said[1]) WHEN 2 THEN list_concat([bare[1]], said[2:]) ELSE said END AS texts,
   CASE WHEN n % 5 = 3 THEN ids[:-2] ELSE ids END AS supplied, CASE WHEN n % {_OUT} = 0 THEN 'provider_failure' WHEN n % {_BROKEN} = 0 THEN 'parse_failure' END AS failed FROM said),
 e AS (SELECT case_id, answer, supplied, unnest(texts) AS assertion, unnest(range(len(texts))) AS k, len(texts) AS n_elements, n FROM a WHERE failed IS NULL AND n % {_ABSENT} <> 0),
-marks AS (SELECT case_id, i AS at, i + 18 AS until, substr(answer, i + 1, 16) AS id FROM (SELECT case_id, answer, unnest(range(1, length(answer) - 16)) AS i FROM a) x WHERE regexp_matches(substr(answer, i, 18), '^\\[[0-9a-f]{{16}}\\]$')),
-spots AS (SELECT case_id, k, n_elements, supplied, n, i AS a, i + length(assertion) AS b FROM (SELECT *, unnest(range(1, length(answer) - length(assertion) + 2)) AS i FROM e) x WHERE substr(answer, i, length(assertion)) = assertion),
+brackets AS (SELECT case_id, answer, strpos(answer, '[') AS i FROM a WHERE contains(answer, '[') UNION ALL SELECT case_id, answer, i + strpos(substr(answer, i + 1), '[') FROM brackets WHERE contains(substr(answer, i + 1), '[')),
+marks AS (SELECT case_id, i AS at, i + 18 AS until, substr(answer, i + 1, 16) AS id FROM brackets),
+spots AS (SELECT case_id, k, n_elements, supplied, n, answer, assertion, strpos(answer, assertion) AS a FROM e WHERE contains(answer, assertion)
+  UNION ALL SELECT case_id, k, n_elements, supplied, n, answer, assertion, a + strpos(substr(answer, a + 1), assertion) FROM spots WHERE contains(substr(answer, a + 1), assertion)),
 spans AS (SELECT s.case_id, s.k, n_elements, any_value(supplied) AS supplied, any_value(n) AS n, s.a, s.b, count(m.at) FILTER (m.at >= s.a AND m.until <= s.b) AS held, bool_and(m.at IS NULL OR list_contains(supplied, m.id)) AS resolves
-  FROM spots s LEFT JOIN marks m ON m.case_id = s.case_id AND m.at < s.b AND s.a < m.until GROUP BY s.case_id, s.k, n_elements, s.a, s.b HAVING count(m.at) FILTER (m.at < s.a OR m.until > s.b) = 0),
+  FROM (SELECT *, a + length(assertion) AS b FROM spots) s LEFT JOIN marks m ON m.case_id = s.case_id AND m.at < s.b AND s.a < m.until GROUP BY s.case_id, s.k, n_elements, s.a, s.b HAVING count(m.at) FILTER (m.at < s.a OR m.until > s.b) = 0),
 walk AS (SELECT case_id, -1 AS k, [] :: STRUCT(a BIGINT, b BIGINT)[] AS taken, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS good FROM (SELECT DISTINCT case_id FROM e) y
   UNION ALL SELECT w.case_id, CAST(s.k AS INT), list_append(w.taken, {{'a': s.a, 'b': s.b}}), w.held + s.held, w.good + CASE WHEN s.held > 0 AND s.resolves AND (n + s.k) % 6 <> 0 THEN 1 ELSE 0 END
   FROM walk w JOIN spans s ON s.case_id = w.case_id AND s.k = w.k + 1 WHERE len(list_filter(w.taken, lambda t: t.a < s.b AND s.a < t.b)) = 0),
