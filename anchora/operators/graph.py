@@ -120,23 +120,66 @@ def search_nodes(node_table: DataFrame, queries: DataFrame, limit: int = 25) ->
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("_text")
 
 
+#: Shares of a group that are cut for themselves first, so that a hub's claims do not meet in one task.
+SHARES = 16
+
+
+def _smallest(rows: DataFrame, keys: list[str], by: str, horizon: int, bound: int) -> DataFrame:
+    """Of each group the rows that are among its ``bound`` smallest by ``by``, or, with ``horizon`` 1, among the ``bound``
+    smallest of those with ``far``; ``cut`` becomes true where a group lost rows."""
+    for group in ([*keys, "_share"], keys):
+        if "_share" in group:
+            rows = rows.withColumn("_share", F.pmod(F.xxhash64(by), F.lit(SHARES)))
+        w = W.partitionBy(*group)
+        upto = w.orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow)
+        keep = F.lit(False)
+        for h in range(horizon + 1):
+            keep = keep | ((F.col("far") >= h) & (F.sum((F.col("far") >= h).cast("int")).over(upto) <= bound))
+        rows = rows.withColumn("_keep", keep).withColumn("cut", F.col("cut") | (F.min("_keep").over(w) == F.lit(False))).where("_keep")
+    return rows.drop("_share", "_keep")
+
+
 def chain_claims(claims: DataFrame, resolution: DataFrame, seeds: DataFrame, max_hops: int = 3, limit: int = 10) -> DataFrame:
     """Chains (seed, predicate, path of claim ids, hops) from each seed (subject, predicate), shortest first, then by path.
 
     A step joins the last object's entity with the next subject's; after the first claim only affirmed claims of the
-    course extend. A chain never returns to an entity that it has left from, but may end at one. Since shorter chains
-    come first, no seed that has ``limit`` of them is walked further."""
+    course extend. A chain never returns to an entity that it has left from, but may end at one.
+
+    Since the order is by length, then by path, a hop needs the ``limit`` smallest paths so far as results, and the ``limit``
+    smallest of those that a step can follow to go on: these alone make ``limit`` longer ones. So of each entity's claims, and
+    of each seed's paths, only so many of either kind are kept, and a hop's rows are bounded by the seeds. Where too few of
+    the kept paths can go on, because a chain may not return, the seed is walked again with twice as many."""
     key = lambda d, c, out: d.join(resolution.select(F.col("mention").alias(c), F.col("entity_id").alias("_e")), c, "left").withColumn(out, F.coalesce("_e", c)).drop("_e")
     links = written(key(key(claims.where(F.col("predicate").isin(*WALKABLE)), "subject", "head"), "object", "tail").select("claim_id", "predicate", "head", "tail", "polarity", "attribution"))
-    s = key(seeds.select("subject", "predicate").distinct(), "subject", "head").withColumnRenamed("subject", "seed")
-    frontier = written(links.join(s, ["head", "predicate"]).select("seed", "predicate", F.array("claim_id").alias("path"), F.array("head").alias("seen"), "tail"))
-    steps = links.where("polarity = 'affirmed' and attribution = 'course'").select("predicate", F.col("head").alias("from"), "claim_id", F.col("tail").alias("to"))
-    found = frontier
-    for _ in range(1, max_hops):
-        full = found.groupBy("seed", "predicate").count().where(F.col("count") >= limit)
-        open_ = frontier.where(F.col("tail").isNotNull() & ~F.array_contains("seen", F.col("tail"))).join(full, ["seed", "predicate"], "left_anti")
-        grown = open_.join(steps, (open_["tail"] == steps["from"]) & (open_["predicate"] == steps["predicate"]))
-        frontier = written(grown.select("seed", open_["predicate"], F.concat("path", F.array("claim_id")).alias("path"), F.concat("seen", F.array("from")).alias("seen"), F.col("to").alias("tail")))
-        found = found.union(frontier)
-    first = W.partitionBy("seed", "predicate").orderBy(F.size("path"), "path")
-    return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit).select("seed", "predicate", "path", F.size("path").alias("hops"), "rank")
+    extends = "polarity = 'affirmed' and attribution = 'course'"
+    followed = links.where(extends).select("predicate", F.col("head").alias("tail"), F.lit(1).alias("far")).distinct()
+    links = written(links.join(followed, ["predicate", "tail"], "left").withColumns({"far": F.coalesce("far", F.lit(0)), "cut": F.lit(False)}))
+    open_ = written(key(seeds.select("subject", "predicate").distinct(), "subject", "head").withColumnRenamed("subject", "seed"))
+    settled, bound = None, limit
+    while True:
+        first = _smallest(links, ["head", "predicate"], "claim_id", 1, bound)
+        steps = _smallest(links.where(extends), ["head", "predicate"], "claim_id", 1, bound)
+        steps = written(steps.select("predicate", F.col("head").alias("tail"), "claim_id", F.col("tail").alias("to"), F.col("far").alias("to_far"), F.col("cut").alias("step_cut")))
+        frontier = first.join(open_, ["head", "predicate"]).select("seed", "predicate", F.array("claim_id").alias("path"), F.array("head").alias("seen"), "tail", "far", "cut")
+        found, short = None, None
+        for hop in range(1, max_hops + 1):
+            frontier = written(_smallest(frontier, ["seed", "predicate"], "path", min(max_hops - hop, 1), bound))
+            found = frontier if found is None else found.union(frontier)
+            if hop == max_hops:
+                break
+            full = found.groupBy("seed", "predicate").count().where(F.col("count") >= limit)
+            walked = frontier.join(full, ["seed", "predicate"], "left_anti").withColumn("on", (F.col("far") > 0) & ~F.array_contains("seen", F.col("tail")))
+            few = walked.groupBy("seed", "predicate").agg(F.bool_or("cut").alias("cut"), F.count_if("on").alias("n")).where(F.col("cut") & (F.col("n") < limit)).select("seed", "predicate")
+            short = few if short is None else short.union(few)
+            grown = walked.where("on").join(steps, ["predicate", "tail"])
+            frontier = grown.select("seed", "predicate", F.concat("path", F.array("claim_id")).alias("path"), F.concat("seen", F.array("tail")).alias("seen"), F.col("to").alias("tail"), F.col("to_far").alias("far"), (F.col("cut") | F.col("step_cut")).alias("cut"))
+        paths = W.partitionBy("seed", "predicate").orderBy(F.size("path"), "path")
+        ranked = found.withColumn("rank", F.row_number().over(paths)).where(F.col("rank") <= limit)
+        out = ranked.select("seed", "predicate", "path", F.size("path").alias("hops"), "rank")
+        short = written(short.distinct()) if short is not None else None
+        again = short is not None and not short.isEmpty()
+        out = written(out.join(short, ["seed", "predicate"], "left_anti")) if again else out
+        settled = out if settled is None else settled.union(out)
+        if not again:
+            return settled
+        open_, bound = written(open_.join(short, ["seed", "predicate"], "left_semi")), 2 * bound

@@ -401,7 +401,7 @@ def search_nodes(spark, sf_dir):
 
 _CHAINS = """, k AS (SELECT claim_id, predicate, polarity, attribution, s.entity_id AS head, o.entity_id AS tail FROM claims JOIN resolution s ON subject = s.mention LEFT JOIN resolution o ON object = o.mention
   WHERE predicate IN ('causes', 'expresses', 'requires', 'makes', 'creates')),
-seeds AS (SELECT DISTINCT subject AS seed, predicate, r.entity_id AS head FROM claims JOIN resolution r ON subject = r.mention WHERE predicate IN ('causes', 'requires')),
+seeds AS (SELECT DISTINCT subject AS seed, predicate, r.entity_id AS head FROM claims JOIN resolution r ON subject = r.mention WHERE predicate IN ('causes', 'expresses', 'requires', 'makes', 'creates')),
 c1 AS (SELECT seed, k.predicate, [claim_id] AS path, [k.head] AS seen, tail FROM k JOIN seeds s ON k.head = s.head AND k.predicate = s.predicate),
 c2 AS (SELECT seed, c1.predicate, list_append(path, k.claim_id) AS path, list_append(seen, k.head) AS seen, k.tail FROM c1 JOIN k ON c1.tail = k.head AND c1.predicate = k.predicate WHERE polarity = 'affirmed' AND attribution = 'course' AND NOT list_contains(seen, c1.tail)),
 c3 AS (SELECT seed, c2.predicate, list_append(path, k.claim_id) AS path, list_append(seen, k.head) AS seen, k.tail FROM c2 JOIN k ON c2.tail = k.head AND c2.predicate = k.predicate WHERE polarity = 'affirmed' AND attribution = 'course' AND NOT list_contains(seen, c2.tail)),
@@ -412,7 +412,7 @@ SELECT seed, predicate, array_to_string(path, ' ') AS path, len(path) AS hops, r
 @registered(bind.ctes("claims") + f", {_RESOLUTION}" + _CHAINS)
 def chain_claims(spark, sf_dir):
     claims = bind.claims(spark, sf_dir)
-    seeds = claims.where("predicate in ('causes', 'requires')").select("subject", "predicate")
+    seeds = claims.where(F.col("predicate").isin(*graph.WALKABLE)).select("subject", "predicate")
     return graph.chain_claims(claims, _resolution(claims), seeds).withColumn("path", F.array_join("path", " "))
 
 

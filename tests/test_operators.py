@@ -120,6 +120,29 @@ def test_resolution(spark):
     assert bad.first()["reason"] == "mention_not_in_pair"
 
 
+def test_chains_through_hubs_against_all_walks(spark):
+    """Few entities, many claims: paths return and hubs are cut, so that kept paths are lost and seeds are walked again."""
+    rng = random.Random(9)
+    rows = [(f"e{rng.choice([0, 0, 0, *range(7)])}", rng.choice(["causes", "makes", "makes"]), rng.choice(["e0", "e0", "e1", *[f"e{k}" for k in range(7)], None]), {"polarity": rng.choice(["affirmed", "affirmed", "negated"])}) for _ in range(90)]
+    c = claims(spark, rows)
+    table = [r.asDict() for r in c.collect()]
+    none = spark.createDataFrame([], "mention string, entity_id string")
+    want = {}
+    for seed in {(r["subject"], r["predicate"]) for r in table}:
+        walks = [[r] for r in table if (r["subject"], r["predicate"]) == seed]
+        out = list(walks)
+        for _ in range(3):
+            walks = [w + [r] for w in walks for r in table if w[-1]["object"] is not None and w[-1]["object"] not in {x["subject"] for x in w} and r["subject"] == w[-1]["object"] and r["predicate"] == seed[1] and r["polarity"] == "affirmed" and r["attribution"] == "course"]
+            out += walks
+        paths = sorted(([x["claim_id"] for x in w] for w in out), key=lambda p: (len(p), p))
+        want[seed] = paths
+    for limit in (1, 3, 25, 200):
+        got = {}
+        for r in graph.chain_claims(c, none, c.select("subject", "predicate"), 4, limit=limit).orderBy("rank").collect():
+            got.setdefault((r["seed"], r["predicate"]), []).append(r["path"])
+        assert got == {k: v[:limit] for k, v in want.items()}, limit
+
+
 def test_chains(spark):
     c = claims(spark, [("fear", "causes", "guilt"), ("guilt", "causes", "attack"), ("attack", "causes", "pain"), ("pain", "causes", "fear", {"polarity": "negated"}), ("guilt", "causes", "fear")])
     none = spark.createDataFrame([], "mention string, entity_id string")
