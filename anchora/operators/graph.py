@@ -66,7 +66,13 @@ def passages(claims: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 #: Version of the written graph's tables (a fixed value of this format).
-GRAPH_VERSION = 1
+GRAPH_VERSION = 2
+#: What the hash of a graph covers: every field of its tables.
+_CLAIM = ["claim_id", "source_id", "subject", "predicate", "object", "verb_phrase", "polarity", "mode", "attribution", "evidence_start", "evidence_end"]
+HASHED = {
+    "nodes": ["node_id", "label", "n_expressions", "expressions"], "edges": [*_CLAIM, "src", "dst"], "non_projectable": [*_CLAIM, "reason"],
+    "passages": ["source_id", "evidence_start", "evidence_end", "book", "chapter", "before", "evidence", "after"],
+}
 
 
 def artifact(claims: DataFrame, resolution: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
@@ -76,10 +82,8 @@ def artifact(claims: DataFrame, resolution: DataFrame, sources: DataFrame) -> di
     drawn, rest = edges(ends), ends.where("reason is not null")
     seen = passages(claims, sources)
     counts = coverage(claims, ends, table)
-    hashes = [
-        content_hash(table, ["node_id", "label", "expressions"]), content_hash(drawn, ["claim_id", "src", "dst", "predicate"]),
-        content_hash(rest, ["claim_id", "reason"]), content_hash(seen, ["source_id", "evidence_start", "evidence_end", "evidence"]),
-    ]
+    forms = table.withColumn("expressions", F.array_join("expressions", "\0"))
+    hashes = [content_hash(t, columns) for t, columns in ((forms, HASHED["nodes"]), (drawn, HASHED["edges"]), (rest, HASHED["non_projectable"]), (seen, HASHED["passages"]))]
     whole = hashes[0].toDF("h0")
     for k, h in enumerate(hashes[1:], 1):
         whole = whole.crossJoin(h.toDF(f"h{k}"))
@@ -111,6 +115,23 @@ def neighborhood(edge_table: DataFrame, centers: DataFrame, cap: int = 30, direc
     return ranked.join(sizes, "center")
 
 
+def neighborhood_counts(node_table: DataFrame, edge_table: DataFrame, non_projectable: DataFrame, cap: int = 30, direction: str = "both", predicates: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each node, also one without edges: total_eligible edges whatever the filter, available_after_filter by
+    direction and predicates, displayed and hidden_by_cap of these, non_projectable claims that name one of its
+    expressions, and all_predicates of the eligible edges in order. A loop counts once."""
+    e = edge_table.select("claim_id", "predicate", "src", "dst")
+    ends = e.select(F.col("src").alias("node_id"), "claim_id", "predicate", F.lit("out").alias("way"), (F.col("src") == F.col("dst")).alias("loop"))
+    ends = ends.union(e.where("src <> dst").select("dst", "claim_id", "predicate", F.lit("in"), F.lit(False)))
+    turned = {"both": F.lit(True), "out": F.col("way") == "out", "in": (F.col("way") == "in") | F.col("loop")}[direction]
+    passes = turned & (F.col("predicate").isin(*predicates) if predicates else F.lit(True))
+    n = ends.groupBy("node_id").agg(F.count("*").alias("total_eligible"), F.count_if(passes).alias("available_after_filter"), F.array_sort(F.collect_set("predicate")).alias("all_predicates"))
+    undrawn = undrawn_claims(node_table, non_projectable).groupBy(F.col("center").alias("node_id")).agg(F.count("*").alias("non_projectable"))
+    out = node_table.select("node_id").join(n, "node_id", "left").join(undrawn, "node_id", "left").na.fill(0, ["total_eligible", "available_after_filter", "non_projectable"])
+    shown = F.least(F.col("available_after_filter"), F.lit(cap).cast("long"))
+    none = F.array().cast("array<string>")
+    return out.withColumns({"displayed": shown, "hidden_by_cap": F.col("available_after_filter") - shown, "all_predicates": F.coalesce("all_predicates", none)})
+
+
 def search_nodes(node_table: DataFrame, queries: DataFrame, limit: int = 25) -> DataFrame:
     """Nodes whose label or an expression holds the query: exact label first, then shorter, then by label and id."""
     q = queries.select("batch_id", "q_ord", F.lower(squeeze(F.col("query"))).alias("needle")).where("needle <> ''")

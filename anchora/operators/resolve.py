@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from anchora.functions.ids import entity_id
 from anchora.functions.text import head_token, normalize_surface
 from anchora.plans.components import components
+from anchora.plans.tables import written
 
 
 def collect_mentions(claims: DataFrame) -> DataFrame:
@@ -30,11 +31,23 @@ def block_keys(mentions: DataFrame) -> DataFrame:
     return mentions.select("mention", F.explode(F.array_distinct(F.array(normalize_surface(F.col("mention")), head_token(F.col("mention"))))).alias("key"))
 
 
+#: Mentions of a block that meet each other in one task.
+TILE = 256
+
+
 def candidate_pairs(mentions: DataFrame) -> DataFrame:
     """(left, right) with left < right for mentions that share a key. Blocks grow pairs with their square: for entities
-    alone, ``lexical_entities`` needs none of them."""
-    keys = block_keys(mentions.select("mention").distinct())
-    return keys.alias("a").join(keys.alias("b"), F.expr("a.key = b.key and a.mention < b.mention")).select(F.col("a.mention").alias("left"), F.col("b.mention").alias("right")).distinct()
+    alone, ``lexical_entities`` needs none of them.
+
+    A block of more than TILE mentions is cut into tiles by hash, and each pair of tiles is a group of its own in the join,
+    so that no task holds a block; a mention is copied once for each tile of its block."""
+    keys = written(block_keys(mentions.select("mention").distinct()))
+    large = keys.groupBy("key").agg(F.ceil(F.count("*") / TILE).alias("tiles")).where("tiles > 1")
+    tiled = keys.join(large, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long"))).withColumn("own", F.pmod(F.xxhash64("mention"), F.col("tiles")))
+    rows = tiled.select("key", "mention", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("tiles") - 1)).alias("j"))
+    columns = tiled.select("key", F.col("mention").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    met = rows.join(columns, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("mention") < F.col("other")))
+    return met.select(F.least("mention", "other").alias("left"), F.greatest("mention", "other").alias("right")).distinct()
 
 
 def lexical_verdicts(pairs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from anchora.functions import ids, text
 from anchora.operators import anchor, audit, graph, grounding, history, profile, resolve, retrieve, score
 from anchora.plans import bind
+from anchora.plans.tables import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -268,6 +269,19 @@ def candidate_pairs(spark, sf_dir):
     return resolve.candidate_pairs(_names(spark, sf_dir))
 
 
+@registered(
+    bind.ctes("claims") + f", {_RESOLUTION}, keyed AS (SELECT DISTINCT mention, key FROM (SELECT mention, root AS key FROM rooted UNION ALL SELECT mention, list_extract(string_split(root, ' '), -1) FROM rooted) k), "
+    "pairs AS (SELECT DISTINCT a.mention AS l, b.mention AS r FROM keyed a JOIN keyed b ON a.key = b.key AND a.mention < b.mention), given AS (SELECT l, r FROM pairs UNION ALL SELECT l, r || '?' FROM pairs) "
+    "SELECT l AS left, r AS right, CASE WHEN r LIKE '%?' THEN 'mention_not_in_pair' END AS reason FROM given"
+)
+def presented_pairs(spark, sf_dir):
+    """A verdict for each candidate pair, the other way round, and one for a pair that was never presented."""
+    pairs = resolve.candidate_pairs(resolve.collect_mentions(bind.claims(spark, sf_dir)))
+    turned = pairs.select(F.col("right").alias("left"), F.col("left").alias("right"), F.lit(True).alias("same"))
+    unknown = pairs.select("left", F.concat("right", F.lit("?")).alias("right"), F.lit(True).alias("same"))
+    return resolve.presented(turned.union(unknown), pairs).select("left", "right", "reason")
+
+
 @registered(
     f"WITH {_NAMES}, groups AS (SELECT {_norm('mention')} AS root, list_sort(list(mention)) AS members FROM names GROUP BY 1) "
     "SELECT mention, substr(sha256(array_to_string(members, chr(0))), 1, 16) AS entity_id, CAST(len(members) AS INT) AS n_members FROM (SELECT unnest(members) AS mention, members FROM groups) g"
@@ -738,13 +752,43 @@ def anchor_guard(spark, sf_dir):
     return anchor.anchor_guard(c, bind.sources(spark, sf_dir)).select("claim_id", "problem")
 
 
-@registered(
-    bind.ctes("claims") + f", {_RESOLUTION}, {_GRAPH}, h AS (SELECT sha256(claim_id || chr(0) || src || chr(0) || dst || chr(0) || predicate) AS h FROM g WHERE object IS NOT NULL) SELECT sha256(CAST(count(*) AS STRING) || ':' || "
-    + " || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 13 * k}, 13)) AS BIGINT)) AS STRING)" for k in range(4)) + ") AS content_hash FROM h"
-)
+def _hash_sql(name: str, table: str, columns: list[str]) -> str:
+    """DuckDB's form of ``profile.content_hash`` over a table, as a CTE with one value h."""
+    row = " || chr(0) || ".join(f"coalesce(CAST({c} AS STRING), chr(0) || 'NULL' || chr(0))" for c in columns)
+    sums = " || ':' || ".join(f"coalesce(CAST(sum(CAST(('0x' || substr(x, {1 + 13 * k}, 13)) AS BIGINT)) AS STRING), '0')" for k in range(4))
+    return f"{name} AS (SELECT sha256(CAST(count(*) AS STRING) || ':' || {sums}) AS h FROM (SELECT sha256({row}) AS x FROM {table}) y)"
+
+
+_WHOLE = bind.ctes("claims", "sources") + f""", {_RESOLUTION}, ok AS (SELECT c.*, book, chapter, text FROM claims c JOIN sources s ON source_id = s.id WHERE evidence_end <= length(text)),
+g AS (SELECT c.*, 'e:' || s.entity_id AS src, 'e:' || o.entity_id AS dst FROM ok c JOIN resolution s ON subject = s.mention LEFT JOIN resolution o ON object = o.mention),
+used AS (SELECT src AS node_id FROM g UNION SELECT dst FROM g WHERE object IS NOT NULL), forms AS (SELECT 'e:' || entity_id AS node_id, mention AS form FROM resolution WHERE 'e:' || entity_id IN (SELECT node_id FROM used)),
+nodes AS (SELECT node_id, first(form ORDER BY length(form), form) AS label, count(*) AS n_expressions, array_to_string(list(form ORDER BY form), chr(0)) AS expressions FROM forms GROUP BY node_id),
+drawn AS (SELECT * FROM g WHERE object IS NOT NULL), rest AS (SELECT *, 'missing_object' AS reason FROM g WHERE object IS NULL),
+seen AS (SELECT DISTINCT source_id, evidence_start, evidence_end, book, chapter, substr(text, 1, evidence_start) AS before, substr(text, evidence_start + 1, evidence_end - evidence_start) AS evidence, substr(text, evidence_end + 1) AS after FROM ok),
+{", ".join(_hash_sql(f"h{k}", t, graph.HASHED[n]) for k, (t, n) in enumerate((("nodes", "nodes"), ("drawn", "edges"), ("rest", "non_projectable"), ("seen", "passages"))))}"""
+
+
+@registered(_WHOLE + " SELECT 2 AS version, sha256(h0.h || ':' || h1.h || ':' || h2.h || ':' || h3.h) AS content_hash, (SELECT count(*) FROM ok) AS claim_count, (SELECT count(*) FROM groups) AS resolution_entity_count, (SELECT count(*) FROM sources) AS source_count FROM h0, h1, h2, h3")
 def graph_content_hash(spark, sf_dir):
-    """One hash over all edges, whatever their order."""
-    return profile.content_hash(graph.edges(_ends(spark, sf_dir)[1]).select("claim_id", "src", "dst", "predicate"), ["claim_id", "src", "dst", "predicate"])
+    """One hash over every field of the artifact's nodes, edges, undrawn claims and passages, whatever their order."""
+    claims, sources = bind.claims(spark, sf_dir), bind.sources(spark, sf_dir)
+    good = claims.join(sources.select(F.col("id").alias("source_id"), F.length("text").alias("_n")), "source_id").where("evidence_end <= _n").drop("_n")
+    return graph.artifact(good, _resolution(claims), sources)["metadata"]
+
+
+@registered(
+    bind.ctes("claims") + f", {_RESOLUTION}, {_GRAPH}, {_NODES}, e AS (SELECT src AS node_id, claim_id, predicate, true AS goes FROM g WHERE object IS NOT NULL UNION ALL SELECT dst, claim_id, predicate, false FROM g WHERE object IS NOT NULL AND src <> dst), "
+    "n AS (SELECT node_id, count(*) AS total_eligible, count(*) FILTER (goes AND predicate IN ('causes', 'makes')) AS available, array_to_string(list_sort(list(DISTINCT predicate)), ',') AS all_predicates FROM e GROUP BY 1), "
+    "u AS (SELECT src AS node_id, count(*) AS undrawn FROM g WHERE object IS NULL GROUP BY 1) SELECT node_id, coalesce(total_eligible, 0) AS total_eligible, coalesce(available, 0) AS available_after_filter, least(coalesce(available, 0), 5) AS displayed, "
+    "greatest(coalesce(available, 0) - 5, 0) AS hidden_by_cap, coalesce(undrawn, 0) AS non_projectable, coalesce(all_predicates, '') AS all_predicates FROM nodes LEFT JOIN n USING (node_id) LEFT JOIN u USING (node_id)"
+)
+def neighborhood_counts(spark, sf_dir):
+    """What each node has, shows and hides where outgoing causes and makes are asked for, five at most."""
+    claims = bind.claims(spark, sf_dir)
+    resolution = _resolution(claims)
+    ends = written(graph.endpoints(claims, resolution))
+    out = graph.neighborhood_counts(graph.nodes(ends, resolution), graph.edges(ends), ends.where("reason is not null"), 5, "out", ("causes", "makes"))
+    return out.withColumn("all_predicates", F.array_join("all_predicates", ","))
 
 
 def _question_cases(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:

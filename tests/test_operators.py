@@ -143,6 +143,17 @@ def test_chains_through_hubs_against_all_walks(spark):
         assert got == {k: v[:limit] for k, v in want.items()}, limit
 
 
+def test_candidate_pairs_of_a_hot_block(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "TILE", 7)
+    names = [f"w{k} star" for k in range(60)] + ["star", "moon", "The star", "a moon", "w1 star."]
+    mentions = spark.createDataFrame([(n,) for n in names], "mention string")
+    got = [tuple(r) for r in resolve.candidate_pairs(mentions).collect()]
+    keys = {r["mention"]: set() for r in mentions.collect()}
+    for r in resolve.block_keys(mentions).collect():
+        keys[r["mention"]].add(r["key"])
+    assert sorted(got) == sorted((a, b) for a in keys for b in keys if a < b and keys[a] & keys[b]) and len(got) > 1000
+
+
 def test_chains(spark):
     c = claims(spark, [("fear", "causes", "guilt"), ("guilt", "causes", "attack"), ("attack", "causes", "pain"), ("pain", "causes", "fear", {"polarity": "negated"}), ("guilt", "causes", "fear")])
     none = spark.createDataFrame([], "mention string, entity_id string")
