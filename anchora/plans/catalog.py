@@ -968,9 +968,26 @@ def layer_coverage(spark, sf_dir):
     return audit.layer_coverage(of("literal", 3).union(of("derived", 4)))
 
 
-@registered()
+_CONTESTED = bind.ctes("claims").replace("WITH ", "WITH RECURSIVE ", 1) + f""", e AS (SELECT source_id, ord, {_norm("subject")} AS said, evidence_start AS a, evidence_end AS b, CASE ord % 4 WHEN 0 THEN 'b' WHEN 1 THEN 'a' END AS own FROM claims),
+readings AS (SELECT DISTINCT source_id, own AS variant_id FROM e WHERE own IS NOT NULL UNION SELECT source_id, 'only' FROM e GROUP BY source_id HAVING count(own) = 0),
+gold AS (SELECT r.source_id, variant_id, said, a, b, row_number() OVER (PARTITION BY r.source_id, variant_id ORDER BY ord) - 1 AS j FROM readings r JOIN e ON e.source_id = r.source_id AND (own IS NULL OR own = variant_id)),
+pred AS (SELECT source_id, said, a, b, row_number() OVER (PARTITION BY source_id ORDER BY ord) AS k FROM e WHERE ord % 5 <> 2),
+edges AS (SELECT g.source_id, variant_id, k, CAST(1 AS BIGINT) << j AS bit, CASE WHEN p.said = g.said THEN 1 ELSE 0 END AS alike FROM pred p JOIN gold g ON p.source_id = g.source_id AND least(p.b, g.b) > greatest(p.a, g.a)),
+walk AS (SELECT source_id, variant_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS mask, CAST(0 AS BIGINT) AS correct FROM readings
+  UNION SELECT w.source_id, w.variant_id, w.k + 1, w.mask | coalesce(o.bit, 0), w.correct + coalesce(o.alike, 0) FROM walk w JOIN pred p ON p.source_id = w.source_id AND p.k = w.k + 1
+    JOIN (SELECT source_id, variant_id, k, bit, alike FROM edges UNION ALL SELECT p.source_id, variant_id, k, NULL, NULL FROM pred p JOIN readings USING (source_id)) o ON o.source_id = w.source_id AND o.variant_id = w.variant_id AND o.k = w.k + 1
+    WHERE o.bit IS NULL OR w.mask & o.bit = 0),
+np AS (SELECT r.source_id, count(p.k) AS n_pred FROM (SELECT DISTINCT source_id FROM readings) r LEFT JOIN pred p USING (source_id) GROUP BY 1), ng AS (SELECT source_id, variant_id, count(*) AS n_gold FROM gold GROUP BY 1, 2),
+best AS (SELECT source_id, variant_id, correct, bit_count(mask) AS aligned, n_pred, n_gold FROM walk JOIN np USING (source_id) JOIN ng USING (source_id, variant_id) WHERE k = n_pred
+  QUALIFY row_number() OVER (PARTITION BY source_id, variant_id ORDER BY correct DESC, bit_count(mask) DESC) = 1),
+chosen AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY correct DESC, n_pred - correct, variant_id) = 1)
+SELECT source_id, variant_id, CAST(aligned AS BIGINT) AS aligned, correct AS tp, n_pred - correct AS fp, n_gold - correct AS fn, CASE WHEN n_pred > 0 THEN correct / n_pred END AS precision, CASE WHEN n_gold > 0 THEN correct / n_gold END AS recall FROM chosen"""
+
+
+@registered(_CONTESTED)
 def derived_fidelity(spark, sf_dir):
-    """Claims read as occurrences of their subjects; predictions drop some and shift others. The assignment has no SQL; tests hold it against all permutations."""
+    """Claims read as occurrences of their subjects, in one or two readings of a passage, whose spans overlap; predictions drop
+    some. The SQL walks through all one-to-one assignments of a passage."""
     from anchora.operators import derived
 
     c = bind.claims(spark, sf_dir)
@@ -982,7 +999,8 @@ def derived_fidelity(spark, sf_dir):
         sig.alias("reframed_proposition"), none.alias("reframed_mode"), none.alias("description_text"), none.alias("describes"), F.col("evidence_start").alias("start"), F.col("evidence_end").alias("end"),
     )
     gold = entry(c, "g", F.when(F.col("ord") % 4 == 0, F.lit("b")).when(F.col("ord") % 4 == 1, F.lit("a")))
-    return derived.fidelity(entry(c.where("ord % 5 <> 2"), "p", none), gold)
+    found = derived.fidelity(entry(c.where("ord % 5 <> 2"), "p", none), gold)
+    return found.select("source_id", "variant_id", "aligned", "tp", "fp", "fn", "precision", "recall")
 
 
 from anchora.plans import judged, stored  # noqa: E402, F401  register their queries
