@@ -17,6 +17,7 @@ from anchora.operators.anchor import anchor_evidence
 from anchora.operators.score import score_claims
 from anchora.plans.components import components
 from anchora.plans.tables import written
+from anchora.sources import runs
 
 #: Fields that a kind may have, those it must have marked by a star (fixed values).
 FIELDS = {
@@ -90,27 +91,32 @@ def adjudicated(golds: DataFrame, accepted: DataFrame, accepted_claims: DataFram
 def gold_violations(entries: DataFrame, sources: DataFrame) -> DataFrame:
     """(source_id, annotation_id, violation) of everything that forbids to publish gold ``entries``: quotes that their
     ``sources`` (id, text) do not hold just once, and broken rules of entries, bundles and links."""
-    anchored = anchor_evidence(entries.drop("start", "end"), sources).where("reason is not null")
+    return _violations(anchor_evidence(entries.drop("start", "end"), sources), sources)
+
+
+def _violations(anchored: DataFrame, sources: DataFrame) -> DataFrame:
+    """The same for entries that were anchored, with the reason why they could not be."""
     none = F.lit(None).cast("string").alias("annotation_id")
-    rows = [
-        anchored.select("source_id", "annotation_id", F.concat(F.lit("evidence "), "reason").alias("violation")),
-        entries.select("source_id", "annotation_id").join(entry_violations(entries), "annotation_id"),
-        bundle_violations(entries, sources.select("id")).select("source_id", none, "violation"),
-        link_violations(entries),
-    ]
-    out = rows[0]
-    for more in rows[1:]:
+    out = anchored.where("reason is not null").select("source_id", "annotation_id", F.concat(F.lit("evidence "), "reason").alias("violation"))
+    broken = anchored.select("source_id", "annotation_id").join(entry_violations(anchored), "annotation_id")
+    for more in (broken, bundle_violations(anchored, sources.select("id")).select("source_id", none, "violation"), link_violations(anchored)):
         out = out.unionByName(more.select("source_id", "annotation_id", "violation"))
     return out.distinct()
 
 
-def publish_gold(entries: DataFrame, sources: DataFrame, path: str) -> None:
-    """Write gold entries with their spans, by passage; nothing is written where a check fails."""
-    bad = gold_violations(entries, sources).orderBy("source_id", "annotation_id", "violation").limit(5).collect()
+def publish_gold(entries: DataFrame, sources: DataFrame, path: str, name: str = "gold") -> None:
+    """Gold entries with their spans, committed to ``path`` as ``name``; where a check fails, nothing is.
+
+    The entries are anchored and staged once, checked as they were staged, and committed only if no check found anything;
+    what was staged before a failure is never read (``runs.read_committed``)."""
+    spark = entries.sparkSession
+    anchored = anchor_evidence(entries.drop("start", "end"), sources).withColumnsRenamed({"evidence_start": "start", "evidence_end": "end"})
+    attempt = runs.stage({"entries": anchored}, path)
+    staged = spark.read.parquet(f"{path}/attempts/{attempt}/entries")
+    bad = _violations(staged, sources).orderBy("source_id", "annotation_id", "violation").limit(5).collect()
     if bad:
         raise ValueError(f"gold is not valid: {[tuple(r) for r in bad]}")
-    anchored = anchor_evidence(entries.drop("start", "end"), sources).withColumnsRenamed({"evidence_start": "start", "evidence_end": "end"}).drop("reason")
-    anchored.write.parquet(path)
+    runs.commit(spark, path, name, attempt, ["entries"])
 
 
 def _same(a: str, b: str, field: str) -> Column:

@@ -1003,4 +1003,4 @@ def derived_fidelity(spark, sf_dir):
     return found.select("source_id", "variant_id", "aligned", "tp", "fp", "fn", "precision", "recall")
 
 
-from anchora.plans import judged, stored  # noqa: E402, F401  register their queries
+from anchora.plans import gates, judged, stored  # noqa: E402, F401  register their queries

@@ -4,6 +4,7 @@ import itertools
 import random
 
 from anchora.operators import derived
+from anchora.sources import runs
 
 SIG = "struct<subject:string,predicate:string,object:string,polarity:string,mode:string,attribution:string>"
 SCHEMA = (
@@ -107,13 +108,14 @@ def test_gold_is_checked_as_a_whole_and_published(spark, tmp_path):
     sources = spark.createDataFrame([("s", "all love is here"), ("t", "aa")], "id string, text string")
     assert derived.gold_violations(good, sources).count() == 0
     derived.publish_gold(good, sources, str(tmp_path / "gold"))
-    assert [(r["start"], r["end"]) for r in spark.read.parquet(str(tmp_path / "gold")).collect()] == [(4, 8)]
+    assert [(r["start"], r["end"]) for r in runs.read_committed(spark, str(tmp_path / "gold"), "gold")["entries"].collect()] == [(4, 8)]
     bad = entries(spark, [{"annotation_id": "b", "kind": "occurrence", "evidence": "is"}, {"annotation_id": "c", "kind": "description", "description_text": "t", "describes": "none", "evidence": "l"}])
     found = {(r["annotation_id"], r["violation"]) for r in derived.gold_violations(bad, sources).collect()}
     assert found == {("b", "missing base_concept"), ("c", "evidence ambiguous"), ("c", "no target")}
     with pytest.raises(ValueError):
         derived.publish_gold(bad, sources, str(tmp_path / "never"))
-    assert not (tmp_path / "never").exists()
+    with pytest.raises(ValueError, match="never committed"):
+        runs.read_committed(spark, str(tmp_path / "never"), "gold")
     golds = spark.createDataFrame([("s", True), ("t", False)], "source_id string, exhaustive boolean")
     kept = derived.adjudicated(golds, good, spark.createDataFrame([], "source_id string")).orderBy("source_id").collect()
     assert [(r["literal_status"], r["derived_status"], r["nothing_accepted"]) for r in kept] == [("unauthored", "authored", False), ("unauthored", "unauthored", True)]
