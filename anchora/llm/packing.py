@@ -309,8 +309,9 @@ def longest(counts: list[tuple[int, int]], n: int) -> tuple[int, int]:
     return -1, 0
 
 
-def fits(waiting: DataFrame, gaps: DataFrame, limit: int = LIMIT) -> DataFrame:
+def fits(waiting: DataFrame, gaps: DataFrame, limit: int = LIMIT, rounds: int | None = None) -> DataFrame:
     """(id, sequence_id, offset) of each waiting document (id, size); ``gaps``: (id of a sequence, size left).
+    With ``rounds``, only of those placed in so many rounds, and no sequence is opened.
 
     Each round sorts waiting documents and gaps into ranges by size (equal sizes by id, so a common length is spread),
     sweeps every range for itself, carries what the ranges leave open across their bounds, and shrinks the gaps taken.
@@ -321,7 +322,7 @@ def fits(waiting: DataFrame, gaps: DataFrame, limit: int = LIMIT) -> DataFrame:
     n = state.groupBy("kind").agg(F.count("*").alias("n"), F.min("size").alias("least")).collect()
     n_rows, least = {r["kind"]: r["n"] for r in n}, {r["kind"]: r["least"] for r in n}
     placed = []
-    while n_rows.get(0):
+    while n_rows.get(0) and (rounds is None or len(placed) < rounds):
         usable = state.where((F.col("kind") == 0) | (F.col("size") >= least[0]))
         parts = 1 + sum(n_rows.values()) // SWEEP_ROWS
         ranges = usable.coalesce(1) if parts == 1 else usable.repartitionByRange(parts, "size", "kind", "id")
@@ -333,6 +334,8 @@ def fits(waiting: DataFrame, gaps: DataFrame, limit: int = LIMIT) -> DataFrame:
         segments = carried([(p, count(p, 0), count(p, 1)) for p in open_parts])
         opens = None
         if not segments and not any(k == 2 for _, k in of):
+            if rounds is not None:
+                break
             opens = longest([(p, count(p, 0)) for p in open_parts], -(-sum(r["all"] for (_, k), r in of.items() if k == 0) // limit))
         left = swept.where("kind < 2").mapInArrow(_keyed(segments, opens, limit), KEYED)
         pairs = swept.where("kind = 2").select("id", "size", "gap", "gap_size")
@@ -355,14 +358,101 @@ def fits(waiting: DataFrame, gaps: DataFrame, limit: int = LIMIT) -> DataFrame:
     return out
 
 
+#: A piece of at most this part of the limit is a grain, and ids of the line along which grains are laid that a task takes.
+GRAIN, LINE = 16, 1 << 20
+
+
+def _running(batches):
+    """(part, id, size, at): sizes added up along a partition."""
+    from pyspark import TaskContext
+
+    part, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        size = batch.column("size").to_numpy().astype(np.int64)
+        at = total + np.cumsum(size) - size
+        total += int(size.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), part), pa.int64()), batch.column("id"), pa.array(size), pa.array(at)], ["part", "id", "size", "at"])
+
+
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, size) one after the other on a line: (id, size, at). Only a row for each partition is added up at once."""
+    from pyspark.sql import Window
+
+    along = written(rows.select("id", "size").mapInArrow(_running, "part long, id long, size long, at long"))
+    sums = along.groupBy("part").agg(F.sum("size").alias("whole"))
+    before = sums.select("part", (F.sum("whole").over(Window.orderBy("part")) - F.col("whole")).alias("before"))
+    return along.join(before, "part").select("id", "size", (F.col("at") + F.col("before")).alias("at"))
+
+
+def _met(grains: pa.Table, gaps: pa.Table) -> pa.Table:
+    """The gap in which each grain lies whole; none where it crosses an end."""
+    order = np.argsort(gaps.column("at").to_numpy(), kind="stable")
+    gap, begin, room = (gaps.column(c).to_numpy()[order] for c in ("id", "at", "size"))
+    at, size = grains.column("at").to_numpy(), grains.column("size").to_numpy()
+    k = np.searchsorted(begin, at, "right") - 1
+    whole = (k >= 0) & (at + size <= (begin + room)[np.maximum(k, 0)]) if len(gap) else np.zeros(len(at), bool)
+    take = lambda x: pa.array(x[np.maximum(k, 0)] if len(gap) else np.zeros(len(at), np.int64), pa.int64(), mask=~whole)
+    return pa.table([grains.column("id"), grains.column("size"), grains.column("at"), take(gap), take(room)], ["id", "size", "at", "gap", "gap_size"])
+
+
+def poured(grains: DataFrame, gaps: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Places (id, sequence_id, offset) of the grains that lie whole in a gap when all are laid along the gaps in one line,
+    and the grains (id, size) that cross an end, at most one for each gap. The gaps must hold all grains together."""
+    from pyspark.sql import Window
+
+    line = lambda c: F.floor(F.col(c) / LINE)
+    ends = _laid_out(gaps).withColumn("line", F.explode(F.sequence(line("at"), F.floor((F.col("at") + F.col("size") - 1) / LINE))))
+    both = _laid_out(grains).withColumn("line", line("at")).groupBy("line").cogroup(ends.groupBy("line"))
+    met = written(both.applyInArrow(_met, "id long, size long, at long, gap long, gap_size long"))
+    # what lies whole in a gap lies there without holes, behind the one that crosses its start
+    offset = F.lit(limit) - F.col("gap_size") + F.col("at") - F.min("at").over(Window.partitionBy("gap"))
+    return met.where("gap IS NOT NULL").select("id", F.col("gap").alias("sequence_id"), offset.alias("offset")), met.where("gap IS NULL").select("id", "size")
+
+
+def _rooms(gaps: DataFrame, places: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``gaps`` (id, size) after ``places``, those that still have room."""
+    taken = places.join(sizes, "id").groupBy(F.col("sequence_id").alias("id")).agg(F.sum("size").alias("taken"))
+    return gaps.join(taken, "id", "left").select("id", (F.col("size") - F.coalesce("taken", F.lit(0))).alias("size")).where("size > 0")
+
+
+def fill(grains: DataFrame, gaps: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(id, sequence_id, offset) of small pieces: many go into a gap at once, so that rounds follow the logarithm of their
+    number. They are poured along the gaps that are wide for them and as many new sequences as they need; the few that
+    cross an end are swept into what room is left anywhere, and the rest is poured again. New sequences have negative
+    numbers."""
+    placed, opened = [], 0
+    grains, gaps = written(grains), written(gaps.where("size > 0"))
+    while (need := grains.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("all"), F.max("size").alias("most")).first())["all"]:
+        wide = gaps.where(F.col("size") >= 2 * need["most"])
+        n = -(-max(0, need["all"] - (wide.agg(F.sum("size")).first()[0] or 0)) // limit)
+        new = grains.sparkSession.range(n).select((-1 - opened - F.col("id")).alias("id"), F.lit(limit).cast("long").alias("size"))
+        opened += n
+        places, crossing = poured(grains, written(wide.union(new)), limit)
+        placed.append(written(places))
+        gaps = written(_rooms(gaps.union(new), placed[-1], grains))
+        grains = written(crossing)
+        if grains.isEmpty():
+            break
+        placed.append(written(fits(grains, gaps, limit, rounds=2)))
+        gaps, grains = written(_rooms(gaps, placed[-1], grains)), written(grains.join(placed[-1].select("id"), "id", "left_anti"))
+    out = placed[0] if placed else grains.select("id", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    for more in placed[1:]:
+        out = out.union(more)
+    return out
+
+
 def pack(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``pieces`` with sequence_id and offset: few sequences of at most ``limit`` ids, filled without gaps from 0.
 
-    No two pieces over half the limit share a sequence, so each of these opens one; the others take the gaps. A sequence's
-    number is that of the piece that opened it."""
+    No two pieces over half the limit share a sequence, so each of these opens one; the others take the gaps, grains last
+    and many at once. A sequence's number is that of the piece that opened it, or negative where grains did."""
     numbered = written(pieces.withColumn("_id", F.monotonically_increasing_id()))
     slim = numbered.select(F.col("_id").alias("id"), F.col("length").alias("size"))
-    places = fits(slim.where(2 * F.col("size") <= limit), slim.where(2 * F.col("size") > limit).select("id", (limit - F.col("size")).alias("size")), limit)
+    large, grain = 2 * F.col("size") > limit, GRAIN * F.col("size") <= limit
+    first = slim.where(large).select("id", (limit - F.col("size")).alias("size"))
+    places = written(fits(slim.where(~large & ~grain), first, limit))
+    begun = first.union(places.where("id = sequence_id").select("id", F.lit(limit).cast("long")))
+    places = places.union(fill(slim.where(grain), _rooms(begun, places, slim), limit))
     out = numbered.join(places.withColumnRenamed("id", "_id"), "_id", "left")
     names = [f"`{c}`" for c in pieces.columns]
     return out.select(*names, F.coalesce("sequence_id", "_id").alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))

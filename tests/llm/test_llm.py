@@ -222,6 +222,27 @@ def test_packing_over_many_ranges(spark, monkeypatch):
     assert out["sequence_id"].nunique() <= 1.03 * len(gaps) + 1
 
 
+@pytest.mark.parametrize("mix", ["empty", "grains", "all"])
+def test_small_pieces_go_many_at_once(spark, monkeypatch, mix):
+    """Tables written follow the logarithm of the pieces, and sequences stay near those of a serial best fit."""
+    tables, write = [], packing.written
+    monkeypatch.setattr(packing, "written", lambda d: tables.append(1) or write(d))
+    monkeypatch.setattr(packing, "LINE", 5000)
+    rnd = random.Random(1)
+    sizes = {"empty": [1] * 10_000, "grains": [rnd.randint(1, 128) for _ in range(4000)], "all": [rnd.choice([rnd.randint(1, 60), rnd.randint(60, 500), rnd.randint(500, 2048)]) for _ in range(1500)]}[mix]
+    out = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long").repartition(3), 2048).toPandas().sort_values(["sequence_id", "offset"])
+    assert sorted(out["doc_id"]) == list(range(len(sizes)))
+    assert (out.groupby("sequence_id")["length"].cumsum() - out["length"] == out["offset"]).all() and out.groupby("sequence_id")["length"].sum().max() <= 2048
+    gaps: list[int] = []
+    for n in sorted(sizes, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((2048 if fit is None else fit) - n)
+    assert out["sequence_id"].nunique() <= 1.02 * len(gaps) + 1
+    assert len(tables) <= {"empty": 16, "grains": 36, "all": 60}[mix]
+
+
 def test_word_parts():
     text = "Don't ÀB,c12; straße×a ſx é"
     buf = np.frombuffer(text.encode(), np.uint8)
