@@ -26,10 +26,12 @@ def polarity_score(polarity: Column) -> Column:
     return (polarity == "affirmed").cast("int")
 
 
-def query_position(needle: Column) -> Column:
-    """Where a lower-case needle is found: subject, object, verb phrase, nowhere."""
-    has = lambda c: F.coalesce(F.contains(F.lower(F.col(c)), needle), F.lit(False))
-    return F.when(has("subject"), 100).when(has("object"), 50).when(has("verb_phrase"), 10).otherwise(0)
+def query_position(needle: Column, lowered: tuple[Column, ...] | None = None) -> Column:
+    """Where a lower-case needle is found: subject, object, verb phrase, nowhere. ``lowered``: these three in lower case,
+    where they are known already."""
+    subject, object_, verb_phrase = lowered or tuple(F.lower(F.col(c)) for c in ("subject", "object", "verb_phrase"))
+    has = lambda c: F.coalesce(F.contains(c, needle), F.lit(False))
+    return F.when(has(subject), 100).when(has(object_), 50).when(has(verb_phrase), 10).otherwise(0)
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -59,9 +61,10 @@ def containing(rows: DataFrame, queries: DataFrame, text: str) -> DataFrame:
 def match_claims(claims: DataFrame, queries: DataFrame) -> DataFrame:
     """Claims that hold a query's trimmed lower-case text in subject, object or verb phrase; blank queries hold nothing."""
     q = queries.withColumn("needle", F.lower(F.trim(F.regexp_replace("query", r"(?U)^\s+|\s+$", "")))).where("needle <> ''")
-    text = F.lower(F.concat_ws("\n", "subject", "object", "verb_phrase"))
-    hits = containing(claims.withColumn("_text", text), q, "_text").drop("_text")
-    return hits.withColumn("position", query_position(F.col("needle"))).where("position > 0")
+    lowered = claims.withColumns({"_s": F.lower("subject"), "_o": F.lower("object"), "_v": F.lower("verb_phrase")})
+    hits = containing(lowered.withColumn("_text", F.concat_ws("\n", "_s", "_o", "_v")), q, "_text")
+    position = query_position(F.col("needle"), (F.col("_s"), F.col("_o"), F.col("_v")))
+    return hits.withColumn("position", position).where("position > 0").drop("_s", "_o", "_v", "_text")
 
 
 def find_claims(claims: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
@@ -156,14 +159,19 @@ def find_claims_hybrid(claims: DataFrame, vectors: DataFrame, queries: DataFrame
     return merge_round_robin(both.select("batch_id", "claim_id", F.col("place").alias("rank"), F.col("channel").alias("q_ord")), global_limit).select("batch_id", "claim_id", F.col("q_ord").alias("channel"), "place")
 
 
-def entity_claims(claims: DataFrame, forms: DataFrame) -> DataFrame:
-    """Claims whose subject or object is one of an entity's forms (``forms``: entity, form), with the better position.
+def entity_claims(claims: DataFrame, forms: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    """(entity, claim_id, position and the ``carried`` columns) of claims whose subject or object is one of an entity's forms
+    (``forms``: entity, form), with the better position.
 
     Two equality joins and one aggregation stand in for the OR, which would pair every claim with every form."""
     f = forms.select("entity", "form").distinct()
-    hit = lambda c, n: claims.join(f, claims[c] == f["form"]).select("entity", "claim_id", F.lit(n).alias("position"))
-    best = hit("subject", 100).union(hit("object", 50)).groupBy("entity", "claim_id").agg(F.max("position").alias("position"))
-    return best.join(claims, "claim_id")
+    hit = lambda c, n: claims.join(f, claims[c] == f["form"]).select("entity", "claim_id", F.lit(n).alias("position"), *carried)
+    return hit("subject", 100).union(hit("object", 50)).groupBy("entity", "claim_id").agg(F.max("position").alias("position"), *(F.first(c).alias(c) for c in carried))
+
+
+def _whole(ranked: DataFrame, claims: DataFrame) -> DataFrame:
+    """Ranked claims with the columns that were not carried along."""
+    return ranked.join(claims.select("claim_id", *(c for c in claims.columns if c not in ranked.columns)), "claim_id")
 
 
 def forms_of(mentions: DataFrame, resolution: DataFrame) -> DataFrame:
@@ -175,9 +183,9 @@ def forms_of(mentions: DataFrame, resolution: DataFrame) -> DataFrame:
 
 def find_claims_for_entity(claims: DataFrame, mentions: DataFrame, resolution: DataFrame, limit: int = 20) -> DataFrame:
     """The claims that characterise each mention's entity best: position, role, polarity, corpus order."""
-    hits = entity_claims(claims, forms_of(mentions, resolution))
+    hits = entity_claims(claims, forms_of(mentions, resolution), ("predicate", "polarity", "ord"))
     best = W.partitionBy("entity").orderBy(F.desc("position"), F.desc(role_score(F.col("predicate"))), F.desc(polarity_score(F.col("polarity"))), "ord")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return _whole(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit), claims)
 
 
 def aspect_match(stems: Column) -> Column:
@@ -187,11 +195,11 @@ def aspect_match(stems: Column) -> Column:
 
 def describe_entity(claims: DataFrame, asked: DataFrame, resolution: DataFrame, limit: int = 20) -> DataFrame:
     """How each asked mention (mention, aspects) acts: position, aspect, role, polarity, corpus order; rank from 0."""
-    hits = entity_claims(claims, forms_of(asked, resolution)).join(asked.select(F.col("mention").alias("entity"), "aspects"), "entity")
+    hits = entity_claims(claims, forms_of(asked, resolution), ("predicate", "polarity", "ord", "verb_phrase", "object")).join(asked.select(F.col("mention").alias("entity"), "aspects"), "entity")
     hits = hits.withColumn("aspect", aspect_match(aspect_stems(F.col("aspects"))))
     best = W.partitionBy("entity").orderBy(F.desc("position"), F.desc("aspect"), F.desc(role_score(F.col("predicate"))), F.desc(polarity_score(F.col("polarity"))), "ord")
     ranked = hits.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < limit)
-    return ranked.withColumn("matched_aspect", F.when(F.col("aspect") == 2, "verb_phrase").when(F.col("aspect") == 1, "object"))
+    return _whole(ranked, claims).withColumn("matched_aspect", F.when(F.col("aspect") == 2, "verb_phrase").when(F.col("aspect") == 1, "object"))
 
 
 def find_sources(sources: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:

@@ -68,25 +68,22 @@ def relaxed_pairs(predicted: DataFrame, gold: DataFrame, max_rounds: int | None
     g, p = _without(gold, strict, "gold").alias("g"), _without(predicted, strict, "pred").alias("p")
     near = evidence_overlap(F.col("g.evidence_start"), F.col("g.evidence_end"), F.col("p.evidence_start"), F.col("p.evidence_end")) > 0
     alike = phrase_contains(F.col("g.subject"), F.col("p.subject")) & phrase_contains(F.col("g.object"), F.col("p.object"))
-    open_ = written(g.join(p, (F.col("g.source_id") == F.col("p.source_id")) & (F.col("g.predicate") == F.col("p.predicate")) & near & alike).select(F.col("g.ord").alias("gold"), F.col("p.ord").alias("pred")))
-    same = open_.groupBy("gold").agg(F.bit_xor(F.xxhash64("pred")).alias("a"), F.bit_xor(F.xxhash64("pred", F.lit(1))).alias("b"), F.count("*").alias("n"))
-    first = same.select("gold", F.row_number().over(W.partitionBy("a", "b", "n").orderBy("gold")).alias("first"))
-    placed = open_.withColumn("at", F.row_number().over(W.partitionBy("gold").orderBy("pred")))
-    open_ = written(placed.join(first, "gold").where("at >= first").select("gold", "pred"))
-    held = None
+    met = written(g.join(p, (F.col("g.source_id") == F.col("p.source_id")) & (F.col("g.predicate") == F.col("p.predicate")) & near & alike).select(F.col("g.ord").alias("gold"), F.col("p.ord").alias("pred")))
+    same = met.groupBy("gold").agg(F.bit_xor(F.xxhash64("pred")).alias("a"), F.bit_xor(F.xxhash64("pred", F.lit(1))).alias("b"), F.count("*").alias("n"))
+    first = same.select("gold", F.row_number().over(W.partitionBy("a", "b", "n").orderBy("gold")).alias("at"))
+    choices = written(met.withColumn("at", F.row_number().over(W.partitionBy("gold").orderBy("pred"))))
+    asks, held = first.join(choices, ["gold", "at"]).select("gold", "pred", "at"), None
     for n in itertools.count():
         if max_rounds is not None and n >= max_rounds:
             raise RuntimeError(f"relaxed matching is not settled after {max_rounds} rounds")
-        # proposals of this round and those held from earlier ones compete together
-        asks = open_.groupBy("gold").agg(F.min("pred").alias("pred"))
-        if held is not None:
-            asks = asks.join(held.select("gold"), "gold", "left_anti").unionByName(held)
-        now = written(asks.groupBy("pred").agg(F.min("gold").alias("gold")).select("gold", "pred"))
+        # proposals of this round compete with those held from earlier ones; who loses asks its next choice
+        asks = asks if held is None else asks.unionByName(held)
+        now = written(asks.groupBy("pred").agg(F.min(F.struct("gold", "at")).alias("g")).select("g.gold", "pred", "g.at"))
         lost = written(asks.join(now, ["gold", "pred"], "left_anti"))
         held = now
         if lost.isEmpty():
             break
-        open_ = written(open_.join(lost, ["gold", "pred"], "left_anti"))
+        asks = lost.select("gold", (F.col("at") + 1).alias("at")).join(choices, ["gold", "at"]).select("gold", "pred", "at")
     return strict.union(held.select("gold", "pred"))
 
 

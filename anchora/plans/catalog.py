@@ -100,7 +100,7 @@ _HYBRID = (
 @registered(_HYBRID)
 def find_claims_hybrid(spark, sf_dir):
     """Vector k stands for the first claim of order k + 1; a vector without its claim is stale and drops out."""
-    claims = bind.claims(spark, sf_dir)
+    claims = bind.claims_table(spark, sf_dir)
     e = _table(spark, sf_dir, "embeddings")
     first = F.concat(F.lit("c"), ((F.col("vec_id") + 1) * 1000 + 1).cast("string"))
     v = e.select(first.alias("claim_id"), F.col("embedding").cast("array<double>").alias("vec"))
@@ -134,7 +134,7 @@ _FORMS = "forms AS (SELECT DISTINCT s.entity, m.mention AS form FROM picked s JO
     + f"SELECT entity, claim_id, position, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY position DESC, {_ROLE} DESC, {_POLARITY} DESC, ord) AS rank FROM best) r WHERE rank <= 20"
 )
 def find_claims_for_entity(spark, sf_dir):
-    claims = bind.claims(spark, sf_dir)
+    claims = bind.claims_table(spark, sf_dir)
     r = _resolution(claims)
     out = retrieve.find_claims_for_entity(claims, r.select("mention"), r)
     return out.select("entity", "claim_id", "position", "rank")
@@ -149,7 +149,7 @@ _STEM = lambda c: f"coalesce(regexp_matches(lower({c}), '(^|[^a-z])(think|though
     + f"SELECT entity, claim_id, position, CASE aspect WHEN 2 THEN 'verb_phrase' WHEN 1 THEN 'object' END AS matched_aspect, rank FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY position DESC, aspect DESC, {_ROLE} DESC, {_POLARITY} DESC, ord) - 1 AS rank FROM best) r WHERE rank < 20"
 )
 def describe_entity(spark, sf_dir):
-    claims = bind.claims(spark, sf_dir)
+    claims = bind.claims_table(spark, sf_dir)
     r = _resolution(claims)
     asked = r.select("mention", F.array(F.lit("thinking"), F.lit("loving")).alias("aspects"))
     return retrieve.describe_entity(claims, asked, r).select("entity", "claim_id", "position", "matched_aspect", "rank")
@@ -276,7 +276,7 @@ def candidate_pairs(spark, sf_dir):
 )
 def presented_pairs(spark, sf_dir):
     """A verdict for each candidate pair, the other way round, and one for a pair that was never presented."""
-    pairs = resolve.candidate_pairs(resolve.collect_mentions(bind.claims(spark, sf_dir)))
+    pairs = resolve.candidate_pairs(resolve.collect_mentions(bind.claims_table(spark, sf_dir)))
     turned = pairs.select(F.col("right").alias("left"), F.col("left").alias("right"), F.lit(True).alias("same"))
     unknown = pairs.select("left", F.concat("right", F.lit("?")).alias("right"), F.lit(True).alias("same"))
     return resolve.presented(turned.union(unknown), pairs).select("left", "right", "reason")
@@ -313,7 +313,7 @@ _NODES = "nodes AS (SELECT node_id, count(*) AS n_expressions, first(form ORDER
 
 
 def _ends(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    claims = bind.claims(spark, sf_dir)
+    claims = bind.claims_table(spark, sf_dir)
     return claims, graph.endpoints(claims, _resolution(claims))
 
 
@@ -342,7 +342,7 @@ def graph_coverage(spark, sf_dir):
 )
 def graph_passages(spark, sf_dir):
     """The spans that claims of known sources refer to; the few that end behind their text are left out beforehand."""
-    claims, sources = bind.claims(spark, sf_dir), bind.sources(spark, sf_dir)
+    claims, sources = bind.claims_table(spark, sf_dir), bind.sources(spark, sf_dir)
     good = claims.join(sources.select(F.col("id").alias("source_id"), F.length("text").alias("_n")), "source_id").where("evidence_end <= _n")
     return graph.passages(good, sources)
 
@@ -357,7 +357,7 @@ def non_projectable_claims(spark, sf_dir):
     "SELECT DISTINCT center, claim_id, 'missing_object' AS reason FROM g JOIN members ON form = subject WHERE object IS NULL"
 )
 def undrawn_claims(spark, sf_dir):
-    claims = bind.claims(spark, sf_dir)
+    claims = bind.claims_table(spark, sf_dir)
     resolution = _resolution(claims)
     ends = graph.endpoints(claims, resolution)
     return graph.undrawn_claims(graph.nodes(ends, resolution), ends.where("reason is not null"))
@@ -377,7 +377,7 @@ def rehydrate_citations(spark, sf_dir):
 
 @registered(bind.ctes("claims") + " SELECT claim_id, attribution, subject || ' | ' || predicate || ' | ' || coalesce(object, '-') || CASE WHEN polarity = 'negated' THEN ' [negated]' ELSE '' END AS triple FROM claims WHERE attribution <> 'course'")
 def other_voices(spark, sf_dir):
-    return profile.other_voices(bind.claims(spark, sf_dir))
+    return profile.other_voices(bind.claims_table(spark, sf_dir))
 
 
 _SUMS = " || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 13 * k}, 13)) AS BIGINT)) AS STRING)" for k in range(4))
@@ -425,7 +425,7 @@ SELECT seed, predicate, array_to_string(path, ' ') AS path, len(path) AS hops, r
 
 @registered(bind.ctes("claims") + f", {_RESOLUTION}" + _CHAINS)
 def chain_claims(spark, sf_dir):
-    claims = bind.claims(spark, sf_dir)
+    claims = bind.claims_table(spark, sf_dir)
     seeds = claims.where(F.col("predicate").isin(*graph.WALKABLE)).select("subject", "predicate")
     return graph.chain_claims(claims, _resolution(claims), seeds).withColumn("path", F.array_join("path", " "))
 
@@ -439,7 +439,7 @@ _PRED = """pred AS (SELECT ord, claim_id, source_id, CASE WHEN ord % 7 = 0 THEN
 
 
 def _gold_and_predicted(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    claims = bind.claims(spark, sf_dir)
+    claims = bind.claims_table(spark, sf_dir)
     pred = claims.where("ord % 4 <> 2").withColumns(
         {
             "subject": F.expr("case when ord % 7 = 0 then subject || ' set' else subject end"), "polarity": F.expr("case when ord % 5 = 0 then 'negated' else polarity end"),
@@ -771,7 +771,7 @@ seen AS (SELECT DISTINCT source_id, evidence_start, evidence_end, book, chapter,
 @registered(_WHOLE + " SELECT 2 AS version, sha256(h0.h || ':' || h1.h || ':' || h2.h || ':' || h3.h) AS content_hash, (SELECT count(*) FROM ok) AS claim_count, (SELECT count(*) FROM groups) AS resolution_entity_count, (SELECT count(*) FROM sources) AS source_count FROM h0, h1, h2, h3")
 def graph_content_hash(spark, sf_dir):
     """One hash over every field of the artifact's nodes, edges, undrawn claims and passages, whatever their order."""
-    claims, sources = bind.claims(spark, sf_dir), bind.sources(spark, sf_dir)
+    claims, sources = bind.claims_table(spark, sf_dir), bind.sources(spark, sf_dir)
     good = claims.join(sources.select(F.col("id").alias("source_id"), F.length("text").alias("_n")), "source_id").where("evidence_end <= _n").drop("_n")
     return graph.artifact(good, _resolution(claims), sources)["metadata"]
 
@@ -784,7 +784,7 @@ def graph_content_hash(spark, sf_dir):
 )
 def neighborhood_counts(spark, sf_dir):
     """What each node has, shows and hides where outgoing causes and makes are asked for, five at most."""
-    claims = bind.claims(spark, sf_dir)
+    claims = bind.claims_table(spark, sf_dir)
     resolution = _resolution(claims)
     ends = written(graph.endpoints(claims, resolution))
     out = graph.neighborhood_counts(graph.nodes(ends, resolution), graph.edges(ends), ends.where("reason is not null"), 5, "out", ("causes", "makes"))
@@ -794,7 +794,7 @@ def neighborhood_counts(spark, sf_dir):
 def _question_cases(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A case for each part name: its first claim of each predicate is required, one of the last ones will do; the answer
     gathers some of the first ones and marks one. Also the claims."""
-    claims = bind.claims(spark, sf_dir)
+    claims = bind.claims_table(spark, sf_dir)
     names = bind.queries(spark, sf_dir).select(F.col("query").alias("case_id"))
     about = claims.join(F.broadcast(names), F.contains(F.lower("subject"), F.lower("case_id"))).groupBy("case_id", "predicate").agg(F.min_by("claim_id", "ord").alias("first"), F.max_by("claim_id", "ord").alias("last"))
     of = lambda column, when="true": F.array_sort(F.collect_list(F.when(F.expr(when), F.col(column))))
@@ -885,7 +885,7 @@ def advisory_means(spark, sf_dir):
 )
 def split_leakage(spark, sf_dir):
     """Every claim derived from the one before it in its order, the splits taking turns."""
-    c = bind.claims(spark, sf_dir)
+    c = bind.claims_table(spark, sf_dir)
     f = c.select(F.col("claim_id").alias("fixture_id"), F.when(F.col("ord") % 2 == 0, "tune").otherwise("held").alias("split"), F.when(F.col("ord") % 1000 > 1, F.concat(F.lit("c"), (F.col("ord") - 1).cast("string"))).alias("derived_from"))
     return audit.split_leakage(f).join(c.select(F.col("claim_id").alias("fixture_id"), "source_id"), "fixture_id")
 
@@ -923,7 +923,7 @@ def fidelity_report(spark, sf_dir):
     """Gold of one reading; predictions drop every seventh entry and read every fourth one as interpreted."""
     from anchora.operators import derived
 
-    c = bind.claims(spark, sf_dir)
+    c = bind.claims_table(spark, sf_dir)
     gold = _entries(c, "g", F.lit(None).cast("string"), 100)
     pred = _entries(c, "p", F.lit(None).cast("string"), 100).withColumn("_n", F.substring("annotation_id", 3, 20).cast("long")).where("_n % 7 <> 0")
     pred = pred.withColumn("support", F.when(F.col("_n") % 4 == 0, "interpreted").otherwise(F.col("support"))).drop("_n")
@@ -938,7 +938,7 @@ def oracle_check(spark, sf_dir):
     """Gold fed back as its own prediction; a description whose entry is of another source is left out beforehand."""
     from anchora.operators import derived
 
-    c = bind.claims(spark, sf_dir)
+    c = bind.claims_table(spark, sf_dir)
     gold = _entries(c, "g", F.lit(None).cast("string"), 100)
     first = F.substring("annotation_id", 3, 20).cast("long") % 1000 == 1
     gold = gold.withColumn("describes", F.when((F.col("kind") == "description") & first, F.lit(None).cast("string")).otherwise(F.col("describes")))
@@ -990,7 +990,7 @@ def derived_fidelity(spark, sf_dir):
     some. The SQL walks through all one-to-one assignments of a passage."""
     from anchora.operators import derived
 
-    c = bind.claims(spark, sf_dir)
+    c = bind.claims_table(spark, sf_dir)
     none = F.lit(None).cast("string")
     sig = F.when(F.lit(False), F.struct("subject", "predicate", "object", "polarity", "mode", "attribution"))
     entry = lambda d, mark, variant: d.select(
