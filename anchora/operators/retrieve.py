@@ -205,9 +205,10 @@ def describe_entity(claims: DataFrame, asked: DataFrame, resolution: DataFrame,
 def find_sources(sources: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
     """The first ``limit`` sources, in corpus order, whose text or concepts hold the query."""
     needle = F.lower(F.regexp_replace("query", r"(?U)^\s+|\s+$", ""))
-    q = queries.select("batch_id", "q_ord", needle.alias("needle")).where("needle <> ''")
-    apart = [F.col("text"), *([F.array_join("concepts", "\n")] if "concepts" in sources.columns else [])]
-    hits = containing(sources.withColumn("_text", F.lower(F.concat_ws("\n", *apart))), q, "_text").drop("_text")
+    # text and concepts are parted by a null character, so that no needle is found across two of them
+    q = queries.select("batch_id", "q_ord", needle.alias("needle")).where((F.col("needle") != "") & ~F.contains("needle", F.lit("\0")))
+    apart = [F.col("text"), *([F.array_join("concepts", "\0")] if "concepts" in sources.columns else [])]
+    hits = containing(sources.withColumn("_text", F.lower(F.concat_ws("\0", *apart))), q, "_text").drop("_text")
     first = W.partitionBy("batch_id", "q_ord").orderBy("src_ord")
     return hits.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= limit).drop("needle")
 

@@ -796,7 +796,7 @@ def _question_cases(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     gathers some of the first ones and marks one. Also the claims."""
     claims = bind.claims_table(spark, sf_dir)
     names = bind.queries(spark, sf_dir).select(F.col("query").alias("case_id"))
-    about = claims.join(F.broadcast(names), F.contains(F.lower("subject"), F.lower("case_id"))).groupBy("case_id", "predicate").agg(F.min_by("claim_id", "ord").alias("first"), F.max_by("claim_id", "ord").alias("last"))
+    about = retrieve.containing(claims.withColumn("_text", F.lower("subject")), names.withColumn("needle", F.lower("case_id")), "_text").groupBy("case_id", "predicate").agg(F.min_by("claim_id", "ord").alias("first"), F.max_by("claim_id", "ord").alias("last"))
     of = lambda column, when="true": F.array_sort(F.collect_list(F.when(F.expr(when), F.col(column))))
     cases = about.groupBy("case_id").agg(
         of("first").alias("must_include_claims"), of("last").alias("must_include_any_claims"), of("first", "predicate in ('is', 'causes', 'makes')").alias("gathered"),
