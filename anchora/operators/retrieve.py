@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anchora.functions.text import aspect_stems, has_stem
+from anchora.operators.nearest import vector_top_k
 from anchora.plans.tables import must
 
 #: Rank weight of each predicate's role (fixed values).
@@ -91,58 +89,6 @@ def find_claims_batch(claims: DataFrame, queries: DataFrame, limit_per_query: in
     return merge_round_robin(find_claims(claims, queries, limit_per_query), global_limit)
 
 
-def _packed(table: DataFrame, key: str, kind: str, rows: int) -> DataFrame:
-    """Rows (key, vec) as blocks of at most ``rows``: keys, and their unit vectors as one matrix of float64 bytes."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                vec = part.column("vec")
-                width = len(vec[0])
-                if pa.compute.any(pa.compute.not_equal(pa.compute.list_value_length(vec), width)).as_py():
-                    raise ValueError("vectors of one table differ in length")
-                matrix = _unit(vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width))
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(key).to_pylist()], pa.list_(part.schema.field(key).type)), pa.array([matrix.tobytes()])], ["keys", "matrix"])
-
-    return table.where("vec is not null").select(key, "vec").mapInArrow(run, f"keys array<{kind}>, matrix binary")
-
-
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """(batch_id, q_ord, claim_id, score, rank): the ``k`` most similar unit vectors of each query vector.
-
-    Queries without a vector find nothing; ties go by claim_id. Both tables are packed into blocks; every block of queries
-    meets every block of vectors once, and a meeting keeps its own best ``k`` rows for each query, so what is shuffled is k
-    rows for each query and block."""
-    kind = vectors.schema["claim_id"].dataType.simpleString()
-    asked = _packed(queries.select(F.struct(F.col("batch_id").cast("long").alias("b"), F.col("q_ord").cast("long").alias("q")).alias("key"), "vec"), "key", "struct<b:bigint,q:bigint>", block)
-    held = _packed(vectors.select("claim_id", "vec"), "claim_id", kind, 8 * block)
-    pairs = held.crossJoin(asked.select(F.col("keys").alias("asked"), F.col("matrix").alias("wanted")))
-
-    def run(batches):
-        for batch in batches:
-            for ids, matrix, asked_keys, wanted in zip(*(batch.column(c) for c in ("keys", "matrix", "asked", "wanted")), strict=True):
-                names, keys = np.array(ids.as_py(), object), asked_keys.as_py()
-                left = np.frombuffer(wanted.as_py(), np.float64).reshape(len(keys), -1)
-                scores = left @ np.frombuffer(matrix.as_py(), np.float64).reshape(len(names), -1).T
-                order = np.argsort(names, kind="stable")
-                top = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
-                n = top.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([x["b"] for x in keys], n), pa.int64()), pa.array(np.repeat([x["q"] for x in keys], n), pa.int64()), pa.array(names[top.ravel()].tolist(), ids.type.value_type), pa.array(np.take_along_axis(scores, top, 1).ravel())],
-                    ["batch_id", "q_ord", "claim_id", "score"],
-                )
-
-    found = pairs.mapInArrow(run, f"batch_id long, q_ord long, claim_id {kind}, score double")
-    best = W.partitionBy("batch_id", "q_ord").orderBy(F.desc("score"), "claim_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(matrix, axis=1, keepdims=True) if matrix.size else np.ones((len(matrix), 1))
-    return matrix / np.where(norm == 0, 1, norm)
-
-
 def find_claims_semantic(claims: DataFrame, vectors: DataFrame, queries: DataFrame, limit_per_query: int = 5, global_limit: int = 12) -> DataFrame:
     """Like the batch search, by vectors; ids that the claims no longer have are dropped."""
     hits = vector_top_k(vectors, queries, limit_per_query).join(claims.select("claim_id"), "claim_id", "left_semi")

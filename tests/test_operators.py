@@ -333,6 +333,35 @@ def test_vector_top_k_over_several_blocks(spark):
     assert {(r["batch_id"], r["q_ord"], r["rank"]): r["claim_id"] for r in out} == want
 
 
+def test_vector_search_leaves_blocks_out(spark):
+    """Clustered vectors: few pairs of blocks are multiplied, and the rows are those of the full product."""
+    import numpy as np
+
+    from anchora.operators import nearest
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(24, 16))
+    held = np.repeat(centres, 60, axis=0) + 0.05 * rng.normal(size=(1440, 16))
+    asked = centres[:20] + 0.05 * rng.normal(size=(20, 16))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(held)], "claim_id long, vec array<double>")
+    q = spark.createDataFrame([(i // 5, i % 5, x.tolist()) for i, x in enumerate(asked)], "batch_id long, q_ord long, vec array<double>")
+    best, met = nearest.search(v, q, 6, block=20)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    scores = unit(asked) @ unit(held).T
+    want = {(i // 5, i % 5, r + 1, int(j)) for i in range(20) for r, j in enumerate(np.argsort(-scores[i], kind="stable")[:6])}
+    assert {(r["batch_id"], r["q_ord"], r["rank"], r["claim_id"]) for r in best.collect()} == want
+    assert met.count() < 0.25 * met.select("q_block").distinct().count() * 1440 / 20
+
+
+def test_vector_search_on_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, []), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.0, 0.0]), (7, [-1.0, 0.0])]
+    v = spark.createDataFrame(rows, "claim_id long, vec array<double>")
+    q = spark.createDataFrame([(0, 0, [2.0, 0.0]), (0, 1, [0.0, 0.0]), (0, 2, None)], "batch_id long, q_ord long, vec array<double>")
+    out = {(r["q_ord"], r["rank"]): (r["claim_id"], r["score"]) for r in retrieve.vector_top_k(v, q, 9, block=4).collect()}
+    assert out == {(0, 1): (1, 1.0), (0, 2): (1, 1.0), (0, 3): (6, 0.0), (0, 4): (7, -1.0), (1, 1): (1, 0.0), (1, 2): (1, 0.0), (1, 3): (6, 0.0), (1, 4): (7, 0.0)}
+    assert retrieve.vector_top_k(v.limit(0), q, 3).count() == 0 and retrieve.vector_top_k(v, q.limit(0), 3).count() == 0
+
+
 def test_content_hash_ignores_order(spark):
     d = spark.range(500).withColumn("x", F.col("id") * 3)
     assert profile.content_hash(d, ["id", "x"]).first() == profile.content_hash(d.repartition(7), ["id", "x"]).first()
