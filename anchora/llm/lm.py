@@ -6,7 +6,8 @@ weights come from the held-out tokens under the counts of the estimation part; s
 Documents form batches by hash. A batch asks for the counts of its distinct n-grams with one packed row for each hash
 cell; the cell adds up what all batches counted and answers each in the same order. So a corpus-wide vocabulary is
 never gathered anywhere, and no n-gram is dropped. Batches and cells grow with the square root of the input up to a
-bound, so that the packed rows grow with the input and not with its square."""
+bound, so that the packed rows grow with the input and not with its square; beyond the bound a batch still sends no row
+to a cell of which it has no n-gram, so its rows are at most its distinct n-grams."""
 
 from __future__ import annotations
 
@@ -74,7 +75,7 @@ def _ask(cells: int):
                 of = slice(bounds[cell], bounds[cell + 1])
                 out["cell"].append(cell)
                 out["kind"].append(kind)
-                out["grams"].append(_bytes_of(distinct[of], kind))
+                out["grams"].append(_bytes_of(distinct[of]))
                 for name, c in zip(("counts", "held"), counts, strict=True):
                     out[name].append(_packed(c[of]))
         n = len(out["cell"])
@@ -84,17 +85,21 @@ def _ask(cells: int):
     return run
 
 
-def _bytes_of(grams: np.ndarray, kind: int) -> bytes:
-    """Words whole; of bigrams the low 48 bits, which a cell's bigrams share less than once in a thousand cells."""
-    return grams.tobytes() if kind == 0 else np.ascontiguousarray(grams[:, None].view(np.uint8)[:, :6]).tobytes()
+def _bytes_of(grams: np.ndarray) -> bytes:
+    """Ascending 64-bit hashes: the first one, how many bytes the widest step takes, and all steps in so many bytes. A batch
+    has so many bigrams that six bytes do."""
+    steps = np.diff(grams)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return b"".join((grams[:1].tobytes(), np.uint8(width).tobytes(), np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()))
 
 
-def _grams_of(data: bytes, kind: int) -> np.ndarray:
-    if kind == 0:
-        return np.frombuffer(data, np.uint64)
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64)[:, 0]
+def _grams_of(data: bytes) -> np.ndarray:
+    width = data[8]
+    n = (len(data) - 9) // width
+    wide = np.zeros((n + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(data, np.uint8, 8)
+    wide[1:, :width] = np.frombuffer(data, np.uint8, n * width, 9).reshape(n, width)
+    return np.cumsum(wide.view(np.uint64)[:, 0], dtype=np.uint64)
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -114,7 +119,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 def _answer(table: pa.Table) -> pa.Table:
     """One cell and kind: add the batches' counts and give each batch the totals of what it asked for."""
     kind = table.column("kind")[0].as_py()
-    grams = [_grams_of(x, kind) for x in table.column("grams").to_pylist()]
+    grams = [_grams_of(x) for x in table.column("grams").to_pylist()]
     at = np.cumsum([0, *map(len, grams)])
     distinct, back = np.unique(np.concatenate(grams), return_inverse=True)
     del grams

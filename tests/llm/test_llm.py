@@ -539,6 +539,14 @@ def test_lm_counts_round_trip():
         assert lm._unpacked(lm._packed(np.array(counts, np.uint32))).tolist() == counts
 
 
+def test_lm_grams_round_trip():
+    rng = np.random.default_rng(2)
+    top = (1 << 64) - 1
+    for grams in ([7], [0, 1], [0, top], [5, 5 + 255, 5 + 511, top - 1, top], sorted(set(rng.integers(0, top, 5000, np.uint64).tolist()))):
+        assert lm._grams_of(lm._bytes_of(np.array(grams, np.uint64))).tolist() == grams
+    assert len(lm._bytes_of(np.unique(rng.integers(0, 1 << 62, 400_000, np.uint64)))) < 6.1 * 400_000
+
+
 def test_lm_packed_rows_follow_the_input():
     rows = [(b // lm.part_bytes(b)) ** 2 / b for b in (8 << 30, 64 << 30, 240 << 30)]
     assert max(rows) < 1.2 * min(rows) and lm.part_bytes(1 << 30) == lm.BATCH_BYTES and lm.part_bytes(1 << 50) == lm.MOST_BYTES
