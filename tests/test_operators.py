@@ -79,6 +79,17 @@ def test_trigram_path_equals_broadcast(spark, monkeypatch):
     assert rows() == want
 
 
+def test_contenders_are_few_and_hold_the_best(spark):
+    rnd = random.Random(5)
+    c = claims(spark, [(rnd.choice(["ab", "the ab", "c"]), rnd.choice(["is", "makes"]), rnd.choice(["ab c", "d", None])) for _ in range(400)])
+    q = spark.createDataFrame([(1, k, x) for k, x in enumerate(["ab", "c", "d", "b c", "x"])], "batch_id int, q_ord int, query string")
+    assert retrieve.contenders(c, 4).count() <= 4 * (3 + 2 + c.select("verb_phrase").distinct().count())
+    best = retrieve.W.partitionBy("q_ord").orderBy(F.desc("position"), F.length("subject"), F.desc(retrieve.role_score(F.col("predicate"))), F.desc(retrieve.polarity_score(F.col("polarity"))), "ord")
+    whole = retrieve.match_claims(c, q).withColumn("rank", F.row_number().over(best)).where("rank <= 4")
+    rows = lambda d: sorted(map(tuple, d.select("q_ord", "claim_id", "rank").collect()))
+    assert rows(retrieve.find_claims(c, q, 4)) == rows(whole)
+
+
 def test_merge_does_not_refill(spark):
     r = spark.createDataFrame([(1, 1, "a", 1), (1, 1, "b", 2), (1, 2, "a", 1), (1, 2, "c", 2)], "batch_id int, q_ord int, claim_id string, rank int")
     assert [x.claim_id for x in retrieve.merge_round_robin(r, 3).orderBy("place").collect()] == ["a", "b", "c"]
