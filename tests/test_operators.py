@@ -90,6 +90,33 @@ def test_contenders_are_few_and_hold_the_best(spark):
     assert rows(retrieve.find_claims(c, q, 4)) == rows(whole)
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_claims_without_object_are_spread(spark):
+    c = claims(spark, [("a", "is", None) for _ in range(60)] + [("a", "is", "b")])
+    r = spark.createDataFrame([("a", "1"), ("b", "2")], "mention string, entity_id string")
+    assert {(x.src, x.dst) for x in graph.endpoints(c, r).collect()} == {("e:1", None), ("e:1", "e:2")}
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert graph.endpoints(c, r).where("object is null").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_graph_tables_are_drawn_from_written_ends(spark):
+    c = claims(spark, [("a", "is", "b"), ("a", "is", None)])
+    r = spark.createDataFrame([("a", "1"), ("b", "2")], "mention string, entity_id string")
+    s = spark.createDataFrame([("s1", "book", 1, "a text of some length")], "id string, book string, chapter int, text string")
+    tables = graph.artifact(c, r, s)
+    assert all("Join" not in plan(tables[t]) for t in ("edges", "non_projectable"))
+    assert [tables[t].count() for t in ("nodes", "edges", "non_projectable", "passages")] == [2, 1, 1, 1]
+
+
 def test_merge_does_not_refill(spark):
     r = spark.createDataFrame([(1, 1, "a", 1), (1, 1, "b", 2), (1, 2, "a", 1), (1, 2, "c", 2)], "batch_id int, q_ord int, claim_id string, rank int")
     assert [x.claim_id for x in retrieve.merge_round_robin(r, 3).orderBy("place").collect()] == ["a", "b", "c"]
