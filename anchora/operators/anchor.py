@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from anchora.functions.ids import claim_id
 from anchora.functions.text import bracket_repair, normalise_concepts, squeeze
+from anchora.plans.tables import large
 
 #: Closed vocabularies of a claim (fixed values).
 PREDICATES = ("is", "causes", "expresses", "requires", "contrasts_with", "makes", "creates", "undoes", "other")
@@ -19,7 +20,7 @@ _REQUIRED = {"subject": None, "verb_phrase": None, "evidence": None, "predicate"
 def anchor_evidence(candidates: DataFrame, sources: DataFrame) -> DataFrame:
     """``candidates`` (source_id, evidence) with evidence_start, evidence_end and reason (null where anchored)."""
     s = sources.select(F.col("id").alias("source_id"), F.col("text").alias("_text"))
-    both = candidates.join(s, "source_id", "left")
+    both = candidates.join(large(s), "source_id", "left")
     first = F.coalesce(F.expr("locate(evidence, _text)"), F.lit(0))
     again = F.coalesce(F.expr("locate(evidence, _text, locate(evidence, _text) + 1)"), F.lit(0))
     blank = F.coalesce(squeeze(F.col("evidence")) == "", F.lit(True))

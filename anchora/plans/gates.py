@@ -9,6 +9,7 @@ from anchora.operators import derived
 from anchora.plans import bind
 from anchora.plans.catalog import _KINDS, _entries, _table, registered
 from anchora.plans.stored import _folder
+from anchora.plans.tables import large
 from anchora.sources import runs
 
 
@@ -85,4 +86,4 @@ def published_gold(spark, sf_dir):
     entries = runs.read_committed(spark, path, "gold")["entries"]
     golds = derived.adjudicated(sources.select(F.col("id").alias("source_id")).withColumns({"literal_status": F.lit("draft"), "derived_status": F.lit("draft")}), entries, sources.where("src_ord % 3 > 0").select(F.col("id").alias("source_id")))
     known = golds.where("derived_status = 'authored'").select("source_id", (F.col("literal_status") == "authored").alias("accepted_claims"))
-    return entries.join(known, "source_id").select("source_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "accepted_claims")
+    return entries.join(large(known), "source_id").select("source_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "accepted_claims")
