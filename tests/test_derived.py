@@ -119,3 +119,22 @@ def test_gold_is_checked_as_a_whole_and_published(spark, tmp_path):
     golds = spark.createDataFrame([("s", True), ("t", False)], "source_id string, exhaustive boolean")
     kept = derived.adjudicated(golds, good, spark.createDataFrame([], "source_id string")).orderBy("source_id").collect()
     assert [(r["literal_status"], r["derived_status"], r["nothing_accepted"]) for r in kept] == [("unauthored", "authored", False), ("unauthored", "unauthored", True)]
+
+
+def test_accepted_rows_are_not_broadcast(spark):
+    golds = spark.createDataFrame([("a", "draft", "draft"), ("b", "draft", "draft")], "source_id string, literal_status string, derived_status string")
+    some = spark.createDataFrame([("a",)], "source_id string")
+    out = derived.adjudicated(golds, some, some.limit(0))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.source_id, r.derived_status) for r in out.collect()} == {("a", "authored"), ("b", "unauthored")}
+
+
+def test_clusters_take_no_rounds_over_the_table(spark, monkeypatch):
+    from anchora.plans import components
+
+    monkeypatch.setattr(components, "written", None)  # the search over all edges is not asked for
+    monkeypatch.setattr(derived, "components", None, raising=False)
+    rows = [("s", "only", "occurrence", "p1", "g1", False, 0, 0, 9), ("s", "only", "occurrence", "p1", "g2", True, 0, 0, 9), ("s", "only", "occurrence", "p2", "g1", True, 0, 2, 12), ("s", "only", "occurrence", "p3", "g3", False, 0, 12, 20), ("t", "only", "occurrence", "p1", "g1", False, 0, 0, 5)]
+    edges = spark.createDataFrame(rows, "source_id string, variant_id string, kind string, pred string, gold string, alike boolean, marks int, from int, to int")
+    got = {(r.source_id, r.pred, r.gold) for r in derived._settle(edges).collect()}
+    assert got == {("s", "p1", "g2"), ("s", "p2", "g1"), ("s", "p3", "g3"), ("t", "p1", "g1")}
