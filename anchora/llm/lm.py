@@ -11,6 +11,8 @@ to a cell of which it has no n-gram, so its rows are at most its distinct n-gram
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -103,12 +105,15 @@ def _grams_of(data: bytes) -> np.ndarray:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    """Counts in a byte each; those of 255 and more stand behind them, by place, and their number comes first."""
+    """Counts in a byte each; those of 255 and more stand behind them, by place, and their number comes first. Most counts are
+    0, 1 or little more, in no order, so they are sent as a Huffman code of these bytes and their runs."""
     large = np.flatnonzero(counts >= 255).astype(np.uint32)
-    return b"".join((np.uint32(len(large)).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), large.tobytes(), counts[large].astype(np.uint32).tobytes()))
+    coder = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return coder.compress(b"".join((np.uint32(len(large)).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), large.tobytes(), counts[large].astype(np.uint32).tobytes()))) + coder.flush()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
+    data = zlib.decompress(data)
     large = int(np.frombuffer(data, np.uint32, 1)[0])
     n = len(data) - 4 - 8 * large
     counts = np.frombuffer(data, np.uint8, n, 4).astype(np.uint32)

@@ -717,3 +717,12 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
         sizes.append(after.count())
         now = after
     assert sizes[0] == 201 and sizes[1] < sizes[0] and sizes[2] <= sizes[1] == sizes[1] and sizes[3] == sizes[2]
+
+
+def test_counts_are_sent_in_few_bits():
+    from anchora.llm import lm
+
+    counts = np.random.default_rng(1).choice(np.array([0, 1, 2, 3, 300, 70_000], np.uint32), 50_000, p=[0.4, 0.4, 0.1, 0.09, 0.009, 0.001])
+    data = lm._packed(counts)
+    assert np.array_equal(lm._unpacked(data), counts) and len(data) < len(counts) / 2
+    assert len(lm._unpacked(lm._packed(counts[:0]))) == 0
