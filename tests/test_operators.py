@@ -90,6 +90,16 @@ def test_contenders_are_few_and_hold_the_best(spark):
     assert rows(retrieve.find_claims(c, q, 4)) == rows(whole)
 
 
+def test_entities_are_ranked_over_few_claims(spark, monkeypatch):
+    rnd = random.Random(7)
+    c = claims(spark, [(rnd.choice("abc"), rnd.choice(["is", "makes", "other"]), rnd.choice(["a", "b", None])) for _ in range(300)])
+    r = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2")], "mention string, entity_id string")
+    rows = lambda: sorted(map(tuple, retrieve.find_claims_for_entity(c, r.select("mention"), r, 4).select("entity", "claim_id", "position", "rank").collect()))
+    got, used = rows(), []
+    monkeypatch.setattr(retrieve, "contenders", lambda d, *a, **k: used.append(1) or d)
+    assert rows() == got and used
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
