@@ -445,3 +445,11 @@ def test_question_frames(spark):
         assert one(spark, meta, s=asked) == (["corpus"] if found else []), asked
     for asked, found in {"What is the Morning Star?": ["morning star"], "define an Idol": ["idol"], "What are wonders related to?": [], "Describe the ego's view on love": [], "how is it?": [], "What's it?": ["it"]}.items():
         assert one(spark, text.concept_query_terms, s=asked) == found, asked
+
+
+def test_scores_share_the_claims_shuffles(spark):
+    """Both sides lie by source, as their claims do: two shuffles make the claims, and matching adds none by key."""
+    from anchora.plans import catalog
+
+    plan = catalog.QUERIES["field_mismatches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3
