@@ -453,3 +453,18 @@ def test_scores_share_the_claims_shuffles(spark):
 
     plan = catalog.QUERIES["field_mismatches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_description_ranks_few_claims_of_a_hot_form(spark, monkeypatch):
+    """Of many claims of a form only those that can be among the best meet the entities; what is left out changes nothing."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["A", "The A", "B"]), rng.choice(["is", "causes", "other"]), rng.choice(["A", "B", None, "an idea"]), {"claim_id": f"c{k}", "verb_phrase": rng.choice(["knows", "loves", "sits"]), "polarity": rng.choice(["affirmed", "negated"])}) for k in range(300)]
+    c = claims(spark, rows)
+    r = resolve.lexical_entities(resolve.collect_mentions(c))
+    asked = r.select("mention", F.when(F.col("mention") == "B", F.array(F.lit("loving"))).otherwise(F.array(F.lit("thinking"))).alias("aspects"))
+    few = retrieve.aspect_contenders(c, asked.select("aspects").distinct().withColumn("_set", F.monotonically_increasing_id()), 2)
+    assert few.count() <= 2 * 2 * (3 + 3)  # limit, sets, subjects and objects
+    ranked = lambda: sorted(map(tuple, retrieve.describe_entity(c, asked, r, 2).select("entity", "claim_id", "position", "matched_aspect", "rank").collect()))
+    got = ranked()
+    monkeypatch.setattr(retrieve, "ASPECT_SETS", 0)
+    assert got and got == ranked()
