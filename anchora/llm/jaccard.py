@@ -21,6 +21,8 @@ from anchora.plans.components import components
 BAND_GROWTH = 1.4
 #: Rows of a key that one task compares with each other, or with as many others.
 TILE = 1024
+#: Bytes of text whose shingles are hashed at once; the prefix sums take 32 times as many.
+PART_BYTES = 1 << 19
 #: Up to this many documents with shared keys, their ids (8 bytes each) are broadcast to pick their texts.
 BROADCAST_IDS = 200_000
 
@@ -104,7 +106,7 @@ def _set_rows(width: int, threshold: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, offsets, buf in text_parts(batch.column("text")):
+            for first, offsets, buf in text_parts(batch.column("text"), PART_BYTES):
                 sets = shingles(offsets, buf, width)
                 xor = np.array([np.bitwise_xor.reduce(s) if len(s) else 0 for s in sets], np.uint64)
                 added = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -126,7 +128,7 @@ def _key_rows(width: int, threshold: int):
     def run(batches):
         for batch in batches:
             rows = batch.column("doc_id").to_pylist()
-            for first, offsets, buf in text_parts(batch.column("text")):
+            for first, offsets, buf in text_parts(batch.column("text"), PART_BYTES):
                 keys, ids = [], []
                 for k, x in enumerate(shingles(offsets, buf, width)):
                     if rows[first + k] is None:
@@ -247,9 +249,9 @@ def _shingle_rows(width: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, offsets, buf in text_parts(batch.column("text")):
+            for first, offsets, buf in text_parts(batch.column("text"), PART_BYTES):
                 sets = shingles(offsets, buf, width)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "hashes"])
 
     return run
 
@@ -268,19 +270,6 @@ def _near_sketches(threshold: int):
     return run
 
 
-def _check_pairs(threshold: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """The pairs that are similar: first by their sketches, then, for what is left, shingle by shingle."""
     slim = lambda i, n, s: sets.select(F.col("doc_id").alias(i), F.col("n").alias(n), F.col("sketches").alias(s))
@@ -290,10 +279,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, th
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     text = docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    hashes = written(text.mapInArrow(_shingle_rows(width), "id long, hashes binary"))
+    hashes = written(text.mapInArrow(_shingle_rows(width), "id long, hashes array<long>"))
     left = near.join(hashes.select(F.col("id").alias("a"), F.col("hashes").alias("left")), "a")
     both = left.join(hashes.select(F.col("id").alias("b"), F.col("hashes").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_check_pairs(threshold), "a long, b long")
+    common = F.size(F.array_intersect("left", "right")).cast("long")  # native, row by row: whole sets of many pairs would fill a batch
+    return both.withColumn("common", common).where(100 * F.col("common") >= threshold * (F.size("left") + F.size("right") - F.col("common"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, star_turns: int = 3) -> DataFrame:

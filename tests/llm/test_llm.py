@@ -726,3 +726,20 @@ def test_counts_are_sent_in_few_bits():
     data = lm._packed(counts)
     assert np.array_equal(lm._unpacked(data), counts) and len(data) < len(counts) / 2
     assert len(lm._unpacked(lm._packed(counts[:0]))) == 0
+
+
+def test_jaccard_hashes_a_batch_in_small_parts():
+    """The working memory of a task follows the part, not the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(800)) for k in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    assert batch.nbytes > 3 << 20
+    tracemalloc.start()
+    for _ in jaccard._shingle_rows(5)(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
