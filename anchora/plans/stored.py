@@ -43,7 +43,8 @@ def _claim_lines(spark, sf_dir) -> DataFrame:
 @registered(_QUOTED + f" SELECT {_ID} AS claim_id, row_number() OVER (ORDER BY ord) - 1 AS ord, subject, evidence_start FROM q")
 def claim_lines(spark, sf_dir):
     """Claims written in many files and read back in the order of their lines."""
-    return readers.read_claims(spark, _json(_claim_lines(spark, sf_dir))).select("claim_id", "ord", "subject", "evidence_start")
+    lines = _json(_claim_lines(spark, sf_dir), compression="gzip")  # a line repeats every field's name
+    return readers.read_claims(spark, lines).select("claim_id", "ord", "subject", "evidence_start")
 
 
 @registered(bind.ctes("claims") + f", {_RESOLUTION} SELECT mention, entity_id FROM resolution")

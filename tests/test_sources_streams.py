@@ -197,3 +197,13 @@ def test_stream_sequences_go_on_after_a_stop(spark, tmp_path):
     for r in spark.read.parquet(f"{tmp_path}/out").collect():
         got.setdefault(r["conv_id"], []).append((r["sequence"], r["text"]))
     assert {k: sorted(v) for k, v in got.items()} == {1: [(1, "a"), (2, "b"), (3, "c"), (4, "d")], 2: [(1, "x"), (2, "y")], 3: [(1, "z")]}
+
+
+def test_claim_lines_are_written_compressed(spark, monkeypatch):
+    from anchora.plans import stored
+
+    read, seen = stored.readers.read_claims, []
+    monkeypatch.setattr(stored.readers, "read_claims", lambda s, path: seen.append(path) or read(s, path))
+    assert stored.claim_lines(spark, "/root/testdata/sf0.001").count() > 0
+    files = spark.read.format("binaryFile").load(seen[0]).select("path").collect()
+    assert files and all(f["path"].endswith(".gz") for f in files)
