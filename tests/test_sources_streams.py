@@ -200,10 +200,10 @@ def test_stream_sequences_go_on_after_a_stop(spark, tmp_path):
 
 
 def test_claim_lines_are_written_compressed(spark, monkeypatch):
-    from anchora.plans import stored
+    from anchora.plans import catalog, stored
 
     read, seen = stored.readers.read_claims, []
     monkeypatch.setattr(stored.readers, "read_claims", lambda s, path: seen.append(path) or read(s, path))
-    assert stored.claim_lines(spark, "/root/testdata/sf0.001").count() > 0
+    assert catalog.QUERIES["claim_lines"](spark, "/root/testdata/sf0.001").count() > 0
     files = spark.read.format("binaryFile").load(seen[0]).select("path").collect()
     assert files and all(f["path"].endswith(".gz") for f in files)
