@@ -468,3 +468,13 @@ def test_description_ranks_few_claims_of_a_hot_form(spark, monkeypatch):
     got = ranked()
     monkeypatch.setattr(retrieve, "ASPECT_SETS", 0)
     assert got and got == ranked()
+
+
+def test_question_probes_are_dealt_to_all_tasks_and_worked_out_once(spark):
+    """A small file of many questions is one task's, however long each takes; repeated steps are worked out once."""
+    from anchora.plans import catalog
+
+    probes = catalog.QUERIES["question_probes"](spark, "/root/testdata/sf0.01")
+    assert probes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    squeezes = probes._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    assert squeezes < 30
