@@ -87,3 +87,23 @@ def test_placements_against_all_of_them(spark):
     assert {r["case_id"]: r["ways"] for r in out} == {c: min(len(w), 2) for c, w in ways.items()}
     assert {r["case_id"]: sorted((x["element"], x["start"], x["end"]) for x in r["chosen"]) for r in out if r["chosen"]} == {c: [(k, *s) for k, s in enumerate(w[0])] for c, w in ways.items() if len(w) == 1}
     assert len({len(w) for w in ways.values()}) > 2
+
+
+def test_only_open_placements_are_searched(spark, monkeypatch):
+    """Single places, equal wordings and uncovered markers are settled in their row; a wording with several places is searched."""
+    two = f"One [{A}]. Two [{B}]. One [{A}]"
+    settled = {
+        "single": (reply((f"One [{A}].", True), (f"Two [{B}].", True), (f". One [{A}]", True)), two, "incomplete_coverage"),
+        "told apart": (reply((f"One [{A}]. Two [{B}]", True), (f"One [{A}]", True)), two, None),
+        "twice": (reply((f"One [{A}]", True), (f"Two [{B}]", True), (f"One [{A}]", True)), two, "incomplete_coverage"),
+        "uncovered": (reply(("One", True), (f"Two [{B}]", True)), two, "incomplete_coverage"),
+    }
+    searched = {
+        "three": (reply(("x", True), (f"x x [{A}]", True)), f"x x x [{A}]", "fail"),
+        "chain": (reply((f"x[{A}]", True), (f"x[{A}]x", True), ("x", True)), f"x[{A}]x[{A}]x", "not_evaluated"),
+    }
+    got = results(spark, [(k, r, None, a, [A, B], "absent") for k, (r, a, _) in searched.items()])
+    assert {k: got[k, "semantic_grounding"][0] for k in searched} == {k: want for k, (*_, want) in searched.items()}
+    monkeypatch.setattr(grounding, "unique_partition", lambda *_: 1 / 0)
+    got = results(spark, [(k, r, None, a, [A, B], "absent") for k, (r, a, _) in settled.items()])
+    assert {k: got[k, "semantic_grounding"][2] for k in settled} == {k: want for k, (*_, want) in settled.items()}
