@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from anchora.operators import anchor, audit, graph, history, profile, retrieve, score
 from anchora.plans import bind
 from anchora.plans.catalog import _REPLIES, _RESOLUTION, _replies, _resolution, _table, registered
-from anchora.plans.tables import shared_dir
+from anchora.plans.tables import shared_dir, written
 from anchora.sources import readers, runs
 from anchora.streaming import streams
 
@@ -196,7 +196,7 @@ def draft_labels(spark, sf_dir):
 def extraction_run(spark, sf_dir):
     """An extraction written as a run, beside an attempt that was never committed, and read back with its header."""
     sources = bind.sources(spark, sf_dir)
-    outcomes = anchor.extract_claims(_replies(spark, sf_dir), sources).select("source_id", "status", "reason", "claim_id")
+    outcomes = written(anchor.extract_claims(_replies(spark, sf_dir), sources).select("source_id", "status", "reason", "claim_id"))
     path = _folder(spark)
     runs.stage({"rows": outcomes.limit(3)}, path)
     scores = sources.agg(F.lit("loose").alias("tier"), F.count("*").alias("tp"))

@@ -207,3 +207,16 @@ def test_claim_lines_are_written_compressed(spark, monkeypatch):
     assert catalog.QUERIES["claim_lines"](spark, "/root/testdata/sf0.001").count() > 0
     files = spark.read.format("binaryFile").load(seen[0]).select("path").collect()
     assert files and all(f["path"].endswith(".gz") for f in files)
+
+
+def test_extractions_are_worked_out_once(spark, monkeypatch):
+    """What a run writes and counts is read from a table and not made anew for each."""
+    from anchora.plans import catalog, stored
+
+    seen, write = [], readers.write_extraction_run
+    monkeypatch.setattr(readers, "write_extraction_run", lambda outcomes, *more: (seen.append(outcomes), write(outcomes, *more)))
+    table = stored.written
+    monkeypatch.setattr(stored, "written", lambda df: seen.append(table(df)) or seen[-1])
+    run = {r["status"]: (r["n"], r["n_claim"], r["n_failed"]) for r in catalog.QUERIES["extraction_run"](spark, "/root/testdata/sf0.001").collect()}
+    assert run["claim"][0] == run["claim"][1] and run["failed"][0] == run["claim"][2]
+    assert len(seen) == 2 and not any("Window" in s._jdf.queryExecution().optimizedPlan().toString() for s in seen)
