@@ -455,6 +455,33 @@ def test_scores_share_the_claims_shuffles(spark):
     assert plan.count("Exchange hashpartitioning") <= 3
 
 
+def test_scores_sort_their_claims_twice(spark):
+    """Once to make the claims and once to match them; each further sort of the windows spilled on larger tables."""
+    from anchora.plans import catalog
+
+    both = score.paired(catalog._gold_and_predicted(spark, "/root/testdata/sf0.001"))
+    assert both._jdf.queryExecution().executedPlan().toString().count("Sort [source_id") == 2
+
+
+def test_claims_of_copied_lines_and_parts_equal_their_sql(spark, tmp_path):
+    """Copied lines are one, a line without a part counts for the numbers, a part that is there twice makes two claims."""
+    from anchora.plans import bind
+
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string"
+    lines = [(1, 1, 1, 3, 0.0, 2.0, "R"), (1, 1, 1, 3, -0.0, 2.0, "R"), (1, 1, 1, 3, 0.0, 2.5, "R"), (1, 2, 99, 3, 1.0, 1.0, "N"), (1, 3, 2, 4, 1.0, 1.0, None), (1, 3, 2, 4, 1.0, 1.0, None), (1, None, 1, 5, float("nan"), 1.0, "A"), (2, 1, None, 1, 1.0, 1.0, "A"), (2, 2, 3, 1, 1.0, 1.0, "A"), (None, 1, 3, 1, 1.0, 1.0, "A")]
+    parts = [(1, "red box", "B1", "TIN"), (2, "lid", "B2", "TIN"), (2, "lid", "B2", "TIN"), (3, None, "B3", "OAK"), (None, "x", "B4", "OAK")]
+    for name, rows, schema in (("lineitem", lines, line), ("part", parts, "p_partkey long, p_name string, p_brand string, p_type string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    made, sql = bind.claims(spark, str(tmp_path)), bind._run(spark, str(tmp_path), bind.CLAIMS)
+    assert made.columns == sql.columns and made.count() == 7
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, sql.collect()))
+
+
+def test_pairs_of_a_null_source_are_none(spark):
+    c = claims(spark, [("a", "is", "b", {"source_id": None}), ("a", "is", "b", {"source_id": "s"})])
+    assert {(r["tier"], r["tp"], r["fp"], r["fn"]) for r in score.score_claims(c, c).collect()} == {(t, 1, 0, 1) for t in ("loose", "strict", "relaxed")}
+
+
 def test_description_ranks_few_claims_of_a_hot_form(spark, monkeypatch):
     """Of many claims of a form only those that can be among the best meet the entities; what is left out changes nothing."""
     rng = random.Random(5)
