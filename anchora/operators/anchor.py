@@ -48,21 +48,22 @@ def parse_claim_replies(replies: DataFrame) -> DataFrame:
     One wrong type, missing field or unknown value fails the whole key, which then has one row with status ``failed``.
     JSON types are those of the text: a number is no string."""
     fields = ("subject", "verb_phrase", "object", "predicate", "polarity", "mode", "attribution", "evidence")
-    read = lambda c, f: F.try_variant_get(c, f"$.{f}", "variant")
-    # every field of every item is taken out of the reply once, with its JSON type
-    typed = lambda c: F.struct(*(F.struct(F.coalesce(F.schema_of_variant(read(c, f)), F.lit("VOID")).alias("type"), F.try_variant_get(c, f"$.{f}", "string").alias("value")).alias(f) for f in fields))
-    items = F.try_variant_get(F.try_parse_json(bracket_repair(F.col("reply"))), "$.claims", "array<variant>")
+    # an item's fields are taken out of it at once; free text is read with its JSON type, and no other type reads as an allowed word
+    text = [f for f in fields if not _REQUIRED.get(f)]
+    value = lambda c, f: F.try_variant_get(c[f], "$", "string")
+    kind = lambda c, f: F.coalesce(F.schema_of_variant(c[f]), F.lit("VOID")).alias(f"{f}_type")
+    typed = lambda c: F.struct(*(value(c, f).alias(f) for f in fields), *(kind(c, f) for f in text))
+    item = f"array<struct<{', '.join(f'{f}: variant' for f in fields)}>>"
+    items = F.try_variant_get(F.try_parse_json(bracket_repair(F.col("reply"))), "$.claims", item)
     r = replies.select("key", F.transform(items, typed).alias("items"))
 
     def valid(c):
-        good = c["object"]["type"].isin("STRING", "VOID")
+        good = c["object_type"].isin("STRING", "VOID")
         for field, allowed in _REQUIRED.items():
-            good = good & (c[field]["type"] == "STRING")
-            if allowed:
-                good = good & F.coalesce(c[field]["value"].isin(*allowed), F.lit(False))
+            good = good & (F.coalesce(c[field].isin(*allowed), F.lit(False)) if allowed else c[f"{field}_type"] == "STRING")
         return good
 
-    candidate = lambda c, i: F.struct(F.lit("candidate").alias("status"), i.cast("int").alias("cand_ord"), *(c[f]["value"].alias(f) for f in fields))
+    candidate = lambda c, i: F.struct(F.lit("candidate").alias("status"), i.cast("int").alias("cand_ord"), *(c[f].alias(f) for f in fields))
     none = F.lit(None).cast("string")
     failed = F.array(F.struct(F.lit("failed").alias("status"), F.lit(None).cast("int").alias("cand_ord"), *(none.alias(f) for f in fields)))
     ok = F.col("items").isNotNull() & F.coalesce(F.forall("items", valid), F.lit(False))

@@ -304,6 +304,19 @@ def test_replies_are_strict(spark):
     assert {(r.key, r.status) for r in out} == {("ok", "candidate"), ("fence", "candidate"), ("type", "failed"), ("enum", "failed"), ("bad", "failed"), ("none", "failed")}
 
 
+def test_replies_are_read_with_few_steps(spark):
+    """Only free text needs its JSON type read, and an item's fields are taken at once; odd items fail their key as before."""
+    good = '{"subject":"a","verb_phrase":"b","object":null,"predicate":"is","polarity":"affirmed","mode":"assertion","attribution":"course","evidence":"e"}'
+    odd = ["1", "null", "{}", good.replace("null", "5"), good.replace('"e"', "null"), good.replace('"is"', "true"), good.replace('"is"', "null"), good.replace('"is"', '{"is":"is"}'), good.replace('"subject"', '"Subject"')]
+    fine = [good.replace("null", '"o"'), good.replace('"object":null,', ""), good.replace('"e"}', '"e","more":{"subject":1}}')]
+    rows = [(f"{n}{i}", f'{{"claims":[{good},{x}]}}') for n, xs in (("odd", odd), ("fine", fine)) for i, x in enumerate(xs)]
+    rows += [("fine twice", f'{{"claims": ["claims": [{good},{good}]}}'), ("fine fence", f' ```json {{"claims": [{{"claims": [{good},{good}]}} ``` ')]
+    out = anchor.parse_claim_replies(spark.createDataFrame(rows, "key string, reply string"))
+    found = [(r.key, r.status) for r in out.collect()]
+    assert sorted(found) == sorted([(k, "failed") for k, _ in rows if "odd" in k] + [(k, "candidate") for k, _ in rows if "fine" in k] * 2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(".schemaOfVariant(") == 4
+
+
 def test_history(spark):
     m = history.sequence_numbers(spark.createDataFrame([(1, t, "user", c * 100) for t, c in enumerate("ABCD")], "conv_id long, turn long, role string, text string"))
     asked = spark.createDataFrame([(1, 4)], "conv_id long, sequence int")
