@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from anchora.operators import derived
 from anchora.sources import runs
 
@@ -138,3 +140,41 @@ def test_clusters_take_no_rounds_over_the_table(spark, monkeypatch):
     edges = spark.createDataFrame(rows, "source_id string, variant_id string, kind string, pred string, gold string, alike boolean, marks int, from int, to int")
     got = {(r.source_id, r.pred, r.gold) for r in derived._settle(edges).collect()}
     assert got == {("s", "p1", "g2"), ("s", "p2", "g1"), ("s", "p3", "g3"), ("t", "p1", "g1")}
+
+
+def test_entries_dealt_by_source_need_no_shuffle_and_only_contested_ones_a_search(spark, monkeypatch):
+    rows = lambda mark, drop: [{"source_id": f"s{k // 4}", "annotation_id": f"{mark}{k}", "kind": ("occurrence", "description")[k % 2], "base_concept": "x" if k % 2 == 0 else None, "description_text": "t" if k % 2 else None, "describes": f"{mark}{k - 1}" if k % 2 else None, "start": 100 * k, "end": 100 * k + 9} for k in range(12) if k not in drop]
+    gold = entries(spark, [*rows("g", ()), {"source_id": "s0", "annotation_id": "g90", "kind": "occurrence", "base_concept": "y", "start": 4, "end": 12}])
+    pred = entries(spark, [*rows("p", (3,)), {"source_id": "s0", "annotation_id": "p90", "kind": "occurrence", "base_concept": "x", "start": 4, "end": 12}])
+    seen, plans, settle, keep = [], [], derived._settle, derived.written
+    monkeypatch.setattr(derived, "_settle", lambda edges: seen.append(edges.count()) or settle(edges))
+    monkeypatch.setattr(derived, "written", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or keep(d))
+    both = derived.entry_sides(pred, gold).repartition("source_id")
+    got = {r["kind"]: (r["tp"], r["fp"], r["fn"]) for r in derived.fidelity_report(derived.fidelity_sides(both)).withColumnRenamed("dimension", "kind").collect()}
+    assert got == {"qualification": (6, 1, 1), "description": (5, 0, 1)}
+    assert plans[0].count("Exchange") == 1 and "Window" in plans[0]
+    assert seen == [4, 0]
+
+
+def test_fidelity_of_crowded_passages_is_best(spark):
+    rnd = random.Random(4)
+    some = lambda mark, n: [{"source_id": f"s{s}", "annotation_id": f"{mark}{k}", "kind": "occurrence", "base_concept": rnd.choice("xyz"), "start": (a := rnd.randint(0, 12)), "end": a + rnd.randint(0, 8)} for s in range(40) for k in range(rnd.randint(1, n))]
+    gold, pred = some("g", 5), some("p", 5)
+    got = {r["source_id"]: (r["aligned"], r["fully_correct"]) for r in derived.fidelity(entries(spark, pred), entries(spark, gold)).collect()}
+    for s in {r["source_id"] for r in gold}:
+        p, g = ([r for r in side if r["source_id"] == s] for side in (pred, gold))
+        edges = {(a, b): x["base_concept"] == y["base_concept"] for a, x in enumerate(p) for b, y in enumerate(g) if min(x["end"], y["end"]) > max(x["start"], y["start"])}
+        best = derived.best_matching([(a, b, 1 + 10 * alike) for (a, b), alike in edges.items()])
+        assert got[s] == (len(best), sum(edges[x] for x in best))
+
+
+def test_entries_of_one_id_are_entries_of_their_own(spark):
+    rows = lambda mark: [{"annotation_id": f"{mark}1", "kind": "occurrence", "base_concept": c} for c in "xxy"] + [{"annotation_id": f"{mark}2", "kind": "description", "description_text": "t", "describes": f"{mark}1", "start": 20, "end": 25}]
+    got = {r["kind"]: (r["aligned"], r["tp"], r["fp"], r["fn"]) for r in derived.fidelity(entries(spark, rows("p")), entries(spark, rows("g"))).collect()}
+    assert got == {"occurrence": (3, 3, 0, 0), "description": (1, 1, 0, 0)}
+    wrong = {r["dimension"]: r["wrong"] for r in derived.oracle_check(entries(spark, rows("g")).withColumn("variant_id", F.when(F.col("base_concept") == "y", "v")), claims(spark)).collect()}
+    assert wrong == dict.fromkeys(["occurrence", "description", "literal loose", "literal strict", "literal relaxed"], 0)
+
+
+def claims(spark):
+    return spark.createDataFrame([(1, "s", "a", "is", "b", "affirmed", "assertion", "course", 0, 5)], "ord long, source_id string, subject string, predicate string, object string, polarity string, mode string, attribution string, evidence_start int, evidence_end int")
