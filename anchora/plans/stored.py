@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from anchora.operators import anchor, audit, graph, history, profile, retrieve, score
 from anchora.plans import bind
 from anchora.plans.catalog import _REPLIES, _RESOLUTION, _replies, _resolution, _table, registered
-from anchora.plans.tables import shared_dir, written
+from anchora.plans.tables import large, shared_dir, written
 from anchora.sources import readers, runs
 from anchora.streaming import streams
 
@@ -244,8 +244,11 @@ _DRAWN = """g AS (SELECT c.*, 'e:' || s.entity_id AS src, 'e:' || o.entity_id AS
 )
 def graph_tables(spark, sf_dir):
     """The whole graph artifact committed and read back; the few claims whose span ends behind their text are left out."""
-    claims, sources = bind.claims_table(spark, sf_dir), bind.sources(spark, sf_dir)
-    ok = claims.join(sources.select(F.col("id").alias("source_id"), F.length("text").alias("_n")), "source_id").where("evidence_end <= _n").drop("_n")
+    sources = bind.sources(spark, sf_dir)
+    # the lengths come to the claims where these lie by source, before they are written
+    sizes = large(sources.select(F.col("id").alias("source_id"), F.length("text").alias("_n")))
+    claims = written(bind.claims(spark, sf_dir).join(sizes, "source_id", "left"))
+    ok = claims.where("evidence_end <= _n").drop("_n")
     path = _folder(spark)
     readers.write_graph(graph.artifact(ok, _resolution(claims), sources), path)
     tables = readers.read_graph(spark, path, graph.GRAPH_VERSION)

@@ -518,3 +518,12 @@ def test_question_probes_are_dealt_to_all_tasks_and_worked_out_once(spark):
     assert probes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     squeezes = probes._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
     assert squeezes < 30
+
+
+def test_graph_claims_are_not_shuffled_for_their_sources_lengths(spark, monkeypatch):
+    from anchora.plans import catalog, stored
+
+    seen, artifact = [], graph.artifact
+    monkeypatch.setattr(stored.graph, "artifact", lambda ok, resolution, sources: seen.append(plan(ok)) or artifact(ok, resolution, sources))
+    assert catalog.QUERIES["graph_tables"](spark, "/root/testdata/sf0.001").count() == 6
+    assert len(seen) == 1 and "Join" not in seen[0] and "Exchange" not in seen[0]
