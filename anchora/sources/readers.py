@@ -227,7 +227,7 @@ def write_case_run(criteria: DataFrame, report: DataFrame, path: str, run_id: st
 
 
 def write_graph(tables: dict[str, DataFrame], path: str, name: str = "graph") -> None:
-    """A graph's tables (``graph.artifact``), range-sorted by their keys and committed together."""
-    keys = {"nodes": ["node_id"], "edges": ["claim_id"], "non_projectable": ["claim_id"], "passages": ["source_id", "evidence_start", "evidence_end"]}
+    """A graph's tables (``graph.artifact``), range-sorted by their keys, as passages are already, and committed together."""
+    keys = {"nodes": ["node_id"], "edges": ["claim_id"], "non_projectable": ["claim_id"]}
     ordered = {t: tables[t].orderBy(*keys[t]) if t in keys else tables[t] for t in GRAPH_COLUMNS}
     commit(tables["nodes"].sparkSession, path, name, stage(ordered, path), list(ordered))

@@ -527,3 +527,23 @@ def test_graph_claims_are_not_shuffled_for_their_sources_lengths(spark, monkeypa
     monkeypatch.setattr(stored.graph, "artifact", lambda ok, resolution, sources: seen.append(plan(ok)) or artifact(ok, resolution, sources))
     assert catalog.QUERIES["graph_tables"](spark, "/root/testdata/sf0.001").count() == 6
     assert len(seen) == 1 and "Join" not in seen[0] and "Exchange" not in seen[0]
+
+
+def test_passages_are_sorted_before_texts_are_cut(spark, tmp_path):
+    from anchora.sources import readers
+
+    spans = [(f"s{k % 7}", "a", "is", "b", 5 - k % 3, 6 + k % 2) for k in range(60)]
+    c = claims(spark, [("a", "is", "b")]).drop("source_id", "evidence_start", "evidence_end").crossJoin(spark.createDataFrame([(x[0], x[4], x[5]) for x in spans], "source_id string, evidence_start int, evidence_end int"))
+    r = spark.createDataFrame([("a", "1"), ("b", "2")], "mention string, entity_id string")
+    s = spark.createDataFrame([(f"s{k}", "book", 1, f"text {k} of some length") for k in range(8)], "id string, book string, chapter int, text string")
+    tables = graph.artifact(c, r, s)
+    moved = [x for x in plan(tables["passages"]).splitlines() if "Exchange rangepartitioning" in x]
+    assert len(moved) == 1 and "evidence" not in moved[0]
+    readers.write_graph(tables, str(tmp_path / "g"))
+    got = [tuple(x) for x in readers.read_graph(spark, str(tmp_path / "g"), graph.GRAPH_VERSION)["passages"].select("source_id", "evidence_start", "evidence_end", "before", "evidence", "after").collect()]
+    text = lambda x: f"text {x[1:]} of some length"
+    assert sorted(got) == [(x, a, b, text(x)[:a], text(x)[a:b], text(x)[b:]) for x, a, b in sorted({(x[0], x[4], x[5]) for x in spans})]
+    by_file = readers.read_graph(spark, str(tmp_path / "g"), graph.GRAPH_VERSION)["passages"].select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).collect()
+    for file in {x["file"] for x in by_file}:
+        rows = [(x["source_id"], x["evidence_start"], x["evidence_end"]) for x in sorted(by_file, key=lambda x: x["at"]) if x["file"] == file]
+        assert rows == sorted(rows)
